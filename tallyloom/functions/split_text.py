@@ -3,52 +3,72 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
-from tallyloom.functions.text import TOKEN
-
 # Where an oversize text may be cut, coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
+# Fixed value: the default token in the notation of Python's own regular expressions.
+PYTHON_TOKEN = r"[^\W_]+|[^ \t\n\x0b\f\r]"
+
+Measure = Callable[[int, int], int]
+MeasureText = Callable[[str], Measure]
+
+
+def default_measure() -> MeasureText:
+    """Token counts of any span of a text from one pass over it."""
+    token = re.compile(PYTHON_TOKEN)
+
+    def bind(text: str) -> Measure:
+        starts = [m.start() for m in token.finditer(text)]
+        return lambda start, end: bisect_left(starts, end) - bisect_left(starts, start)
+
+    return bind
+
 
-def default_length() -> Callable[[str], int]:
-    """The default token counter for use outside the JVM."""
-    import regex
+def encoder_measure(load: Callable[[], Callable[[str], list]]) -> Callable[[], MeasureText]:
+    """Token counts by a user's encoder, loaded once per task."""
 
-    token = regex.compile(TOKEN)
-    return lambda text: sum(1 for _ in token.finditer(text))
+    def bound() -> MeasureText:
+        encode = load()
+        return lambda text: lambda start, end: len(encode(text[start:end]))
 
+    return bound
 
-def _atoms(text: str, budget: int, length: Callable[[str], int], level: int = 0) -> list[str]:
-    """Cut into pieces within budget at the coarsest separators that allow it.
 
-    Separators stay at the end of their piece, so the pieces concatenate to the text.
-    """
-    if length(text) <= budget or len(text) < 2:
-        return [text]
+def _atoms(text: str, start: int, end: int, budget: int, measure: Measure, level: int = 0
+           ) -> list[tuple[int, int]]:
+    """Adjoining spans within budget, cut at the coarsest separators that allow it."""
+    if measure(start, end) <= budget or end - start < 2:
+        return [(start, end)]
     if level == len(SEPARATORS):
-        half = len(text) // 2
-        return _atoms(text[:half], budget, length, level) + _atoms(
-            text[half:], budget, length, level)
-    cut = re.split(f"(?<={re.escape(SEPARATORS[level])})", text)
-    return [a for part in cut if part for a in _atoms(part, budget, length, level + 1)]
+        half = (start + end) // 2
+        return _atoms(text, start, half, budget, measure, level) + _atoms(
+            text, half, end, budget, measure, level)
+    separator, spans = SEPARATORS[level], []
+    while start < end:
+        found = text.find(separator, start, end)
+        stop = end if found < 0 else found + len(separator)
+        spans += _atoms(text, start, stop, budget, measure, level + 1)
+        start = stop
+    return spans
 
 
-def split_to_budget(
-    text: str, budget: int, overlap: int, length: Callable[[str], int]
-) -> list[str]:
+def split_to_budget(text: str, budget: int, overlap: int, bind: MeasureText) -> list[str]:
     """Pieces of at most ``budget`` tokens; each repeats up to ``overlap`` tokens before it."""
     budget = max(budget, 1)
     overlap = min(overlap, budget // 2)
-    sized = [(atom, length(atom)) for atom in _atoms(text, budget, length)]
-    pieces, held, total = [], [], 0
-    for atom, size in sized:
-        if held and total + size > budget:
-            pieces.append("".join(a for a, _ in held).strip())
-            while held and (total > overlap or total + size > budget):
-                total -= held.pop(0)[1]
-        held.append((atom, size))
+    measure = bind(text)
+    spans = _atoms(text, 0, len(text), budget, measure)
+    sizes = [measure(a, b) for a, b in spans]
+    pieces, first, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > budget:
+            pieces.append(text[spans[first][0]:spans[i][0]].strip())
+            while first < i and (total > overlap or total + size > budget):
+                total -= sizes[first]
+                first += 1
         total += size
-    if held:
-        pieces.append("".join(a for a, _ in held).strip())
+    pieces.append(text[spans[first][0]:].strip())
     return [p for p in pieces if p]

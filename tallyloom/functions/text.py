@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 # One token is a run of letters and digits, or one other visible character.
 TOKEN = r"(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
 TOKEN_AND_GAP = TOKEN + r"\s*"
-EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+\z"
+# Fixed value: all white space characters.
+SPACES = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    """Remove white space of any kind at both ends.
+
+    A trim looks at the ends only, where a pattern would run over the whole text.
+    """
+    return F.btrim(text, F.lit(SPACES))
 
 
 def token_count(text: Column) -> Column:

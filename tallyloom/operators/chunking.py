@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.split_text import default_length, split_to_budget
-from tallyloom.functions.text import chunk_preview, last_tokens, strip, token_count
+from tallyloom.functions.split_text import MeasureText, default_measure, split_to_budget
+from tallyloom.functions.text import SPACES, chunk_preview, last_tokens, strip, token_count
 
 MAX_TOKENS = 4000
 OVERLAP_TOKENS = 100
@@ -22,6 +22,15 @@ OVERLAP_TOKENS = 100
 CountAll = Callable[[Column], Column]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often ``body`` refers to it.
+
+    The optimizer writes a column's expression out at every place it is used, inside lambda
+    bodies too; a bound lambda variable stays bound.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def count_each(texts: Column) -> Column:
     """Default token counts of an array of texts."""
     return F.transform(texts, token_count)
@@ -48,7 +57,8 @@ def source_header(source: Column) -> Column:
 def with_source_header(text: Column, source: Column) -> Column:
     """Put the source heading before the text unless it starts with it already."""
     head = source_header(source)
-    present = (head == "") | F.startswith(strip(text), F.concat(F.lit("# "), source))
+    named = F.concat(F.lit("# "), source)
+    present = (head == "") | F.startswith(F.ltrim(text, F.lit(SPACES)), named)
     return F.when(present, text).otherwise(F.concat(head, text))
 
 
@@ -57,7 +67,7 @@ def split_sections(text: Column) -> Column:
 
     The heading stays with its section; sections are stripped, empty ones left out.
     """
-    masked = F.array_join(
+    fenced = F.array_join(
         F.transform(
             F.split(text, "```"),
             lambda part, i: F.when(
@@ -66,6 +76,7 @@ def split_sections(text: Column) -> Column:
         ),
         "```",
     )
+    masked = F.when(F.contains(text, F.lit("```")), fenced).otherwise(text)
     cut = F.split(masked, r"\n(?=[ \t]*#{1,2} )")
     whole = F.transform(
         cut, lambda s: strip(F.replace(s, F.lit("\n\u0001#"), F.lit("\n#"))))
@@ -91,12 +102,14 @@ def headings(text: Column) -> Column:
 
 def heading_list(texts: Column) -> Column:
     """Bullet list of the second-level headings of some sections; empty without any."""
-    found = F.flatten(F.transform(texts, headings))
-    lines = F.transform(found, lambda h: F.concat(F.lit("- "), h, F.lit("\n")))
-    return F.when(
-        F.size(found) > 0,
-        F.concat(F.lit("## List of H2 Headings\n\n"), F.array_join(lines, "")),
-    ).otherwise(F.lit(""))
+    def bullets(found: Column) -> Column:
+        lines = F.transform(found, lambda h: F.concat(F.lit("- "), h, F.lit("\n")))
+        return F.when(
+            F.size(found) > 0,
+            F.concat(F.lit("## List of H2 Headings\n\n"), F.array_join(lines, "")),
+        ).otherwise(F.lit(""))
+
+    return let(F.flatten(F.transform(texts, headings)), bullets)
 
 
 def pack_sections(tokens: Column, max_tokens: int, header_tokens: Column) -> Column:
@@ -137,18 +150,18 @@ def pack_sections(tokens: Column, max_tokens: int, header_tokens: Column) -> Col
 
 
 def oversize_splitter(
-    overlap: int, load_length: Callable[[], Callable[[str], int]] = default_length
+    overlap: int, load_measure: Callable[[], MeasureText] = default_measure
 ) -> Callable[[Column], Column]:
     """Split the (text, budget) entries of an array; NULL entries give empty lists."""
 
     @F.pandas_udf("array<array<string>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        length = load_length()
+        bind = load_measure()
         for arrays in batches:
             yield arrays.map(
                 lambda units: [
                     [] if u is None or u["text"] is None
-                    else split_to_budget(u["text"], u["budget"], overlap, length)
+                    else split_to_budget(u["text"], u["budget"], overlap, bind)
                     for u in units
                 ]
             )
@@ -171,30 +184,77 @@ def assemble_chunks(parts: Column, overlap: int) -> Column:
             F.concat(last_tokens(s["last"], overlap), F.lit("\n\n")),
         ).otherwise(F.lit(""))
         text = F.concat(p["prefix"], carried, p["body"])
-        # The text is built once and then referred to, so that a step costs one pass.
-        return F.element_at(
-            F.transform(
-                F.array(text),
-                lambda t: F.struct(t.alias("last"), F.concat(s["out"], F.array(t)).alias("out")),
-            ), 1)
+        return let(text, lambda t: F.struct(
+            t.alias("last"), F.concat(s["out"], F.array(t)).alias("out")))
 
     start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
     return F.aggregate(parts, start, step, lambda s: s["out"])
 
 
+def document_sections(text: Column, source: Column | None) -> Column:
+    """The sections of a document, without the heading that names its source."""
+    src = F.lit(None).cast("string") if source is None else source
+    cleaned = let(with_source_header(text, src), lambda body: F.transform(
+        split_sections(body), lambda s: drop_source_header(s, src)))
+    return F.filter(cleaned, lambda s: s != "")
+
+
 def section_arrays(
     df: DataFrame, text: str, source: str | None, count_all: CountAll = count_each
 ) -> DataFrame:
-    """Add ``__head``, ``__sections`` and ``__tokens`` for the document on each row."""
-    src = F.col(source) if source else F.lit(None).cast("string")
-    body = with_source_header(F.col(text), src)
-    cleaned = F.transform(split_sections(body), lambda s: drop_source_header(s, src))
-    return (
-        df.withColumn("__head", source_header(src))
-        .withColumn("__head_tokens", token_count(F.col("__head")))
-        .withColumn("__sections", F.filter(cleaned, lambda s: s != ""))
-        .withColumn("__tokens", count_all(F.col("__sections")))
-    )
+    """Add ``__head``, ``__head_tokens``, ``__sections`` and ``__tokens`` of the document."""
+    src = F.col(source) if source else None
+    head = F.lit("") if src is None else source_header(src)
+    sections = document_sections(F.col(text), src)
+    if count_all is count_each:
+        both = let(sections, lambda s: F.struct(s.alias("s"), count_each(s).alias("t")))
+        df = df.withColumn("__both", both).withColumn("__sections", F.col("__both.s"))\
+            .withColumn("__tokens", F.col("__both.t")).drop("__both")
+    else:
+        df = df.withColumn("__sections", sections)\
+            .withColumn("__tokens", count_all(F.col("__sections")))
+    return df.withColumn("__head", head).withColumn("__head_tokens", token_count(head))
+
+
+HEADING_LINE = r"(?m)^[ \t]*(## [^\n]*)$"
+HEADING_LINES = r"(?m)^[ \t]*## [^\n]*$\n?"
+
+
+def _block(text: Column) -> Column:
+    return F.when(text != "", F.concat(text, F.lit("\n\n"))).otherwise(F.lit(""))
+
+
+def _chunk_units(head: Column, head_tokens: Column, sections: Column, tokens: Column,
+                 budget: int) -> Column:
+    """The packed groups of a document with their texts, ready to be assembled.
+
+    ``whole`` is the prefix of a group within budget, ``piece`` that of every piece of an
+    oversize one; ``text`` and ``room`` are what the splitter needs for the latter.
+    """
+    def describe(d: Column, u: Column) -> Column:
+        texts = F.slice(d["sections"], u["start"], u["size"])
+
+        def finish(g: Column) -> Column:
+            big = u["oversize"]
+            h2 = F.when(big, strip(F.regexp_extract(g["body"], HEADING_LINE, 1)))\
+                .otherwise(F.lit(""))
+            return let(h2, lambda h: F.struct(
+                big.alias("oversize"),
+                g["body"].alias("body"),
+                F.when(big, F.concat(d["head"], _block(strip(g["list"])), _block(h)))
+                .otherwise(F.concat(d["head"], _block(g["list"]))).alias("prefix"),
+                F.when(big, strip(F.regexp_replace(g["body"], HEADING_LINES, ""))).alias("text"),
+                (F.lit(budget) - d["head_tokens"] - token_count(h)).cast("int").alias("room"),
+            ))
+
+        return let(
+            F.struct(F.array_join(texts, "\n\n").alias("body"), heading_list(texts).alias("list")),
+            finish)
+
+    document = F.struct(head.alias("head"), head_tokens.alias("head_tokens"),
+                        sections.alias("sections"), tokens.alias("tokens"))
+    return let(document, lambda d: F.transform(
+        pack_sections(d["tokens"], budget, d["head_tokens"]), lambda u: describe(d, u)))
 
 
 def chunk_documents(
@@ -205,71 +265,54 @@ def chunk_documents(
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP_TOKENS,
     count_all: CountAll = count_each,
-    load_length: Callable[[], Callable[[str], int]] = default_length,
+    load_measure: Callable[[], MeasureText] = default_measure,
     strict_budget: bool = False,
 ) -> DataFrame:
     """Chunks of every document: index, total, token count, text and preview.
 
     Heading list and overlap come on top of ``max_tokens``; ``strict_budget`` keeps room
-    for the overlap inside it.
+    for the overlap inside it. A user's encoder counts through ``count_all`` (see
+    ``encoder_count_each``) and ``load_measure`` (see ``encoder_measure``); the overlap
+    taken from the chunk before is measured in default tokens.
     """
     budget = max(max_tokens - overlap, 1) if strict_budget else max_tokens
     keep = [id_col] + ([source] if source else [])
     rows = section_arrays(df.select(*dict.fromkeys([*keep, text])), text, source, count_all)
-    rows = rows.withColumn(
-        "__units", pack_sections(F.col("__tokens"), budget, F.col("__head_tokens")))
-
-    heading_line = r"(?m)^[ \t]*(## [^\n]*)$"
-    units = F.transform(
-        "__units",
-        lambda u: F.struct(
-            u["oversize"].alias("oversize"),
-            F.slice("__sections", u["start"], u["size"]).alias("texts"),
-        ),
-    )
-    rows = rows.withColumn("__units", F.transform(units, lambda u: F.struct(
-        u["oversize"].alias("oversize"),
-        F.array_join(u["texts"], "\n\n").alias("body"),
-        heading_list(u["texts"]).alias("list"),
-        F.when(u["oversize"], strip(F.regexp_extract(u["texts"][0], heading_line, 1)))
-        .otherwise(F.lit("")).alias("h2"),
-    )))
+    rows = rows.select(*keep, _chunk_units(
+        F.col("__head"), F.col("__head_tokens"), F.col("__sections"), F.col("__tokens"), budget
+    ).alias("__units"))
 
+    # Only what is over budget crosses to Python; every other entry goes as NULL.
     big = F.transform("__units", lambda u: F.when(u["oversize"], F.struct(
-        strip(F.regexp_replace(u["body"], r"(?m)^[ \t]*## [^\n]*$\n?", "")).alias("text"),
-        (F.lit(budget) - F.col("__head_tokens") - token_count(u["h2"])).cast("int")
-        .alias("budget"),
-    )))
-    rows = rows.withColumn("__pieces", oversize_splitter(overlap, load_length)(big))
-
-    def block(text_: Column) -> Column:
-        return F.when(text_ != "", F.concat(text_, F.lit("\n\n"))).otherwise(F.lit(""))
-
-    def whole(u: Column) -> Column:
-        return F.array(F.struct(
-            F.concat(F.col("__head"), block(u["list"])).alias("prefix"),
-            u["body"].alias("body"), F.lit(True).alias("linked")))
-
-    def pieces(u: Column, i: Column) -> Column:
-        prefix = F.concat(F.col("__head"), block(strip(u["list"])), block(u["h2"]))
-        return F.transform(F.get(F.col("__pieces"), i), lambda p, j: F.struct(
-            prefix.alias("prefix"), p.alias("body"), (j == 0).alias("linked")))
-
-    parts = F.flatten(F.transform(
-        "__units", lambda u, i: F.when(u["oversize"], pieces(u, i)).otherwise(whole(u))))
-    rows = rows.select(*keep, parts.alias("__parts"))
-    rows = rows.withColumn("__chunks", assemble_chunks(F.col("__parts"), overlap))
+        u["text"].alias("text"), u["room"].alias("budget"))))
+    rows = rows.withColumn("__pieces", oversize_splitter(overlap, load_measure)(big))
+
+    def parts(d: Column) -> Column:
+        def part(u: Column, body: Column, linked: Column) -> Column:
+            return F.struct(u["prefix"].alias("prefix"), body.alias("body"),
+                            linked.alias("linked"))
+
+        return F.flatten(F.transform(d["units"], lambda u, i: F.when(
+            u["oversize"],
+            F.transform(F.get(d["pieces"], i), lambda p, j: part(u, p, j == 0)),
+        ).otherwise(F.array(part(u, u["body"], F.lit(True))))))
+
+    both = F.struct(F.col("__units").alias("units"), F.col("__pieces").alias("pieces"))
     chunks = rows.select(
-        *keep, F.size("__chunks").alias("total_chunks"),
-        F.posexplode("__chunks").alias("__pos", "chunk_text"),
-    )
-    return chunks.select(
+        *keep, let(both, lambda d: assemble_chunks(parts(d), overlap)).alias("__chunks"))
+    # The outer form keeps the optimizer from testing the array, and so building it, twice.
+    exploded = chunks.select(
+        *keep, F.posexplode_outer(let(F.col("__chunks"), lambda c: F.transform(
+            c, lambda t: F.struct(t.alias("text"), F.size(c).alias("total"))))
+        ).alias("__pos", "__chunk")).where(F.col("__pos").isNotNull())
+    return exploded.select(
         *keep,
         (F.col("__pos") + 1).alias("chunk_index"),
-        "total_chunks",
-        count_all(F.array("chunk_text"))[0].alias("token_count"),
-        "chunk_text",
-        chunk_preview(F.col("chunk_text")).alias("chunk_preview"),
+        F.col("__chunk.total").alias("total_chunks"),
+        (token_count(F.col("__chunk.text")) if count_all is count_each
+         else count_all(F.array("__chunk.text"))[0]).alias("token_count"),
+        F.col("__chunk.text").alias("chunk_text"),
+        chunk_preview(F.col("__chunk.text")).alias("chunk_preview"),
     )
 
 

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import NUMBER_PATTERN
-from tallyloom.functions.text import EDGE_SPACE, HTML_RULES, TOKEN, TOKEN_AND_GAP
-from tallyloom.session import ship_package
+from tallyloom.functions.text import HTML_RULES, TOKEN, TOKEN_AND_GAP
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +18,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        @wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -51,6 +44,9 @@ def stamp(column: str) -> Column:
 
 # SQL text for the checks, one helper per expression the checks share.
 
+EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+\z"
+
+
 def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '{EDGE_SPACE}', '', 'g')"
 

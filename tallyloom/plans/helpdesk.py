@@ -86,10 +86,10 @@ b AS (SELECT conv_id, turn, chr(10) || '--- turn ' || turn || ' ---' || chr(10)
                 '>') || ' &lt;' ''')} END AS block
       FROM conversations),
 blocks AS (SELECT conv_id, 0 AS part, -1 AS pos, header AS block FROM t
-           UNION ALL SELECT conv_id, CAST(turn // {{per_part}} AS INTEGER), turn, block FROM b)"""
+           UNION ALL SELECT conv_id, CAST(turn // PER_PART AS INTEGER), turn, block FROM b)"""
 
 
-@query("ticket_thread", "WITH " + THREAD_SQL.format(per_part=GROUPS_PER_PART) + """
+@query("ticket_thread", "WITH " + THREAD_SQL.replace("PER_PART", str(GROUPS_PER_PART)) + """
 SELECT conv_id AS ticket_id, part AS part_index,
        string_agg(block, chr(10) ORDER BY pos) AS thread_text FROM blocks GROUP BY conv_id, part""")
 def ticket_thread(spark, sf_dir):
@@ -104,7 +104,7 @@ def count_words(text: str, variables: dict) -> str:
     return str(len(text.split()))
 
 
-@query("ticket_index", "WITH " + THREAD_SQL.format(per_part=tk.GROUPS_PER_PART) + """,
+@query("ticket_index", "WITH " + THREAD_SQL.replace("PER_PART", str(tk.GROUPS_PER_PART)) + """,
 x AS (SELECT conv_id, length(string_agg(block, chr(10) ORDER BY pos)) AS len
       FROM blocks GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS ticket_id, 'C-' || conv_id AS ticket_code,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -57,15 +55,3 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, for clusters that do not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_tallyloom_shipped", False):
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    base = os.path.join(tempfile.mkdtemp(prefix="tallyloom-"), "tallyloom")
-    context.addPyFile(
-        shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
-    context._tallyloom_shipped = True
