@@ -24,7 +24,7 @@ def _guarded(load: Callable[[], Callable], calls: Iterator) -> Iterator[pd.DataF
         results, errors = [], []
         for args in batch:
             try:
-                value = function(*args)
+                value = None if args is None else function(*args)
                 results.append(None if value is None else str(value))
                 errors.append(None)
             except Exception as raised:  # noqa: BLE001 - recorded in the row
@@ -43,6 +43,8 @@ def apply_flow(
 ) -> DataFrame:
     """Call ``fn(text, variables)`` per row; adds ``result``, ``status`` and ``error``.
 
+    A row without a text is not handed to the function and fails as having no content.
+
     ``setup`` builds the function once per task instead (open a connection, load a model).
     ``parallelism`` bounds the calls in flight by the number of partitions.
 
@@ -55,7 +57,9 @@ def apply_flow(
     @F.pandas_udf("result string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         yield from _guarded(
-            load, ([(t, dict(v or {})) for t, v in zip(texts, maps)] for texts, maps in batches)
+            load,
+            ([None if t is None else (t, dict(v or {})) for t, v in zip(texts, maps)]
+             for texts, maps in batches),
         )
 
     if parallelism:

@@ -45,7 +45,8 @@ def encoder_count_each(load: Callable[[], Callable[[str], list]]) -> CountAll:
         for arrays in batches:
             yield arrays.map(lambda a: None if a is None else [len(encode(t)) for t in a])
 
-    return count
+    # Keeps the optimizer from merging the call into, and repeating it in, later steps.
+    return count.asNondeterministic()
 
 
 def source_header(source: Column) -> Column:
@@ -166,7 +167,8 @@ def oversize_splitter(
                 ]
             )
 
-    return split
+    # Keeps the optimizer from merging the call into, and repeating it in, later steps.
+    return split.asNondeterministic()
 
 
 def assemble_chunks(parts: Column, overlap: int) -> Column:
@@ -267,9 +269,13 @@ def chunk_documents(
     count_all: CountAll = count_each,
     load_measure: Callable[[], MeasureText] = default_measure,
     strict_budget: bool = False,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Chunks of every document: index, total, token count, text and preview.
 
+    A document without any text has no chunks; ``keep_empty`` gives it a row with index 0
+    and no text.
+
     Heading list and overlap come on top of ``max_tokens``; ``strict_budget`` keeps room
     for the overlap inside it. A user's encoder counts through ``count_all`` (see
     ``encoder_count_each``) and ``load_measure`` (see ``encoder_measure``); the overlap
@@ -304,11 +310,13 @@ def chunk_documents(
     exploded = chunks.select(
         *keep, F.posexplode_outer(let(F.col("__chunks"), lambda c: F.transform(
             c, lambda t: F.struct(t.alias("text"), F.size(c).alias("total"))))
-        ).alias("__pos", "__chunk")).where(F.col("__pos").isNotNull())
+        ).alias("__pos", "__chunk"))
+    if not keep_empty:
+        exploded = exploded.where(F.col("__pos").isNotNull())
     return exploded.select(
         *keep,
-        (F.col("__pos") + 1).alias("chunk_index"),
-        F.col("__chunk.total").alias("total_chunks"),
+        F.coalesce(F.col("__pos") + 1, F.lit(0)).alias("chunk_index"),
+        F.coalesce("__chunk.total", F.lit(0)).alias("total_chunks"),
         (token_count(F.col("__chunk.text")) if count_all is count_each
          else count_all(F.array("__chunk.text"))[0]).alias("token_count"),
         F.col("__chunk.text").alias("chunk_text"),

@@ -77,12 +77,19 @@ def index_pages(
     pages: DataFrame, fn: RowFunction, id_col: str = "page_id", url: str = "url",
     html: str = "html", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
 ) -> DataFrame:
-    """Captured pages to index results; a page that yields no text is a source failure."""
+    """Captured pages to index results; a page that yields no text is a source failure.
+
+    One pass over the pages: empty ones stay in the stream as rows without text, which the
+    row function is not called for.
+    """
     markdown = pages.select(id_col, url, html_to_markdown(F.col(html)).alias("__text"))
-    empty = F.coalesce(F.col("__text"), F.lit("")) == ""
     chunks = chunk_documents(
-        markdown.where(~empty), id_col, "__text", url, max_tokens, overlap)
+        markdown, id_col, "__text", url, max_tokens, overlap, keep_empty=True)
     outcomes = apply_flow(
         with_provenance(chunks, "url", url=url), fn, input_col="chunk_text")
-    failures = markdown.where(empty).withColumn("error", F.lit("No content extracted"))
-    return index_results(outcomes, [id_col, url], failures)
+    empty = F.col("chunk_index") == 0
+    outcomes = outcomes.withColumn(
+        "error", F.when(empty, F.lit("No content extracted")).otherwise(F.col("error"))
+    ).withColumn("token_count", F.coalesce("token_count", F.lit(0)))\
+        .withColumn("chunk_preview", F.coalesce("chunk_preview", F.lit("")))
+    return index_results(outcomes, [id_col, url])

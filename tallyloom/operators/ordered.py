@@ -76,10 +76,13 @@ def _range_of(value: Column, bounds: Column) -> Column:
 
 
 def weighted_summary(
-    freq: DataFrame, keys: Sequence[str], value: str = "value", weight: str = "n"
+    freq: DataFrame, keys: Sequence[str], value: str = "value", weight: str = "n",
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Exact mean, sample deviation, extremes and quartiles per key from value counts.
 
+    Further count columns named in ``totals`` are summed along.
+
     ``freq`` holds one row per key and distinct value with its count. Cumulative counts are
     built per value range, so that many distinct values under one key do not meet in one
     task; the per-range totals (at most ``RANGES`` per key) carry the rest.
@@ -126,6 +129,7 @@ def weighted_summary(
         F.sum(n * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__m2"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
+        *[F.sum(c).alias(c) for c in totals],
         *picks,
     )
     quartiles = []
@@ -136,5 +140,5 @@ def weighted_summary(
     return grouped.select(
         *keys, "count", "mean",
         F.when(F.col("count") > 1, F.sqrt(F.col("__m2") / (F.col("count") - 1))).alias("std"),
-        "min", "max", *quartiles,
+        "min", "max", *quartiles, *totals,
     )

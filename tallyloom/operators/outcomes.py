@@ -131,16 +131,19 @@ def match_within(tasks: DataFrame, results: DataFrame, timeout: Column) -> DataF
     """Each task with its earliest result inside the timeout, or a timeout failure.
 
     ``tasks(task_id, submitted_at)`` is unique by id, so the inner join yields at most one
-    row per result. It is the inner join that sees hot ids, where either side may be split;
-    the outer join after it is one to one.
+    row per result. It is the inner join that sees hot ids. Grouping by a wrapped id keeps
+    its output free of a partitioning demand, which lets adaptive execution split a hot id
+    over tasks; what it joins to afterwards is one to one.
     """
     inside = (F.col("arrived_at") >= F.col("submitted_at")) & (
         F.col("arrived_at") <= F.col("submitted_at") + timeout
     )
     earliest = (
-        results.select("task_id", "arrived_at").distinct()
+        results.select("task_id", "arrived_at")
         .join(tasks, "task_id").where(inside)
-        .groupBy("task_id").agg(F.min("arrived_at").alias("completed_at"))
+        .groupBy(F.struct("task_id").alias("id"))
+        .agg(F.min("arrived_at").alias("completed_at"))
+        .select("id.task_id", "completed_at")
     )
     done = F.col("completed_at").isNotNull()
     return tasks.join(earliest, "task_id", "left").select(

@@ -12,8 +12,8 @@ def session_response(events: DataFrame) -> DataFrame:
     """First final message of every session and the number of artefacts up to it.
 
     ``events(session_id, event_id, ts, kind)`` with kinds ``message``, ``artefact`` and
-    others; repeated event ids count once. All folds keep a fixed-size state per session,
-    so a session of any size stays spread until its partial results meet.
+    others; repeated event ids count once. All folds keep a fixed-size state per session.
+    Grouping by a wrapped id after the join lets adaptive execution split a hot session.
     """
     once = events.select("session_id", "event_id", "ts", "kind").distinct()
     message = F.col("kind") == "message"
@@ -22,10 +22,10 @@ def session_response(events: DataFrame) -> DataFrame:
     placed = join_on(once, closing, ["session_id"])
     before = F.col("closed_at").isNull() | (moment < F.col("closed_at"))
     artefacts = F.count_if((F.col("kind") == "artefact") & before)
-    return placed.groupBy("session_id").agg(
-        F.first("closed_at").alias("closed_at"), artefacts.alias("n_artefacts")
+    return placed.groupBy(F.struct("session_id").alias("id")).agg(
+        F.max("closed_at").alias("closed_at"), artefacts.alias("n_artefacts")
     ).select(
-        "session_id", F.col("closed_at.event_id").alias("response_event"), "n_artefacts",
+        "id.session_id", F.col("closed_at.event_id").alias("response_event"), "n_artefacts",
         F.when(F.col("closed_at").isNull(), "timeout").otherwise("success").alias("status"),
     )
 

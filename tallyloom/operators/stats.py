@@ -2,7 +2,8 @@
 
 Every statistic starts by folding the table to distinct values with counts. That fold
 combines map-side, so a hot key or value costs no more than any other, and the shuffles
-after it carry distinct values instead of rows.
+after it carry distinct values instead of rows. Where several figures come from the same
+fold it is written once: the input is scanned, and its verdicts parsed, a single time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import percent, safe_double
 from tallyloom.functions.verdicts import normalise_correctness, quality_band
-from tallyloom.operators.ordered import join_on, weighted_summary
+from tallyloom.operators.ordered import weighted_summary
+from tallyloom.session import durable
 
 # Columns that are never profiled.
 FIXED_COLUMNS = ("question", "expected_answer", "actual_answer", "flow_id", "judge_flow_id")
@@ -36,22 +38,20 @@ def eval_summary_by(results: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(verdict == "incorrect").alias("n_incorrect"),
         F.count_if(verdict == "error").alias("n_error"),
     )
-    rates = freq.groupBy(*keys).agg(
-        F.sum("n").alias("total_questions"),
-        percent(F.sum("n_correct"), F.sum("n")).alias("pass_rate"),
-        percent(F.sum("n_incorrect"), F.sum("n")).alias("error_rate"),
-        percent(F.sum("n_error"), F.sum("n")).alias("failure_rate"),
-    )
-    scores = weighted_summary(freq, keys).select(
+    freq = durable(freq, "score-counts")
+    verdicts = ["n_correct", "n_incorrect", "n_error"]
+    scores = weighted_summary(freq, keys, totals=verdicts)
+    n = F.col("count")
+    return scores.select(
         *keys,
-        *[F.col(c).alias(f"{c}_score") for c in ("median", "std", "min", "max", "q25", "q75")],
+        n.alias("total_questions"),
         F.col("mean").alias("average_score"),
-    )
-    return (
-        join_on(rates, scores, keys)
-        .withColumn("accuracy", F.col("pass_rate"))
-        .withColumn("quality", quality_band(F.col("error_rate")))
-        .select(*keys, *SUMMARY_COLUMNS)
+        *[F.col(c).alias(f"{c}_score") for c in ("median", "std", "min", "max", "q25", "q75")],
+        percent(F.col("n_correct"), n).alias("pass_rate"),
+        percent(F.col("n_correct"), n).alias("accuracy"),
+        percent(F.col("n_incorrect"), n).alias("error_rate"),
+        percent(F.col("n_error"), n).alias("failure_rate"),
+        quality_band(percent(F.col("n_incorrect"), n)).alias("quality"),
     )
 
 
@@ -71,12 +71,13 @@ def eval_summary(results: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count of every distinct value of every column, as (column_name, value, n).
 
-    One unpivot and one shuffle for all columns together.
+    One scan, one unpivot and one shuffle for all columns together.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    return long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return durable(counts, "value-counts")
 
 
 def infer_kind(freq: DataFrame) -> DataFrame:
@@ -166,6 +167,7 @@ def score_distribution(results: DataFrame) -> DataFrame:
         .where(F.col("score").isNotNull())
         .groupBy("score").agg(F.count("*").alias("n"))
     )
+    freq = durable(freq, "score-counts")
     mean = freq.agg(F.sum(F.col("n") * F.col("score")) / F.sum("n")).scalar()
     score = F.col("score")
     whole = score == F.floor(score)
@@ -185,6 +187,7 @@ def length_histogram(results: DataFrame, text: str = "actual_answer") -> DataFra
         .where(F.col("length").isNotNull())
         .groupBy("length").agg(F.count("*").alias("n"))
     )
+    freq = durable(freq, "length-counts")
     span = freq.agg(
         F.struct(
             (F.max("length") - F.min("length")).alias("range"),

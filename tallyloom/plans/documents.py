@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx
 from tallyloom.operators import chunking, indexing, sitemaps
 from tallyloom.plans.common import (
-    query, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip, sql_tokens,
-    table,
+    query, spread, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
+    sql_tokens, table,
 )
 
 # Every paragraph of a page gets a second-level heading of its first word.
@@ -63,10 +63,19 @@ units AS (
   GROUP BY f.page_id, f.unit)"""
 
 
+def pages(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return spread(
+        table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def web(spark, sf_dir) -> DataFrame:
     """Pages as markdown with a heading per paragraph."""
     html = F.regexp_replace("html", WITH_H2, "<h2>$1</h2><p>$1")
-    return table(spark, sf_dir, "pages").select(
+    return pages(spark, sf_dir).select(
         "page_id", "url", tx.html_to_markdown(html).alias("md"))
 
 
@@ -76,7 +85,7 @@ def _sections(spark, sf_dir) -> DataFrame:
 
 @query("html_to_markdown", f"SELECT page_id, {sql_markdown('html')} AS markdown FROM pages")
 def html_to_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return pages(spark, sf_dir).select(
         "page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
 
 
@@ -86,7 +95,7 @@ SELECT page_id, CASE WHEN m = '' THEN '[Empty message]' ELSE m END AS message FR
     regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
     '&amp;', '&')''')} AS m FROM pages)""")
 def clean_message(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return pages(spark, sf_dir).select(
         "page_id", tx.clean_message(F.col("html")).alias("message"))
 
 
@@ -100,7 +109,7 @@ def site_name(spark, sf_dir):
 
 @query("token_count", f"SELECT doc_id, CAST({sql_tokens('text')} AS INTEGER) AS n FROM documents")
 def token_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", tx.token_count(F.col("text")).alias("n"))
 
 
@@ -174,14 +183,14 @@ def chunk_overlap(spark, sf_dir):
 def split_oversize(spark, sf_dir):
     units = F.array(F.struct(F.col("text"), F.lit(300).alias("budget")))
     pieces = chunking.oversize_splitter(30)(units)[0]
-    split = table(spark, sf_dir, "documents").select(
+    split = documents(spark, sf_dir).select(
         "doc_id", F.posexplode(pieces).alias("piece_index", "piece"))
     return split.withColumn("token_count", tx.token_count(F.col("piece")))
 
 
 @query("chunk_documents")
 def chunk_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn(
+    docs = documents(spark, sf_dir).withColumn(
         "name", F.expr("source || '/' || doc_id || '.md'"))
     return chunking.chunk_documents(docs, "doc_id", "text", "name", 400, 40)
 
@@ -293,7 +302,7 @@ SELECT page_id, url, 1 AS chunk_index, CAST({sql_tokens('text')} AS INTEGER) AS
       f"regexp_replace(html, '{WITH_H2}', '<h2>{chr(92)}1</h2><p>{chr(92)}1', 'g')", "html"))
 def index_pages(spark, sf_dir):
     return indexing.index_pages(
-        table(spark, sf_dir, "pages"), digest_chunk, max_tokens=WHOLE, overlap=OVERLAP)
+        pages(spark, sf_dir), digest_chunk, max_tokens=WHOLE, overlap=OVERLAP)
 
 
 PAGES_PER_SITEMAP = 50
