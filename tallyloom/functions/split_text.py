@@ -37,15 +37,29 @@ def encoder_measure(load: Callable[[], Callable[[str], list]]) -> Callable[[], M
     return bound
 
 
+def _cut_anywhere(start: int, end: int, budget: int, measure: Measure) -> list[tuple[int, int]]:
+    """Spans of as many characters as fit, for text without any separator left."""
+    spans = []
+    while start < end and measure(start, end) > budget:
+        fits, beyond = start + 1, end
+        while beyond - fits > 1:
+            middle = (fits + beyond) // 2
+            if measure(start, middle) <= budget:
+                fits = middle
+            else:
+                beyond = middle
+        spans.append((start, fits))
+        start = fits
+    return [*spans, (start, end)] if start < end else spans
+
+
 def _atoms(text: str, start: int, end: int, budget: int, measure: Measure, level: int = 0
            ) -> list[tuple[int, int]]:
     """Adjoining spans within budget, cut at the coarsest separators that allow it."""
     if measure(start, end) <= budget or end - start < 2:
         return [(start, end)]
     if level == len(SEPARATORS):
-        half = (start + end) // 2
-        return _atoms(text, start, half, budget, measure, level) + _atoms(
-            text, half, end, budget, measure, level)
+        return _cut_anywhere(start, end, budget, measure)
     separator, spans = SEPARATORS[level], []
     while start < end:
         found = text.find(separator, start, end)

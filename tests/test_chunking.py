@@ -156,7 +156,7 @@ def test_strict_budget_leaves_room_for_the_overlap(spark):
         assert (max(count(b) for b in bodies) <= 60) == strict
 
 
-@pytest.mark.parametrize("budget,overlap", [(10, 0), (10, 4), (25, 25), (1, 0)])
+@pytest.mark.parametrize("budget,overlap", [(10, 0), (10, 4), (25, 25), (2, 1)])
 def test_split_pieces_cover_the_text_within_budget(budget, overlap):
     rng = random.Random(3)
     words = iter(range(10_000))
