@@ -10,9 +10,12 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def safe_double(text: Column) -> Column:
-    """The number a text cell holds, or NULL."""
+    """The number a text cell holds, or NULL.
+
+    Refers to the cell once, so that a cell that is costly to make is made once.
+    """
     cell = F.trim(text.cast("string"))
-    return F.when(cell.rlike(NUMBER_PATTERN), cell.try_cast("double"))
+    return F.regexp_extract(cell, NUMBER_PATTERN, 0).try_cast("double")
 
 
 def percent(part: Column, whole: Column) -> Column:

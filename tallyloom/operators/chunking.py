@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import let
 from tallyloom.functions.split_text import MeasureText, default_measure, split_to_budget
 from tallyloom.functions.text import SPACES, chunk_preview, last_tokens, strip, token_count
 
@@ -22,15 +23,6 @@ OVERLAP_TOKENS = 100
 CountAll = Callable[[Column], Column]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once, however often ``body`` refers to it.
-
-    The optimizer writes a column's expression out at every place it is used, inside lambda
-    bodies too; a bound lambda variable stays bound.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def count_each(texts: Column) -> Column:
     """Default token counts of an array of texts."""
     return F.transform(texts, token_count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import let
 from tallyloom.functions.verdicts import (
     NO_CONTENT, verdict_extras, verdict_field, verdict_map,
 )
@@ -38,23 +39,27 @@ def parse_verdict(df: DataFrame, verdict: str = "verdict") -> DataFrame:
 
     Text that is no JSON object becomes a ``parse_judge`` failure with score 0.
     """
-    fields = verdict_map(F.col(verdict))
-    parsed = df.withColumn("__fields", fields)
-    f = F.col("__fields")
-    bad = f.isNull()
-    return (
-        parsed.withColumn("judge_score",
-                          F.when(bad, "0").otherwise(verdict_field(f, "total_rating", "0")))
-        .withColumn("judge_correctness",
-                    F.when(bad, "Error").otherwise(verdict_field(f, "correctness", "Unknown")))
-        .withColumn(
-            "judge_reasoning",
-            F.when(bad, "Error parsing judge result")
-            .otherwise(verdict_field(f, "reasoning", "No reasoning provided")),
+    def fields(f: Column) -> Column:
+        bad = f.isNull()
+        broken = F.lit("Error parsing judge result")
+        return F.struct(
+            F.when(bad, "0").otherwise(verdict_field(f, "total_rating", "0")).alias("score"),
+            F.when(bad, "Error").otherwise(verdict_field(f, "correctness", "Unknown"))
+            .alias("correctness"),
+            F.when(bad, broken)
+            .otherwise(verdict_field(f, "reasoning", "No reasoning provided")).alias("reasoning"),
+            verdict_extras(f).alias("extras"),
+            F.when(bad, broken).alias("error"),
         )
-        .withColumn("extras", verdict_extras(f))
-        .withColumn("error", F.when(bad, "Error parsing judge result").cast("string"))
-        .drop("__fields")
+
+    parsed = df.withColumn("__v", let(verdict_map(F.col(verdict)), fields))
+    return parsed.select(
+        *[c for c in df.columns],
+        F.col("__v.score").alias("judge_score"),
+        F.col("__v.correctness").alias("judge_correctness"),
+        F.col("__v.reasoning").alias("judge_reasoning"),
+        F.col("__v.extras").alias("extras"),
+        F.col("__v.error").alias("error"),
     )
 
 

@@ -163,11 +163,10 @@ def correctness_counts(results: DataFrame) -> DataFrame:
 def score_distribution(results: DataFrame) -> DataFrame:
     """Count per distinct score, ascending; cells that are no number are left out."""
     freq = (
-        results.select(safe_double(F.col("judge_score")).alias("score"))
-        .where(F.col("score").isNotNull())
-        .groupBy("score").agg(F.count("*").alias("n"))
+        results.groupBy(safe_double(F.col("judge_score")).alias("score"))
+        .agg(F.count("*").alias("n"))
     )
-    freq = durable(freq, "score-counts")
+    freq = durable(freq, "score-counts").where(F.col("score").isNotNull())
     mean = freq.agg(F.sum(F.col("n") * F.col("score")) / F.sum("n")).scalar()
     score = F.col("score")
     whole = score == F.floor(score)
@@ -183,11 +182,9 @@ def score_distribution(results: DataFrame) -> DataFrame:
 def length_histogram(results: DataFrame, text: str = "actual_answer") -> DataFrame:
     """Histogram of answer lengths, the bin width following the range of the lengths."""
     freq = (
-        results.select(F.char_length(text).alias("length"))
-        .where(F.col("length").isNotNull())
-        .groupBy("length").agg(F.count("*").alias("n"))
+        results.groupBy(F.char_length(text).alias("length")).agg(F.count("*").alias("n"))
     )
-    freq = durable(freq, "length-counts")
+    freq = durable(freq, "length-counts").where(F.col("length").isNotNull())
     span = freq.agg(
         F.struct(
             (F.max("length") - F.min("length")).alias("range"),
@@ -232,11 +229,14 @@ def report_cards(results: DataFrame) -> DataFrame:
 def top_answers(
     results: DataFrame, k: int = 10, lowest: bool = True, order: str = "input_index"
 ) -> DataFrame:
-    """The ``k`` answers with the lowest or highest score; ties keep input order."""
-    score = safe_double(F.col("judge_score"))
-    scored = results.withColumn("score", score).where(F.col("score").isNotNull())
-    by_score = F.asc("score") if lowest else F.desc("score")
-    return scored.orderBy(by_score, order).limit(k).withColumn(
+    """The ``k`` answers with the lowest or highest score; ties keep input order.
+
+    Scores that are no number sort last and are dropped from what is left, which spares
+    every row the filter and gives the same rows.
+    """
+    scored = results.withColumn("score", safe_double(F.col("judge_score")))
+    by_score = F.asc_nulls_last("score") if lowest else F.desc_nulls_last("score")
+    return scored.orderBy(by_score, order).limit(k).where(F.col("score").isNotNull()).withColumn(
         "score_label", F.format_string("%.1f", "score")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
+from tallyloom.functions.binding import explode_once
 from tallyloom.operators import chunking, indexing, sitemaps
 from tallyloom.plans.common import (
     query, spread, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
@@ -118,9 +119,9 @@ s AS (SELECT page_id, {sql_sections('md')} AS sections FROM web)
 SELECT page_id, unnest(sections) AS section,
        CAST(unnest(range(len(sections))) AS INTEGER) AS section_index FROM s""")
 def split_sections(spark, sf_dir):
-    return web(spark, sf_dir).select(
-        "page_id",
-        F.posexplode(chunking.split_sections(F.col("md"))).alias("section_index", "section"))
+    cut = web(spark, sf_dir).select(
+        "page_id", chunking.split_sections(F.col("md")).alias("sections"))
+    return explode_once(cut, "sections", "section_index", "section")
 
 
 @query("source_header", f"""WITH {ROWS_SQL}
@@ -130,8 +131,8 @@ def source_header(spark, sf_dir):
         "md", F.when(F.startswith("url", F.lit("https")),
                      F.concat(chunking.source_header(F.col("url")), "md")).otherwise(F.col("md")))
     arrays = chunking.section_arrays(named, "md", "url")
-    return arrays.select(
-        "page_id", F.posexplode("__sections").alias("section_index", "section")
+    return explode_once(
+        arrays.select("page_id", "__sections"), "__sections", "section_index", "section"
     ).withColumn("section_index", F.col("section_index") + 1)
 
 
@@ -151,7 +152,7 @@ def _packed(spark, sf_dir) -> DataFrame:
 SELECT page_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start,
        CAST(size AS INTEGER) AS size, oversize FROM units""")
 def pack_sections(spark, sf_dir):
-    packed = _packed(spark, sf_dir).select("page_id", F.posexplode("units").alias("pos", "u"))
+    packed = explode_once(_packed(spark, sf_dir).select("page_id", "units"), "units", "pos", "u")
     return packed.select("page_id", (F.col("pos") + 1).alias("unit"), "u.start", "u.size",
                          "u.oversize")
 
@@ -173,8 +174,8 @@ def chunk_overlap(spark, sf_dir):
         F.array_join(F.slice("__sections", u["start"], u["size"]), "\n\n").alias("body"),
         F.lit(True).alias("linked")))
     packed = _packed(spark, sf_dir).select("page_id", parts.alias("parts"))
-    chunks = packed.select("page_id", F.posexplode(
-        chunking.assemble_chunks(F.col("parts"), OVERLAP)).alias("pos", "chunk_text"))
+    chunks = explode_once(packed.select("page_id", chunking.assemble_chunks(
+        F.col("parts"), OVERLAP).alias("chunks")), "chunks", "pos", "chunk_text")
     return chunks.select("page_id", (F.col("pos") + 1).alias("chunk_index"), "chunk_text",
                          tx.token_count(F.col("chunk_text")).alias("token_count"))
 
@@ -183,8 +184,9 @@ def chunk_overlap(spark, sf_dir):
 def split_oversize(spark, sf_dir):
     units = F.array(F.struct(F.col("text"), F.lit(300).alias("budget")))
     pieces = chunking.oversize_splitter(30)(units)[0]
-    split = documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(pieces).alias("piece_index", "piece"))
+    split = explode_once(
+        documents(spark, sf_dir).select("doc_id", pieces.alias("pieces")),
+        "pieces", "piece_index", "piece")
     return split.withColumn("token_count", tx.token_count(F.col("piece")))
 
 
@@ -209,9 +211,8 @@ def _section_chunks(spark, sf_dir) -> DataFrame:
     """Sections of the pages in the shape of chunks."""
     arrays = _sections(spark, sf_dir).select(
         "page_id", "url", F.size("__sections").alias("total_chunks"),
-        F.posexplode(F.arrays_zip(F.col("__sections").alias("s"), F.col("__tokens").alias("t")))
-        .alias("pos", "both"))
-    return arrays.select(
+        F.arrays_zip(F.col("__sections").alias("s"), F.col("__tokens").alias("t")).alias("zipped"))
+    return explode_once(arrays, "zipped", "pos", "both").select(
         "page_id", "url", (F.col("pos") + 1).alias("chunk_index"), "total_chunks",
         F.col("both.s").alias("chunk_text"), F.col("both.t").alias("token_count"),
         tx.chunk_preview(F.col("both.s")).alias("chunk_preview"))
