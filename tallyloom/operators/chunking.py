@@ -7,7 +7,7 @@ entered only for sections that are over budget by themselves.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -199,7 +199,7 @@ def section_arrays(
     """Add ``__head``, ``__head_tokens``, ``__sections`` and ``__tokens`` of the document."""
     src = F.col(source) if source else None
     head = F.lit("") if src is None else source_header(src)
-    sections = document_sections(F.col(text), src)
+    sections = document_sections(F.coalesce(F.col(text), F.lit("")), src)
     if count_all is count_each:
         both = let(sections, lambda s: F.struct(s.alias("s"), count_each(s).alias("t")))
         df = df.withColumn("__both", both).withColumn("__sections", F.col("__both.s"))\
@@ -262,11 +262,12 @@ def chunk_documents(
     load_measure: Callable[[], MeasureText] = default_measure,
     strict_budget: bool = False,
     keep_empty: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Chunks of every document: index, total, token count, text and preview.
 
     A document without any text has no chunks; ``keep_empty`` gives it a row with index 0
-    and no text.
+    and no text. Columns named in ``carry`` come along.
 
     Heading list and overlap come on top of ``max_tokens``; ``strict_budget`` keeps room
     for the overlap inside it. A user's encoder counts through ``count_all`` (see
@@ -274,7 +275,7 @@ def chunk_documents(
     taken from the chunk before is measured in default tokens.
     """
     budget = max(max_tokens - overlap, 1) if strict_budget else max_tokens
-    keep = [id_col] + ([source] if source else [])
+    keep = list(dict.fromkeys([id_col, *([source] if source else []), *carry]))
     rows = section_arrays(df.select(*dict.fromkeys([*keep, text])), text, source, count_all)
     rows = rows.select(*keep, _chunk_units(
         F.col("__head"), F.col("__head_tokens"), F.col("__sections"), F.col("__tokens"), budget

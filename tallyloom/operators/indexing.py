@@ -73,23 +73,68 @@ def index_rollup(results: DataFrame, source: str) -> DataFrame:
     )
 
 
-def index_pages(
-    pages: DataFrame, fn: RowFunction, id_col: str = "page_id", url: str = "url",
-    html: str = "html", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
+def index_sources(
+    sources: DataFrame, fn: RowFunction, id_col: str, text: str, header: str, kind: str,
+    columns: list[str], variables: dict[str, str],
+    max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
+    missing: str = "No content extracted",
 ) -> DataFrame:
-    """Captured pages to index results; a page that yields no text is a source failure.
+    """Texts to index results: chunk, tag with where it comes from, apply, tabulate.
 
-    One pass over the pages: empty ones stay in the stream as rows without text, which the
-    row function is not called for.
+    One pass over the sources. One without text stays among the rows with index 0, is not
+    handed to the row function, and is reported as failed as a whole.
     """
-    markdown = pages.select(id_col, url, html_to_markdown(F.col(html)).alias("__text"))
+    carried = [c for c in dict.fromkeys([*columns, *variables.values()]) if c in sources.columns]
     chunks = chunk_documents(
-        markdown, id_col, "__text", url, max_tokens, overlap, keep_empty=True)
+        sources, id_col, text, header, max_tokens, overlap, keep_empty=True, carry=carried)
     outcomes = apply_flow(
-        with_provenance(chunks, "url", url=url), fn, input_col="chunk_text")
+        with_provenance(chunks, kind, **variables), fn, input_col="chunk_text")
     empty = F.col("chunk_index") == 0
     outcomes = outcomes.withColumn(
-        "error", F.when(empty, F.lit("No content extracted")).otherwise(F.col("error"))
+        "error", F.when(empty, F.lit(missing)).otherwise(F.col("error"))
     ).withColumn("token_count", F.coalesce("token_count", F.lit(0)))\
         .withColumn("chunk_preview", F.coalesce("chunk_preview", F.lit("")))
-    return index_results(outcomes, [id_col, url])
+    return index_results(outcomes, columns)
+
+
+def index_pages(
+    pages: DataFrame, fn: RowFunction, id_col: str = "page_id", url: str = "url",
+    html: str = "html", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
+) -> DataFrame:
+    """Captured pages to index results."""
+    texts = pages.select(id_col, url, html_to_markdown(F.col(html)).alias("__text"))
+    return index_sources(texts, fn, id_col, "__text", url, "url", [id_col, url], {"url": url},
+                         max_tokens, overlap)
+
+
+def index_sitemap(
+    urls: DataFrame, pages: DataFrame, fn: RowFunction,
+    max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
+) -> DataFrame:
+    """The captured pages of an expanded sitemap, ``urls(url_index, url)``, in its order.
+
+    A URL listed twice is indexed twice; one without a captured page fails as a source.
+    """
+    captured = pages.select(F.col("url").alias("__url"), "html")
+    texts = urls.join(captured, F.col("url") == F.col("__url"), "left").select(
+        "url_index", "url", html_to_markdown(F.col("html")).alias("__text")
+    ).withColumn("total_urls", urls.agg(F.count("*")).scalar())
+    return index_sources(
+        texts, fn, "url_index", "__text", "url", "sitemap", ["url_index", "url"],
+        {"url_index": "url_index", "total_urls": "total_urls", "url": "url"},
+        max_tokens, overlap, missing="Page not captured")
+
+
+def index_folder(
+    files: DataFrame, texts: DataFrame, fn: RowFunction,
+    max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
+) -> DataFrame:
+    """The files of a folder scan with their extracted ``texts(filename, text)``."""
+    extracted = texts.select(F.col("filename").alias("__name"), F.col("text").alias("__text"))
+    joined = files.join(extracted, F.col("filename") == F.col("__name"), "left").drop("__name")
+    return index_sources(
+        joined, fn, "file_index", "__text", "filename", "folder",
+        ["file_index", "filename", "file_type"],
+        {"file_index": "file_index", "total_files": "total_files", "filename": "filename",
+         "file_path": "path", "file_type": "file_type"},
+        max_tokens, overlap)

@@ -97,27 +97,37 @@ def decode_variables(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
-def widen_map(df: DataFrame, column: str, prefix: str = "", max_keys: int = 1000) -> DataFrame:
+def widen_map(df: DataFrame, column: str, prefix: str = "", max_keys: int = 1000,
+              keys: Sequence[str] | None = None) -> DataFrame:
     """Every key seen in a map column becomes a column of its own.
 
     Column names must be known when the plan is made, so the distinct keys are fetched
-    first. More keys than ``max_keys`` is an error; nothing is dropped.
+    first, unless they are given. More keys than ``max_keys`` is an error; nothing is
+    dropped.
     """
+    if keys is not None:
+        return _widened(df, column, prefix, keys)
     found = (
         df.select(F.explode(F.map_keys(column)).alias("key")).distinct()
         .limit(max_keys + 1).collect()
     )
     if len(found) > max_keys:
         raise ValueError(f"column {column} holds more than {max_keys} distinct keys")
-    keys = sorted(row["key"] for row in found)
+    return _widened(df, column, prefix, sorted(row["key"] for row in found))
+
+
+def _widened(df: DataFrame, column: str, prefix: str, keys: Sequence[str]) -> DataFrame:
     return df.select(
         *[c for c in df.columns if c != column],
         *[F.col(column)[k].alias(f"{prefix}{k}") for k in keys],
     )
 
 
-def flatten_results(df: DataFrame) -> DataFrame:
-    """Result table with one ``var_`` column per variable and result or error by status."""
+def flatten_results(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Result table with one ``var_`` column per variable and result or error by status.
+
+    ``keys`` names the variables where they are known, which saves the pass to find them.
+    """
     success = F.col("status") == "success"
     shaped = df.select(
         "input_index", "flow_input", "status",
@@ -126,4 +136,4 @@ def flatten_results(df: DataFrame) -> DataFrame:
         F.when(~success, F.col("error")).alias("error"),
         F.col("flow_variable").alias("__vars"),
     )
-    return widen_map(shaped, "__vars", "var_")
+    return widen_map(shaped, "__vars", "var_", keys=keys)

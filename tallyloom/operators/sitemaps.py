@@ -18,18 +18,19 @@ def expand_sitemaps(sitemaps: DataFrame, root: str, max_depth: int = 32) -> Data
     level. Repeated URLs and repeated children stay repeated. A path of zero-padded
     positions keeps the order of the walk.
     """
-    docs = sitemaps.select(
-        F.col("sitemap_url"),
-        F.xpath("xml", F.lit("//sitemap/loc/text()")).alias("__children"),
-        F.xpath("xml", F.lit("//url/loc/text()")).alias("__urls"),
-    )
     spark = sitemaps.sparkSession
     frontier = spark.range(1).select(F.lit(root).alias("loc"), F.lit("").alias("path"))
     found = []
     for _ in range(max_depth):
-        here = frontier.join(docs, frontier["loc"] == docs["sitemap_url"], "left")
-        here = durable(here, "sitemap-level")
-        if not here.where(F.col("sitemap_url").isNull()).isEmpty():
+        # An inner join, so that the shorter list of wanted documents can be the side that
+        # is sent around; only documents that are reached get parsed.
+        reached = sitemaps.join(frontier, F.col("sitemap_url") == F.col("loc"))
+        here = durable(reached.select(
+            "path",
+            F.xpath("xml", F.lit("//sitemap/loc/text()")).alias("__children"),
+            F.xpath("xml", F.lit("//url/loc/text()")).alias("__urls"),
+        ), "sitemap-level")
+        if not frontier.join(here, "path", "left_anti").isEmpty():
             raise ValueError("a sitemap that is referred to is not among the documents")
         is_index = F.size("__children") > 0
         found.append(

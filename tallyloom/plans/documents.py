@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx
 from tallyloom.functions.binding import explode_once
 from tallyloom.operators import chunking, indexing, sitemaps
+from tallyloom.session import scratch_path
+from tallyloom.sinks import tables as sinks
+from tallyloom.sources import tables as sources
 from tallyloom.plans.common import (
     query, spread, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
     sql_tokens, table,
@@ -197,6 +200,35 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(docs, "doc_id", "text", "name", 400, 40)
 
 
+CHUNK_TOKENS = 3000
+
+CHUNKED_SQL = PACKED_SQL.replace(f"{PACK_TOKENS}", f"{CHUNK_TOKENS}") + f""",
+parts AS (
+  SELECT page_id, url, unit, {HEADER_SQL} || CASE WHEN list <> ''
+           THEN list || chr(10) || chr(10) ELSE '' END AS prefix, body
+  FROM (SELECT u.page_id, url, unit, body, {sql_heading_list(
+      "(list_slice(sections, CAST(start AS INTEGER), CAST(start + size - 1 AS INTEGER)))")} AS list
+        FROM units u JOIN docs USING (page_id))),
+linked AS (
+  SELECT page_id, unit, prefix || body AS text FROM parts WHERE unit = 1
+  UNION ALL
+  SELECT p.page_id, p.unit, p.prefix || {sql_last_tokens('l.text', OVERLAP)}
+         || chr(10) || chr(10) || p.body
+  FROM linked l JOIN parts p ON p.page_id = l.page_id AND p.unit = l.unit + 1)
+SELECT l.page_id, url, CAST(l.unit AS INTEGER) AS chunk_index,
+  CAST(max(l.unit) OVER (PARTITION BY l.page_id) AS INTEGER) AS total_chunks,
+  CAST({sql_tokens('text')} AS INTEGER) AS token_count, text AS chunk_text,
+  replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview
+FROM linked l JOIN parts p ON p.page_id = l.page_id AND p.unit = l.unit"""
+
+
+@query("chunk_pages", CHUNKED_SQL)
+def chunk_pages(spark, sf_dir):
+    """The whole chunker; no section of a page is over this budget by itself."""
+    return chunking.chunk_documents(
+        web(spark, sf_dir), "page_id", "md", "url", CHUNK_TOKENS, OVERLAP)
+
+
 @query("chunk_preview", """
 SELECT doc_id, replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview,
   CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS result_preview
@@ -288,19 +320,25 @@ def digest_chunk(text: str, variables: dict) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
-@query("index_pages", f"""WITH {CLEAN_SQL},
+WHOLE_PAGES_SQL = f"""{CLEAN_SQL},
 c AS (SELECT page_id, url, {sql_heading_list('sections')} AS list,
              array_to_string(sections, chr(10) || chr(10)) AS body FROM docs),
 t AS (SELECT page_id, url, {HEADER_SQL} || CASE WHEN list <> ''
-        THEN list || chr(10) || chr(10) ELSE '' END || body AS text FROM c)
-SELECT page_id, url, 1 AS chunk_index, CAST({sql_tokens('text')} AS INTEGER) AS token_count,
-  replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview,
-  CASE WHEN url LIKE '%spam%' THEN 'ERROR: refused' ELSE md5(page_id || '#' || url || '#1')
-  END AS flow_process_id,
-  CASE WHEN url LIKE '%spam%' THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN url NOT LIKE '%spam%' THEN md5(text) END AS result,
-  CASE WHEN url LIKE '%spam%' THEN 'refused' END AS error FROM t""".replace(
-      f"regexp_replace(html, '{WITH_H2}', '<h2>{chr(92)}1</h2><p>{chr(92)}1', 'g')", "html"))
+        THEN list || chr(10) || chr(10) ELSE '' END || body AS text FROM c),
+whole AS (SELECT page_id, url, text, CAST({sql_tokens('text')} AS INTEGER) AS token_count,
+    replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview,
+    CASE WHEN url LIKE '%spam%' THEN 'failed' ELSE 'success' END AS status,
+    CASE WHEN url NOT LIKE '%spam%' THEN md5(text) END AS result,
+    CASE WHEN url LIKE '%spam%' THEN 'refused' END AS error FROM t)""".replace(
+        f"regexp_replace(html, '{WITH_H2}', '<h2>{chr(92)}1</h2><p>{chr(92)}1', 'g')", "html")
+
+ID_SQL = "CASE WHEN status = 'failed' THEN 'ERROR: refused' ELSE md5({} || '#1') END"
+
+
+@query("index_pages", f"""WITH {WHOLE_PAGES_SQL}
+SELECT page_id, url, 1 AS chunk_index, token_count, chunk_preview,
+       {ID_SQL.format("page_id || '#' || url")} AS flow_process_id, status, result, error
+FROM whole""")
 def index_pages(spark, sf_dir):
     return indexing.index_pages(
         pages(spark, sf_dir), digest_chunk, max_tokens=WHOLE, overlap=OVERLAP)
@@ -350,3 +388,39 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY page_id) AS url_index, url FRO
 WHERE url_index <= 100""")
 def sitemap_limit(spark, sf_dir):
     return sitemaps.limit_urls(sitemap_expand(spark, sf_dir), 100)
+
+
+@query("index_sitemap", f"""WITH {WHOLE_PAGES_SQL},
+n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS url_index FROM whole)
+SELECT url_index, url, 1 AS chunk_index, token_count, chunk_preview,
+       {ID_SQL.format("url_index || '#' || url")} AS flow_process_id, status, result, error
+FROM n""")
+def index_sitemap(spark, sf_dir):
+    urls = sitemap_expand(spark, sf_dir)
+    return indexing.index_sitemap(urls, pages(spark, sf_dir), digest_chunk, WHOLE, OVERLAP)
+
+
+@query("index_folder", f"""
+WITH f AS (SELECT CASE lang WHEN 'en' THEN doc_id || '.pdf' ELSE doc_id || '.docx' END AS filename,
+             CASE lang WHEN 'en' THEN 'pdf' ELSE 'docx' END AS file_type, lang, text
+           FROM documents),
+n AS (SELECT *, row_number() OVER (ORDER BY file_type DESC, filename) AS file_index,
+        '# ' || filename || chr(10) || chr(10) || {sql_strip('text')} AS chunk FROM f)
+SELECT file_index, filename, file_type, CASE lang WHEN 'es' THEN 0 ELSE 1 END AS chunk_index,
+  CASE lang WHEN 'es' THEN 0 ELSE CAST({sql_tokens('chunk')} AS INTEGER) END AS token_count,
+  CASE lang WHEN 'es' THEN '' ELSE replace(substr(chunk, 1, 100), chr(10), ' ')
+  END AS chunk_preview,
+  CASE lang WHEN 'es' THEN 'ERROR: No content extracted'
+       ELSE md5(file_index || '#' || filename || '#' || file_type || '#1') END AS flow_process_id,
+  CASE lang WHEN 'es' THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN lang <> 'es' THEN length(chunk) || ' of ' || filename END AS result,
+  CASE lang WHEN 'es' THEN 'No content extracted' END AS error FROM n""")
+def index_folder(spark, sf_dir):
+    folder = scratch_path(spark, "indexed-folder")
+    name = F.expr("CASE lang WHEN 'en' THEN doc_id || '.pdf' ELSE doc_id || '.docx' END")
+    stored = table(spark, sf_dir, "documents").select(name.alias("filename"), "lang", "text")
+    sinks.write_row_files(stored, folder, "filename", "text")
+    extracted = stored.select("filename", F.expr("CASE WHEN lang <> 'es' THEN text END AS text"))
+    return indexing.index_folder(
+        sources.scan_folder(spark, folder), extracted,
+        lambda text, variables: f"{len(text)} of {variables['filename']}", WHOLE, OVERLAP)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.plans.batch import APPLIED_SQL, checked_digest, documents
@@ -12,6 +12,11 @@ from tallyloom.session import scratch_path
 from tallyloom.streaming import jobs
 
 
+def _state(spark: SparkSession) -> dict[str, str]:
+    """State of a replay: one partition per core."""
+    return {jobs.PARTITIONS: str(spark.sparkContext.defaultParallelism)}
+
+
 def _replay(df: DataFrame, name: str, files_per_trigger: int = 0) -> DataFrame:
     """Write a stand-in and read it back as a stream."""
     spark = df.sparkSession
@@ -25,7 +30,8 @@ SELECT status, count(*) AS n FROM outcomes GROUP BY status""")
 def stream_status(spark, sf_dir):
     stream = _replay(outcome_rows(spark, sf_dir).select("event_id", "status"), "statuses", 4)
     path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "counts-state")
-    jobs.status_counts_stream(stream, path, checkpoint)
+    with jobs.settings(spark, _state(spark)):
+        jobs.status_counts_stream(stream, path, checkpoint)
     return jobs.latest_counts(spark, path)
 
 
@@ -71,7 +77,8 @@ def stream_match_within(spark, sf_dir):
         replay(orders, "tasks", "submitted_at"), replay(lines, "arrivals", "arrived_at"),
         "90 DAYS")
     path, checkpoint = scratch_path(spark, "matched"), scratch_path(spark, "matched-state")
-    jobs.drain(matched, path, checkpoint)
+    with jobs.settings(spark, _state(spark)):
+        jobs.drain(matched, path, checkpoint)
     done = spark.read.parquet(path).where("task_id >= 0").groupBy("task_id").agg(
         F.min("arrived_at").cast("timestamp_ntz").alias("done"))
     missed = F.col("done").isNull()
@@ -86,17 +93,9 @@ SELECT user_id AS session_id, m[2] AS response_event, n AS n_artefacts
 FROM c WHERE m IS NOT NULL""")
 def stream_session(spark, sf_dir):
     """Every event is polled twice; the repeats must not count."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
     polled = session_events(spark, sf_dir).withColumn("ts", jobs.event_time("ts"))
     stream = _replay(polled.unionAll(polled), "polled")
     path, checkpoint = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-state")
-    spark.conf.set(provider, jobs.ROCKSDB)
-    try:
+    with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
         jobs.drain(jobs.session_response_stream(stream), path, checkpoint)
-    finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
     return spark.read.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -15,9 +16,31 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tallyloom.operators.apply import RowFunction, apply_flow
 from tallyloom.operators.outcomes import resume
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries started inside; a query keeps them for its life.
+
+    The number of shuffle partitions is also the number of state partitions, which a
+    checkpoint fixes for good: choose it by the size of the state, not of one batch.
+    """
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 0
                       ) -> DataFrame:
     """A folder of Parquet files as a stream; the bound is the admission control."""
