@@ -163,6 +163,16 @@ def combine_results(completed: DataFrame, failed: DataFrame) -> DataFrame:
     return completed.unionByName(failed, allowMissingColumns=True)
 
 
+def _distinct(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Distinct values, found under a wrapped key.
+
+    A join on the values then shuffles both its sides itself, which is what lets adaptive
+    execution split a hot key on the other side.
+    """
+    wrapped = df.select(F.struct(value.alias(name)).alias("__id")).distinct()
+    return wrapped.select(f"__id.{name}")
+
+
 def resume(df: DataFrame, done: DataFrame, key: str, done_key: str | None = None,
            retry_failed: bool = False) -> DataFrame:
     """Rows whose id is not in the checkpoint; ids compare as text.
@@ -172,7 +182,7 @@ def resume(df: DataFrame, done: DataFrame, key: str, done_key: str | None = None
     if retry_failed:
         failed = F.coalesce(F.col("flow_process_id").startswith("ERROR: "), F.lit(False))
         done = done.where(~failed)
-    seen = done.select(F.col(done_key or key).cast("string").alias("__seen")).distinct()
+    seen = _distinct(done, F.col(done_key or key).cast("string"), "__seen")
     return df.join(seen, df[key].cast("string") == F.col("__seen"), "left_anti")
 
 
@@ -184,7 +194,7 @@ def skip_existing(df: DataFrame, existing: DataFrame, overwrite: bool = False) -
     """
     if overwrite:
         return df.withColumn("status", F.lit("pending"))
-    names = existing.select(F.col("filename").alias("__name")).distinct()
+    names = _distinct(existing, F.col("filename"), "__name")
     found = names.withColumn("__found", F.lit(True))
     return (
         df.join(found, df["filename"] == F.col("__name"), "left")

@@ -307,13 +307,13 @@ CHECKPOINT = "ticket_id long, status string, flow_process_id string"
 
 
 def _checkpoint(spark, sf_dir, name: str) -> str:
-    """Two runs' rows appended to one checkpoint: closed orders first, then pending ones."""
+    """Three runs' rows appended to one checkpoint, one run per order status."""
     path = scratch_path(spark, name)
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("ticket_id"), F.col("o_orderstatus").alias("status"),
         F.expr("CASE WHEN o_totalprice < 20000 THEN 'ERROR: too small' "
                "ELSE md5(CAST(o_orderkey AS STRING)) END").alias("flow_process_id"))
-    for status in ("F", "P"):
+    for status in ("F", "P", "O"):
         sinks.append_checkpoint(rows.where(F.col("status") == status), path)
     return path
 
@@ -321,13 +321,13 @@ def _checkpoint(spark, sf_dir, name: str) -> str:
 @query("append_checkpoint", """
 SELECT o_orderkey AS ticket_id, o_orderstatus AS status, CASE WHEN o_totalprice < 20000
   THEN 'ERROR: too small' ELSE md5(CAST(o_orderkey AS VARCHAR)) END AS flow_process_id
-FROM orders WHERE o_orderstatus IN ('F', 'P')""")
+FROM orders""")
 def append_checkpoint(spark, sf_dir):
     return sources.read_checkpoint(spark, _checkpoint(spark, sf_dir, "appended"), CHECKPOINT)
 
 
 @query("read_checkpoint", """
-SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id FROM orders WHERE o_orderstatus IN ('F', 'P')""")
+SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id FROM orders""")
 def read_checkpoint(spark, sf_dir):
     rows = sources.read_checkpoint(spark, _checkpoint(spark, sf_dir, "checkpoint"), CHECKPOINT)
     return sources.processed_ids(rows.unionAll(rows))
