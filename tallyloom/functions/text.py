@@ -91,38 +91,36 @@ def format_executed(value: Column) -> Column:
     )
 
 
-# HTML to markdown, applied top to bottom.
+# HTML to markdown, applied top to bottom; plain text is replaced as such.
 HTML_RULES: list[tuple[str, str]] = [
-    (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<head[^>]*>.*?</head>", ""),
-    (r"(?is)<script[^>]*>.*?</script>", ""),
-    (r"(?is)<style[^>]*>.*?</style>", ""),
+    (r"(?is)<(?:!--.*?--|head[ >].*?</head|script[ >].*?</script|style[ >].*?</style)>", ""),
     (r"[ \t\r\n]+", " "),
-    (r"(?i)<h1[^>]*>", "\n\n# "),
-    (r"(?i)<h2[^>]*>", "\n\n## "),
-    (r"(?i)<h3[^>]*>", "\n\n### "),
-    (r"(?i)<h4[^>]*>", "\n\n#### "),
-    (r"(?i)<h5[^>]*>", "\n\n##### "),
-    (r"(?i)<h6[^>]*>", "\n\n###### "),
+    (r"(?i)<h([1-6])[^>]*>", "\n\n<#$1>"),
+    ("<#1>", "# "),
+    ("<#2>", "## "),
+    ("<#3>", "### "),
+    ("<#4>", "#### "),
+    ("<#5>", "##### "),
+    ("<#6>", "###### "),
     (r"(?i)<li[^>]*>", "\n* "),
     (r"(?i)<br[^>]*>", "\n"),
-    (r"(?i)<(p|div|ul|ol|table|tr|article|section|footer|blockquote)( [^>]*)?>", "\n\n"),
-    (r"(?i)</(h1|h2|h3|h4|h5|h6|p|div|ul|ol|table|tr|article|section|footer|blockquote)>", "\n\n"),
+    (r"(?i)<(?:/h[1-6]|/?(?:p|div|ul|ol|table|tr|article|section|footer|blockquote)(?: [^>]*)?)>",
+     "\n\n"),
     (r'(?i)<img [^>]*alt="([^"]*)"[^>]*src="([^"]*)"[^>]*>', "![$1]($2)"),
     (r'(?i)<img [^>]*src="([^"]*)"[^>]*alt="([^"]*)"[^>]*>', "![$2]($1)"),
     (r'(?i)<img [^>]*src="([^"]*)"[^>]*>', "![]($1)"),
     (r'(?i)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
     (r"<[^>]*>", ""),
-    (r"&nbsp;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&#39;", "'"),
-    (r"&copy;", "(C)"),
-    (r"&middot;", "·"),
-    (r"&amp;", "&"),
-    (r" +", " "),
-    (r" ?\n ?", "\n"),
+    ("&nbsp;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&copy;", "(C)"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+    (r" {2,}", " "),
+    (r" \n ?|\n ", "\n"),
     (r"\n{3,}", "\n\n"),
 ]
 
@@ -131,5 +129,8 @@ def html_to_markdown(html: Column) -> Column:
     """Markdown text of a page, links and images kept, no line wrapping."""
     text = html
     for pattern, replacement in HTML_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+        if pattern.startswith(("&", "<#")):
+            text = F.replace(text, F.lit(pattern), F.lit(replacement))
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return strip(text)

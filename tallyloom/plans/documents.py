@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
 from tallyloom.functions.binding import explode_once
 from tallyloom.operators import chunking, indexing, sitemaps
-from tallyloom.session import scratch_path
-from tallyloom.sinks import tables as sinks
-from tallyloom.sources import tables as sources
 from tallyloom.plans.common import (
     query, spread, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
     sql_tokens, table,
 )
+from tallyloom.session import scratch_path
+from tallyloom.sinks import tables as sinks
+from tallyloom.sources import tables as sources
 
 # Every paragraph of a page gets a second-level heading of its first word.
 WITH_H2 = r"<p>(?:<b>)?([\p{L}\p{N}]+)"
@@ -350,18 +350,18 @@ SITEMAPS_PER_INDEX = 20
 
 def captured_sitemaps(spark, sf_dir) -> DataFrame:
     """Sitemap documents over the pages: leaves, an index level above them, and the root."""
-    def entries(kind: str, loc: str) -> F.Column:
+    def entries(kind: str, loc: str) -> Column:
         escaped = F.replace(F.col(loc), F.lit("&"), F.lit("&amp;"))
         return F.concat(F.lit(f"<{kind}><loc>"), escaped, F.lit(f"</loc></{kind}>"))
 
-    def document(tag: str, kind: str) -> F.Column:
+    def document(tag: str, kind: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.struct("at", "entry")))
         body = F.array_join(F.transform(ordered, lambda e: e["entry"]), "")
         space = "http://www.sitemaps.org/schemas/sitemap/0.9"
         return F.concat(F.lit(f'<?xml version="1.0"?><{tag} xmlns="{space}">'), body,
                         F.lit(f"</{tag}>")).alias("xml")
 
-    def level(rows: DataFrame, key: F.Column, name: str, tag: str, kind: str) -> DataFrame:
+    def level(rows: DataFrame, key: Column, name: str, tag: str, kind: str) -> DataFrame:
         return rows.withColumn("entry", entries(kind, "loc")).groupBy(key.alias("key")).agg(
             document(tag, kind)
         ).withColumn("sitemap_url", F.concat(F.lit(f"{name}-"), F.col("key").cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import strip
@@ -70,7 +70,7 @@ def with_file_positions(df: DataFrame, index: str = "input_index") -> DataFrame:
     in_file = Window.partitionBy("__file").orderBy("__block")
     over_files = Window.partitionBy(F.lit(0)).orderBy("__path")
 
-    def before(column: str, window) -> F.Column:
+    def before(column: str, window) -> Column:
         earlier = window.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
