@@ -73,6 +73,22 @@ def apply_flow(
     )
 
 
+def call_judge(
+    expected: Column, actual: Column, fn: JudgeFunction | None = None,
+    setup: Callable[[], JudgeFunction] | None = None, skip_missing: bool = False,
+) -> Column:
+    """``struct<result, error>`` of calling the judge; optionally not for missing answers."""
+    load = setup or (lambda: fn)
+
+    @F.pandas_udf("result string, error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from _guarded(load, (
+            [None if skip_missing and y is None else (x, y) for x, y in zip(e, a)]
+            for e, a in batches))
+
+    return run.asNondeterministic()(expected, actual)
+
+
 def apply_judge(
     df: DataFrame,
     fn: JudgeFunction | None = None,
@@ -81,13 +97,7 @@ def apply_judge(
     setup: Callable[[], JudgeFunction] | None = None,
 ) -> DataFrame:
     """Call ``fn(expected, actual)`` per row and parse the verdict JSON it returns."""
-    load = setup or (lambda: fn)
-
-    @F.pandas_udf("result string, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        yield from _guarded(load, (list(zip(e, a)) for e, a in batches))
-
-    called = df.withColumn("__out", run.asNondeterministic()(F.col(expected), F.col(actual)))
+    called = df.withColumn("__out", call_judge(F.col(expected), F.col(actual), fn, setup))
     judged = called.withColumn("verdict", F.col("__out.result"))
     parsed = parse_verdict(judged)
     raised = F.col("__out.error").isNotNull()

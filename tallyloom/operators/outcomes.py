@@ -94,7 +94,18 @@ def attach_verdicts(tasks: DataFrame, answers: DataFrame, verdicts: DataFrame) -
     """
     a = answers.select("task_id", "answer", "answer_error", F.lit(True).alias("answered"))
     v = verdicts.select("task_id", "verdict", "verdict_error", F.lit(True).alias("judged"))
-    joined = tasks.join(a, "task_id", "left").join(v, "task_id", "left")
+    return judged_results(tasks.join(a, "task_id", "left").join(v, "task_id", "left"))
+
+
+def judged_results(joined: DataFrame) -> DataFrame:
+    """Results with their failure stage from rows that carry a task, answer and verdict.
+
+    Columns: ``task_id, question, expected_answer``; ``answered`` (NULL if not submitted),
+    ``answer``, ``answer_error``; ``judged``, ``verdict``, ``verdict_error``. Others stay.
+    """
+    steps = ("answered", "answer", "answer_error", "judged", "verdict", "verdict_error")
+    others = [c for c in joined.columns
+              if c not in (*steps, "task_id", "question", "expected_answer")]
     fields = verdict_map(F.col("verdict"))
     stage = (
         F.when(F.col("answered").isNull(), "schedule_flow")
@@ -121,7 +132,8 @@ def attach_verdicts(tasks: DataFrame, answers: DataFrame, verdicts: DataFrame) -
         .otherwise(F.col("answer"))
     )
     return staged.select(
-        "task_id", "question", "expected_answer", answer.alias("actual_answer"), "stage",
+        "task_id", "question", "expected_answer", *others,
+        answer.alias("actual_answer"), "stage",
         F.when(ok, verdict_field(f, "total_rating", "0")).otherwise("0").alias("judge_score"),
         F.when(ok, verdict_field(f, "correctness", "Unknown")).otherwise("Error")
         .alias("judge_correctness"),

@@ -272,3 +272,17 @@ def throughput(events: DataFrame, ts: str, width: str = "1 hour") -> DataFrame:
             .alias("per_second"),
         )
     )
+
+
+def report_tables(
+    results: DataFrame, k: int = 10, order: str = "input_index"
+) -> dict[str, DataFrame]:
+    """Everything a report shows, by name. Store the results before: each table reads them."""
+    return {
+        "cards": report_cards(results),
+        "correctness": correctness_counts(results),
+        "scores": score_distribution(results),
+        "lengths": length_histogram(results),
+        "lowest": top_answers(results, k, True, order),
+        "highest": top_answers(results, k, False, order),
+    }

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators import inputs, outcomes, stats
+from tallyloom.operators import inputs, outcomes, runs, stats
 from tallyloom.operators.apply import apply_flow
 from tallyloom.operators.ordered import with_positions
 from tallyloom.plans.common import query, rounded, sql_strip, table
@@ -184,6 +184,22 @@ def apply_flow_query(spark, sf_dir):
     return applied.select("doc_id", "status", "result", "error")
 
 
+@query("run_batch", f"""
+WITH a AS ({APPLIED_SQL})
+SELECT d.doc_id, {FILE_NAME.replace('doc_id', 'd.doc_id')} AS filename,
+  CASE WHEN d.lang <> 'es' AND l.doc_id IS NOT NULL THEN 'skipped' ELSE status END AS status,
+  CASE WHEN d.lang = 'es' OR l.doc_id IS NULL THEN result END AS result,
+  CASE WHEN d.lang = 'es' OR l.doc_id IS NULL THEN error END AS error
+FROM documents d JOIN a ON a.doc_id = d.doc_id
+LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id""")
+def run_batch(spark, sf_dir):
+    tasks = documents(spark, sf_dir).withColumn("flow_input", F.col("text"))
+    labelled = table(spark, sf_dir, "labels").join(
+        tasks.select("doc_id", "filename"), "doc_id")
+    ran = runs.run_batch(tasks, checked_digest, labelled.select("filename"))
+    return ran.select("doc_id", "filename", "status", "result", "error")
+
+
 # Round trips: write the stand-in to a fresh folder, read it back through the operator.
 
 def _in_order(df: DataFrame, *columns: str) -> DataFrame:

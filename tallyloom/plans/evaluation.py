@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import format_executed
 from tallyloom.functions.verdicts import extract_output
-from tallyloom.operators import outcomes, sessions, stats
+from tallyloom.operators import outcomes, runs, sessions, stats
 from tallyloom.operators.apply import apply_judge, exact_judge, overlap_judge
 from tallyloom.plans.common import (
     query, rounded, spread, sql_number, sql_stamp, sql_strip, stamp, table,
@@ -357,6 +357,53 @@ def apply_judge_query(spark, sf_dir):
         "conv_id", "turn", "judge_score", "judge_correctness", "judge_reasoning", "error")
 
 
+def _answer(text: str, variables: dict) -> str:
+    if len(text) % 13 == 0:
+        raise ValueError("flow broke")
+    return "" if len(text) % 17 == 0 else f"{len(text)} characters"
+
+
+def _verdict(expected: str | None, actual: str) -> str:
+    if expected is None:
+        raise ValueError("nothing expected")
+    if len(expected) % 5 == 0:
+        return "NOCONTENT"
+    if len(expected) % 11 == 0:
+        return "fine"
+    return json.dumps({"total_rating": len(expected) % 10, "correctness": "correct", "a": actual})
+
+
+@query("evaluate", f"""WITH {PAIRS_SQL},
+p AS (SELECT *, length(expected_answer) AS q, length(actual_answer) AS e FROM pairs),
+s AS (SELECT *, CASE WHEN q % 13 = 0 THEN 'flow' WHEN q % 17 = 0 THEN 'no_content'
+   WHEN e IS NULL THEN 'judge' WHEN e % 5 = 0 THEN 'no_judge_content'
+   WHEN e % 11 = 0 THEN 'parse_judge' ELSE 'success' END AS stage FROM p)
+SELECT conv_id || '-' || turn AS task_id, expected_answer AS question, 'flow-1' AS flow_id,
+  'judge-1' AS judge_flow_id,
+  CASE stage WHEN 'flow' THEN 'ERROR: flow broke' WHEN 'no_content'
+    THEN 'ERROR: No content returned' ELSE q || ' characters' END AS actual_answer, stage,
+  CASE stage WHEN 'success' THEN CAST(e % 10 AS VARCHAR) ELSE '0' END AS judge_score,
+  CASE stage WHEN 'success' THEN 'correct' ELSE 'Error' END AS judge_correctness,
+  CASE stage WHEN 'success' THEN 'No reasoning provided'
+    WHEN 'flow' THEN 'Error during flow execution: flow broke'
+    WHEN 'no_content' THEN 'No content returned from flow'
+    WHEN 'judge' THEN 'Error during flow execution: nothing expected'
+    WHEN 'no_judge_content' THEN 'No content returned from judge'
+    ELSE 'Error parsing judge result: not a JSON object' END AS judge_reasoning,
+  CASE stage WHEN 'success' THEN q || ' characters' END AS extra_a,
+  CASE stage WHEN 'flow' THEN 'flow broke' WHEN 'no_content' THEN 'No content'
+    WHEN 'judge' THEN 'nothing expected' WHEN 'no_judge_content' THEN 'No judge content'
+    WHEN 'parse_judge' THEN 'not a JSON object' END AS error
+FROM s""")
+def evaluate(spark, sf_dir):
+    tasks = _pairs(spark, sf_dir).select(
+        F.expr("conv_id || '-' || turn").alias("task_id"),
+        F.col("expected_answer").alias("question"),
+        F.col("actual_answer").alias("expected_answer"))
+    judged = runs.evaluate(tasks, _answer, _verdict, "flow-1", "judge-1")
+    return judged.withColumn("extra_a", F.col("extras")["a"]).drop("expected_answer", "extras")
+
+
 ACTUAL_CASE = """CASE WHEN event_id % 3 = 0 THEN '  ' || upper(event_type) || ' '
  WHEN event_id % 3 = 1 THEN 'view' ELSE NULL END"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -160,6 +162,26 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("total_files", files.agg(F.count("*")).scalar()).drop("__kind")
 
 
+def file_type_counts(files: DataFrame) -> DataFrame:
+    """Number of files of each kind in a folder scan."""
+    return files.groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+def list_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Names, relative to the folder, of the files in and below it; none if it is absent."""
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException as raised:
+        if raised.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "filename string")
+    root = re.sub("^file:/*", "/", folder.rstrip("/"))
+    if "://" not in root and not root.startswith("/"):
+        root = os.path.abspath(root)
+    start = F.instr("path", f"{root}/") + len(root) + 1
+    return listed.select("path").select(F.substr("path", start).alias("filename"))
+
+
 def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of earlier runs, or none if there was no run yet."""
     try:

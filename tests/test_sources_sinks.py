@@ -98,6 +98,39 @@ def test_folder(spark, tmp_path):
         (1, "a.pdf", "pdf", 3, 5), (2, "b.PDF", "pdf", 3, 5), (3, "c.Docx", "docx", 3, 6)]
 
 
+def test_file_type_counts(spark, tmp_path):
+    for name in ("a.pdf", "b.pdf", "c.docx"):
+        put(tmp_path / name, name)
+    counts = sources.file_type_counts(sources.scan_folder(spark, str(tmp_path)))
+    assert {r.file_type: r.n for r in counts.collect()} == {"pdf": 2, "docx": 1}
+
+
+def test_a_batch_skips_the_outputs_of_an_earlier_one(spark, tmp_path):
+    from tallyloom.operators.runs import run_batch
+
+    out = str(tmp_path / "out" / "out")
+    schema = "flow_input string, filename string, flow_variable map<string,string>"
+    tasks = spark.createDataFrame(
+        [("a", "x/1.txt", None), ("b", "2.txt", None), ("c", None, None)], schema)
+    called = []
+
+    def fn(text, variables):
+        if text in called:
+            raise ValueError("called again")
+        return text + variables.get("filename", "")
+
+    assert sources.list_outputs(spark, out).count() == 0
+    first = run_batch(tasks.limit(1), fn, sources.list_outputs(spark, out))
+    sinks.write_row_files(first.where("status = 'success'"), out)
+    assert [r[0] for r in sources.list_outputs(spark, out).collect()] == ["x/1.txt"]
+    again = run_batch(tasks, fn, sources.list_outputs(spark, out))
+    got = {r.flow_input: (r.status, r.result, r.error) for r in again.collect()}
+    assert got == {"a": ("skipped", None, None), "b": ("success", "b2.txt", None),
+                   "c": ("success", "c", None)}
+    forced = run_batch(tasks, fn, sources.list_outputs(spark, out), overwrite=True)
+    assert forced.where("status = 'success'").count() == 3
+
+
 def test_checkpoint_grows_and_may_be_absent(spark, tmp_path):
     path, schema = str(tmp_path / "cp"), "ticket_id long, status string"
     assert sources.read_checkpoint(spark, path, schema).count() == 0

@@ -111,3 +111,14 @@ def test_positions_over_the_whole_table(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("at"))
     got = with_positions(df, ["at"]).orderBy("at").collect()
     assert [r.input_index for r in got] == list(range(1000))
+
+
+def test_report_tables(spark):
+    rows = [(i, str(i % 11), "correct", "a" * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "input_index long, judge_score string, "
+                                     "judge_correctness string, actual_answer string")
+    tables = stats.report_tables(df, k=3)
+    assert tables["cards"].first().total_questions == 30
+    assert tables["lowest"].count() == tables["highest"].count() == 3
+    for name in ("correctness", "scores", "lengths"):
+        assert sum(r.n for r in tables[name].collect()) == 30
