@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import let
+
 # One token is a run of letters and digits, or one other visible character.
 TOKEN = r"(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
 TOKEN_AND_GAP = TOKEN + r"\s*"
@@ -69,13 +71,18 @@ def site_name(url: Column) -> Column:
     return F.replace(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("."), F.lit("_"))
 
 
-def clean_message(text: Column) -> Column:
+def plain_message(text: Column) -> Column:
     """Message HTML to plain text; entities are undone one after another, ``&amp;`` last."""
     plain = F.regexp_replace(text, "<[^>]+>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    plain = strip(plain)
-    return F.when(plain == "", F.lit("[Empty message]")).otherwise(plain)
+    return strip(plain)
+
+
+def clean_message(text: Column) -> Column:
+    """Plain text of a message, with a marker where nothing is left."""
+    return let(plain_message(text), lambda plain: F.when(
+        plain == "", F.lit("[Empty message]")).otherwise(plain))
 
 
 def format_executed(value: Column) -> Column:

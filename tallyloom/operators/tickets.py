@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import clean_message, strip
+from tallyloom.functions.binding import let
+from tallyloom.functions.text import plain_message, strip
 from tallyloom.operators.apply import RowFunction, apply_flow
 from tallyloom.operators.indexing import process_id
 from tallyloom.operators.outcomes import resume
@@ -79,11 +80,13 @@ def render_groups(groups: DataFrame) -> DataFrame:
     ``groups(ticket_id, position, datecreated, userid, user_full_name, type, messages,
     ticket_subject)``; the block is built from the row alone.
     """
-    m = F.col("messages")
-    parsed = groups.where(F.size(m) > 0)\
-        .withColumn("__body", _last(m, "M"))\
-        .withColumn("__subject", _last(m, "H", "Subject:"))\
-        .withColumn("__from", _last(m, "H", "From:"))
+    said = let(F.col("messages"), lambda m: F.struct(
+        _last(m, "M").alias("body"), _last(m, "H", "Subject:").alias("subject"),
+        _last(m, "H", "From:").alias("sender")))
+    parsed = groups.where(F.size("messages") > 0).withColumn("__said", said)\
+        .withColumn("__body", F.col("__said.body"))\
+        .withColumn("__subject", F.col("__said.subject"))\
+        .withColumn("__from", F.col("__said.sender"))
     system = _or(F.col("userid"), "").eqNullSafe("system00") | _or(F.col("type"), "")\
         .eqNullSafe("I")
     no_body = _or(F.col("__body"), "") == ""
@@ -97,12 +100,10 @@ def render_groups(groups: DataFrame) -> DataFrame:
     )
     subject = _or(F.col("__subject"), "")
     changed = (subject != "") & ~subject.eqNullSafe(F.col("ticket_subject"))
-    cleaned = clean_message(F.col("__body"))
-    message = (
-        F.when(no_body, F.lit("Message: [No content]"))
-        .when(cleaned == "[Empty message]", F.lit("Message: [Empty message]"))
-        .otherwise(F.concat(F.lit("Message:\n"), cleaned))
-    )
+    shown = let(plain_message(F.col("__body")), lambda plain: F.when(
+        plain == "", F.lit("Message: [Empty message]")
+    ).otherwise(F.concat(F.lit("Message:\n"), plain)))
+    message = F.when(no_body, F.lit("Message: [No content]")).otherwise(shown)
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("\n--- "), _or(F.col("datecreated").cast("string"), "N/A"), F.lit(" ---")),
