@@ -116,9 +116,14 @@ def index_sitemap(
     A URL listed twice is indexed twice; one without a captured page fails as a source.
     """
     captured = pages.select(F.col("url").alias("__url"), "html")
-    texts = urls.join(captured, F.col("url") == F.col("__url"), "left").select(
-        "url_index", "url", html_to_markdown(F.col("html")).alias("__text")
-    ).withColumn("total_urls", urls.agg(F.count("*")).scalar())
+    same = F.col("url") == F.col("__url")
+    # An inner join, so that a short list of URLs can go to the pages instead of the pages
+    # being shuffled to it; what it leaves out is told by the URL column alone.
+    found = captured.join(urls, same).select(
+        "url_index", "url", html_to_markdown(F.col("html")).alias("__text"))
+    lost = urls.join(captured.select("__url"), same, "left_anti").select(
+        "url_index", "url", F.lit(None).cast("string").alias("__text"))
+    texts = found.unionByName(lost).withColumn("total_urls", urls.agg(F.count("*")).scalar())
     return index_sources(
         texts, fn, "url_index", "__text", "url", "sitemap", ["url_index", "url"],
         {"url_index": "url_index", "total_urls": "total_urls", "url": "url"},

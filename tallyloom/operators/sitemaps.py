@@ -45,8 +45,9 @@ def expand_sitemaps(sitemaps: DataFrame, root: str, max_depth: int = 32) -> Data
     else:
         raise ValueError(f"sitemaps are nested deeper than {max_depth} levels")
     urls = reduce(DataFrame.unionAll, found)
-    return with_positions(urls, ["path", "pos"], index="url_index", start=1)\
-        .select("url_index", "url")
+    numbered = with_positions(urls, ["path", "pos"], index="url_index", start=1)
+    # Stored, because a run reads the list several times and plans its joins by its size.
+    return durable(numbered.select("url_index", "url"), "sitemap-urls")
 
 
 def limit_urls(urls: DataFrame, n: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -344,12 +345,15 @@ def index_pages(spark, sf_dir):
         pages(spark, sf_dir), digest_chunk, max_tokens=WHOLE, overlap=OVERLAP)
 
 
-PAGES_PER_SITEMAP = 50
-SITEMAPS_PER_INDEX = 20
+ENTRIES_PER_SITEMAP = 20
 
 
-def captured_sitemaps(spark, sf_dir) -> DataFrame:
-    """Sitemap documents over the pages: leaves, an index level above them, and the root."""
+def captured_sitemaps(spark, sf_dir) -> tuple[DataFrame, str]:
+    """Sitemap documents over the pages, and the root's name.
+
+    A tree of fixed fan-out: no document lists more than ``ENTRIES_PER_SITEMAP`` entries,
+    and the number of levels grows with the pages.
+    """
     def entries(kind: str, loc: str) -> Column:
         escaped = F.replace(F.col(loc), F.lit("&"), F.lit("&amp;"))
         return F.concat(F.lit(f"<{kind}><loc>"), escaped, F.lit(f"</loc></{kind}>"))
@@ -366,21 +370,24 @@ def captured_sitemaps(spark, sf_dir) -> DataFrame:
             document(tag, kind)
         ).withColumn("sitemap_url", F.concat(F.lit(f"{name}-"), F.col("key").cast("string")))
 
-    pages = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("at"), F.col("url").alias("loc"))
-    leaves = level(pages, F.floor(F.col("at") / PAGES_PER_SITEMAP), "leaf", "urlset", "url")
-    listed = leaves.select(F.col("key").alias("at"), F.col("sitemap_url").alias("loc"))
-    indexes = level(listed, F.floor(F.col("at") / SITEMAPS_PER_INDEX), "index", "sitemapindex",
-                    "sitemap")
-    listed = indexes.select(F.col("key").alias("at"), F.col("sitemap_url").alias("loc"))
-    root = level(listed, F.floor(F.col("at") / F.lit(10**12)), "root", "sitemapindex", "sitemap")
-    return leaves.unionByName(indexes).unionByName(root).select("sitemap_url", "xml")
+    stored = table(spark, sf_dir, "pages")
+    rows = stored.select(F.col("page_id").alias("at"), F.col("url").alias("loc"))
+    span = stored.agg(F.max("page_id")).first()[0] + 1
+    tag, kind, levels = "urlset", "url", []
+    while not levels or span > 1:
+        bucket = F.floor(F.col("at") / ENTRIES_PER_SITEMAP)
+        level_docs = level(rows, bucket, f"level{len(levels)}", tag, kind)
+        levels.append(level_docs.select("sitemap_url", "xml"))
+        rows = level_docs.select(F.col("key").alias("at"), F.col("sitemap_url").alias("loc"))
+        span = -(-span // ENTRIES_PER_SITEMAP)
+        tag, kind = "sitemapindex", "sitemap"
+    return reduce(DataFrame.unionAll, levels), f"level{len(levels) - 1}-0"
 
 
 @query("sitemap_expand", """
 SELECT row_number() OVER (ORDER BY page_id) AS url_index, url FROM pages""")
 def sitemap_expand(spark, sf_dir):
-    return sitemaps.expand_sitemaps(captured_sitemaps(spark, sf_dir), "root-0")
+    return sitemaps.expand_sitemaps(*captured_sitemaps(spark, sf_dir))
 
 
 @query("sitemap_limit", """

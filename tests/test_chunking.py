@@ -209,3 +209,16 @@ def test_index_pages_reports_pages_without_text(spark):
     assert (got[2].chunk_index, got[2].status, got[2].error) == (0, "failed", "No content extracted")
     total = index_rollup(rows, "page_id").first()
     assert (total.total_sources, total.sources_ok, total.sources_failed) == (2, 1, 1)
+
+
+def test_index_sitemap_reports_pages_that_were_not_captured(spark):
+    from tallyloom.operators.indexing import index_sitemap
+
+    urls = spark.createDataFrame([(1, "u1"), (2, "gone"), (3, "u1")], "url_index long, url string")
+    pages = spark.createDataFrame([("u1", "<p>hi</p>"), ("other", "<p>x</p>")],
+                                  "url string, html string")
+    rows = index_sitemap(urls, pages, lambda text, variables: "{url_index}/{total_urls}".format(
+        **variables))
+    got = {r.url_index: (r.url, r.chunk_index, r.status, r.result, r.error) for r in rows.collect()}
+    assert got == {1: ("u1", 1, "success", "1/3", None), 3: ("u1", 1, "success", "3/3", None),
+                   2: ("gone", 0, "failed", None, "Page not captured")}
