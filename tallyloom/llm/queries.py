@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import induced_sort, substring_windows
+from tallyloom.llm import (
+    curriculum, induced_sort, simhash, spaced_seeds, substring_windows,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +74,73 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_windows.remove_repeated_windows(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _sql_compared(column: str) -> str:
+    plain = f"regexp_replace(lower(coalesce({column}, '')), " \
+            r"'[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g')"
+    return rf"regexp_extract_all({plain}, '[^\x20\x09-\x0D]+')"
+
+
+def _sql_masks(words: str, i: str) -> str:
+    looked = ("0 1 2 4 6 7", "0 1 3 5 6 7", "0 2 3 4 5 7")
+    return ", ".join(
+        "'" + str(m) + "' || " + " || ' ' || ".join(f"{words}[{i} + {k} + 1]" for k in mask.split())
+        for m, mask in enumerate(looked))
+
+
+@query("op6_benchmark_decontamination", f"""
+WITH d AS (SELECT doc_id, {_sql_compared('text')} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {_sql_compared('text')} AS w FROM benchmark),
+ds AS (SELECT doc_id, i, unnest([{_sql_masks('w', 'i')}]) AS seed
+       FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7, 3)) AS i FROM d)),
+bs AS (SELECT item_id, i, unnest([{_sql_masks('w', 'i')}]) AS seed
+       FROM (SELECT item_id, w, unnest(range(len(w) - 7)) AS i FROM b)),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (seed)),
+along AS (SELECT doc_id, item_id, shift, q,
+            CASE WHEN b.w[q + 1] = d.w[q + shift + 1] THEN 1 ELSE -2 END AS gain, len(b.w) AS n
+          FROM hits JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(len(b.w))) AS u(q)
+          WHERE q + shift BETWEEN 0 AND len(d.w) - 1),
+sums AS (SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS total FROM along),
+best AS (SELECT doc_id, item_id, n, total - least(0, coalesce(min(total) OVER (
+           PARTITION BY doc_id, item_id, shift ORDER BY q
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM sums)
+SELECT doc_id, item_id, max(score)::BIGINT AS score FROM best
+GROUP BY doc_id, item_id, n HAVING max(score) >= least(12, n)
+""")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_curriculum_mixing", f"""
+WITH d AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+        [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+      FROM d GROUP BY source),
+levels AS (SELECT 2 * source_size / weight AS level FROM s UNION SELECT 0),
+filled AS (SELECT level, (SELECT sum(least(2 * source_size, weight * level)) FROM s) AS total,
+             (SELECT sum(weight) FROM s WHERE 2 * source_size / weight > level) AS open_weight
+           FROM levels),
+chosen AS (SELECT level + ((SELECT sum(size) * 1.5 FROM d) - total) / open_weight AS level FROM filled
+           WHERE total <= (SELECT sum(size) * 1.5 FROM d) AND open_weight > 0
+           ORDER BY filled.level DESC LIMIT 1),
+t AS (SELECT source, source_size,
+        least(2.0 * source_size, weight * (SELECT level FROM chosen))::DOUBLE AS target FROM s),
+o AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source
+        ORDER BY md5(doc_id::VARCHAR), doc_id) - size AS start FROM d)
+SELECT doc_id, size, source_size, round(target, 4) AS target,
+  (greatest(0, least(size, floor(target) - start))
+   + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+""")
+def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", "source", curriculum.document_sizes(docs, "text").alias("size"))
+    return curriculum.assign(sizes).select(
+        "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")

@@ -131,7 +131,8 @@ def repeated_anchors(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
     """
     source = docs.select(F.col(text_col).alias("text"), *REF)
     keys = source.select("text").mapInArrow(_anchor_batches(shape, True), "key long")
-    twice = keys.groupBy("key").count().where("count > 1").select("key")
+    # Stored, so that the join's other side is a plain shuffle and a hot key can be split.
+    twice = durable(keys.groupBy("key").count().where("count > 1").select("key"), "keys")
     rows = source.mapInArrow(
         _anchor_batches(shape, False),
         "key long, context long, __id string, __text long, start int, more int, offset int",
@@ -145,10 +146,10 @@ def split_contexts(anchors: DataFrame, shape: Shape) -> tuple[DataFrame, DataFra
     Returns spans (ref, start, end) in tokens, and representatives with ``single`` (the
     context occurs once), ``contexts`` (how many contexts its key has) and ``members``.
     """
-    contexts = anchors.groupBy("key", "context").agg(
+    contexts = durable(anchors.groupBy("key", "context").agg(
         F.count("*").alias("members"),
         F.min(F.struct(*REF, "start", "more", "offset")).alias("one"),
-    )
+    ), "contexts")
     per_key = contexts.groupBy("key").agg(F.count("*").alias("contexts"))
     many = contexts.where("members > 1").select("key", "context")
     whole = anchors.join(many, ["key", "context"], "left_semi").select(
@@ -220,7 +221,8 @@ def counted_windows(docs: DataFrame, text_col: str, open_: DataFrame, shape: Sha
         _window_batches(shape),
         "key long, hash long, __id string, __text long, start int, single boolean",
     ), "windows")
-    twice = windows.groupBy("key", "hash").count().where("count > 1").select("key", "hash")
+    counts = windows.groupBy("key", "hash").count().where("count > 1")
+    twice = durable(counts.select("key", "hash"), "hashes")
     return windows.where("single").join(twice, ["key", "hash"], "left_semi").select(
         *REF, "start", (F.col("start") + shape.window).alias("end")
     )
