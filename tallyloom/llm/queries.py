@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import (
-    curriculum, induced_sort, simhash, spaced_seeds, substring_windows,
+    curriculum, decision_list, induced_sort, lattice, passages, secret_tests, simhash, spaced_seeds,
+    substring_windows, template,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +145,34 @@ def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = docs.select("doc_id", "source", curriculum.document_sizes(docs, "text").alias("size"))
     return curriculum.assign(sizes).select(
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+@query("op1_secret_scans")
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_tests.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+#: A conversation made of control strings alone.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op10_chat_formatting")
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], real.schema)
+    return template.format_digests(real.unionByName(added))
+
+
+@query("op5_attention_quality")
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_lattice_scoring")
+def op8_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"))
