@@ -72,7 +72,6 @@ def _atoms(text: str, start: int, end: int, budget: int, measure: Measure, level
 def split_to_budget(text: str, budget: int, overlap: int, bind: MeasureText) -> list[str]:
     """Pieces of at most ``budget`` tokens; each repeats up to ``overlap`` tokens before it."""
     budget = max(budget, 1)
-    overlap = min(overlap, budget // 2)
     measure = bind(text)
     spans = _atoms(text, 0, len(text), budget, measure)
     sizes = [measure(a, b) for a, b in spans]

@@ -274,7 +274,9 @@ def chunk_documents(
     ``encoder_count_each``) and ``load_measure`` (see ``encoder_measure``); the overlap
     taken from the chunk before is measured in default tokens.
     """
-    budget = max(max_tokens - overlap, 1) if strict_budget else max_tokens
+    if max_tokens < 1 or not 0 <= overlap < max_tokens:
+        raise ValueError("max_tokens must be positive and more than the overlap")
+    budget = max_tokens - overlap if strict_budget else max_tokens
     keep = list(dict.fromkeys([id_col, *([source] if source else []), *carry]))
     rows = section_arrays(df.select(*dict.fromkeys([*keep, text])), text, source, count_all)
     rows = rows.select(*keep, _chunk_units(

@@ -97,22 +97,16 @@ def decode_variables(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
-def widen_map(df: DataFrame, column: str, prefix: str = "", max_keys: int = 1000,
+def widen_map(df: DataFrame, column: str, prefix: str = "",
               keys: Sequence[str] | None = None) -> DataFrame:
     """Every key seen in a map column becomes a column of its own.
 
-    Column names must be known when the plan is made, so the distinct keys are fetched
-    first, unless they are given. More keys than ``max_keys`` is an error; nothing is
-    dropped.
+    Column names must be known when the plan is made, so the distinct keys, one for each
+    column of the result, are fetched first, unless they are given.
     """
     if keys is not None:
         return _widened(df, column, prefix, keys)
-    found = (
-        df.select(F.explode(F.map_keys(column)).alias("key")).distinct()
-        .limit(max_keys + 1).collect()
-    )
-    if len(found) > max_keys:
-        raise ValueError(f"column {column} holds more than {max_keys} distinct keys")
+    found = df.select(F.explode(F.map_keys(column)).alias("key")).distinct().collect()
     return _widened(df, column, prefix, sorted(row["key"] for row in found))
 
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import durable
 
-RANGES = 64
-GROUP_ROWS = 1_000_000
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
@@ -78,54 +76,24 @@ def _range_of(value: Column, bounds: Column) -> Column:
     return F.coalesce(F.size(F.filter(bounds, lambda b: b < value)), F.lit(0))
 
 
+def _deviation(squares: Column, count: Column) -> Column:
+    return F.when(count > 1, F.sqrt(squares / (count - 1)))
+
+
 def weighted_summary(
     freq: DataFrame, keys: Sequence[str], value: str = "value", weight: str = "n",
-    totals: Sequence[str] = (), group_rows: int = GROUP_ROWS,
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Exact mean, sample deviation, extremes and quartiles per key from value counts.
 
     ``freq`` holds one row per key and distinct value with its count; it is read more than
     once and should be a stored table. Further count columns named in ``totals`` are summed
-    along. Up to ``group_rows`` rows in all, a key's values meet in one group; beyond that
-    they are summarised by value ranges, so that no task ever holds a key.
+    along. Values are cut into as many ranges as there are shuffle partitions; counts along
+    the ranges carry the ranks, so no task ever holds a key.
     """
-    if freq.count() <= group_rows:
-        return _summary_by_group(freq, keys, value, weight, totals)
-    return _summary_by_range(freq, keys, value, weight, totals)
-
-
-def _deviation(squares: Column, count: Column) -> Column:
-    return F.when(count > 1, F.sqrt(squares / (count - 1)))
-
-
-def _summary_by_group(
-    freq: DataFrame, keys: Sequence[str], value: str, weight: str, totals: Sequence[str]
-) -> DataFrame:
-    v, n = F.col(value), F.col(weight)
-    whole = Window.partitionBy(*keys)
-    centred = freq.withColumn("__mean", F.sum(n * v).over(whole) / F.sum(n).over(whole))
-    grouped = centred.groupBy(*keys).agg(
-        F.sum(n).alias("count"),
-        F.max("__mean").alias("mean"),
-        F.sum(n * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__m2"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.percentile(v, list(QUARTILES.values()), n).alias("__at"),
-        *[F.sum(c).alias(c) for c in totals],
-    )
-    return grouped.select(
-        *keys, "count", "mean", _deviation(F.col("__m2"), F.col("count")).alias("std"),
-        "min", "max", *[F.col("__at")[i].alias(q) for i, q in enumerate(QUARTILES)], *totals,
-    )
-
-
-def _summary_by_range(
-    freq: DataFrame, keys: Sequence[str], value: str, weight: str, totals: Sequence[str]
-) -> DataFrame:
-    """Cumulative counts per value range; the per-range totals, at most ``RANGES`` per key,
-    carry the rest."""
+    ranges = max(int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     bounds = freq.agg(
-        F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000)
+        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)
     ).scalar()
     ranged = (
         freq.withColumn("__bounds", bounds)

@@ -15,12 +15,14 @@ from tallyloom.operators.outcomes import resume
 OPEN_TO_INDEX = ("R", "L")
 CHANNEL = "M"
 
-# Groups of one ticket folded into one text; longer threads continue in further parts.
-GROUPS_PER_PART = 1000
+# How many groups are joined at a time; the text does not depend on it.
+FOLD = 1000
 
+# The columns of a checkpoint file.
 CHECKPOINT_COLUMNS = [
     "ticket_id", "ticket_code", "ticket_subject", "department_id", "department_name",
     "created_at", "status", "customer_email", "flow_input_length", "flow_process_id",
+    "indexed_at",
 ]
 
 
@@ -115,51 +117,56 @@ def render_groups(groups: DataFrame) -> DataFrame:
         "ticket_id", "position", block.alias("block"))
 
 
-def ticket_threads(
-    tickets: DataFrame, groups: DataFrame, tags: str | None = None,
-    groups_per_part: int = GROUPS_PER_PART,
-) -> DataFrame:
-    """Text of each ticket as ``(ticket_id, part_index, thread_text)``.
+def ticket_threads(tickets: DataFrame, groups: DataFrame, tags: str | None = None) -> DataFrame:
+    """Text of each ticket as ``(ticket_id, thread_text)``.
 
-    ``position`` counts the groups of a ticket from 0. A thread of more than
-    ``groups_per_part`` groups goes on in further parts, which joined by line breaks are
-    the whole text: no task ever holds more of a ticket than one part, however long the
-    ticket is. Tickets without groups keep their header.
+    ``position`` counts the groups of a ticket from 0. Blocks are rendered and joined a few at
+    a time wherever they lie; only those joined texts of a ticket meet, to become its cell,
+    which is as long as the one ticket. Grouping by a wrapped id leaves adaptive execution
+    free to split a hot ticket in the join before it. Tickets without groups keep their header.
     """
     subjects = tickets.select("ticket_id", F.col("subject").alias("ticket_subject"))
     blocks = render_groups(groups.join(subjects, "ticket_id")).select(
-        "ticket_id",
-        F.floor(F.col("position") / groups_per_part).cast("int").alias("part_index"),
+        F.struct("ticket_id").alias("id"),
+        F.floor(F.col("position") / FOLD).cast("bigint").alias("part"),
         F.col("position").cast("bigint").alias("position"), "block",
     )
     headers = tickets.select(
-        "ticket_id", F.lit(0).alias("part_index"), F.lit(-1).cast("bigint").alias("position"),
-        ticket_header(tags).alias("block"),
+        F.struct("ticket_id").alias("id"), F.lit(-1).cast("bigint").alias("part"),
+        F.lit(-1).cast("bigint").alias("position"), ticket_header(tags).alias("block"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("position", "block")))
-    return headers.unionByName(blocks).groupBy("ticket_id", "part_index").agg(
-        F.array_join(F.transform(ordered, lambda b: b["block"]), "\n").alias("thread_text"))
+
+    def joined(order: str, text: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct(order, text)))
+        return F.array_join(F.transform(ordered, lambda b: b[text]), "\n")
+
+    parts = blocks.groupBy("id", "part").agg(joined("position", "block").alias("block"))
+    return headers.drop("position").unionByName(parts).groupBy("id").agg(
+        joined("part", "block").alias("thread_text")).select("id.ticket_id", "thread_text")
 
 
 def index_tickets(
     tickets: DataFrame, groups: DataFrame, fn: RowFunction, tags: str | None = None,
-    groups_per_part: int = GROUPS_PER_PART,
+    indexed_at: Column | None = None,
 ) -> DataFrame:
-    """Checkpoint rows for the tickets after ``fn`` has run over their text.
+    """Checkpoint rows for the tickets after ``fn`` has run once over each one's text.
 
-    A ticket fails as a whole if any part of its text fails.
+    ``indexed_at`` is the moment written to the rows, by default that of the run.
     """
-    threads = ticket_threads(tickets, groups, tags, groups_per_part).withColumn(
-        "variables", F.create_map(F.lit("ticket_id"), F.col("ticket_id").cast("string"),
-                                  F.lit("source"), F.lit("ticket")))
-    outcomes = apply_flow(threads, fn, input_col="thread_text")
-    per_ticket = outcomes.groupBy("ticket_id").agg(
-        (F.sum(F.char_length("thread_text")) + F.count("*") - 1).alias("length"),
-        F.min_by("error", F.when(F.col("status") != "success", F.col("part_index")))
-        .alias("error"),
-    )
+    threads = ticket_threads(tickets, groups, tags)
+    told = tickets.select(
+        F.col("ticket_id").alias("__id"), F.create_map(
+            F.lit("ticket_id"), F.col("ticket_id").cast("string"),
+            F.lit("ticket_code"), F.col("code"),
+            F.lit("department_id"), F.col("department_id"),
+            F.lit("source"), F.lit("ticket")).alias("variables"))
+    asked = threads.join(told, F.col("ticket_id") == F.col("__id")).drop("__id")
+    outcomes = apply_flow(asked, fn, input_col="thread_text").select(
+        "ticket_id", F.char_length("thread_text").alias("length"),
+        F.when(F.col("status") != "success", F.col("error")).alias("error"))
     ok = F.col("error").isNull()
-    return tickets.join(per_ticket, "ticket_id").select(
+    moment = F.current_timestamp() if indexed_at is None else indexed_at
+    return tickets.join(outcomes, "ticket_id").select(
         F.col("ticket_id").cast("string").alias("ticket_id"),
         F.col("code").alias("ticket_code"),
         F.col("subject").alias("ticket_subject"),
@@ -169,4 +176,5 @@ def index_tickets(
         F.when(ok, F.col("length")).otherwise(0).cast("bigint").alias("flow_input_length"),
         F.when(ok, process_id("ticket_id"))
         .otherwise(F.concat(F.lit("ERROR: "), F.col("error"))).alias("flow_process_id"),
+        moment.cast("string").alias("indexed_at"),
     )

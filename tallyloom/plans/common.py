@@ -30,16 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A stored table whose rows are costly to work on, dealt out over all cores.
-
-    Only where the scan has fewer splits than there are cores; a large table has more, and
-    is left where it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, so that summation order does not show."""
     return df.select(*[

@@ -12,7 +12,7 @@ from tallyloom.functions import text as tx
 from tallyloom.functions.binding import explode_once
 from tallyloom.operators import chunking, indexing, sitemaps
 from tallyloom.plans.common import (
-    query, spread, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
+    query, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
     sql_tokens, table,
 )
 from tallyloom.session import scratch_path
@@ -69,12 +69,11 @@ units AS (
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(
-        table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
 
 def web(spark, sf_dir) -> DataFrame:

@@ -12,7 +12,7 @@ from tallyloom.functions.verdicts import extract_output
 from tallyloom.operators import outcomes, runs, sessions, stats
 from tallyloom.operators.apply import apply_judge, exact_judge, overlap_judge
 from tallyloom.plans.common import (
-    query, rounded, spread, sql_number, sql_stamp, sql_strip, stamp, table,
+    query, rounded, sql_number, sql_stamp, sql_strip, stamp, table,
 )
 
 # Verdict text made from an event; the same expression serves Spark and the check.
@@ -52,7 +52,7 @@ scored AS (SELECT *, {sql_number('judge_score')} AS num FROM results)
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged results made from the events."""
     stored = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    events = spread(stored, "event_id").withColumn(
+    events = stored.withColumn(
         "k", F.get_json_object("props", "$.k").try_cast("bigint"))
     verdicts = events.select(
         F.col("event_id").alias("input_index"),

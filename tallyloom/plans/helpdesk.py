@@ -65,8 +65,6 @@ def conversations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return tickets, groups
 
 
-GROUPS_PER_PART = 3
-
 THREAD_SQL = f"""
 t AS (SELECT conv_id, '=== TICKET #C-' || conv_id || ' ===' || chr(10) || 'Subject: Conversation '
         || conv_id || chr(10) || 'Status: R' || chr(10) || 'Department: ' ||
@@ -85,16 +83,16 @@ b AS (SELECT conv_id, turn, chr(10) || '--- turn ' || turn || ' ---' || chr(10)
                 regexp_replace(text, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;',
                 '>') || ' &lt;' ''')} END AS block
       FROM conversations),
-blocks AS (SELECT conv_id, 0 AS part, -1 AS pos, header AS block FROM t
-           UNION ALL SELECT conv_id, CAST(turn // PER_PART AS INTEGER), turn, block FROM b)"""
+blocks AS (SELECT conv_id, -1 AS pos, header AS block FROM t
+           UNION ALL SELECT conv_id, turn, block FROM b)"""
 
 
-@query("ticket_thread", "WITH " + THREAD_SQL.replace("PER_PART", str(GROUPS_PER_PART)) + """
-SELECT conv_id AS ticket_id, part AS part_index,
-       string_agg(block, chr(10) ORDER BY pos) AS thread_text FROM blocks GROUP BY conv_id, part""")
+@query("ticket_thread", "WITH " + THREAD_SQL + """
+SELECT conv_id AS ticket_id,
+       string_agg(block, chr(10) ORDER BY pos) AS thread_text FROM blocks GROUP BY conv_id""")
 def ticket_thread(spark, sf_dir):
     tickets, groups = conversations(spark, sf_dir)
-    return tk.ticket_threads(tickets, groups, groups_per_part=GROUPS_PER_PART)
+    return tk.ticket_threads(tickets, groups)
 
 
 def count_words(text: str, variables: dict) -> str:
@@ -104,7 +102,7 @@ def count_words(text: str, variables: dict) -> str:
     return str(len(text.split()))
 
 
-@query("ticket_index", "WITH " + THREAD_SQL.replace("PER_PART", str(tk.GROUPS_PER_PART)) + """,
+@query("ticket_index", "WITH " + THREAD_SQL + """,
 x AS (SELECT conv_id, length(string_agg(block, chr(10) ORDER BY pos)) AS len
       FROM blocks GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS ticket_id, 'C-' || conv_id AS ticket_code,
@@ -112,8 +110,9 @@ SELECT CAST(conv_id AS VARCHAR) AS ticket_id, 'C-' || conv_id AS ticket_code,
   CAST(NULL AS VARCHAR) AS created_at, 'R' AS status, conv_id || '@example.com' AS customer_email,
   CASE WHEN len < 1000 THEN 0 ELSE len END AS flow_input_length,
   CASE WHEN len < 1000 THEN 'ERROR: too little to index' ELSE md5(CAST(conv_id AS VARCHAR))
-  END AS flow_process_id
+  END AS flow_process_id, '2024-06-01 00:00:00' AS indexed_at
 FROM t JOIN x USING (conv_id)""")
 def ticket_index(spark, sf_dir):
     tickets, groups = conversations(spark, sf_dir)
-    return tk.index_tickets(tickets, groups, count_words)
+    return tk.index_tickets(
+        tickets, groups, count_words, indexed_at=F.lit("2024-06-01 00:00:00"))

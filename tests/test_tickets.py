@@ -72,22 +72,13 @@ def test_thread_text(data):
     assert got == {1: FIRST, 2: SECOND}
 
 
-@pytest.mark.parametrize("size", [1, 2, 4])
-def test_parts_join_to_the_whole(data, size):
-    parts = tk.ticket_threads(*data, tags="tags", groups_per_part=size)
-    rows = parts.where("ticket_id = 1").orderBy("part_index").collect()
-    assert len(rows) > 1
-    assert "\n".join(r.thread_text for r in rows) == FIRST
-
-
-@pytest.mark.parametrize("size", [1, 1000])
-def test_index_rows(data, size):
+def test_index_rows(data):
     def answer(text, variables):
         if "TICKET #N/A" in text:
             raise ValueError("unknown ticket")
         return variables["ticket_id"]
 
-    rows = tk.index_tickets(*data, answer, tags="tags", groups_per_part=size)
+    rows = tk.index_tickets(*data, answer, tags="tags")
     assert rows.columns == tk.CHECKPOINT_COLUMNS
     got = {r.ticket_id: r for r in rows.collect()}
     assert got["1"].flow_input_length == len(FIRST)
@@ -117,17 +108,25 @@ def test_failed_tickets_can_be_retried(spark):
     assert sorted(r[0] for r in again.collect()) == [2, 3]
 
 
-def test_a_hot_ticket_spreads_over_its_parts(spark):
+@pytest.mark.parametrize("n", [1, 1001, 5000])
+def test_a_long_ticket_is_one_text_and_one_call(spark, n):
     tickets = spark.createDataFrame(
         [(7, "H", "s", "R", None, None, None, None, None, "M", [])], TICKET)
-    groups = spark.range(5000).select(
+    groups = spark.range(n).select(
         F.lit(7).cast("long").alias("ticket_id"), F.col("id").alias("position"),
         F.lit("t").alias("datecreated"), F.lit("u").alias("userid"),
         F.lit("A").alias("user_full_name"), F.lit("M").alias("type"),
         F.array(F.struct(F.lit("M").alias("type"), F.col("id").cast("string").alias("message")))
         .alias("messages"))
-    parts = tk.ticket_threads(tickets, groups, groups_per_part=100).orderBy("part_index").collect()
-    assert len(parts) == 50
-    text = "\n".join(p.thread_text for p in parts)
-    assert [int(x) for x in text.split("Message:\n")[1:][0].split()[:1]] == [0]
-    assert text.count("Message:\n") == 5000
+    row = tk.ticket_threads(tickets, groups).collect()
+    assert len(row) == 1
+    said = [int(x.split()[0]) for x in row[0].thread_text.split("Message:\n")[1:]]
+    assert said == list(range(n))
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(text, variables):
+        calls.add(1)
+        return variables["ticket_code"]
+
+    assert tk.index_tickets(tickets, groups, count).first().flow_process_id
+    assert calls.value == 1
