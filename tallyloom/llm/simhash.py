@@ -260,4 +260,6 @@ def keep_one(
         F.min(F.struct(F.col(id_col).isNull(), id_col, "__row")).alias("first")
     ).join(labels, "__print"), "labels")
     chosen = first.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
-    return printed.join(durable(chosen, "chosen"), "__row", "left_semi").select(*columns)
+    # As many rows as documents stay, so never a side to broadcast.
+    return printed.join(
+        durable(chosen, "chosen").hint("merge"), "__row", "left_semi").select(*columns)
