@@ -538,7 +538,7 @@ SESSION_KIND = "CASE event_type WHEN 'purchase' THEN 'message' WHEN 'view' THEN
 def session_events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), "event_id", "ts",
-        F.expr(SESSION_KIND).alias("kind"))
+        F.expr(SESSION_KIND).alias("kind"), F.col("props").alias("text"))
 
 
 @query("session_response", SESSION_SQL + """
@@ -547,3 +547,40 @@ SELECT user_id AS session_id, m[2] AS response_event, n AS n_artefacts,
 def session_response(spark, sf_dir):
     polled = session_events(spark, sf_dir)
     return sessions.session_response(polled.unionAll(polled))
+
+
+WAIT_HOURS = 48
+
+# Sessions that end: a purchase counts up to a deadline after the user's first event.
+TIMED_SQL = f"""
+WITH spans AS (SELECT user_id, min(ts) + INTERVAL {WAIT_HOURS} HOUR AS deadline
+               FROM events GROUP BY user_id),
+timely AS (SELECT e.* FROM events e JOIN spans USING (user_id) WHERE ts <= deadline),
+answers AS (SELECT user_id, event_id AS answer, ts AS answered, props AS response FROM timely
+            WHERE event_type = 'purchase'
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1),
+views AS (SELECT t.user_id, t.event_id, t.ts, t.props FROM timely t LEFT JOIN answers a
+          USING (user_id) WHERE event_type = 'view'
+          AND (answer IS NULL OR ts < answered OR (ts = answered AND event_id < answer)))"""
+
+TIMED_RESPONSE_SQL = TIMED_SQL + """
+SELECT s.user_id AS session_id, answer AS response_event, response,
+       (SELECT count(*) FROM views v WHERE v.user_id = s.user_id) AS n_artefacts,
+       CASE WHEN answer IS NULL THEN 'timeout' ELSE 'success' END AS status
+FROM spans s LEFT JOIN answers USING (user_id)"""
+
+
+@query("session_timeout", TIMED_RESPONSE_SQL)
+def session_timeout(spark, sf_dir):
+    polled = session_events(spark, sf_dir)
+    return sessions.session_response(
+        polled.unionAll(polled), F.expr(f"INTERVAL {WAIT_HOURS} HOURS"), "text")
+
+
+@query("session_artefacts", TIMED_SQL + f"""
+SELECT user_id AS session_id, event_id, {sql_stamp('ts')} AS ts, props AS artefact FROM views""")
+def session_artefacts(spark, sf_dir):
+    polled = session_events(spark, sf_dir)
+    found = sessions.session_artefacts(
+        polled.unionAll(polled), F.expr(f"INTERVAL {WAIT_HOURS} HOURS"), "text")
+    return found.withColumn("ts", stamp("ts"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans.batch import APPLIED_SQL, checked_digest, documents
 from tallyloom.plans.common import SQL, query, table
-from tallyloom.plans.evaluation import OUTCOME_SQL, SESSION_SQL, outcome_rows, session_events
+from tallyloom.plans.evaluation import (
+    OUTCOME_SQL, TIMED_RESPONSE_SQL, WAIT_HOURS, outcome_rows, session_events,
+)
 from tallyloom.session import scratch_path
 from tallyloom.streaming import jobs
 
@@ -59,43 +61,66 @@ def stream_resume(spark, sf_dir):
     return spark.read.parquet(path).select("ticket_id", "status")
 
 
+#: Every slice of a replay is one micro-batch of this many files.
+SLICE_FILES = 2
+
+
+def _arriving(df: DataFrame, name: str, at: str, row_id: str, cuts: list[str], late: str
+              ) -> DataFrame:
+    """A table as a stream of micro-batches that overlap in time.
+
+    A row arrives up to ``late`` after its moment, by a hash of its id, so that rows of a
+    micro-batch, and those of neighbouring ones, are out of order.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    arrival = F.col(at) + F.expr(f"INTERVAL {late}") * (F.pmod(F.xxhash64(row_id), F.lit(97)) / 97)
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df if low is None else df.where(arrival >= F.lit(low).cast("timestamp"))
+        part = part if high is None else part.where(arrival < F.lit(high).cast("timestamp"))
+        part.repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return jobs.read_table_stream(spark, path, df.schema, SLICE_FILES)
+
+
+def _heartbeat(df: DataFrame, at: str) -> DataFrame:
+    """A last row that moves the watermark past every deadline."""
+    late = F.lit("2200-01-01 00:00:00").cast("timestamp")
+    beat = df.sparkSession.range(1).select(*[
+        (late if f.name == at else F.lit(-1) if f.name.endswith("_id") else F.lit(None))
+        .cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.unionByName(beat)
+
+
 @query("stream_match_within", SQL["match_within"])
 def stream_match_within(spark, sf_dir):
-    late = F.to_timestamp_ntz(F.lit("2999-01-01 00:00:00"))
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("submitted_at"))
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("arrived_at"))
-    # A closing heartbeat on each side moves the watermark past every deadline.
-    beat = spark.range(1).select(F.lit(-1).cast("bigint").alias("task_id"), late.alias("at"))
-
-    def replay(df: DataFrame, name: str, at: str) -> DataFrame:
-        instants = df.unionByName(beat.withColumnRenamed("at", at))
-        return _replay(instants.select("task_id", jobs.event_time(at).alias(at)), name)
+    """Orders and their lines in four micro-batches, out of order by up to 20 days."""
+    cuts = [f"{year}-01-01" for year in (1997, 1998, 2000)]
+
+    def replay(name: str, key: str, at: str, named: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select(
+            F.col(key).alias("task_id"), jobs.event_time(at).alias(named))
+        return _arriving(_heartbeat(rows, named), name, named, "task_id", cuts, "20 DAYS")
 
     matched = jobs.match_within_stream(
-        replay(orders, "tasks", "submitted_at"), replay(lines, "arrivals", "arrived_at"),
-        "90 DAYS")
+        replay("orders", "o_orderkey", "o_orderdate", "submitted_at"),
+        replay("lineitem", "l_orderkey", "l_shipdate", "arrived_at"), "90 days", "30 days")
     path, checkpoint = scratch_path(spark, "matched"), scratch_path(spark, "matched-state")
-    with jobs.settings(spark, _state(spark)):
+    with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
         jobs.drain(matched, path, checkpoint)
-    done = spark.read.parquet(path).where("task_id >= 0").groupBy("task_id").agg(
-        F.min("arrived_at").cast("timestamp_ntz").alias("done"))
-    missed = F.col("done").isNull()
-    return done.select(
-        "task_id", F.date_format("done", "yyyy-MM-dd HH:mm:ss").alias("completed_at"),
-        F.when(missed, "failed").otherwise("success").alias("status"),
-        F.when(missed, F.lit("Timeout waiting for completion")).alias("error"))
-
-
-@query("stream_session", SESSION_SQL + """
-SELECT user_id AS session_id, m[2] AS response_event, n AS n_artefacts
-FROM c WHERE m IS NOT NULL""")
+    return spark.read.parquet(path).where("task_id >= 0").select(
+        "task_id", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"),
+        "status", "error")
+
+
+@query("stream_session", TIMED_RESPONSE_SQL)
 def stream_session(spark, sf_dir):
-    """Every event is polled twice; the repeats must not count."""
+    """Events in four micro-batches, out of order by up to six hours and polled twice each."""
     polled = session_events(spark, sf_dir).withColumn("ts", jobs.event_time("ts"))
-    stream = _replay(polled.unionAll(polled), "polled")
+    again = _heartbeat(polled.unionAll(polled), "ts")
+    cuts = [f"2024-01-{day:02d}" for day in (2, 3, 10)]
+    stream = _arriving(again, "polled", "ts", "event_id", cuts, "6 HOURS")
     path, checkpoint = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-state")
     with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
-        jobs.drain(jobs.session_response_stream(stream), path, checkpoint)
-    return spark.read.parquet(path)
+        jobs.drain(jobs.session_response_stream(
+            stream, f"{WAIT_HOURS} hours", "12 hours", "3650 days", "text"), path, checkpoint)
+    return spark.read.parquet(path).where("session_id >= 0")

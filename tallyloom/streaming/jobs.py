@@ -71,65 +71,210 @@ def drain_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkp
     return query
 
 
+def _interval(text: str) -> pd.Timedelta:
+    return pd.Timedelta(text.lower())
+
+
+def _millis(moment: pd.Timestamp) -> int:
+    """The first watermark, in milliseconds, that has passed a moment."""
+    return -(-moment.value // 1_000_000)
+
+
+def _passed(watermark: int) -> pd.Timestamp:
+    return pd.Timestamp(watermark, unit="ms")
+
+
+class _Outcome(StatefulProcessor):
+    """Per task: its submission and earliest result in time, whatever the number of results.
+
+    Results that overtake their task wait until the watermark reaches them: a task that comes
+    later than that is submitted after them.
+    """
+
+    def __init__(self, timeout: pd.Timedelta) -> None:
+        self._timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._task = handle.getValueState("task", "submitted_at timestamp, done timestamp")
+        self._early = handle.getListState("early", "arrived_at timestamp")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
+                        ) -> Iterator[pd.DataFrame]:
+        submitted, done = self._task.get() if self._task.exists() else (None, None)
+        arrived = []
+        for batch in rows:
+            tasks = batch.loc[batch["is_task"], "at"]
+            if submitted is None and len(tasks):
+                submitted = tasks.min()
+            arrived.extend(batch.loc[~batch["is_task"], "at"])
+        if submitted is None:
+            if arrived:
+                self._early.appendList([(a,) for a in arrived])
+                self._handle.registerTimer(max(_millis(pd.Timestamp(a)) for a in arrived))
+            return
+        if done is None and self._early.exists():
+            arrived.extend(a for (a,) in self._early.get())
+            self._early.clear()
+        submitted = pd.Timestamp(submitted)
+        moments = [pd.Timestamp(a) for a in [*arrived, done] if a is not None]
+        inside = [a for a in moments if submitted <= a <= submitted + self._timeout]
+        done = min(inside) if inside else None
+        self._task.update((submitted, done))
+        self._handle.registerTimer(_millis(done or submitted + self._timeout))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any
+                           ) -> Iterator[pd.DataFrame]:
+        now = _passed(timerValues.getCurrentWatermarkInMs())
+        if self._task.exists():
+            submitted, done = self._task.get()
+            submitted = pd.Timestamp(submitted)
+            end = pd.Timestamp(done) if done is not None else submitted + self._timeout
+            if end <= now:
+                self._task.clear()
+                yield pd.DataFrame({
+                    "task_id": [key[0]], "submitted_at": [submitted],
+                    "completed_at": [None if done is None else end],
+                }).astype({"completed_at": "datetime64[ns]"})
+        elif self._early.exists():
+            waiting = [(a,) for (a,) in self._early.get() if pd.Timestamp(a) > now]
+            self._early.clear()
+            if waiting:
+                self._early.put(waiting)
+
+    def close(self) -> None:
+        pass
+
+
 def match_within_stream(
     tasks: DataFrame, results: DataFrame, timeout: str, delay: str = "0 seconds"
 ) -> DataFrame:
-    """Tasks with the results that arrive inside the timeout; unmatched ones once it passed.
+    """One row per task: its earliest result inside the timeout, or a timeout failure.
 
-    Both sides need a ``timestamp`` column (``submitted_at``, ``arrived_at``). Task ids are
-    unique, so the join yields at most one row per result; a task with several results in
-    time shows up with each of them, the earliest of which counts.
+    Both sides need a ``timestamp`` column (``submitted_at``, ``arrived_at``) and may be out of
+    order by ``delay``. A task is told of once the watermark, the slower of the two sides',
+    has passed its earliest result or its deadline, and its state is gone with that. Task ids
+    are unique. The state store must be RocksDB, as in ``session_response_stream``.
+    """
+    asked = tasks.select("task_id", F.col("submitted_at").alias("at"), F.lit(True).alias("is_task"))
+    given = results.select("task_id", F.col("arrived_at").alias("at"), F.lit(False).alias("is_task"))
+    id_type = tasks.schema["task_id"].dataType.simpleString()
+    both = asked.withWatermark("at", delay).unionByName(given.withWatermark("at", delay))
+    outcomes = both.groupBy("task_id").transformWithStateInPandas(
+        statefulProcessor=_Outcome(_interval(timeout)),
+        outputStructType=f"task_id {id_type}, submitted_at timestamp, completed_at timestamp",
+        outputMode="append", timeMode="EventTime")
+    missed = F.col("completed_at").isNull()
+    return outcomes.select(
+        "*", F.when(missed, "failed").otherwise("success").alias("status"),
+        F.when(missed, F.lit("Timeout waiting for completion")).alias("error"))
+
+
+class _Session(StatefulProcessor):
+    """Per session: its first event, earliest message, and artefacts.
+
+    Artefacts the watermark has passed are a number; only those above it are held one by one.
     """
-    t = tasks.withWatermark("submitted_at", delay)
-    r = results.select(F.col("task_id").alias("result_task"), "arrived_at")\
-        .withWatermark("arrived_at", delay)
-    inside = F.expr(
-        f"task_id = result_task AND arrived_at >= submitted_at "
-        f"AND arrived_at <= submitted_at + INTERVAL {timeout}")
-    return t.join(r, inside, "leftOuter").select("task_id", "submitted_at", "arrived_at")
-
 
-class _FirstMessage(StatefulProcessor):
-    """Per session: a flag and a counter, whatever the number of events."""
+    def __init__(self, timeout: pd.Timedelta, forget: pd.Timedelta) -> None:
+        self._timeout, self._forget = timeout, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "n_artefacts long, closed boolean")
+        self._handle = handle
+        self._seen = handle.getValueState(
+            "seen", "first timestamp, message_at timestamp, message_id long, message string, "
+                    "n_artefacts long, counted_to timestamp, closed_at timestamp")
+        self._held = handle.getListState("held", "ts timestamp, event_id long")
+
+    def _end(self, first: pd.Timestamp, message_at: Any) -> pd.Timestamp:
+        deadline = pd.Timestamp(first) + self._timeout
+        return deadline if message_at is None else min(pd.Timestamp(message_at), deadline)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        count, closed = self._seen.get() if self._seen.exists() else (0, False)
-        if closed:
+        known = self._seen.exists()
+        first, at, event, text, count, counted_to, closed_at = (
+            self._seen.get() if known else (None, None, None, None, 0, None, None))
+        batches = list(rows)
+        if closed_at is not None:
+            return
+        held = {(pd.Timestamp(t), e) for t, e in self._held.get()} if known else set()
+        message = None if at is None else (pd.Timestamp(at), event, text)
+        for batch in batches:
+            for t, e, kind, body in zip(batch["ts"], batch["event_id"], batch["kind"],
+                                        batch["message"], strict=True):
+                if counted_to is not None and t <= pd.Timestamp(counted_to):
+                    continue
+                first = t if first is None else min(pd.Timestamp(first), t)
+                if kind == "message" and (message is None or (t, e) < message[:2]):
+                    message = (t, int(e), body)
+                elif kind == "artefact":
+                    held.add((t, int(e)))
+        if first is None:
+            return
+        now = _passed(timerValues.getCurrentWatermarkInMs())
+        end = self._end(first, message[0] if message else None)
+        held = {h for h in held if (h < message[:2] if message else True) and h[0] <= end}
+        passed = {h for h in held if h[0] <= now}
+        self._seen.update((first, *(message or (None, None, None)), int(count) + len(passed), now,
+                           None))
+        self._held.clear()
+        if held - passed:
+            self._held.put(sorted(held - passed))
+        self._handle.registerTimer(_millis(end))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any
+                           ) -> Iterator[pd.DataFrame]:
+        if not self._seen.exists():
+            return
+        now = _passed(timerValues.getCurrentWatermarkInMs())
+        first, at, event, text, count, counted_to, closed_at = self._seen.get()
+        if closed_at is not None:
+            if pd.Timestamp(closed_at) + self._forget <= now:
+                self._seen.clear()
             return
-        batch = pd.concat(list(rows))
-        moments = list(zip(batch["ts"], batch["event_id"], batch["kind"]))
-        messages = [m[:2] for m in moments if m[2] == "message"]
-        end = min(messages) if messages else None
-        count += sum(1 for m in moments if m[2] == "artefact" and (end is None or m[:2] < end))
-        self._seen.update((int(count), end is not None))
-        if end is not None:
-            yield pd.DataFrame({
-                "session_id": [key[0]], "response_event": [end[1]], "n_artefacts": [count]})
+        end = self._end(first, at)
+        if end > now:
+            return
+        answered = at is not None and pd.Timestamp(at) <= end
+        n = int(count) + sum(1 for _ in self._held.get())
+        self._held.clear()
+        self._seen.update((first, None, None, None, 0, now, end))
+        self._handle.registerTimer(_millis(end + self._forget))
+        yield pd.DataFrame({
+            "session_id": [key[0]], "response_event": pd.array([event if answered else None], "Int64"),
+            "n_artefacts": [n], "status": ["success" if answered else "timeout"],
+            "response": pd.array([text if answered else None], "string")})
 
     def close(self) -> None:
         pass
 
 
-def session_response_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First final message of each session with the artefacts that came before it.
+def session_response_stream(
+    events: DataFrame, timeout: str, delay: str = "1 hour", forget: str = "30 days",
+    text: str | None = None,
+) -> DataFrame:
+    """Final message of each session, with its text and the artefacts before it, or a timeout.
 
-    Repeated event ids inside the watermark are dropped. A session closes with the
-    micro-batch its message arrives in; only that micro-batch's rows of a session are
-    looked at together, and the trigger's file bound limits those.
+    The batch form is ``sessions.session_response`` with the same ``timeout``, counted from the
+    session's first event. Events may be out of order by ``delay``; a session is told of
+    once the watermark has passed its earliest message or its deadline, so that nothing older
+    can follow. Repeated events count once. Of a session told of, one small row stays for
+    ``forget`` longer than its end, against stragglers; then the id is free again.
 
     The session's state store must be RocksDB (``spark.sql.streaming.stateStore
     .providerClass``).
     """
-    once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_FirstMessage(),
-        outputStructType="session_id long, response_event long, n_artefacts long",
-        outputMode="append", timeMode="None",
-    )
+    body = F.lit(None).cast("string") if text is None else F.col(text)
+    id_type = events.schema["session_id"].dataType.simpleString()
+    return events.select("session_id", "event_id", "ts", "kind", body.alias("message"))\
+        .withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Session(_interval(timeout), _interval(forget)),
+        outputStructType=f"session_id {id_type}, response_event long, n_artefacts long, "
+                         "status string, response string",
+        outputMode="append", timeMode="EventTime")
 
 
 def resume_stream(

@@ -178,3 +178,48 @@ def test_status_counts_over_several_batches(spark, tmp_path):
     jobs.status_counts_stream(stream, path, checkpoint)
     got = {r.status: r.n for r in jobs.latest_counts(spark, path).collect()}
     assert got == {"success": 3, "failed": 1, "error": 1}
+
+
+def test_sessions_out_of_order_over_micro_batches(spark, tmp_path):
+    inbox, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "session_id long, event_id long, ts timestamp, kind string, text string"
+    t0 = datetime(2024, 1, 1, 10)
+    at = lambda m: t0 + timedelta(minutes=m)
+    batches = [[(1, 1, at(10), "artefact", "a"), (2, 3, at(0), "artefact", "c")],
+               [(1, 2, at(5), "message", "m"), (1, 1, at(10), "artefact", "a")],
+               [(1, 4, at(1), "artefact", "b"), (3, 5, at(20), "message", "n")],
+               [(9, 9, at(9999), "other", None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+    stream = jobs.read_table_stream(spark, inbox, spark.read.parquet(inbox).schema, 1)
+    with jobs.settings(spark, {jobs.PARTITIONS: "2", jobs.STATE_STORE: jobs.ROCKSDB}):
+        jobs.drain(jobs.session_response_stream(stream, "60 minutes", "30 minutes", text="text"),
+                   path, checkpoint)
+    got = {tuple(r) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 2, 1, "success", "m"), (2, None, 1, "timeout", None),
+                   (3, 5, 0, "success", "n")}
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    twin = sessions.session_response(every, F.expr("INTERVAL 60 MINUTES"), "text")
+    assert got == {tuple(r) for r in twin.where("session_id < 9").collect()}
+
+
+def test_stream_outcomes_are_one_row_per_task(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "state")
+    t0 = datetime(2024, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    asked = [[(0, at(100)), (1, at(100))], [(2, at(90))], [(-1, at(9999))]]
+    given = [[(2, at(150)), (0, at(300))], [(0, at(200)), (0, at(50)), (1, at(401)), (8, at(120))],
+             [(-1, at(9999))]]
+
+    def stream(name, batches, column):
+        inbox, schema = str(tmp_path / name), f"task_id long, {column} timestamp"
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        return jobs.read_table_stream(spark, inbox, spark.read.parquet(inbox).schema, 1)
+
+    with jobs.settings(spark, {jobs.PARTITIONS: "2", jobs.STATE_STORE: jobs.ROCKSDB}):
+        jobs.drain(jobs.match_within_stream(
+            stream("tasks", asked, "submitted_at"), stream("results", given, "arrived_at"),
+            "300 seconds", "400 seconds"), path, checkpoint)
+    got = {r.task_id: (r.completed_at, r.status) for r in spark.read.parquet(path).collect()}
+    assert got == {0: (at(200), "success"), 1: (None, "failed"), 2: (at(150), "success")}
