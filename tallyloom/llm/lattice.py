@@ -25,7 +25,7 @@ from tallyloom.session import durable
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HELD_WORDS = 200_000
-FREQUENT = 100_000
+FREQUENT, LOOKED_UP_BYTES = 100_000, 64
 
 
 class Lattice:
@@ -228,8 +228,9 @@ def score_documents(
     the id as text falls into ``held_fold`` of ``folds`` are not learned from; a null id is
     learned from. ``base_score`` is the add-half unigram log10 probability, ``score`` that of the
     lattice. A null or empty text is its end mark alone. Repeated rows each get a row and count
-    each. The ``frequent_words`` most used words are looked up where documents are read, all
-    others by a join; the result does not depend on that number.
+    each. The ``frequent_words`` most used words of at most 64 bytes are looked up where documents
+    are read, which bounds the table sent to the tasks; all others, long or rare, are joined. The
+    result does not depend on that number.
     """
     spark: SparkSession = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held_fold, F.lit(False))
@@ -245,7 +246,8 @@ def score_documents(
     pieces, logs, end = fitted(words, training, model_file)
     valued = durable(words.mapInArrow(
         _marginals(pieces, logs), "word string, n long, log10 double"), "valued")
-    top = valued.orderBy(F.desc("n"), "word").limit(frequent_words).collect()
+    short = valued.where(F.octet_length("word") <= LOOKED_UP_BYTES)
+    top = short.orderBy(F.desc("n"), "word").limit(frequent_words).collect()
     frequent = {r["word"].encode(): (math.log10((r["n"] + 0.5) / below), int(r["n"] > 0), r["log10"])
                 for r in top}
     shared = spark.sparkContext.broadcast(frequent)
