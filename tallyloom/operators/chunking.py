@@ -2,7 +2,8 @@
 
 A document is one row, and everything that happens to it is an array expression on that
 row: no shuffle, no window, no explode until the finished chunks leave it. Python is
-entered only for sections that are over budget by themselves.
+entered for the token counts of sections, to pack them, and for the text of sections that are
+over budget by themselves.
 """
 
 from __future__ import annotations
@@ -105,41 +106,45 @@ def heading_list(texts: Column) -> Column:
     return let(F.flatten(F.transform(texts, headings)), bullets)
 
 
-def pack_sections(tokens: Column, max_tokens: int, header_tokens: Column) -> Column:
-    """Group consecutive sections within the budget: array of (start, size, oversize).
+def _cuts(tokens: Sequence[int], budget: int, header: int) -> list[list[int]]:
+    """(start, size, oversize) of the groups of one document."""
+    out, start, used = [], 0, header
 
-    ``tokens`` holds the section token counts. A section over budget by itself closes the
-    current group and stands alone. The fold records the cuts only.
-    """
-    unit = "struct<start:int,size:int,oversize:boolean>"
-    none = F.array().cast(f"array<{unit}>")
+    def close(end: int) -> None:
+        if end > start:
+            out.append([start + 1, end - start, 0])
 
-    def group(start: Column, size: Column, oversize: bool) -> Column:
-        return F.array(
-            F.struct(start.alias("start"), size.alias("size"), F.lit(oversize).alias("oversize")))
+    for at, size in enumerate(tokens):
+        if size > budget - header:
+            close(at)
+            out.append([at + 1, 1, 1])
+            start, used = at + 1, header
+        elif at > start and used + size + 2 > budget:
+            close(at)
+            start, used = at, header + size
+        else:
+            used += size + (2 if at > start else 0)
+    close(len(tokens))
+    return out
 
-    def state(at: Column, used: Column, start: Column, done: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), used.cast("int").alias("used"),
-                        start.cast("int").alias("start"), done.alias("done"))
 
-    def step(s: Column, t: Column) -> Column:
-        at, used, start, done = s["at"], s["used"], s["start"], s["done"]
-        is_open = at > start
-        closed = F.when(is_open, F.concat(done, group(start, at - start, False))).otherwise(done)
-        return (
-            F.when(t > F.lit(max_tokens) - header_tokens,
-                   state(at + 1, header_tokens, at + 1,
-                         F.concat(closed, group(at, F.lit(1), True))))
-            .when(is_open & (used + t + 2 > max_tokens),
-                  state(at + 1, header_tokens + t, at, closed))
-            .otherwise(state(at + 1, used + t + F.when(is_open, 2).otherwise(0), start, done))
-        )
+def pack_sections(tokens: Column, max_tokens: int, header_tokens: Column) -> Column:
+    """Group consecutive sections within the budget: array of (start, size, oversize).
 
-    def finish(s: Column) -> Column:
-        at, start, done = s["at"], s["start"], s["done"]
-        return F.when(at > start, F.concat(done, group(start, at - start, False))).otherwise(done)
+    ``tokens`` holds the section token counts. A section over budget by itself closes the
+    current group and stands alone. A running sum that starts anew at every cut is no window,
+    and a fold would copy a growing array, so the counts alone, no text, cross to Python; time
+    is linear in the number of sections.
+    """
+    @F.pandas_udf("array<array<int>>")
+    def pack(counts: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if c is None else _cuts(c.tolist(), max_tokens, int(h))
+            for c, h in zip(counts, headers, strict=True)], dtype=object)
 
-    return F.aggregate(tokens, state(F.lit(1), header_tokens, F.lit(1), none), step, finish)
+    # Keeps the optimizer from merging the call into, and repeating it in, later steps.
+    return F.transform(pack.asNondeterministic()(tokens, header_tokens), lambda g: F.struct(
+        g[0].alias("start"), g[1].alias("size"), (g[2] == 1).alias("oversize")))
 
 
 def oversize_splitter(
@@ -218,7 +223,7 @@ def _block(text: Column) -> Column:
     return F.when(text != "", F.concat(text, F.lit("\n\n"))).otherwise(F.lit(""))
 
 
-def _chunk_units(head: Column, head_tokens: Column, sections: Column, tokens: Column,
+def _chunk_units(head: Column, head_tokens: Column, sections: Column, groups: Column,
                  budget: int) -> Column:
     """The packed groups of a document with their texts, ready to be assembled.
 
@@ -246,9 +251,8 @@ def _chunk_units(head: Column, head_tokens: Column, sections: Column, tokens: Co
             finish)
 
     document = F.struct(head.alias("head"), head_tokens.alias("head_tokens"),
-                        sections.alias("sections"), tokens.alias("tokens"))
-    return let(document, lambda d: F.transform(
-        pack_sections(d["tokens"], budget, d["head_tokens"]), lambda u: describe(d, u)))
+                        sections.alias("sections"), groups.alias("groups"))
+    return let(document, lambda d: F.transform(d["groups"], lambda u: describe(d, u)))
 
 
 def chunk_documents(
@@ -279,8 +283,10 @@ def chunk_documents(
     budget = max_tokens - overlap if strict_budget else max_tokens
     keep = list(dict.fromkeys([id_col, *([source] if source else []), *carry]))
     rows = section_arrays(df.select(*dict.fromkeys([*keep, text])), text, source, count_all)
+    rows = rows.withColumn(
+        "__groups", pack_sections(F.col("__tokens"), budget, F.col("__head_tokens")))
     rows = rows.select(*keep, _chunk_units(
-        F.col("__head"), F.col("__head_tokens"), F.col("__sections"), F.col("__tokens"), budget
+        F.col("__head"), F.col("__head_tokens"), F.col("__sections"), F.col("__groups"), budget
     ).alias("__units"))
 
     # Only what is over budget crosses to Python; every other entry goes as NULL.

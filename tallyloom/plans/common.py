@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.numbers import NUMBER_PATTERN
-from tallyloom.functions.text import HTML_RULES, TOKEN, TOKEN_AND_GAP
+from tallyloom.functions.text import HTML_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +41,12 @@ def stamp(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
-# SQL text for the checks, one helper per expression the checks share.
+# SQL text for the checks, one helper per expression the checks share. Rules are stated here
+# anew, so that a check does not take them over from what it checks.
+
+# One token, and a plain decimal number.
+SQL_TOKEN = r"(?:[\pL\pN]+|[^\s\pL\pN])"
+SQL_NUMBER = r"^[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
 
 EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+\z"
 
@@ -52,16 +56,16 @@ def sql_strip(x: str) -> str:
 
 
 def sql_number(x: str) -> str:
-    return f"CASE WHEN regexp_matches(trim({x}), '{NUMBER_PATTERN}') " \
+    return f"CASE WHEN regexp_matches(trim({x}), '{SQL_NUMBER}') " \
            f"THEN try_cast(trim({x}) AS DOUBLE) END"
 
 
 def sql_tokens(x: str) -> str:
-    return f"len(regexp_extract_all({x}, '{TOKEN}'))"
+    return f"len(regexp_extract_all({x}, '{SQL_TOKEN}'))"
 
 
 def sql_last_tokens(x: str, n: int) -> str:
-    return f"array_to_string(regexp_extract_all({x}, '{TOKEN_AND_GAP}')[-{n}:], '')"
+    return f"array_to_string(regexp_extract_all({x}, '{SQL_TOKEN}\\s*')[-{n}:], '')"
 
 
 def sql_stamp(x: str) -> str:

@@ -12,7 +12,7 @@ from tallyloom.functions import text as tx
 from tallyloom.functions.binding import explode_once
 from tallyloom.operators import chunking, indexing, sitemaps
 from tallyloom.plans.common import (
-    query, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
+    SQL_TOKEN, query, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
     sql_tokens, table,
 )
 from tallyloom.session import scratch_path
@@ -43,23 +43,27 @@ docs AS (
            ELSE s END), lambda s: s <> '') AS sections
   FROM web)"""
 
-ROWS_SQL = f"""{CLEAN_SQL},
-secs AS (SELECT page_id, url, head, unnest(sections) AS section,
+SECTION_ROWS = f"""secs AS (SELECT page_id, url, head, unnest(sections) AS section,
                 unnest(range(1, len(sections) + 1)) AS idx, len(sections) AS total FROM docs),
 toks AS (SELECT *, {sql_tokens('section')} AS t FROM secs)"""
+ROWS_SQL = f"""{CLEAN_SQL},
+{SECTION_ROWS}"""
 
-PACKED_SQL = f"""WITH RECURSIVE {ROWS_SQL},
+
+def sql_packed(budget: int) -> str:
+    """Table expressions from ``docs`` to ``units``, the groups of sections within a budget."""
+    return f"""{SECTION_ROWS},
 fold AS (
   SELECT page_id, 0::BIGINT AS idx, 0 AS unit, head::BIGINT AS used, false AS is_open,
          false AS oversize FROM docs
   UNION ALL
   SELECT f.page_id, k.idx,
-    CASE WHEN k.t > {PACK_TOKENS} - k.head OR NOT f.is_open
-              OR f.used + k.t + 2 > {PACK_TOKENS} THEN f.unit + 1 ELSE f.unit END,
-    CASE WHEN k.t > {PACK_TOKENS} - k.head THEN k.head
-         WHEN NOT f.is_open OR f.used + k.t + 2 > {PACK_TOKENS} THEN k.head + k.t
+    CASE WHEN k.t > {budget} - k.head OR NOT f.is_open
+              OR f.used + k.t + 2 > {budget} THEN f.unit + 1 ELSE f.unit END,
+    CASE WHEN k.t > {budget} - k.head THEN k.head
+         WHEN NOT f.is_open OR f.used + k.t + 2 > {budget} THEN k.head + k.t
          ELSE f.used + k.t + 2 END,
-    k.t <= {PACK_TOKENS} - k.head, k.t > {PACK_TOKENS} - k.head
+    k.t <= {budget} - k.head, k.t > {budget} - k.head
   FROM fold f JOIN toks k ON k.page_id = f.page_id AND k.idx = f.idx + 1),
 units AS (
   SELECT f.page_id, f.unit, min(f.idx) AS start, count(*) AS size, bool_or(oversize) AS oversize,
@@ -68,6 +72,9 @@ units AS (
   GROUP BY f.page_id, f.unit)"""
 
 
+PACKED_SQL = f"WITH RECURSIVE {CLEAN_SQL},\n{sql_packed(PACK_TOKENS)}"
+
+
 def pages(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
@@ -183,50 +190,150 @@ def chunk_overlap(spark, sf_dir):
                          tx.token_count(F.col("chunk_text")).alias("token_count"))
 
 
-@query("split_oversize")
+def sql_split(source: str, name: str, overlap: int) -> str:
+    """Table expressions that cut ``source(key, room, text)`` into ``name(key, no, piece)``.
+
+    One expression per separator, coarse to fine, each cutting what is over ``room`` after every
+    separator; then words over ``room`` at every ``room`` tokens. The atoms have running token
+    counts, from which each possible first atom of a piece knows where the piece ends and where
+    the next one begins; following these from atom 1 gives the pieces.
+    """
+    levels = [f"{name}_0 AS (SELECT key, greatest(room, 1) AS room, [1] AS path, text AS t, "
+              f"{sql_tokens('text')} AS n FROM {source})"]
+    for i, separator in enumerate(("chr(10) || chr(10)", "chr(10)", "'. '", "' '"), 1):
+        levels.append(f"""{name}_{i} AS (
+  SELECT key, room, list_append(path, j) AS path, t, {sql_tokens('t')} AS n FROM (
+    SELECT key, room, path, j, CASE WHEN j < len(parts) THEN parts[j] || sep ELSE parts[j] END AS t
+    FROM (SELECT key, room, path, parts, sep, unnest(range(1, len(parts) + 1)) AS j FROM (
+      SELECT key, room, path, {separator} AS sep, CASE WHEN n > room
+        THEN string_split(t, {separator}) ELSE [t] END AS parts FROM {name}_{i - 1})))
+  WHERE t <> '')""")
+    runs = f"regexp_extract_all(t, '(?:^\\s+)?{SQL_TOKEN}\\s*')"
+    piece = sql_strip("CASE WHEN h.stop IS NULL THEN substr(o.text, f.at + 1) "
+                      "ELSE substr(o.text, f.at + 1, z.at - f.at) END")
+    return ",\n".join(levels) + f""",
+{name}_5 AS (
+  SELECT key, room, list_append(path, j) AS path, parts[j] AS t, least(n - (j - 1) * room, room) AS n
+  FROM (SELECT key, room, path, n, parts, unnest(range(1, len(parts) + 1)) AS j FROM (
+    SELECT key, room, path, n, CASE WHEN n > room THEN list_transform(
+        range(0, CAST(ceil(n / room) AS BIGINT)),
+        lambda k: array_to_string({runs}[k * room + 1:(k + 1) * room], ''))
+      ELSE [t] END AS parts FROM {name}_4))),
+{name}_atoms AS (
+  SELECT key, room, row_number() OVER w AS i, n, coalesce(sum(n) OVER before, 0)::BIGINT AS c,
+         coalesce(sum(length(t)) OVER before, 0)::BIGINT AS at
+  FROM {name}_5 WINDOW w AS (PARTITION BY key ORDER BY path),
+    before AS (PARTITION BY key ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_ends AS (SELECT key, c + n AS reach, min(i) AS i FROM {name}_atoms GROUP BY 1, 2),
+{name}_begins AS (SELECT key, c, min(i) AS i FROM {name}_atoms GROUP BY 1, 2),
+{name}_cut AS (
+  SELECT a.key, a.i, e.i AS stop
+  FROM {name}_atoms a ASOF JOIN {name}_ends e ON a.key = e.key AND a.c + a.room < e.reach),
+{name}_kept AS (
+  SELECT x.key, x.i, x.stop, s.c - least({overlap}, s.room - s.n) AS least_c
+  FROM {name}_cut x JOIN {name}_atoms s ON s.key = x.key AND s.i = x.stop),
+{name}_hop AS (
+  SELECT k.key, k.i, k.stop, greatest(k.i, b.i) AS next
+  FROM {name}_kept k ASOF JOIN {name}_begins b ON k.key = b.key AND k.least_c <= b.c),
+{name}_walk AS (
+  SELECT key, 1::BIGINT AS i, 1 AS no FROM {name}_0
+  UNION ALL
+  SELECT w.key, h.next, w.no + 1 FROM {name}_walk w JOIN {name}_hop h ON h.key = w.key AND h.i = w.i),
+{name} AS (
+  SELECT key, row_number() OVER (PARTITION BY key ORDER BY no) AS no, piece FROM (
+    SELECT w.key, w.no, {piece} AS piece
+    FROM {name}_walk w JOIN {source} o ON o.key = w.key
+    JOIN {name}_atoms f ON f.key = w.key AND f.i = w.i
+    LEFT JOIN {name}_hop h ON h.key = w.key AND h.i = w.i
+    LEFT JOIN {name}_atoms z ON z.key = h.key AND z.i = h.stop)
+  WHERE piece <> '')"""
+
+
+SPLIT_TOKENS, SPLIT_OVERLAP = 300, 30
+
+
+@query("split_oversize", f"""WITH RECURSIVE long AS (
+  SELECT doc_id AS key, {SPLIT_TOKENS} AS room, coalesce(text, '') AS text FROM documents),
+{sql_split('long', 'pieces', SPLIT_OVERLAP)}
+SELECT key AS doc_id, CAST(no - 1 AS INTEGER) AS piece_index, piece,
+       CAST({sql_tokens('piece')} AS INTEGER) AS token_count FROM pieces""")
 def split_oversize(spark, sf_dir):
-    units = F.array(F.struct(F.col("text"), F.lit(300).alias("budget")))
-    pieces = chunking.oversize_splitter(30)(units)[0]
+    units = F.array(F.struct(
+        F.coalesce("text", F.lit("")).alias("text"), F.lit(SPLIT_TOKENS).alias("budget")))
+    pieces = chunking.oversize_splitter(SPLIT_OVERLAP)(units)[0]
     split = explode_once(
         documents(spark, sf_dir).select("doc_id", pieces.alias("pieces")),
         "pieces", "piece_index", "piece")
     return split.withColumn("token_count", tx.token_count(F.col("piece")))
 
 
-@query("chunk_documents")
-def chunk_documents(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn(
-        "name", F.expr("source || '/' || doc_id || '.md'"))
-    return chunking.chunk_documents(docs, "doc_id", "text", "name", 400, 40)
+def sql_chunks(budget: int, overlap: int) -> str:
+    """Table expressions from ``docs`` (see ``CLEAN_SQL``) to ``chunks``, oversize sections
+    split."""
+    packed = sql_packed(budget)
+    listed = sql_heading_list(
+        "(list_slice(sections, CAST(start AS INTEGER), CAST(start + size - 1 AS INTEGER)))")
+    line = r"(?m)^[ \t]*(## [^\n]*)$"
+    without = sql_strip(r"regexp_replace(body, '(?m)^[ \t]*## [^\n]*$\n?', '', 'g')")
+    after = "CASE WHEN {0} <> '' THEN {0} || chr(10) || chr(10) ELSE '' END"
+    return f"""{packed},
+described AS (
+  SELECT u.page_id, url, unit, oversize, body, head, {HEADER_SQL} AS name, {listed} AS list,
+    CASE WHEN oversize THEN {sql_strip(f"regexp_extract(body, '{line}', 1)")} ELSE '' END AS h2
+  FROM units u JOIN docs USING (page_id)),
+long AS (
+  SELECT page_id || '/' || unit AS key, CAST({budget} - head - {sql_tokens('h2')} AS INTEGER) AS room,
+    {without} AS text
+  FROM described WHERE oversize),
+{sql_split('long', 'pieces', overlap)},
+bodies AS (
+  SELECT page_id, url, unit, 1 AS no, name || {after.format('list')} AS prefix, body, true AS linked
+  FROM described WHERE NOT oversize
+  UNION ALL
+  SELECT page_id, url, unit, no, name || {after.format(f"({sql_strip('list')})")}
+         || {after.format('h2')}, piece, no = 1
+  FROM described JOIN pieces ON key = page_id || '/' || unit WHERE oversize),
+parts AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY unit, no) AS seq FROM bodies),
+assembled AS (
+  SELECT page_id, seq, prefix || body AS text FROM parts WHERE seq = 1
+  UNION ALL
+  SELECT p.page_id, p.seq, p.prefix || CASE WHEN p.linked
+      THEN {sql_last_tokens('l.text', overlap)} || chr(10) || chr(10) ELSE '' END || p.body
+  FROM assembled l JOIN parts p ON p.page_id = l.page_id AND p.seq = l.seq + 1),
+chunks AS (
+  SELECT page_id, url, CAST(seq AS INTEGER) AS chunk_index,
+    CAST(count(*) OVER (PARTITION BY page_id) AS INTEGER) AS total_chunks,
+    CAST({sql_tokens('text')} AS INTEGER) AS token_count, text AS chunk_text,
+    replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview
+  FROM assembled JOIN (SELECT page_id, url FROM docs) USING (page_id))"""
 
 
-CHUNK_TOKENS = 3000
+def sql_named_texts(source: str) -> str:
+    """``docs`` (see ``CLEAN_SQL``) of ``source``, a query for page_id, url and md."""
+    return f"web AS ({source}),\n" + CLEAN_SQL[CLEAN_SQL.index("docs AS ("):]
 
-CHUNKED_SQL = PACKED_SQL.replace(f"{PACK_TOKENS}", f"{CHUNK_TOKENS}") + f""",
-parts AS (
-  SELECT page_id, url, unit, {HEADER_SQL} || CASE WHEN list <> ''
-           THEN list || chr(10) || chr(10) ELSE '' END AS prefix, body
-  FROM (SELECT u.page_id, url, unit, body, {sql_heading_list(
-      "(list_slice(sections, CAST(start AS INTEGER), CAST(start + size - 1 AS INTEGER)))")} AS list
-        FROM units u JOIN docs USING (page_id))),
-linked AS (
-  SELECT page_id, unit, prefix || body AS text FROM parts WHERE unit = 1
-  UNION ALL
-  SELECT p.page_id, p.unit, p.prefix || {sql_last_tokens('l.text', OVERLAP)}
-         || chr(10) || chr(10) || p.body
-  FROM linked l JOIN parts p ON p.page_id = l.page_id AND p.unit = l.unit + 1)
-SELECT l.page_id, url, CAST(l.unit AS INTEGER) AS chunk_index,
-  CAST(max(l.unit) OVER (PARTITION BY l.page_id) AS INTEGER) AS total_chunks,
-  CAST({sql_tokens('text')} AS INTEGER) AS token_count, text AS chunk_text,
-  replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview
-FROM linked l JOIN parts p ON p.page_id = l.page_id AND p.unit = l.unit"""
 
+DOC_CHUNKS = (400, 40)
 
-@query("chunk_pages", CHUNKED_SQL)
+
+@query("chunk_documents", f"""WITH RECURSIVE {sql_named_texts(
+    "SELECT doc_id AS page_id, source || '/' || doc_id || '.md' AS url, coalesce(text, '') AS md "
+    "FROM documents")},
+{sql_chunks(*DOC_CHUNKS)}
+SELECT page_id AS doc_id, url AS name, chunk_index, total_chunks, token_count, chunk_text,
+  chunk_preview FROM chunks""")
+def chunk_documents(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn(
+        "name", F.expr("source || '/' || doc_id || '.md'"))
+    return chunking.chunk_documents(docs, "doc_id", "text", "name", *DOC_CHUNKS)
+
+
+@query("chunk_pages", f"""WITH RECURSIVE {CLEAN_SQL},
+{sql_chunks(PACK_TOKENS, OVERLAP)}
+SELECT * FROM chunks""")
 def chunk_pages(spark, sf_dir):
-    """The whole chunker; no section of a page is over this budget by itself."""
     return chunking.chunk_documents(
-        web(spark, sf_dir), "page_id", "md", "url", CHUNK_TOKENS, OVERLAP)
+        web(spark, sf_dir), "page_id", "md", "url", PACK_TOKENS, OVERLAP)
 
 
 @query("chunk_preview", """
@@ -310,9 +417,6 @@ def index_rollup(spark, sf_dir):
     return indexing.index_rollup(_indexed(spark, sf_dir), "page_id")
 
 
-WHOLE = 100_000
-
-
 def digest_chunk(text: str, variables: dict) -> str:
     """A row function over chunks."""
     if "spam" in variables["url"]:
@@ -320,28 +424,30 @@ def digest_chunk(text: str, variables: dict) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
-WHOLE_PAGES_SQL = f"""{CLEAN_SQL},
-c AS (SELECT page_id, url, {sql_heading_list('sections')} AS list,
-             array_to_string(sections, chr(10) || chr(10)) AS body FROM docs),
-t AS (SELECT page_id, url, {HEADER_SQL} || CASE WHEN list <> ''
-        THEN list || chr(10) || chr(10) ELSE '' END || body AS text FROM c),
-whole AS (SELECT page_id, url, text, CAST({sql_tokens('text')} AS INTEGER) AS token_count,
-    replace(substr(text, 1, 100), chr(10), ' ') AS chunk_preview,
-    CASE WHEN url LIKE '%spam%' THEN 'failed' ELSE 'success' END AS status,
-    CASE WHEN url NOT LIKE '%spam%' THEN md5(text) END AS result,
-    CASE WHEN url LIKE '%spam%' THEN 'refused' END AS error FROM t)""".replace(
-        f"regexp_replace(html, '{WITH_H2}', '<h2>{chr(92)}1</h2><p>{chr(92)}1', 'g')", "html")
+CAPTURED_SQL = f"SELECT page_id, url, {sql_markdown('html')} AS md FROM pages"
 
-ID_SQL = "CASE WHEN status = 'failed' THEN 'ERROR: refused' ELSE md5({} || '#1') END"
 
+def sql_indexed(rest: str, columns: str) -> str:
+    """Index rows of ``chunks`` under ``digest_chunk``, and one of each source without any."""
+    ids = " || '#' || ".join(columns.split(", "))
+    return f"""
+SELECT {columns}, chunk_index, token_count, chunk_preview,
+  CASE WHEN url LIKE '%spam%' THEN 'ERROR: refused' ELSE md5({ids} || '#' || chunk_index)
+  END AS flow_process_id,
+  CASE WHEN url LIKE '%spam%' THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN url NOT LIKE '%spam%' THEN md5(chunk_text) END AS result,
+  CASE WHEN url LIKE '%spam%' THEN 'refused' END AS error FROM chunks {rest}
+UNION ALL
+SELECT {columns}, 0, 0, '', 'ERROR: No content extracted', 'failed', NULL, 'No content extracted'
+FROM docs {rest} WHERE page_id NOT IN (SELECT page_id FROM chunks)"""
 
-@query("index_pages", f"""WITH {WHOLE_PAGES_SQL}
-SELECT page_id, url, 1 AS chunk_index, token_count, chunk_preview,
-       {ID_SQL.format("page_id || '#' || url")} AS flow_process_id, status, result, error
-FROM whole""")
+
+@query("index_pages", f"""WITH RECURSIVE {sql_named_texts(CAPTURED_SQL)},
+{sql_chunks(PACK_TOKENS, OVERLAP)}
+{sql_indexed('', 'page_id, url')}""")
 def index_pages(spark, sf_dir):
     return indexing.index_pages(
-        pages(spark, sf_dir), digest_chunk, max_tokens=WHOLE, overlap=OVERLAP)
+        pages(spark, sf_dir), digest_chunk, max_tokens=PACK_TOKENS, overlap=OVERLAP)
 
 
 ENTRIES_PER_SITEMAP = 20
@@ -396,31 +502,35 @@ def sitemap_limit(spark, sf_dir):
     return sitemaps.limit_urls(sitemap_expand(spark, sf_dir), 100)
 
 
-@query("index_sitemap", f"""WITH {WHOLE_PAGES_SQL},
-n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS url_index FROM whole)
-SELECT url_index, url, 1 AS chunk_index, token_count, chunk_preview,
-       {ID_SQL.format("url_index || '#' || url")} AS flow_process_id, status, result, error
-FROM n""")
+SITE_CHUNKS = (120, 15)
+
+
+@query("index_sitemap", f"""WITH RECURSIVE {sql_named_texts(CAPTURED_SQL)},
+{sql_chunks(*SITE_CHUNKS)},
+n AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS url_index FROM pages)
+{sql_indexed('JOIN n USING (page_id)', 'url_index, url')}""")
 def index_sitemap(spark, sf_dir):
     urls = sitemap_expand(spark, sf_dir)
-    return indexing.index_sitemap(urls, pages(spark, sf_dir), digest_chunk, WHOLE, OVERLAP)
-
-
-@query("index_folder", f"""
-WITH f AS (SELECT CASE lang WHEN 'en' THEN doc_id || '.pdf' ELSE doc_id || '.docx' END AS filename,
-             CASE lang WHEN 'en' THEN 'pdf' ELSE 'docx' END AS file_type, lang, text
-           FROM documents),
-n AS (SELECT *, row_number() OVER (ORDER BY file_type DESC, filename) AS file_index,
-        '# ' || filename || chr(10) || chr(10) || {sql_strip('text')} AS chunk FROM f)
-SELECT file_index, filename, file_type, CASE lang WHEN 'es' THEN 0 ELSE 1 END AS chunk_index,
-  CASE lang WHEN 'es' THEN 0 ELSE CAST({sql_tokens('chunk')} AS INTEGER) END AS token_count,
-  CASE lang WHEN 'es' THEN '' ELSE replace(substr(chunk, 1, 100), chr(10), ' ')
-  END AS chunk_preview,
-  CASE lang WHEN 'es' THEN 'ERROR: No content extracted'
-       ELSE md5(file_index || '#' || filename || '#' || file_type || '#1') END AS flow_process_id,
-  CASE lang WHEN 'es' THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN lang <> 'es' THEN length(chunk) || ' of ' || filename END AS result,
-  CASE lang WHEN 'es' THEN 'No content extracted' END AS error FROM n""")
+    return indexing.index_sitemap(urls, pages(spark, sf_dir), digest_chunk, *SITE_CHUNKS)
+
+
+@query("index_folder", f"""WITH RECURSIVE f AS (
+  SELECT CASE lang WHEN 'en' THEN doc_id || '.pdf' ELSE doc_id || '.docx' END AS filename,
+    CASE lang WHEN 'en' THEN 'pdf' ELSE 'docx' END AS file_type,
+    CASE WHEN lang <> 'es' THEN text END AS text FROM documents),
+n AS (SELECT *, row_number() OVER (ORDER BY file_type DESC, filename) AS file_index FROM f),
+{sql_named_texts(
+    "SELECT file_index AS page_id, filename AS url, text AS md FROM n WHERE text IS NOT NULL")},
+{sql_chunks(4000, 100)}
+SELECT file_index, filename, file_type, coalesce(chunk_index, 0) AS chunk_index,
+  coalesce(token_count, 0) AS token_count, coalesce(chunk_preview, '') AS chunk_preview,
+  CASE WHEN chunk_index IS NULL THEN 'ERROR: No content extracted'
+       ELSE md5(file_index || '#' || filename || '#' || file_type || '#' || chunk_index)
+  END AS flow_process_id,
+  CASE WHEN chunk_index IS NULL THEN 'failed' ELSE 'success' END AS status,
+  length(chunk_text) || ' of ' || filename AS result,
+  CASE WHEN chunk_index IS NULL THEN 'No content extracted' END AS error
+FROM n LEFT JOIN chunks ON page_id = file_index""")
 def index_folder(spark, sf_dir):
     folder = scratch_path(spark, "indexed-folder")
     name = F.expr("CASE lang WHEN 'en' THEN doc_id || '.pdf' ELSE doc_id || '.docx' END")
@@ -429,4 +539,4 @@ def index_folder(spark, sf_dir):
     extracted = stored.select("filename", F.expr("CASE WHEN lang <> 'es' THEN text END AS text"))
     return indexing.index_folder(
         sources.scan_folder(spark, folder), extracted,
-        lambda text, variables: f"{len(text)} of {variables['filename']}", WHOLE, OVERLAP)
+        lambda text, variables: f"{len(text)} of {variables['filename']}")
