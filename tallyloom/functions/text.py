@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from html.entities import name2codepoint
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,7 +101,8 @@ def format_executed(value: Column) -> Column:
     )
 
 
-# HTML to markdown, applied top to bottom; plain text is replaced as such.
+# HTML to markdown, applied top to bottom; plain text is replaced as such. A tag is
+# what has a letter, a slash or a mark after its ``<``.
 HTML_RULES: list[tuple[str, str]] = [
     (r"(?is)<(?:!--.*?--|head[ >].*?</head|script[ >].*?</script|style[ >].*?</style)>", ""),
     (r"[ \t\r\n]+", " "),
@@ -109,35 +113,113 @@ HTML_RULES: list[tuple[str, str]] = [
     ("<#4>", "#### "),
     ("<#5>", "##### "),
     ("<#6>", "###### "),
-    (r"(?i)<li[^>]*>", "\n* "),
+    (r"(?i)<(?:b|strong)(?: [^>]*)?>(.*?)</(?:b|strong)>", "**$1**"),
+    (r"(?i)<(?:i|em)(?: [^>]*)?>(.*?)</(?:i|em)>", "_$1_"),
+    (r"(?i)<li(?: [^>]*)?>", "\n* "),
     (r"(?i)<br[^>]*>", "\n"),
     (r"(?i)<(?:/h[1-6]|/?(?:p|div|ul|ol|table|tr|article|section|footer|blockquote)(?: [^>]*)?)>",
      "\n\n"),
-    (r'(?i)<img [^>]*alt="([^"]*)"[^>]*src="([^"]*)"[^>]*>', "![$1]($2)"),
-    (r'(?i)<img [^>]*src="([^"]*)"[^>]*alt="([^"]*)"[^>]*>', "![$2]($1)"),
-    (r'(?i)<img [^>]*src="([^"]*)"[^>]*>', "![]($1)"),
-    (r'(?i)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-    (r"<[^>]*>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&copy;", "(C)"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
+    (r"""(?i)<img [^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""",
+     "![$1$2]($3$4)"),
+    (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*>""",
+     "![$3$4]($1$2)"),
+    (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""", "![]($1$2)"),
+    (r"""(?i)<a [^>]*href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", "[$3]($1$2)"),
+    (r"</?[a-zA-Z][^>]*>|<[!?][^>]*>", ""),
+]
+GAP_RULES: list[tuple[str, str]] = [
     (r" {2,}", " "),
     (r" \n ?|\n ", "\n"),
     (r"\n{3,}", "\n\n"),
 ]
 
+# Characters that are written in ASCII. Lower-case vowels lose their accents.
+PLAIN_CHARACTERS = {
+    "nbsp": " ", "lsquo": "'", "rsquo": "'", "ldquo": '"', "rdquo": '"', "copy": "(C)",
+    "mdash": "--", "ndash": "-", "rarr": "->", "larr": "<-", "middot": "*", "oelig": "oe",
+    "aelig": "ae", "lrm": "", "rlm": "",
+}
+LINE, SPACE = "\u0003", "\u0004"
 
-def html_to_markdown(html: Column) -> Column:
-    """Markdown text of a page, links and images kept, no line wrapping."""
-    text = html
-    for pattern, replacement in HTML_RULES:
-        if pattern.startswith(("&", "<#")):
+
+def _character_text(name: str, code: int) -> str:
+    if name in PLAIN_CHARACTERS:
+        return PLAIN_CHARACTERS[name]
+    parts = normalize("NFD", chr(code))
+    return parts[0] if len(parts) == 2 and parts[0] in "aeiou" else chr(code)
+
+
+#: What stands for a character, by its entity's name and by its number.
+CHARACTERS = {key: _character_text(name, code) for name, code in name2codepoint.items()
+              for key in (name, f"#{code}")} | {"apos": "'"}
+
+
+def undo_entities(text: Column) -> Column:
+    """Named and numeric character references to text, once; what names nothing stays."""
+    known = F.from_json(F.lit(json.dumps(CHARACTERS)), "map<string,string>")
+
+    def character(ref: Column) -> Column:
+        code = F.when(F.startswith(F.lower(ref), F.lit("#x")), F.conv(F.substr(ref, F.lit(3)), 16, 10))\
+            .when(F.startswith(ref, F.lit("#")), F.substr(ref, F.lit(2))).cast("long")
+
+        def of(c: Column) -> Column:
+            key = F.when(c.isNull(), ref).otherwise(F.concat(F.lit("#"), c.cast("string")))
+            valid = c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+            coded = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))\
+                .when(c.isNotNull(), F.lit("�"))
+            return F.coalesce(F.try_element_at(known, key), coded)
+
+        return let(code, of)
+
+    def part(p: Column, i: Column) -> Column:
+        ref = F.regexp_extract(
+            p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        done = let(ref, lambda r: F.when(r != "", F.concat(
+            character(r), F.substr(p, F.char_length(r) + 2))))
+        return F.when(i == 0, p).otherwise(F.coalesce(done, F.concat(F.lit("&"), p)))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(
+        F.transform(F.split(t, "&"), part), "")).otherwise(t))
+
+
+def _inside(text: Column, tag: str, change: Callable[[Column], Column]) -> Column:
+    """Rewrite what lies between ``<tag>`` and the next ``</tag>`` or the end."""
+    def part(p: Column, i: Column) -> Column:
+        inner = F.regexp_replace(p, f"(?is)</{tag}>.*", "")
+        return F.when(i == 0, p).otherwise(let(inner, lambda x: F.concat(
+            F.lit(f"<{tag}>"), change(x), F.substr(p, F.char_length(x) + 1))))
+
+    return let(text, lambda t: F.when(t.rlike(f"(?i)<{tag}[ >]"), F.array_join(F.transform(
+        F.split(t, f"(?i)<{tag}(?: [^>]*)?>"), part), "")).otherwise(t))
+
+
+def _keep_lines(code: Column) -> Column:
+    """Lines and spaces of preformatted text as marks, in a block indented by four spaces."""
+    lines = F.regexp_replace(F.regexp_replace(code, r"^\r?\n|\s+\z", ""), r"\r?\n", LINE + SPACE * 4)
+    return F.concat(F.lit("<p>" + SPACE * 4), F.translate(lines, " \t", SPACE * 2), F.lit("</p>"))
+
+
+def _numbered(items: Column) -> Column:
+    return F.array_join(F.transform(F.split(items, r"(?i)<li(?: [^>]*)?>"), lambda x, i: F.when(
+        i == 0, x).otherwise(F.concat(F.lit("\n"), i.cast("string"), F.lit(". "), x))), "")
+
+
+def _apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        if pattern.startswith("<#"):
             text = F.replace(text, F.lit(pattern), F.lit(replacement))
         else:
             text = F.regexp_replace(text, pattern, replacement)
-    return strip(text)
+    return text
+
+
+def html_to_markdown(html: Column) -> Column:
+    """Markdown text of a page, no line wrapping.
+
+    Links, images, bold, italics, lists and preformatted lines are kept; items of an ordered
+    list are numbered, and one inside another numbers on. Tags left open mark nothing.
+    """
+    text = _apply_rules(_inside(html, "pre", _keep_lines), HTML_RULES[:2])
+    text = _apply_rules(_inside(text, "ol", _numbered), HTML_RULES[2:])
+    text = strip(_apply_rules(undo_entities(text), GAP_RULES))
+    return F.translate(text, LINE + SPACE, "\n ")

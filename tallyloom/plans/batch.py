@@ -12,7 +12,7 @@ from tallyloom.operators.apply import apply_flow
 from tallyloom.operators.ordered import with_positions
 from tallyloom.plans.common import query, rounded, sql_strip, table
 from tallyloom.plans.evaluation import OUTCOME_SQL, VERDICTS_SQL, outcome_rows, results
-from tallyloom.session import scratch_path
+from tallyloom.session import durable, scratch_path
 from tallyloom.sinks import tables as sinks
 from tallyloom.sources import tables as sources
 
@@ -292,6 +292,42 @@ def scan_folder(spark, sf_dir):
     return sources.scan_folder(spark, path).drop("path")
 
 
+@query("file_type_counts", """
+SELECT CASE lang WHEN 'en' THEN 'pdf' ELSE 'docx' END AS file_type, count(*) AS n
+FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1""")
+def file_type_counts(spark, sf_dir):
+    return sources.file_type_counts(scan_folder(spark, sf_dir))
+
+
+@query("batch_files", f"""
+WITH a AS ({APPLIED_SQL}),
+d AS (SELECT doc_id, {FILE_NAME} AS filename, lang FROM documents)
+SELECT filename, 'first' AS run, status, CASE WHEN status = 'success' THEN result END AS stored
+FROM d JOIN a USING (doc_id) WHERE lang IN ('en', 'fr')
+UNION ALL
+SELECT filename, 'second', CASE WHEN lang IN ('en', 'fr') AND status = 'success'
+    THEN 'skipped' ELSE status END, CASE WHEN status = 'success' THEN result END
+FROM d JOIN a USING (doc_id)""")
+def batch_files(spark, sf_dir):
+    """A batch run that writes a file per answer, and a second, larger one that takes it up."""
+    folder = scratch_path(spark, "batch-files")
+    tasks = documents(spark, sf_dir).withColumn("flow_input", F.col("text"))
+
+    def one_run(batch: DataFrame, name: str) -> DataFrame:
+        ran = durable(
+            runs.run_batch(batch, checked_digest, sources.list_outputs(spark, folder)), name)
+        sinks.write_row_files(ran.where("status = 'success'"), folder)
+        stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        answers = stored.select(
+            F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("filename"),
+            F.decode("content", "UTF-8").alias("stored"))
+        return durable(ran.join(answers, "filename", "left").select(
+            "filename", F.lit(name).alias("run"), "status", "stored"), name)
+
+    first = one_run(tasks.where("lang IN ('en', 'fr')"), "first")
+    return first.unionByName(one_run(tasks, "second"))
+
+
 @query("write_results", f"""WITH {OUTCOME_SQL}
 SELECT event_id, status, CASE WHEN status = 'success' THEN r END AS result, form
 FROM outcomes, (VALUES ('csv'), ('json')) f(form)""")

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import HTML_RULES
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -72,13 +70,44 @@ def sql_stamp(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
 
+# Rules of the markdown check, in the order they are applied.
+SQL_TAG_RULES = [
+    ("<(b|strong)( [^>]*)?>(.*?)</(b|strong)>", "**\\3**"),
+    ("<(i|em)( [^>]*)?>(.*?)</(i|em)>", "_\\3_"),
+    ("<li( [^>]*)?>", "\n* "),
+    ("<br[^>]*>", "\n"),
+    ("</h[1-6]>", "\n\n"),
+    ("</?(p|div|ul|ol|table|tr|article|section|footer|blockquote)( [^>]*)?>", "\n\n"),
+    ("""<img [^>]*alt=("([^"]*)"|'([^']*)')[^>]*src=("([^"]*)"|'([^']*)')[^>]*>""", "![\\2\\3](\\5\\6)"),
+    ("""<img [^>]*src=("([^"]*)"|'([^']*)')[^>]*alt=("([^"]*)"|'([^']*)')[^>]*>""", "![\\5\\6](\\2\\3)"),
+    ("""<img [^>]*src=("([^"]*)"|'([^']*)')[^>]*>""", "![](\\2\\3)"),
+    ("""<a [^>]*href=("([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", "[\\4](\\2\\3)"),
+    ("<[a-z/!?][^>]*>", ""),
+]
+# The entities that the test pages have, and some more.
+SQL_ENTITIES = {
+    "quot": '"', "lt": "<", "gt": ">", "nbsp": " ", "copy": "(C)", "middot": "*", "mdash": "--",
+    "ndash": "-", "#39": "'", "apos": "'", "amp": "&",
+}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def sql_markdown(x: str) -> str:
-    for pattern, replacement in HTML_RULES:
-        for group in "12":
-            replacement = replacement.replace(f"${group}", f"\\{group}")
-        quoted = [s.replace("'", "''") for s in (pattern, replacement)]
-        x = f"regexp_replace({x}, '{quoted[0]}', '{quoted[1]}', 'g')"
-    return sql_strip(x)
+    """Markdown of pages without preformatted text and ordered lists."""
+    for tag in ("head", "script", "style"):
+        x = f"regexp_replace({x}, '<{tag}[ >].*?</{tag}>', '', 'gis')"
+    x = f"regexp_replace(regexp_replace({x}, '<!--.*?-->', '', 'gs'), '[ \\t\\r\\n]+', ' ', 'g')"
+    for level in range(1, 7):
+        x = f"regexp_replace({x}, '<h{level}[^>]*>', chr(10) || chr(10) || '{'#' * level} ', 'gi')"
+    for pattern, replacement in SQL_TAG_RULES:
+        x = f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(replacement)}, 'gi')"
+    for name, character in SQL_ENTITIES.items():
+        x = f"replace({x}, '&{name};', {_quoted(character)})"
+    x = f"regexp_replace(regexp_replace({x}, ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    return sql_strip(f"regexp_replace({x}, '\\n\\n\\n+', chr(10) || chr(10), 'g')")
 
 
 def sql_sections(x: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from tallyloom.functions.verdicts import extract_output
 from tallyloom.operators import outcomes, runs, sessions, stats
 from tallyloom.operators.apply import apply_judge, exact_judge, overlap_judge
 from tallyloom.plans.common import (
-    query, rounded, sql_number, sql_stamp, sql_strip, stamp, table,
+    SQL, query, rounded, sql_number, sql_stamp, sql_strip, stamp, table,
 )
+from tallyloom.session import durable
+
 
 # Verdict text made from an event; the same expression serves Spark and the check.
 VERDICT_CASE = """
@@ -240,6 +243,31 @@ def highest_scores(spark, sf_dir):
     return _top(spark, sf_dir, False)
 
 
+ANSWER_LENGTHS_SQL = SQL["length_histogram"].replace(
+    "WITH lengths AS (SELECT length(text) AS len FROM documents WHERE text IS NOT NULL)",
+    f"WITH {VERDICTS_SQL}, lengths AS (SELECT length(actual_answer) AS len FROM results "
+    "WHERE actual_answer IS NOT NULL)")
+
+
+@query("report_tables", f"""
+SELECT 'correctness' AS report, correctness AS label, n FROM ({SQL['correctness_counts']})
+UNION ALL SELECT 'scores', label, n FROM ({SQL['score_distribution']})
+UNION ALL SELECT 'lengths', label, n FROM ({ANSWER_LENGTHS_SQL})
+UNION ALL SELECT 'lowest', score_label, input_index FROM ({SQL['lowest_scores']})
+UNION ALL SELECT 'highest', score_label, input_index FROM ({SQL['highest_scores']})
+UNION ALL SELECT 'cards', quality, total_questions FROM ({SQL['report_cards']})""")
+def report_tables(spark, sf_dir):
+    """All tables of a report over results that were stored once."""
+    tables = stats.report_tables(durable(results(spark, sf_dir), "results"))
+    shown = {"correctness": ("correctness", "n"), "scores": ("label", "n"),
+             "lengths": ("label", "n"), "lowest": ("score_label", "input_index"),
+             "highest": ("score_label", "input_index"), "cards": ("quality", "total_questions")}
+    return reduce(DataFrame.unionByName, [
+        tables[name].select(F.lit(name).alias("report"), F.col(label).alias("label"),
+                            F.col(value).cast("long").alias("n"))
+        for name, (label, value) in shown.items()])
+
+
 @query("combine_results", f"""WITH {VERDICTS_SQL}
 SELECT input_index, judge_score, k, NULL AS error FROM results WHERE error IS NULL
 UNION ALL SELECT input_index, judge_score, NULL, error FROM results WHERE error IS NOT NULL""")

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+import posixpath
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import durable
+
 
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats that have no nesting."""
@@ -39,32 +45,49 @@ def write_results(df: DataFrame, path: str) -> None:
         raise ValueError(f"unsupported output format: {suffix or 'none'}")
 
 
+def _file_system(folder: str) -> tuple[FileSystem, str]:
+    """The file system that a URI or local path names, and the path there."""
+    local = re.sub("^file:/+", "/", folder)
+    uri = local if "://" in local else os.path.abspath(local)
+    system, root = FileSystem.from_uri(uri)
+    return system, root.rstrip("/")
+
+
 def write_row_files(df: DataFrame, folder: str, filename: str = "filename",
                     text: str = "result") -> int:
-    """Write each row's text to ``folder/filename`` on a file system all executors mount.
+    """Write each row's text to ``folder/filename``; returns the number of files.
 
-    Names must be unique. A file appears under its name only when complete, so a repeated
-    task leaves the same files. Returns the number of files.
+    ``folder`` is a URI of any store that Arrow's file systems reach, or a path that all
+    executors mount. Names must be unique. The rows are stored first, so that what makes them
+    runs once, however often a task is repeated. A file appears under its name only when
+    complete, and a repeated task leaves the same files.
     """
-    twice = df.groupBy(filename).count().where("count > 1").limit(1).collect()
+    rows = durable(df.select(F.col(filename).alias("name"), F.col(text).alias("body")), "files")
+    twice = rows.groupBy("name").count().where("count > 1").limit(1).collect()
     if twice:
-        raise ValueError(f"more than one row writes {twice[0][filename]}")
-    root = os.path.abspath(folder.removeprefix("file:"))
+        raise ValueError(f"more than one row writes {twice[0]['name']}")
+    if "://" not in folder:
+        folder = os.path.abspath(re.sub("^file:/+", "/", folder))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for name, body in zip(rows[filename], rows[text]):
-                target = os.path.normpath(os.path.join(root, name))
-                if not target.startswith(root + os.sep):
+        system, root = _file_system(folder)
+        made = set()
+        for batch in batches:
+            for name, body in zip(batch["name"], batch["body"], strict=True):
+                target = posixpath.normpath(posixpath.join(root, name))
+                if not target.startswith(f"{root}/"):
                     raise ValueError(f"file name {name} leaves the output folder")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{os.getpid()}.part"
-                with open(part, "w", encoding="utf-8", newline="") as out:
-                    out.write(body or "")
-                os.replace(part, target)
-            yield pd.DataFrame({"n": [len(rows)]})
-
-    written = df.select(filename, text).mapInPandas(write, "n long")
+                parent = posixpath.dirname(target)
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write((body or "").encode())
+                system.move(part, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    written = rows.mapInPandas(write, "n long")
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

@@ -63,7 +63,22 @@ def test_html_to_markdown(spark):
             '<p>See <a class="q" href="/u">the <b>page</b></a>.<br>Next</p><!-- c -->'
             '<img src="i.png" alt="pic"><ul><li>one<li>two</ul>&lt;ok&gt; &amp;amp;</body></html>')
     assert apply(spark, tx.html_to_markdown, [html]) == [
-        "# T\n\nSee [the page](/u).\nNext\n\n![pic](i.png)\n\n* one\n* two\n\n<ok> &amp;"]
+        "# T\n\nSee [the **page**](/u).\nNext\n\n![pic](i.png)\n\n* one\n* two\n\n<ok> &amp;"]
+
+
+@pytest.mark.parametrize("html,expected", [
+    ("&mdash; &#8217; &hellip; &eacute; &#xE9; &#x41; &Eacute;", "-- ' \u2026 e e A \u00c9"),
+    ("&nothing; &#0; a & b &amp;lt;", "&nothing; \ufffd a & b &lt;"),
+    ("<a class=x href='http://x'>t</a> <img src='i.png' alt='p'>", "[t](http://x) ![p](i.png)"),
+    ("5 < 6 and 7 > 3", "5 < 6 and 7 > 3"),
+    ("<ol><li>one<li class=a>two</ol><ul><li>x</ul>", "1. one\n2. two\n\n* x"),
+    ("<strong>bold</strong> and <em>it</em>, <b>open", "**bold** and _it_, open"),
+    ("<p>a</p><pre>\nx = 1\n  y  = &lt;2\n</pre><p>b</p>", "a\n\n    x = 1\n      y  = <2\n\nb"),
+    ("<ol><li>one", "1. one"),
+    ("", ""),
+])
+def test_html_rules(spark, html, expected):
+    assert apply(spark, tx.html_to_markdown, [html]) == [expected]
 
 
 def payload(*parts):

@@ -201,3 +201,40 @@ def test_split_record_without_an_input_column(spark):
 def test_widening_takes_every_key(spark):
     df = spark.range(1200).select(F.create_map(F.col("id").cast("string"), F.lit("x")).alias("m"))
     assert inputs.widen_map(df, "m", "v_").columns == sorted(f"v_{i}" for i in range(1200))
+
+
+def test_a_row_function_runs_once_under_the_file_sink(spark, tmp_path):
+    import uuid
+
+    from tallyloom.operators.apply import apply_flow
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def fn(text, variables):
+        (calls / uuid.uuid4().hex).touch()
+        return text.upper()
+
+    rows = spark.range(10).selectExpr("concat('d/', id, '.txt') filename", "concat('t', id) flow_input")
+    done = apply_flow(rows, fn, vars_col=None).where("status = 'success'")
+    folder = f"file:{tmp_path}/out"
+    assert sinks.write_row_files(done, folder) == 10
+    assert len(list(calls.iterdir())) == 10
+    assert (tmp_path / "out/d/3.txt").read_text() == "T3"
+    assert not list((tmp_path / "out").rglob("*.part"))
+    with pytest.raises(Exception, match="leaves the output folder"):
+        sinks.write_row_files(spark.sql("SELECT '../x' filename, 'a' result"), folder)
+
+
+@pytest.mark.parametrize("sections", [1, 7, 3000])
+def test_packing_of_many_sections(spark, sections):
+    from tallyloom.operators.chunking import pack_sections
+
+    tokens = [(i * 7) % 40 for i in range(sections)]
+    row = spark.createDataFrame([(tokens,)], "t array<int>").select(
+        pack_sections(F.col("t"), 60, F.lit(3)).alias("u")).first()
+    covered = [i for u in row.u for i in range(u.start, u.start + u.size)]
+    assert covered == list(range(1, sections + 1))
+    for u in row.u:
+        total = 3 + sum(tokens[u.start - 1:u.start + u.size - 1]) + 2 * (u.size - 1)
+        assert total <= 60 and not u.oversize
