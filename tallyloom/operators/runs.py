@@ -1,15 +1,19 @@
-"""Whole runs: batches with resumption, and evaluations."""
+"""Whole runs: batches with resumption, evaluations, and the indexing of new tickets."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.apply import JudgeFunction, RowFunction, apply_flow, call_judge
 from tallyloom.operators.inputs import build_variables
 from tallyloom.operators.outcomes import judged_results, skip_existing
+from tallyloom.operators.tickets import CHECKPOINT_COLUMNS, index_tickets, scan_tickets
+from tallyloom.session import durable
+from tallyloom.sinks.tables import append_checkpoint
+from tallyloom.sources.tables import read_checkpoint
 
 
 def run_batch(
@@ -61,3 +65,23 @@ def evaluate(
         F.col("__verdict.error").alias("verdict_error"),
     )
     return judged_results(rows)
+
+
+def index_new_tickets(
+    tickets: DataFrame, groups: DataFrame, fn: RowFunction, checkpoint: str,
+    department: str | None = None, limit: int | None = None, tags: str | None = None,
+    indexed_at: Column | None = None,
+) -> DataFrame:
+    """One run of the ticket job: the newest tickets that the ``checkpoint`` lacks are indexed and
+    their rows appended to it. Returns the rows of this run.
+
+    Tickets and outcomes are stored before the checkpoint grows: the function runs once per
+    ticket, and a run that breaks off leaves the checkpoint as it was.
+    """
+    schema = ", ".join(
+        f"{c} {'long' if c == 'flow_input_length' else 'string'}" for c in CHECKPOINT_COLUMNS)
+    done = read_checkpoint(tickets.sparkSession, checkpoint, schema)
+    chosen = durable(scan_tickets(tickets, department, limit, done), "tickets")
+    rows = durable(index_tickets(chosen, groups, fn, tags, indexed_at), "indexed")
+    append_checkpoint(rows.select(*CHECKPOINT_COLUMNS), checkpoint)
+    return rows

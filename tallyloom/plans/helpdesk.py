@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import runs
 from tallyloom.operators import tickets as tk
 from tallyloom.plans.common import query, sql_stamp, sql_strip, stamp, table
+from tallyloom.session import scratch_path
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'P' THEN 'L' ELSE 'N' END"
 CHANNEL = "CASE WHEN o_orderpriority = '5-LOW' THEN 'C' ELSE 'M' END"
@@ -102,7 +104,7 @@ def count_words(text: str, variables: dict) -> str:
     return str(len(text.split()))
 
 
-@query("ticket_index", "WITH " + THREAD_SQL + """,
+TICKET_INDEX_SQL = "WITH " + THREAD_SQL + """,
 x AS (SELECT conv_id, length(string_agg(block, chr(10) ORDER BY pos)) AS len
       FROM blocks GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS ticket_id, 'C-' || conv_id AS ticket_code,
@@ -111,8 +113,25 @@ SELECT CAST(conv_id AS VARCHAR) AS ticket_id, 'C-' || conv_id AS ticket_code,
   CASE WHEN len < 1000 THEN 0 ELSE len END AS flow_input_length,
   CASE WHEN len < 1000 THEN 'ERROR: too little to index' ELSE md5(CAST(conv_id AS VARCHAR))
   END AS flow_process_id, '2024-06-01 00:00:00' AS indexed_at
-FROM t JOIN x USING (conv_id)""")
+FROM t JOIN x USING (conv_id)"""
+
+
+@query("ticket_index", TICKET_INDEX_SQL)
 def ticket_index(spark, sf_dir):
     tickets, groups = conversations(spark, sf_dir)
     return tk.index_tickets(
         tickets, groups, count_words, indexed_at=F.lit("2024-06-01 00:00:00"))
+
+
+@query("ticket_runs", TICKET_INDEX_SQL.replace(
+    "'2024-06-01 00:00:00'",
+    "CASE WHEN department_name IS NULL THEN '2024-06-02 00:00:00' ELSE '2024-06-01 00:00:00' END"))
+def ticket_runs(spark, sf_dir):
+    """The checkpoint after a run over some of the tickets and another over all of them."""
+    tickets, groups = conversations(spark, sf_dir)
+    tickets = tickets.withColumn("channel", F.lit("M"))
+    checkpoint = scratch_path(spark, "ticket-checkpoint")
+    for day, found in (("01", tickets.where("department_name IS NOT NULL")), ("02", tickets)):
+        runs.index_new_tickets(found, groups, count_words, checkpoint,
+                               indexed_at=F.lit(f"2024-06-{day} 00:00:00"))
+    return spark.read.parquet(checkpoint)
