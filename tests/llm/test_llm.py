@@ -403,6 +403,39 @@ def test_bit_sliced_links_against_all_pairs():
         assert simhash.linked(prints, groups, radius).tolist() == expected
 
 
+def brute_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def brute_keep_similar(rows):
+    """Least id of every group linked by 5-word shingle sets of similarity 0.8 or more."""
+    sets = [(i, brute_shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        common = len(a & b)
+        if 10 * common >= 8 * (len(a) + len(b) - common) and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    return sorted(set(label.values()))
+
+
+def test_stage_links_shingle_sets_against_brute_force(spark, sf_dir):
+    texts = []
+    for i in range(60):
+        words = prose(200, i % 20, 3000).split()
+        for k in range(i // 20 * (i % 5)):
+            words[17 + 23 * k] = f"w{i}"
+        texts.append(" ".join(words))
+    texts += [texts[0].upper(), None, "", "one two", "ONE  two", "one two three four five six"]
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, texts), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_keep_similar(list(enumerate(texts)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in kept.collect()) == brute_keep_similar(rows)
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(9, i) for i in range(1000, 1200)]
