@@ -4,7 +4,7 @@ A mask looks at some of eight consecutive words and ignores the others, so a rep
 spoils only the seeds that look at it. The benchmark is hashed at every word, documents at every
 third; equal hashes give a document, an item and how far they are shifted against each other.
 Along that shift the words are compared one by one: a match counts 1, a replaced word -2, and
-the best stretch decides.
+the best stretch decides, or else the share of the item's words that are equal.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tallyloom.session import durable
 MASKS = ("11101011", "11010111", "10111101")
 STRIDE = 3
 MIN_SCORE = 12
+#: Tenths of an item's words that make a leak whatever the score.
+TENTHS = 8
 BROADCAST_ROWS = 500_000
 
 
@@ -50,29 +52,33 @@ def seeds(text: Column, masks: Sequence[str], stride: int) -> Column:
 
 
 def _best_stretch(document: Column, item: Column, shift: Column) -> Column:
-    """Highest score of any run of aligned words, the document's word 0 at item word -shift."""
+    """Of the aligned words, the document's word 0 at item word -shift: the highest score of any
+    run (``best``) and the number of equal ones (``equal``)."""
     first = F.greatest(F.lit(0), -shift)
     last = F.least(F.size(item), F.size(document) - shift)
-    start = F.struct(F.lit(0).alias("here"), F.lit(0).alias("best"))
+    start = F.struct(F.lit(0).alias("here"), F.lit(0).alias("best"), F.lit(0).alias("equal"))
 
     def step(state: Column, q: Column) -> Column:
         gain = F.when(item[q] == document[q + shift], 1).otherwise(-2)
         return let(F.greatest(state["here"] + gain, F.lit(0)), lambda here: F.struct(
-            here.alias("here"), F.greatest(state["best"], here).alias("best")))
+            here.alias("here"), F.greatest(state["best"], here).alias("best"),
+            (state["equal"] + F.when(gain > 0, 1).otherwise(0)).alias("equal")))
 
     return F.when(last > first, F.aggregate(
-        F.sequence(first, last - 1), start, step)["best"]).otherwise(0)
+        F.sequence(first, last - 1), start, step)).otherwise(start)
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS,
     stride: int = STRIDE, min_score: int = MIN_SCORE, broadcast_rows: int = BROADCAST_ROWS,
+    tenths: int | None = TENTHS,
 ) -> DataFrame:
     """Documents that hold a benchmark item or a stretch of one: ref, item id and ``score``.
 
     ``score`` is that of the best stretch, at least ``min_score`` or the item's whole length if
-    that is less. Items shorter than a mask can't be told from chance and are not looked for.
+    that is less; or any, where ``tenths`` / 10 of the item's words are equal to the document's along
+    one shift (None: the score alone decides). Items shorter than a mask can't be told from chance and are not looked for.
     Rows are known by ``__id`` and ``__text`` (see ``with_ref``); repeated rows are one here. The
     benchmark's seeds are broadcast while there are at most ``broadcast_rows``; beyond that they
     are joined by a shuffle.
@@ -102,9 +108,12 @@ def leaks(
     checked = join_on(source, pairs, REF, "inner").select(*REF, F.explode(let(
         compared_words(F.col("__source")), lambda document: F.transform("hits", lambda h: F.struct(
             h["item"].alias("item"), F.size(h["words"]).alias("n"),
-            _best_stretch(document, h["words"], h["shift"]).alias("score"))))).alias("hit"))
-    return checked.where(F.col("hit.score") >= F.least(F.lit(min_score), F.col("hit.n"))).groupBy(
-        *REF, F.col("hit.item").alias("item")).agg(F.max("hit.score").cast("long").alias("score"))
+            _best_stretch(document, h["words"], h["shift"]).alias("run"))))).alias("hit"))
+    leak = F.col("hit.run.best") >= F.least(F.lit(min_score), F.col("hit.n"))
+    if tenths is not None:
+        leak |= 10 * F.col("hit.run.equal") >= tenths * F.col("hit.n")
+    return checked.where(leak).groupBy(*REF, F.col("hit.item").alias("item")).agg(
+        F.max("hit.run.best").cast("long").alias("score"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

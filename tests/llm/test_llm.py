@@ -278,6 +278,31 @@ def test_leaks_with_replaced_words(spark, rows):
     assert sorted(r.doc_id for r in kept) == [0, 4, 5]
 
 
+def replaced_copies(words, places):
+    return " ".join(f"x{i}" if i in places else w for i, w in enumerate(words))
+
+
+def test_leaks_of_short_items_with_replaced_words(spark):
+    items = [prose(n, 2000 + n, 3000).split() for n in (10, 15, 16, 18, 20, 24)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)],
+                                  "item_id long, text string")
+    # The first eight words stay, at a word number divisible by 3, so that a seed hits each.
+    texts, expected = [], []
+    for i, w in enumerate(items):
+        for k in range(1, len(w) - 8 + 1):
+            places = set(range(8, len(w), 2)[:k]) | set(range(9, len(w), 2)[:max(k - (len(w) - 7) // 2, 0)])
+            texts.append(f"{prose(6, 900 + i, 9000)} {replaced_copies(w, places)} end")
+            equal = len(w) - len(places)
+            run = best = 0
+            for q in range(len(w)):
+                run = max(run + (-2 if q in places else 1), 0)
+                best = max(best, run)
+            if 10 * equal >= 8 * len(w) or best >= min(12, len(w)):
+                expected.append((len(texts) - 1, i))
+    found = spaced_seeds.contaminated(docs_of(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == expected
+
+
 # Curriculum
 
 
