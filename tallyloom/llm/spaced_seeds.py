@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A mask looks at some of eight consecutive words and ignores the others, so a replaced word
-spoils only the seeds that look at it. The benchmark is hashed at every word, documents at every
-third; equal hashes give a document, an item and how far they are shifted against each other.
+spoils only the seeds that look at it. The benchmark and the documents are hashed at every word;
+equal hashes give a document, an item and how far they are shifted against each other. Besides,
+an item is cut into one piece more than it may have replaced words, so that a piece stays whole
+wherever they are; the pieces' first words, four at most, are seeds too.
 Along that shift the words are compared one by one: a match counts 1, a replaced word -2, and
 the best stretch decides, or else the share of the item's words that are equal.
 """
@@ -10,6 +12,7 @@ the best stretch decides, or else the share of the item's words that are equal.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,8 @@ from tallyloom.operators.ordered import join_on
 from tallyloom.session import durable
 
 MASKS = ("11101011", "11010111", "10111101")
-STRIDE = 3
+STRIDE = 1
+PIECE = 4
 MIN_SCORE = 12
 #: Tenths of an item's words that make a leak whatever the score.
 TENTHS = 8
@@ -34,21 +38,62 @@ def compared_words(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def seeds(text: Column, masks: Sequence[str], stride: int) -> Column:
-    """Hashes of all masks at every ``stride``-th word; entry i belongs to word i // masks."""
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _gram(hashes: Column, size: int, i: Column) -> Column:
+    """Place and hash of ``size`` consecutive words; the number keeps them apart from masks."""
+    return F.struct(i.cast("int").alias("i"), F.xxhash64(
+        F.lit(-size), *[hashes[(i + k).cast("int")] for k in range(size)]).alias("seed"))
+
+
+def seeds(words: Column, masks: Sequence[str], stride: int, grams: Sequence[int] = ()) -> Column:
+    """``i``, ``seed``: hashes of all masks at every ``stride``-th word, of ``grams`` at each."""
     span = len(masks[0])
 
-    def at(words: Column, i: Column) -> Column:
+    def at(hashes: Column, i: Column) -> Column:
         return F.array(*[
-            F.xxhash64(F.lit(m), *[words[i + k] for k, on in enumerate(mask) if on == "1"])
+            F.struct(i.alias("i"), F.xxhash64(
+                F.lit(m), *[hashes[i + k] for k, on in enumerate(mask) if on == "1"]).alias("seed"))
             for m, mask in enumerate(masks)
         ])
 
-    def all_of(words: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(words) - span, F.lit(stride))
-        return F.when(F.size(words) >= span, F.flatten(F.transform(places, lambda i: at(words, i))))
+    def places(hashes: Column, size: int, step: int) -> Column:
+        return F.when(F.size(hashes) >= size, F.sequence(
+            F.lit(0), F.size(hashes) - size, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def all_of(hashes: Column) -> Column:
+        return F.concat(
+            F.flatten(F.transform(places(hashes, span, stride), lambda i: at(hashes, i))),
+            *[F.transform(places(hashes, n, 1), partial(_gram, hashes, n)) for n in grams])
+
+    return let(_hashed(words), all_of)
+
+
+def piece_size(n: Column, tenths: int) -> Column:
+    """Words looked at in each piece of an item of ``n`` words; pieces are ``_pieces(n)`` many."""
+    return F.least(F.lit(PIECE), F.floor(n / _pieces(n, tenths))).cast("int")
+
+
+def _pieces(n: Column, tenths: int) -> Column:
+    return (n - F.ceil(n * tenths / 10) + 1).cast("int")
+
+
+def piece_seeds(words: Column, tenths: int) -> Column:
+    """``i``, ``seed`` of the pieces of an item, one of which no permitted replacement touches."""
+    n = F.size(words)
+    size, pieces = piece_size(n, tenths), _pieces(n, tenths)
+
+    def at(hashes: Column, j: Column) -> Column:
+        i = F.floor(j * n / pieces).cast("int")
+        chosen = F.when(size == 1, _gram(hashes, 1, i))
+        for k in range(2, PIECE + 1):
+            chosen = chosen.when(size == k, _gram(hashes, k, i))
+        return chosen
 
-    return let(compared_words(text), all_of)
+    return F.when(n > 0, let(_hashed(words), lambda hashes: F.transform(
+        F.sequence(F.lit(0), pieces - 1), lambda j: at(hashes, j))))
 
 
 def _best_stretch(document: Column, item: Column, shift: Column) -> Column:
@@ -72,13 +117,15 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS,
     stride: int = STRIDE, min_score: int = MIN_SCORE, broadcast_rows: int = BROADCAST_ROWS,
-    tenths: int | None = TENTHS,
+    tenths: int | None = TENTHS, pieces: bool = True,
 ) -> DataFrame:
     """Documents that hold a benchmark item or a stretch of one: ref, item id and ``score``.
 
     ``score`` is that of the best stretch, at least ``min_score`` or the item's whole length if
     that is less; or any, where ``tenths`` / 10 of the item's words are equal to the document's along
-    one shift (None: the score alone decides). Items shorter than a mask can't be told from chance and are not looked for.
+    one shift (None: the score alone decides). With ``pieces`` and a share no such item is missed,
+    nor a whole one, however short; without, items shorter than a mask are not looked for. A
+    stretch of an item is found by the masks, which need eight words with few replaced ones.
     Rows are known by ``__id`` and ``__text`` (see ``with_ref``); repeated rows are one here. The
     benchmark's seeds are broadcast while there are at most ``broadcast_rows``; beyond that they
     are joined by a shuffle.
@@ -88,20 +135,23 @@ def leaks(
     source = with_ref(docs, id_col, text_col).select(F.col(text_col).alias("__source"), *REF)
     items = benchmark.select(
         F.col(item_col).alias("item"), F.col(item_text_col).alias("__source")).distinct()
-    placed = items.select(
-        "item", compared_words(F.col("__source")).alias("words"),
-        F.posexplode(seeds(F.col("__source"), masks, 1)).alias("i", "seed"))
-    known = durable(placed.select(
-        "item", "words", "seed", F.expr(f"i div {len(masks)}").cast("int").alias("q")), "seeds")
+    cut = 10 if tenths is None else tenths
+    words = F.col("words")
+    planted = seeds(words, masks, 1)
+    if pieces:
+        planted = F.concat(planted, F.coalesce(piece_seeds(words, cut), F.slice(planted, 1, 0)))
+    known = durable(items.select("item", compared_words(F.col("__source")).alias("words")).select(
+        "item", "words", F.inline(planted)).withColumnRenamed("i", "q"), "seeds")
+    # At most PIECE numbers reach the driver.
+    grams = sorted(r[0] for r in known.select(
+        piece_size(F.size("words"), cut)).distinct().collect()) if pieces else []
     places = known.select("item", "seed", "q").distinct()
     if known.count() <= broadcast_rows:
         places = F.broadcast(places)
-    found = source.select(
-        *REF, F.posexplode(seeds(F.col("__source"), masks, stride)).alias("i", "seed"))
+    found = source.select(*REF, F.inline(let(
+        compared_words(F.col("__source")), lambda w: seeds(w, masks, stride, grams))))
     hits = durable(found.join(places, "seed").select(
-        *REF, "item",
-        (F.expr(f"i div {len(masks)}").cast("int") * stride - F.col("q")).alias("shift"),
-    ).distinct(), "hits")
+        *REF, "item", (F.col("i") - F.col("q")).alias("shift")).distinct(), "hits")
     texts = known.select("item", "words").distinct()
     pairs = join_on(hits, texts, ["item"]).groupBy(*REF).agg(
         F.collect_set(F.struct("item", "shift", "words")).alias("hits"))

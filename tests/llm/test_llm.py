@@ -303,6 +303,30 @@ def test_leaks_of_short_items_with_replaced_words(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == expected
 
 
+def test_leaks_at_every_offset_and_of_short_items(spark):
+    rng = random.Random(8)
+    items = [prose(n, 3000 + n, 3000).split() for n in (2, 4, 5, 6, 7, 8, 9, 10, 12, 15, 16, 20, 30)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)],
+                                  "item_id long, text string")
+    texts, made = [], []
+    for i, w in enumerate(items):
+        allowed = len(w) - math.ceil(0.8 * len(w))
+        for before in range(6):
+            for k in range(allowed + 2):
+                places = set(rng.sample(range(len(w)), k))
+                texts.append(f"{' '.join(f'a{b}' for b in range(before))} {replaced_copies(w, places)} z")
+                made.append((i, k <= allowed))
+    found = {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(
+        docs_of(spark, texts), bench).collect()}
+    for d, (i, near) in enumerate(made):
+        if near:
+            assert (d, i) in found
+        elif len(items[i]) < 12:
+            assert (d, i) not in found
+    kept = spaced_seeds.decontaminate(docs_of(spark, texts), bench)
+    assert kept.count() == len(texts) - len({d for d, _ in found})
+
+
 # Curriculum
 
 
