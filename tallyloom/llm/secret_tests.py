@@ -31,15 +31,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}")
 
 DIGITS, LOW, UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
-    DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", UP + "234567", LOW + "234567", DIGITS + LOW,
-    DIGITS + UP, UP + LOW + DIGITS, UP + LOW + DIGITS + "+/", UP + LOW + DIGITS + "-_",
+    DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", LOW, UP, UP + "234567", LOW + "234567",
+    DIGITS + LOW, DIGITS + UP, UP + LOW, UP + LOW + DIGITS, UP + LOW + DIGITS + "+/", UP + LOW + DIGITS + "-_",
 )
 CODES = [{c: i for i, c in enumerate(e)} for e in ENCODINGS]
-BANDS = (20, 32, 64)
+BANDS = (12, 20, 32, 64)
 #: Tenths of a decimal power; p-values are counted by these.
 BINS = 400
 PASS, RATE = 0.001, 0.01
@@ -82,15 +82,31 @@ def battery(text: str, code: dict[str, int]) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def language_p(text: str, code: dict[str, int], frequency: np.ndarray) -> float:
-    """How likely corpus text of this length looks at least as even, by a normal approximation."""
-    inside = np.array([frequency[ord(c)] for c in code])
-    inside = inside / inside.sum()
-    ratio = -np.log(inside * len(code))
-    mean = float((inside * ratio).sum())
-    spread = math.sqrt(float((inside * (ratio - mean) ** 2).sum()) * len(text))
-    value = sum(ratio[code[c]] for c in text) - mean * len(text)
-    return _tail(value / spread) if spread else 1.0
+def language_tables(frequency: np.ndarray) -> list[tuple[dict[str, float], float, float]]:
+    """For each encoding the log ratio of every symbol, and its mean and deviation in the corpus."""
+    out = []
+    for code in CODES:
+        inside = np.array([frequency[ord(c)] for c in code])
+        inside = inside / inside.sum()
+        ratio = -np.log(inside * len(code))
+        mean = float((inside * ratio).sum())
+        spread = math.sqrt(float((inside * (ratio - mean) ** 2).sum()))
+        out.append((dict(zip(code, ratio.tolist(), strict=True)), mean, spread))
+    return out
+
+
+def language_p(text: str, table: tuple[dict[str, float], float, float]) -> float:
+    """How likely corpus text of this length looks at least as even.
+
+    The normal approximation, but not below exp(-ratio), which the likelihood of a ratio so high
+    never exceeds: the approximation's tail is too thin for short texts.
+    """
+    ratio, mean, spread = table
+    total = sum(ratio[c] for c in text)
+    if not spread:
+        return 1.0
+    return max(_tail((total - mean * len(text)) / (spread * math.sqrt(len(text)))),
+               math.exp(-max(total, 0.0)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -101,26 +117,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(2, m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def candidates(text: str, frequency: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, band, bin of the p-value, passed the battery) of every candidate."""
+def candidates(
+    text: str, tables: list[tuple[dict[str, float], float, float]], least: float
+) -> list[tuple[int, int, int, int, bool]]:
+    """(start, end, band, bin of the p-value, passed the battery) of every candidate.
+
+    The battery is run from bin ``least`` on, below which no cut can lie.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
         seen = set(m[0])
         kind = next((i for i, c in enumerate(CODES) if seen <= c.keys()), len(CODES) - 2)
         value = m[0] if seen <= CODES[kind].keys() else m[0].replace("-", "+").replace("_", "/")
         band = sum(len(value) >= b for b in BANDS) - 1
-        p = language_p(value, CODES[kind], frequency)
+        p = language_p(value, tables[kind])
         level = min(int(-10 * math.log10(max(p, 1e-300))), BINS - 1)
-        mixed = kind > 0 and any(c in DIGITS for c in value)
         out.append((m.start(), m.end(), band, level,
-                    mixed and battery(value, CODES[kind]) >= PASS))
+                    level >= least and battery(value, CODES[kind]) >= PASS))
     return out
 
 
-def secret_spans(text: str, frequency: np.ndarray, cuts: list[int]) -> list[tuple[int, int, int]]:
+def secret_spans(
+    text: str, tables: list[tuple[dict[str, float], float, float]], cuts: list[int]
+) -> list[tuple[int, int, int]]:
     """Base spans and the candidates that their band's cut accepts, outside base spans."""
     base = base_spans(text)
-    more = [(3, start, end) for start, end, band, level, passed in candidates(text, frequency)
+    more = [(3, start, end) for start, end, band, level, passed in candidates(text, tables, min(cuts))
             if passed and level >= cuts[band]
             and not any(start < e and s < end for _, s, e in base)]
     return base + more
@@ -145,12 +167,14 @@ def character_frequency(docs: DataFrame, text_col: str) -> np.ndarray:
     return out / out.sum()
 
 
-def _scan(columns: list[str], frequency: np.ndarray) -> Callable:
+def _scan(columns: list[str], frequency: np.ndarray, rate: float) -> Callable:
+    tables, least = language_tables(frequency), math.floor(-10 * math.log10(rate))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("__source").to_pylist()]
             base = [[dict(zip(SPAN.names, s, strict=True)) for s in base_spans(t)] for t in texts]
-            tried = [[dict(zip(TRIED.names, c, strict=True)) for c in candidates(t, frequency)]
+            tried = [[dict(zip(TRIED.names, c, strict=True)) for c in candidates(t, tables, least)]
                      for t in texts]
             ints = pa.int32()
             yield pa.RecordBatch.from_arrays([
@@ -162,13 +186,15 @@ def _scan(columns: list[str], frequency: np.ndarray) -> Callable:
     return run
 
 
-def scanned(docs: DataFrame, columns: list[str], text_col: str, frequency: np.ndarray) -> DataFrame:
+def scanned(
+    docs: DataFrame, columns: list[str], text_col: str, frequency: np.ndarray, rate: float = RATE
+) -> DataFrame:
     """``columns`` with ``__base`` spans and ``__tried`` candidates of every text; stored."""
     schema = T.StructType([*[docs.schema[c] for c in columns],
                            T.StructField("__base", T.ArrayType(SPAN)),
                            T.StructField("__tried", T.ArrayType(TRIED))])
     return durable(docs.select(*columns, F.col(text_col).alias("__source")).mapInArrow(
-        _scan(columns, frequency), schema), "scanned")
+        _scan(columns, frequency, rate), schema), "scanned")
 
 
 def discovery_cuts(found: DataFrame, rate: float = RATE) -> list[int]:
@@ -212,7 +238,7 @@ def find_secrets(
     get a row. ``rate`` is the expected share of false discoveries per length band.
     """
     frequency = character_frequency(docs, text_col)
-    found = scanned(docs, [id_col], text_col, frequency)
+    found = scanned(docs, [id_col], text_col, frequency, rate)
     cuts = F.array(*map(F.lit, discovery_cuts(found, rate)))
     more = F.transform(
         F.filter("__tried", lambda c: c["passed"]
@@ -233,8 +259,10 @@ def find_secrets(
 
 def _redact(columns: list[str], text_col: str, count_col: str | None, frequency: np.ndarray,
             cuts: list[int], mark: str) -> Callable:
+    tables = language_tables(frequency)
+
     def clean(text: str | None) -> str | None:
-        spans = sorted((s, e) for _, s, e in secret_spans(text or "", frequency, cuts))
+        spans = sorted((s, e) for _, s, e in secret_spans(text or "", tables, cuts))
         if not spans:
             return text
         out, done = [], 0
@@ -272,6 +300,6 @@ def redact_secrets(
     ``count_col``, if present, is set to the new number of characters where a text changed.
     """
     frequency = character_frequency(docs, text_col)
-    cuts = discovery_cuts(scanned(docs, [], text_col, frequency), rate)
+    cuts = discovery_cuts(scanned(docs, [], text_col, frequency, rate), rate)
     return docs.mapInArrow(
         _redact(docs.columns, text_col, count_col, frequency, cuts, mark), docs.schema)

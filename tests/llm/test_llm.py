@@ -118,6 +118,22 @@ def test_base_spans_and_random_strings(spark):
     assert clean[5] == "see <secret> there" and clean[6] == texts[6]
 
 
+def test_random_keys_without_digits_and_short_ones(spark):
+    rng = random.Random(5)
+    letters = secret_tests.UP + secret_tests.LOW
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(4)]
+    keys += ["".join(rng.choice(letters + secret_tests.DIGITS) for _ in range(16)) for _ in range(4)]
+    texts = [f"{prose(60, 70 + i)} internationalization see {k} there" for i, k in enumerate(keys)]
+    texts += [prose(300, 90 + i) + " counterrevolutionaries and/or self-contradictory" for i in range(9)]
+    rows = {r.doc_id: r for r in secret_tests.find_secrets(docs_of(spark, texts)).collect()}
+    for i, k in enumerate(keys):
+        at = texts[i].index(k)
+        assert rows[i].spans == f"random:{at}:{at + len(k)}"
+    assert not any(rows[i].n_random for i in range(len(keys), len(texts)))
+    clean = {r.doc_id: r.text for r in secret_tests.redact_secrets(docs_of(spark, texts)).collect()}
+    assert all(k not in clean[i] for i, k in enumerate(keys))
+
+
 def test_battery_tells_random_from_regular():
     rng = random.Random(3)
     code = secret_tests.CODES[1]
