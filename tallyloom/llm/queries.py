@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import (
-    curriculum, decision_list, induced_sort, lattice, passages, secret_tests, simhash, spaced_seeds,
-    substring_windows, template,
+    curriculum, decision_list, hard_negatives, induced_sort, lattice, page_slots, passages,
+    secret_tests, simhash, spaced_seeds, spectra, substring_windows, template,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,45 @@ def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lattice_scoring")
 def op8_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_html_extraction", r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>', chr(1), 'g'),
+    '<[^>]*>', ' ', 'g'), '&amp;?', '&', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(
+    string_split(replace(t, '&quot;', '"'), chr(1)),
+    lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM a)
+SELECT page_id, url, coalesce(array_to_string(parts, chr(10)), '') AS text,
+  len(coalesce(array_to_string(parts, chr(10)), '')) AS n_chars FROM b
+""")
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_slots.extract(table(spark, sf_dir, "pages"))
