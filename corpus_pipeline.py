@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import curriculum, decision_list, secret_tests, shingle_sets, spaced_seeds
+from tallyloom.llm import curriculum, decision_list, secret_tests, simhash, spaced_seeds
 from tallyloom.session import durable
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingle sets of similarity 0.8, the least id."""
-    return shingle_sets.keep_one_similar(docs)
+    """One document of each group of SimHash links, the least id: 3-word shingles, 2 bits at most."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
