@@ -46,23 +46,80 @@ def stream_apply(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+#: Every slice of a replay is one micro-batch of this many files.
+SLICE_FILES = 2
+SLICES = 6
+
+
+def _tickets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Tickets, and slices of them in which every ticket arrives twice."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ticket_id"), F.col("o_orderstatus").alias("status"))
+    share = F.pmod(F.xxhash64("ticket_id"), F.lit(SLICES))
+    return rows, [rows.where(share.isin(k, (k + 1) % SLICES)) for k in range(SLICES)]
+
+
+def _arrive(rows: DataFrame, inbox: str) -> None:
+    rows.repartition(SLICE_FILES).write.mode("append").parquet(inbox)
+
+
 @query("stream_resume", """
 SELECT o_orderkey AS ticket_id, o_orderstatus AS status FROM orders""")
 def stream_resume(spark, sf_dir):
-    """Two runs over a growing folder in which every ticket arrives twice."""
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("ticket_id"), F.col("o_orderstatus").alias("status"))
+    """Six micro-batches with overlapping ids, four in one run and the rest after a restart."""
+    rows, slices = _tickets(spark, sf_dir)
     inbox = scratch_path(spark, "inbox")
     path, checkpoint = scratch_path(spark, "indexed"), scratch_path(spark, "indexed-state")
-    for arrived in (rows.where("status <> 'O'"), rows):
-        arrived.write.mode("append").parquet(inbox)
-        stream = jobs.read_table_stream(spark, inbox, rows.schema)
-        jobs.resume_stream(stream, path, checkpoint, "ticket_id")
+    for arrived in (slices[:4], slices[4:]):
+        for part in arrived:
+            _arrive(part, inbox)
+        stream = jobs.read_table_stream(spark, inbox, rows.schema, SLICE_FILES)
+        with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
+            jobs.resume_stream(stream, path, checkpoint, "ticket_id")
     return spark.read.parquet(path).select("ticket_id", "status")
 
 
-#: Every slice of a replay is one micro-batch of this many files.
-SLICE_FILES = 2
+@query("stream_cadence", """
+SELECT o_orderkey AS ticket_id, o_orderstatus AS status FROM orders""")
+def stream_cadence(spark, sf_dir):
+    """The same tickets taken up at a steady cadence; half of them arrive while it runs."""
+    rows, slices = _tickets(spark, sf_dir)
+    inbox = scratch_path(spark, "inbox")
+    path, checkpoint = scratch_path(spark, "steady"), scratch_path(spark, "steady-state")
+    for part in slices[:3]:
+        _arrive(part, inbox)
+    later, quiet = slices[3:], jobs.idle(2)
+
+    def until(query):
+        if later and query.lastProgress:
+            _arrive(later.pop(0), inbox)
+        return quiet(query) and not later
+
+    stream = jobs.read_table_stream(spark, inbox, rows.schema, SLICE_FILES)
+    with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
+        jobs.resume_stream(stream, path, checkpoint, "ticket_id", every="500 milliseconds",
+                           until=until)
+    return spark.read.parquet(path).select("ticket_id", "status")
+
+
+@query("stream_running", """
+SELECT CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'failed' ELSE 'running' END AS status,
+  count(*) AS n FROM orders GROUP BY 1""")
+def stream_running(spark, sf_dir):
+    """Every order starts a task, and those no longer open end it; both arrive out of order."""
+    status = F.when(F.col("status") == "F", "success").when(F.col("status") == "P", "failed")
+    tasks = _tickets(spark, sf_dir)[0].select(
+        F.col("ticket_id").alias("task_id"), F.explode(F.array_compact(F.array(
+            F.lit("running"), status))).alias("status"))
+    slices = F.pmod(F.xxhash64("task_id", "status"), F.lit(3))
+    inbox = scratch_path(spark, "transitions")
+    for k in range(3):
+        _arrive(tasks.where(slices == k), inbox)
+    path, checkpoint = scratch_path(spark, "running"), scratch_path(spark, "running-state")
+    stream = jobs.read_table_stream(spark, inbox, tasks.schema, SLICE_FILES)
+    with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
+        jobs.task_status_stream(stream, path, checkpoint)
+    return jobs.latest_counts(spark, path)
 
 
 def _arriving(df: DataFrame, name: str, at: str, row_id: str, cuts: list[str], late: str

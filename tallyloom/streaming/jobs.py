@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tallyloom.operators.apply import RowFunction, apply_flow
-from tallyloom.operators.outcomes import resume
 
 PARTITIONS = "spark.sql.shuffle.partitions"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -60,6 +61,45 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> St
     return query
 
 
+def run_steadily(
+    writer: DataStreamWriter, checkpoint: str, every: str,
+    until: Callable[[StreamingQuery], bool] | None = None, poll: float = 0.2,
+) -> StreamingQuery:
+    """Run a stream at a fixed cadence, a micro-batch ``every`` so often.
+
+    With ``until`` the call returns once that holds, as asked between micro-batches: the one
+    under way is finished and committed first, so that nothing is done twice after a restart.
+    Without it the running query is returned. How much a micro-batch takes is bounded by the
+    source (``files_per_trigger`` of ``read_table_stream``). A failure of the stream is raised.
+    """
+    query = writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    if until is None:
+        return query
+    try:
+        while query.isActive and not (not query.status["isTriggerActive"] and until(query)):
+            query.awaitTermination(poll)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return query
+
+
+def idle(seconds: float) -> Callable[[StreamingQuery], bool]:
+    """Holds once a stream that has run a micro-batch found nothing more for so long."""
+    batch, since = None, time.monotonic()
+
+    def holds(query: StreamingQuery) -> bool:
+        nonlocal batch, since
+        last = query.lastProgress
+        now = last and last["batchId"]
+        if now != batch or query.status["isDataAvailable"]:
+            batch, since = now, time.monotonic()
+        return batch is not None and time.monotonic() - since >= seconds
+
+    return holds
+
+
 def drain_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
                   mode: str = "append") -> StreamingQuery:
     """Hand everything available to ``write`` batch by batch, then stop."""
@@ -71,178 +111,133 @@ def drain_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def _interval(text: str) -> pd.Timedelta:
-    return pd.Timedelta(text.lower())
-
-
-def _millis(moment: pd.Timestamp) -> int:
-    """The first watermark, in milliseconds, that has passed a moment."""
-    return -(-moment.value // 1_000_000)
-
-
-def _passed(watermark: int) -> pd.Timestamp:
-    return pd.Timestamp(watermark, unit="ms")
-
-
-class _Outcome(StatefulProcessor):
-    """Per task: its submission and earliest result in time, whatever the number of results.
-
-    Results that overtake their task wait until the watermark reaches them: a task that comes
-    later than that is submitted after them.
-    """
-
-    def __init__(self, timeout: pd.Timedelta) -> None:
-        self._timeout = timeout
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._task = handle.getValueState("task", "submitted_at timestamp, done timestamp")
-        self._early = handle.getListState("early", "arrived_at timestamp")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-                        ) -> Iterator[pd.DataFrame]:
-        submitted, done = self._task.get() if self._task.exists() else (None, None)
-        arrived = []
-        for batch in rows:
-            tasks = batch.loc[batch["is_task"], "at"]
-            if submitted is None and len(tasks):
-                submitted = tasks.min()
-            arrived.extend(batch.loc[~batch["is_task"], "at"])
-        if submitted is None:
-            if arrived:
-                self._early.appendList([(a,) for a in arrived])
-                self._handle.registerTimer(max(_millis(pd.Timestamp(a)) for a in arrived))
-            return
-        if done is None and self._early.exists():
-            arrived.extend(a for (a,) in self._early.get())
-            self._early.clear()
-        submitted = pd.Timestamp(submitted)
-        moments = [pd.Timestamp(a) for a in [*arrived, done] if a is not None]
-        inside = [a for a in moments if submitted <= a <= submitted + self._timeout]
-        done = min(inside) if inside else None
-        self._task.update((submitted, done))
-        self._handle.registerTimer(_millis(done or submitted + self._timeout))
-        yield from ()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any
-                           ) -> Iterator[pd.DataFrame]:
-        now = _passed(timerValues.getCurrentWatermarkInMs())
-        if self._task.exists():
-            submitted, done = self._task.get()
-            submitted = pd.Timestamp(submitted)
-            end = pd.Timestamp(done) if done is not None else submitted + self._timeout
-            if end <= now:
-                self._task.clear()
-                yield pd.DataFrame({
-                    "task_id": [key[0]], "submitted_at": [submitted],
-                    "completed_at": [None if done is None else end],
-                }).astype({"completed_at": "datetime64[ns]"})
-        elif self._early.exists():
-            waiting = [(a,) for (a,) in self._early.get() if pd.Timestamp(a) > now]
-            self._early.clear()
-            if waiting:
-                self._early.put(waiting)
-
-    def close(self) -> None:
-        pass
-
-
 def match_within_stream(
     tasks: DataFrame, results: DataFrame, timeout: str, delay: str = "0 seconds"
 ) -> DataFrame:
     """One row per task: its earliest result inside the timeout, or a timeout failure.
 
     Both sides need a ``timestamp`` column (``submitted_at``, ``arrived_at``) and may be out of
-    order by ``delay``. A task is told of once the watermark, the slower of the two sides',
-    has passed its earliest result or its deadline, and its state is gone with that. Task ids
-    are unique. The state store must be RocksDB, as in ``session_response_stream``.
+    order by ``delay``. An outer join within the timeout pairs tasks and results, and an
+    aggregation behind it takes each task's earliest; both drop their state as the watermark,
+    the slower of the two sides', passes the deadline, and a task is told of then. Task ids
+    are unique; neither state nor rows leave the JVM.
     """
-    asked = tasks.select("task_id", F.col("submitted_at").alias("at"), F.lit(True).alias("is_task"))
-    given = results.select("task_id", F.col("arrived_at").alias("at"), F.lit(False).alias("is_task"))
-    id_type = tasks.schema["task_id"].dataType.simpleString()
-    both = asked.withWatermark("at", delay).unionByName(given.withWatermark("at", delay))
-    outcomes = both.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=_Outcome(_interval(timeout)),
-        outputStructType=f"task_id {id_type}, submitted_at timestamp, completed_at timestamp",
-        outputMode="append", timeMode="EventTime")
+    asked = tasks.select("task_id", "submitted_at").withWatermark("submitted_at", delay)
+    given = results.select(F.col("task_id").alias("__id"), "arrived_at")\
+        .withWatermark("arrived_at", delay)
+    deadline = F.col("submitted_at") + F.expr(f"INTERVAL {timeout}")
+    inside = (F.col("task_id") == F.col("__id")) \
+        & F.col("arrived_at").between(F.col("submitted_at"), deadline)
+    # As a number it is no second event time, of which the aggregation could have only one.
+    paired = asked.join(given, inside, "left_outer").select(
+        "task_id", "submitted_at", F.unix_micros("arrived_at").alias("__micros"))
+    earliest = paired.groupBy("task_id", "submitted_at").agg(
+        F.timestamp_micros(F.min("__micros")).alias("completed_at"))
     missed = F.col("completed_at").isNull()
-    return outcomes.select(
+    return earliest.select(
         "*", F.when(missed, "failed").otherwise("success").alias("status"),
         F.when(missed, F.lit("Timeout waiting for completion")).alias("error"))
 
 
+def _micros(text: str) -> int:
+    return pd.Timedelta(text.lower()).value // 1000
+
+
+#: Artefacts of a session are put aside by spans of this many microseconds.
+SPAN = 3_600_000_000
+
+
 class _Session(StatefulProcessor):
     """Per session: its first event, earliest message, and artefacts.
 
-    Artefacts the watermark has passed are a number; only those above it are held one by one.
+    Rows are folded as they stream in; of a micro-batch only one Arrow batch is held. Artefacts
+    above the watermark are put aside as arrays of times and ids, by time span; spans the
+    watermark has passed become a number.
     """
 
-    def __init__(self, timeout: pd.Timedelta, forget: pd.Timedelta) -> None:
+    def __init__(self, timeout: int, forget: int) -> None:
         self._timeout, self._forget = timeout, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._seen = handle.getValueState(
-            "seen", "first timestamp, message_at timestamp, message_id long, message string, "
-                    "n_artefacts long, counted_to timestamp, closed_at timestamp")
-        self._held = handle.getListState("held", "ts timestamp, event_id long")
+            "seen", "first long, message_at long, message_id long, message string, "
+                    "n_artefacts long, counted_to long, part long, closed_at long")
+        self._aside = handle.getMapState("aside", "span long, part long", "at binary, id binary")
 
-    def _end(self, first: pd.Timestamp, message_at: Any) -> pd.Timestamp:
-        deadline = pd.Timestamp(first) + self._timeout
-        return deadline if message_at is None else min(pd.Timestamp(message_at), deadline)
+    def _end(self, first: int, message_at: int | None) -> int:
+        deadline = first + self._timeout
+        return deadline if message_at is None else min(message_at, deadline)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        known = self._seen.exists()
-        first, at, event, text, count, counted_to, closed_at = (
-            self._seen.get() if known else (None, None, None, None, 0, None, None))
-        batches = list(rows)
+        first, at, event, text, count, counted_to, part, closed_at = (
+            self._seen.get() if self._seen.exists() else (None, None, None, None, 0, None, 0, None))
         if closed_at is not None:
             return
-        held = {(pd.Timestamp(t), e) for t, e in self._held.get()} if known else set()
-        message = None if at is None else (pd.Timestamp(at), event, text)
-        for batch in batches:
-            for t, e, kind, body in zip(batch["ts"], batch["event_id"], batch["kind"],
-                                        batch["message"], strict=True):
-                if counted_to is not None and t <= pd.Timestamp(counted_to):
-                    continue
-                first = t if first is None else min(pd.Timestamp(first), t)
-                if kind == "message" and (message is None or (t, e) < message[:2]):
-                    message = (t, int(e), body)
-                elif kind == "artefact":
-                    held.add((t, int(e)))
+        message = None if at is None else (at, event, text)
+        for batch in rows:
+            moments, ids = batch["at"].to_numpy(), batch["event_id"].to_numpy()
+            fresh = np.ones(len(batch), bool) if counted_to is None else moments > counted_to
+            if not fresh.any():
+                continue
+            first = min(x for x in (first, int(moments[fresh].min())) if x is not None)
+            said = np.flatnonzero(fresh & (batch["kind"] == "message").to_numpy())
+            if len(said):
+                k = said[np.lexsort((ids[said], moments[said]))[0]]
+                if message is None or (moments[k], ids[k]) < message[:2]:
+                    message = int(moments[k]), int(ids[k]), batch["message"].iloc[k]
+            made = np.flatnonzero(fresh & (batch["kind"] == "artefact").to_numpy())
+            spans = moments[made] // SPAN
+            for span in np.unique(spans).tolist():
+                chosen = made[spans == span]
+                self._aside.updateValue(
+                    (span, part), (moments[chosen].tobytes(), ids[chosen].tobytes()))
+                part += 1
         if first is None:
             return
-        now = _passed(timerValues.getCurrentWatermarkInMs())
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         end = self._end(first, message[0] if message else None)
-        held = {h for h in held if (h < message[:2] if message else True) and h[0] <= end}
-        passed = {h for h in held if h[0] <= now}
-        self._seen.update((first, *(message or (None, None, None)), int(count) + len(passed), now,
-                           None))
-        self._held.clear()
-        if held - passed:
-            self._held.put(sorted(held - passed))
-        self._handle.registerTimer(_millis(end))
+        whole = min(now, end) // SPAN * SPAN
+        if counted_to is None or whole > counted_to:
+            count += self._fold(message, end, whole)
+            counted_to = whole - 1
+        self._seen.update((first, *(message or (None, None, None)), int(count), counted_to, part, None))
+        self._handle.registerTimer(-(-end // 1000))
         yield from ()
 
+    def _fold(self, message: tuple | None, end: int, below: int | None) -> int:
+        """Artefacts, before the message and the end, of the spans below a moment; taken away."""
+        count, done = 0, []
+        for place, held in self._aside.iterator():
+            if below is None or (place[0] + 1) * SPAN <= below:
+                at, ids = np.frombuffer(held[0], np.int64), np.frombuffer(held[1], np.int64)
+                wanted = at <= end
+                if message is not None:
+                    wanted &= (at < message[0]) | ((at == message[0]) & (ids < message[1]))
+                count += int(wanted.sum())
+                done.append(place)
+        for place in done:
+            self._aside.removeKey(place)
+        return count
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any
                            ) -> Iterator[pd.DataFrame]:
         if not self._seen.exists():
             return
-        now = _passed(timerValues.getCurrentWatermarkInMs())
-        first, at, event, text, count, counted_to, closed_at = self._seen.get()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        first, at, event, text, count, counted_to, part, closed_at = self._seen.get()
         if closed_at is not None:
-            if pd.Timestamp(closed_at) + self._forget <= now:
+            if closed_at + self._forget <= now:
                 self._seen.clear()
             return
         end = self._end(first, at)
         if end > now:
             return
-        answered = at is not None and pd.Timestamp(at) <= end
-        n = int(count) + sum(1 for _ in self._held.get())
-        self._held.clear()
-        self._seen.update((first, None, None, None, 0, now, end))
-        self._handle.registerTimer(_millis(end + self._forget))
+        answered = at is not None and at <= end
+        n = count + self._fold(None if at is None else (at, event), end, None)
+        self._seen.update((first, None, None, None, 0, now, 0, end))
+        self._handle.registerTimer(-(-(end + self._forget) // 1000))
         yield pd.DataFrame({
             "session_id": [key[0]], "response_event": pd.array([event if answered else None], "Int64"),
             "n_artefacts": [n], "status": ["success" if answered else "timeout"],
@@ -261,7 +256,8 @@ def session_response_stream(
     The batch form is ``sessions.session_response`` with the same ``timeout``, counted from the
     session's first event. Events may be out of order by ``delay``; a session is told of
     once the watermark has passed its earliest message or its deadline, so that nothing older
-    can follow. Repeated events count once. Of a session told of, one small row stays for
+    can follow. Repeated events, which have the same time, count once: their ids are in the
+    state until the watermark has passed them. Of a session told of, one small row stays for
     ``forget`` longer than its end, against stragglers; then the id is free again.
 
     The session's state store must be RocksDB (``spark.sql.streaming.stateStore
@@ -269,9 +265,12 @@ def session_response_stream(
     """
     body = F.lit(None).cast("string") if text is None else F.col(text)
     id_type = events.schema["session_id"].dataType.simpleString()
-    return events.select("session_id", "event_id", "ts", "kind", body.alias("message"))\
-        .withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Session(_interval(timeout), _interval(forget)),
+    once = events.select(
+        "session_id", "event_id", "ts", "kind",
+        F.when(F.col("kind") == "message", body).alias("message"),
+    ).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "event_id"])
+    return once.withColumn("at", F.unix_micros("ts")).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Session(_micros(timeout), _micros(forget)),
         outputStructType=f"session_id {id_type}, response_event long, n_artefacts long, "
                          "status string, response string",
         outputMode="append", timeMode="EventTime")
@@ -279,25 +278,40 @@ def session_response_stream(
 
 def resume_stream(
     stream: DataFrame, path: str, checkpoint: str, key: str,
-    work: Callable[[DataFrame], DataFrame] = lambda df: df,
+    work: Callable[[DataFrame], DataFrame] = lambda df: df, done: DataFrame | None = None,
+    at: str | None = None, within: str = "30 days", every: str | None = None,
+    until: Callable[[StreamingQuery], bool] | None = None,
 ) -> StreamingQuery:
     """Process ids not seen before and append them to the table at ``path``.
 
+    Ids, compared as text, are in the stream's own state: a micro-batch looks up and adds those
+    that it brings, whatever lies in the output, which is never read. Without ``at`` an id is
+    known for good; with a ``timestamp`` column ``at`` an id is forgotten once the watermark,
+    ``within`` behind the latest row, has passed it, and rows older than that are dropped.
+    ``done`` names ids, under ``key``, that were processed before there was the stream.
+
     Each micro-batch owns one partition of the table and overwrites only that one, so a
-    batch that is run again after a failure leaves no duplicates.
+    batch that is run again after a failure leaves no duplicates. State partitions are as many
+    as shuffle partitions at the first start (``settings``); for many ids the state store
+    should be RocksDB. ``every`` and ``until`` as for ``run_steadily``; without, what is there is
+    processed and the stream ends.
     """
+    named = stream.withColumn("__id", F.col(key).cast("string"))
+    if done is not None:
+        seen = F.col(key).cast("string").alias("__done")
+        named = named.join(done.select(seen), F.col("__id") == F.col("__done"), "left_anti")
+    if at is None:
+        fresh = named.dropDuplicates(["__id"])
+    else:
+        fresh = named.withWatermark(at, within).dropDuplicatesWithinWatermark(["__id"])
+    fresh = fresh.drop("__id")
+
     def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
-            fresh = resume(fresh, done, key)
-        except AnalysisException as raised:
-            if raised.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        work(fresh).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        work(df).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return drain_batches(stream, write, checkpoint)
+    if every is None:
+        return drain_batches(fresh, write, checkpoint)
+    return run_steadily(fresh.writeStream.foreachBatch(write), checkpoint, every, until)
 
 
 def status_counts_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -310,6 +324,33 @@ def status_counts_stream(stream: DataFrame, path: str, checkpoint: str) -> Strea
     return drain_batches(counts, write, checkpoint, mode="update")
 
 
+def task_status_stream(transitions: DataFrame, path: str, checkpoint: str, **options
+                       ) -> StreamingQuery:
+    """Running counts by status of ``transitions(task_id, status)``, in flight ones included.
+
+    A row with status ``running`` starts a task, any other ends it in that status. A task counts
+    as running from its start to its end and once in the status of its end; a transition
+    that arrives again changes nothing. Every micro-batch writes the counts that it changed,
+    for ``latest_counts``. Rows may come in any order; the state is two short rows per task.
+    Options as for ``run_steadily``: ``every`` and ``until``; without, the stream is drained.
+    """
+    ends = F.col("status") != "running"
+    once = transitions.withColumn("__ends", ends).dropDuplicates(["task_id", "__ends"])
+    change = F.when(ends, F.array(
+        F.struct(F.col("status").alias("status"), F.lit(1).alias("by")),
+        F.struct(F.lit("running").alias("status"), F.lit(-1).alias("by")),
+    )).otherwise(F.array(F.struct(F.lit("running").alias("status"), F.lit(1).alias("by"))))
+    counts = once.select(F.inline(change)).groupBy("status").agg(F.sum("by").alias("n"))
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    if "every" not in options:
+        return drain_batches(counts, write, checkpoint, mode="update")
+    return run_steadily(
+        counts.writeStream.foreachBatch(write).outputMode("update"), checkpoint, **options)
+
+
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     """The last value each status reached."""
     return spark.read.parquet(path).groupBy("status").agg(

@@ -168,6 +168,141 @@ def test_a_failed_batch_is_run_again_without_duplicates(spark, tmp_path):
     assert spark.read.parquet(path).count() == 10
 
 
+def inbox_of(spark, tmp_path, batches, schema, name="in"):
+    """One file, and so with a bound of one file one micro-batch, for every list of rows."""
+    inbox = str(tmp_path / name)
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+    return inbox, spark.read.parquet(inbox).schema
+
+
+def test_resuming_never_reads_the_output(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "state")
+    batches = [[(1,), (2,), (2,)], [(2,), (3,)], [(3,), (1,), (4,)], [(4,), (5,)]]
+    inbox, schema = inbox_of(spark, tmp_path, batches[:3], "ticket_id long")
+    done = spark.createDataFrame([("5",)], "ticket_id string")
+
+    def run():
+        with jobs.settings(spark, {jobs.PARTITIONS: "2", jobs.STATE_STORE: jobs.ROCKSDB}):
+            return jobs.resume_stream(jobs.read_table_stream(spark, inbox, schema, 1), path,
+                                      checkpoint, "ticket_id", done=done)
+
+    query = run()
+    assert [p["batchId"] for p in query.recentProgress if p["numInputRows"]] == [0, 1, 2]
+    first = sorted(r.ticket_id for r in spark.read.parquet(path).collect())
+    assert first == [1, 2, 3, 4]
+    # With the output gone the ids are still known.
+    os.rename(path, str(tmp_path / "away"))
+    inbox_of(spark, tmp_path, [*batches[3:], [(6,), (1,)]], "ticket_id long")
+    run()
+    assert sorted(r.ticket_id for r in spark.read.parquet(path).collect()) == [6]
+
+
+def test_ids_are_forgotten_behind_the_watermark(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    at = lambda d: t0 + timedelta(days=d)
+    batches = [[(1, at(0))], [(1, at(5)), (2, at(9))], [(3, at(60))], [(4, at(60))],
+               [(1, at(70)), (3, at(61))]]
+    inbox, schema = inbox_of(spark, tmp_path, batches, "ticket_id long, at timestamp")
+    path = str(tmp_path / "out")
+    query = jobs.resume_stream(jobs.read_table_stream(spark, inbox, schema, 1), path,
+                               str(tmp_path / "state"), "ticket_id", at="at", within="10 days")
+    rows = sorted(tuple(r) for r in spark.read.parquet(path).select("ticket_id", "at").collect())
+    assert rows == [(1, at(0)), (1, at(70)), (2, at(9)), (3, at(60)), (4, at(60))]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_a_steady_stream_takes_up_what_arrives_and_stops_cleanly(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "state")
+    inbox, schema = inbox_of(spark, tmp_path, [[(1,), (2,)], [(3,)], [(2,), (4,)]], "ticket_id long")
+    later = [[(5,)], [(6,), (1,)]]
+
+    def until(query):
+        ran = [p for p in query.recentProgress if p["numInputRows"]]
+        if len(ran) == 3 and later:
+            inbox_of(spark, tmp_path, [later.pop(0)], "ticket_id long")
+        return len(ran) >= 4
+
+    query = jobs.resume_stream(jobs.read_table_stream(spark, inbox, schema, 1), path, checkpoint,
+                               "ticket_id", every="300 milliseconds", until=until)
+    assert not query.isActive
+    ran = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in ran] == [2, 1, 2, 1]
+    starts = [datetime.fromisoformat(p["timestamp"]) for p in ran]
+    assert all((b - a).total_seconds() >= 0.25 for a, b in zip(starts, starts[1:]))
+    inbox_of(spark, tmp_path, later, "ticket_id long")
+    jobs.resume_stream(jobs.read_table_stream(spark, inbox, schema, 1), path, checkpoint,
+                       "ticket_id", every="300 milliseconds", until=jobs.idle(1))
+    rows = [r.ticket_id for r in spark.read.parquet(path).collect()]
+    assert sorted(rows) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_steady_stream_raises_its_failure(spark, tmp_path):
+    inbox, schema = inbox_of(spark, tmp_path, [[(1,)]], "ticket_id long")
+
+    def broken(df):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        jobs.resume_stream(jobs.read_table_stream(spark, inbox, schema), str(tmp_path / "out"),
+                           str(tmp_path / "state"), "ticket_id", work=broken, every="1 second",
+                           until=jobs.idle(30))
+
+
+def test_running_falls_when_a_task_ends(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "state")
+    batches = [[(1, "running"), (2, "running"), (3, "running")],
+               [(1, "success"), (1, "running"), (4, "error")],
+               [(2, "failed"), (1, "success"), (4, "running"), (5, "running")]]
+    inbox, schema = inbox_of(spark, tmp_path, batches, "task_id long, status string")
+    jobs.task_status_stream(jobs.read_table_stream(spark, inbox, schema, 1), path, checkpoint)
+    cycles = {}
+    for r in spark.read.parquet(path).collect():
+        cycles.setdefault(r.batch_id, {})[r.status] = r.n
+    assert cycles == {0: {"running": 3}, 1: {"running": 1, "success": 1, "error": 1},
+                      2: {"running": 2, "failed": 1}}
+    got = {r.status: r.n for r in jobs.latest_counts(spark, path).collect()}
+    assert got == {"running": 2, "success": 1, "failed": 1, "error": 1}
+
+
+def test_a_session_with_most_rows_over_micro_batches(spark, tmp_path):
+    """One session holds nearly all rows; artefacts are counted exactly, repeats once."""
+    import random
+
+    rng, t0 = random.Random(4), datetime(2024, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    events = [(1, i, at(rng.randrange(0, 30_000)), "artefact", None) for i in range(4000)]
+    events += [(1, 5000, at(20_000), "message", "m"), (1, 5001, at(25_000), "message", "late"),
+               (1, 5002, at(20_000), "artefact", None), (1, 4999, at(20_000), "artefact", None),
+               (2, 6000, at(10), "artefact", None), (2, 6001, at(40_000), "message", "too late")]
+    events.sort(key=lambda e: (e[2] + timedelta(seconds=rng.randrange(3000)), e[1]))
+    events += rng.sample(events[-1000:], 200)
+    schema = "session_id long, event_id long, ts timestamp, kind string, text string"
+    cut = len(events) // 4 + 1
+    batches = [events[k:k + cut] for k in range(0, len(events), cut)]
+    inbox, stored = inbox_of(spark, tmp_path, [*batches, [(9, 9, at(10**8), "other", None)]], schema)
+    path = str(tmp_path / "out")
+    with jobs.settings(spark, {jobs.PARTITIONS: "2", jobs.STATE_STORE: jobs.ROCKSDB,
+                               "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}):
+        jobs.drain(jobs.session_response_stream(
+            jobs.read_table_stream(spark, inbox, stored, 1), "30000 seconds", "5000 seconds",
+            text="text"), path, str(tmp_path / "state"))
+    got = {tuple(r) for r in spark.read.parquet(path).collect()}
+    twin = sessions.session_response(spark.createDataFrame(events, schema),
+                                     F.expr("INTERVAL 30000 SECONDS"), "text")
+    assert got == {tuple(r) for r in twin.collect()} and len(got) == 2
+
+
+def test_matching_in_a_stream_needs_no_python(spark, tmp_path):
+    schemas = {"tasks": "task_id long, submitted_at timestamp", "results": "task_id long, arrived_at timestamp"}
+    streams = []
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+        streams.append(jobs.read_table_stream(spark, str(tmp_path / name), schema))
+    matched = jobs.match_within_stream(*streams, "10 seconds")
+    assert "Python" not in matched._jdf.queryExecution().toString()
+
+
 def test_status_counts_over_several_batches(spark, tmp_path):
     inbox, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "status string"
