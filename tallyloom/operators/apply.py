@@ -13,25 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import strip
+from tallyloom.operators.calls import Call, CallWindow
 from tallyloom.operators.outcomes import classify_outcome, parse_verdict
 
 RowFunction = Callable[[str, dict], str]
 JudgeFunction = Callable[[str, str], str]
 
 
-def _guarded(load: Callable[[], Callable], calls: Iterator) -> Iterator[pd.DataFrame]:
+def _guarded(load: Callable[[], Callable], calls: Iterator, in_flight: int, timeout: float | None
+             ) -> Iterator[pd.DataFrame]:
+    """Outcomes of batches of argument tuples, in order; None stands for no call."""
     function = load()
-    for batch in calls:
-        results, errors = [], []
-        for args in batch:
-            try:
-                value = None if args is None else function(*args)
-                results.append(None if value is None else str(value))
-                errors.append(None)
-            except Exception as raised:  # noqa: BLE001 - recorded in the row
-                results.append(None)
-                errors.append(str(raised) or type(raised).__name__)
-        yield pd.DataFrame({"result": results, "error": errors}, dtype="object")
+    window = CallWindow(function, in_flight, timeout) if in_flight > 1 or timeout else None
+    try:
+        for batch in calls:
+            if window:
+                done = window.run(batch)
+                outcomes = [(c.value, c.error) for c in done]
+            else:
+                outcomes = [(None, None) if a is None else Call(a).make(function) for a in batch]
+            yield pd.DataFrame({
+                "result": [None if value is None else str(value) for value, _ in outcomes],
+                "error": [error for _, error in outcomes]}, dtype="object")
+    finally:
+        if window:
+            window.close()
 
 
 def apply_flow(
@@ -41,13 +47,18 @@ def apply_flow(
     vars_col: str | None = "variables",
     setup: Callable[[], RowFunction] | None = None,
     parallelism: int | None = None,
+    in_flight: int = 1,
+    timeout: float | None = None,
 ) -> DataFrame:
     """Call ``fn(text, variables)`` per row; adds ``result``, ``status`` and ``error``.
 
     A row without a text is not handed to the function and fails as having no content.
 
     ``setup`` builds the function once per task instead (open a connection, load a model).
-    ``parallelism`` bounds the calls in flight by the number of partitions.
+    ``in_flight`` calls of a task run at a time, in threads, within each Arrow batch; the function
+    must allow for that. ``parallelism`` bounds the tasks by the number of partitions, so that
+    never more than the product of both is in flight. A call that takes longer than ``timeout``
+    seconds fails its row, and the task goes on.
 
     The function is treated as non-deterministic, so the optimizer never runs it twice for
     one reference; a lost executor still re-runs its rows, so side effects must be safe to
@@ -61,6 +72,7 @@ def apply_flow(
             load,
             ([None if t is None else (t, dict(v or {})) for t, v in zip(texts, maps)]
              for texts, maps in batches),
+            in_flight, timeout,
         )
 
     if parallelism:
@@ -76,15 +88,19 @@ def apply_flow(
 def call_judge(
     expected: Column, actual: Column, fn: JudgeFunction | None = None,
     setup: Callable[[], JudgeFunction] | None = None, skip_missing: bool = False,
+    in_flight: int = 1, timeout: float | None = None,
 ) -> Column:
-    """``struct<result, error>`` of calling the judge; optionally not for missing answers."""
+    """``struct<result, error>`` of calling the judge; optionally not for missing answers.
+
+    ``in_flight`` and ``timeout`` as for ``apply_flow``.
+    """
     load = setup or (lambda: fn)
 
     @F.pandas_udf("result string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         yield from _guarded(load, (
             [None if skip_missing and y is None else (x, y) for x, y in zip(e, a)]
-            for e, a in batches))
+            for e, a in batches), in_flight, timeout)
 
     return run.asNondeterministic()(expected, actual)
 
@@ -95,9 +111,12 @@ def apply_judge(
     expected: str = "expected_answer",
     actual: str = "actual_answer",
     setup: Callable[[], JudgeFunction] | None = None,
+    in_flight: int = 1,
+    timeout: float | None = None,
 ) -> DataFrame:
     """Call ``fn(expected, actual)`` per row and parse the verdict JSON it returns."""
-    called = df.withColumn("__out", call_judge(F.col(expected), F.col(actual), fn, setup))
+    called = df.withColumn("__out", call_judge(
+        F.col(expected), F.col(actual), fn, setup, False, in_flight, timeout))
     judged = called.withColumn("verdict", F.col("__out.result"))
     parsed = parse_verdict(judged)
     raised = F.col("__out.error").isNotNull()

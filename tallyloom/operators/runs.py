@@ -19,7 +19,7 @@ from tallyloom.sources.tables import read_checkpoint
 def run_batch(
     tasks: DataFrame, fn: RowFunction | None = None, existing: DataFrame | None = None,
     overwrite: bool = False, setup: Callable[[], RowFunction] | None = None,
-    parallelism: int | None = None,
+    parallelism: int | None = None, in_flight: int = 1, timeout: float | None = None,
 ) -> DataFrame:
     """Outcome of every task of a batch, in one pass.
 
@@ -35,7 +35,7 @@ def run_batch(
     skipped = F.col("__before") == "skipped"
     called = apply_flow(
         marked.withColumn("__input", F.when(~skipped, F.col("flow_input"))), fn, "__input",
-        setup=setup, parallelism=parallelism)
+        setup=setup, parallelism=parallelism, in_flight=in_flight, timeout=timeout)
     return called.withColumn("status", F.when(skipped, "skipped").otherwise(F.col("status")))\
         .withColumn("error", F.when(~skipped, F.col("error"))).drop("__input", "__before")
 
@@ -45,17 +45,20 @@ def evaluate(
     flow_id: str | None = None, judge_flow_id: str | None = None,
     setup: Callable[[], RowFunction] | None = None,
     judge_setup: Callable[[], JudgeFunction] | None = None,
-    parallelism: int | None = None,
+    parallelism: int | None = None, in_flight: int = 1, timeout: float | None = None,
 ) -> DataFrame:
     """Answer every question, judge every answer, and classify what failed and where.
 
     ``tasks(task_id, question, expected_answer)``. Answer and verdict are made on the
-    task's own row, so nothing is joined; an answer that failed is not judged.
+    task's own row, so nothing is joined; an answer that failed is not judged. ``in_flight`` and
+    ``timeout`` as for ``apply_flow``, for either function.
     """
-    answered = apply_flow(tasks, fn, "question", None, setup=setup, parallelism=parallelism)
+    answered = apply_flow(tasks, fn, "question", None, setup=setup, parallelism=parallelism,
+                          in_flight=in_flight, timeout=timeout)
     rows = answered.withColumn("answer", F.col("result")).withColumn(
         "answer_error", F.when(F.col("status") == "error", F.col("error")))
-    verdict = call_judge(F.col("expected_answer"), F.col("answer"), judge, judge_setup, True)
+    verdict = call_judge(F.col("expected_answer"), F.col("answer"), judge, judge_setup, True,
+                         in_flight, timeout)
     rows = rows.withColumn("__verdict", verdict).select(
         *tasks.columns,
         F.lit(flow_id).cast("string").alias("flow_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,6 +201,28 @@ def run_batch(spark, sf_dir):
     return ran.select("doc_id", "filename", "status", "result", "error")
 
 
+HANGS, DEADLINE = 7, 3
+
+
+def hanging_digest(text: str, variables: dict) -> str:
+    """A row function that does not return in time for some lengths of text."""
+    if len(text) % 211 == HANGS:
+        time.sleep(10 * DEADLINE)
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+@query("apply_deadline", f"""
+SELECT doc_id, CASE WHEN len(text) % 211 = {HANGS} THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN len(text) % 211 <> {HANGS} THEN md5(text) END AS result,
+  CASE WHEN len(text) % 211 = {HANGS} THEN 'Flow execution timed out after {DEADLINE} seconds'
+  END AS error FROM documents""")
+def apply_deadline(spark, sf_dir):
+    """Fifty calls in flight in every task, each with a deadline."""
+    applied = apply_flow(table(spark, sf_dir, "documents"), hanging_digest, "text", None,
+                         in_flight=50, timeout=DEADLINE)
+    return applied.select("doc_id", "status", "result", "error")
+
+
 # Round trips: write the stand-in to a fresh folder, read it back through the operator.
 
 def _in_order(df: DataFrame, *columns: str) -> DataFrame:

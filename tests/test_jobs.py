@@ -28,6 +28,90 @@ def test_one_bad_row_does_not_fail_the_job(spark):
             "boom": ("error", None, "bad input"), "none": failed, "empty": failed, None: failed}
 
 
+def spans(path):
+    """(start, end) of the calls that a function noted in a folder."""
+    return sorted(tuple(map(float, f.read_text().split())) for f in path.iterdir())
+
+
+def noting(folder, seconds):
+    def fn(text, variables):
+        import time
+        import uuid
+
+        start = time.time()
+        time.sleep(seconds)
+        (folder / uuid.uuid4().hex).write_text(f"{start} {time.time()}")
+        return text[::-1]
+
+    return fn
+
+
+@pytest.mark.parametrize("in_flight", [1, 4])
+def test_calls_in_flight_overlap_and_keep_their_order(spark, tmp_path, in_flight):
+    df = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("flow_input"))
+    done = apply_flow(df, noting(tmp_path, 0.05), vars_col=None, in_flight=in_flight).collect()
+    assert [r.result for r in done] == [str(i)[::-1] for i in range(40)]
+    ran = spans(tmp_path)
+    most = max(sum(a <= start < b for a, b in ran) for start, _ in ran)
+    assert len(ran) == 40 and most == in_flight
+
+
+def test_a_call_that_hangs_is_a_row_with_an_error(spark):
+    def fn(text, variables):
+        import time
+
+        if text.startswith("hang"):
+            time.sleep(30)
+        if text == "exit":
+            raise SystemExit("left")
+        return text
+
+    rows = ["a", "hang 1", "b", "hang 2", "hang 3", None, "exit", "c"]
+    df = spark.createDataFrame([(t,) for t in rows], "flow_input string").coalesce(1)
+    for in_flight in (1, 2):
+        start = datetime.now()
+        got = [(r.flow_input, r.status, r.error) for r in apply_flow(
+            df, fn, vars_col=None, in_flight=in_flight, timeout=0.8).collect()]
+        assert (datetime.now() - start).total_seconds() < 20
+        late = "Flow execution timed out after 0.8 seconds"
+        assert got == [
+            (t, "failed", "No content returned") if t is None else (t, "error", "left")
+            if t == "exit" else (t, "error", late) if t.startswith("hang") else (t, "success", None)
+            for t in rows]
+    judged = apply_judge(
+        df.select(F.col("flow_input").alias("expected_answer"), F.lit("x").alias("actual_answer")),
+        lambda e, a: fn(e or "", {}), in_flight=4, timeout=0.8)
+    assert judged.where(F.col("error").contains("timed out")).count() == 3
+
+
+def test_the_window_outlives_many_given_up_calls():
+    import threading
+    import time
+
+    from tallyloom.operators.calls import CallWindow
+
+    lock, now, most = threading.Lock(), 0, 0
+
+    def fn(n):
+        nonlocal now, most
+        with lock:
+            now, most = now + 1, max(most, now + 1)
+        time.sleep(0.5 if n % 5 == 0 else 0.001)
+        with lock:
+            now -= 1
+        return n
+
+    window = CallWindow(fn, 8, 0.1)
+    for low in range(0, 200, 50):
+        done = window.run([(n,) for n in range(low, low + 50)])
+        assert [c.value for c in done] == [None if n % 5 == 0 else n for n in range(low, low + 50)]
+        assert all((c.error is None) == bool(c.args[0] % 5) for c in done)
+    assert window.run([]) == [] and window.run([None])[0].value is None
+    window.close()
+    with pytest.raises(ValueError, match="positive"):
+        CallWindow(fn, 0)
+
+
 def test_setup_runs_once_per_task(spark, tmp_path):
     folder = str(tmp_path)
 
