@@ -15,6 +15,9 @@ from tallyloom.session import durable
 from tallyloom.sinks.tables import append_checkpoint
 from tallyloom.sources.tables import read_checkpoint
 
+CHECKPOINT_SCHEMA = ", ".join(
+    f"{c} {'long' if c == 'flow_input_length' else 'string'}" for c in CHECKPOINT_COLUMNS)
+
 
 def run_batch(
     tasks: DataFrame, fn: RowFunction | None = None, existing: DataFrame | None = None,
@@ -73,18 +76,17 @@ def evaluate(
 def index_new_tickets(
     tickets: DataFrame, groups: DataFrame, fn: RowFunction, checkpoint: str,
     department: str | None = None, limit: int | None = None, tags: str | None = None,
-    indexed_at: Column | None = None,
+    indexed_at: Column | None = None, run: str | None = None,
 ) -> DataFrame:
     """One run of the ticket job: the newest tickets that the ``checkpoint`` lacks are indexed and
     their rows appended to it. Returns the rows of this run.
 
     Tickets and outcomes are stored before the checkpoint grows: the function runs once per
-    ticket, and a run that breaks off leaves the checkpoint as it was.
+    ticket, and a run that breaks off leaves the checkpoint as it was. A ``run`` by a name that the
+    checkpoint has already adds nothing to it.
     """
-    schema = ", ".join(
-        f"{c} {'long' if c == 'flow_input_length' else 'string'}" for c in CHECKPOINT_COLUMNS)
-    done = read_checkpoint(tickets.sparkSession, checkpoint, schema)
+    done = read_checkpoint(tickets.sparkSession, checkpoint, CHECKPOINT_SCHEMA)
     chosen = durable(scan_tickets(tickets, department, limit, done), "tickets")
     rows = durable(index_tickets(chosen, groups, fn, tags, indexed_at), "indexed")
-    append_checkpoint(rows.select(*CHECKPOINT_COLUMNS), checkpoint)
+    append_checkpoint(rows.select(*CHECKPOINT_COLUMNS), checkpoint, run)
     return rows

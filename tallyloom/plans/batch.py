@@ -353,16 +353,18 @@ def batch_files(spark, sf_dir):
 
 @query("write_results", f"""WITH {OUTCOME_SQL}
 SELECT event_id, status, CASE WHEN status = 'success' THEN r END AS result, form
-FROM outcomes, (VALUES ('csv'), ('json')) f(form)""")
+FROM outcomes, (VALUES ('csv'), ('json'), ('array')) f(form)""")
 def write_results(spark, sf_dir):
     rows = outcome_rows(spark, sf_dir).select("event_id", "status", "result")
-    csv, js = (f"{scratch_path(spark, 'results')}.{x}" for x in ("CSV", "json"))
+    csv, js, arrays = (f"{scratch_path(spark, 'results')}.{x}" for x in ("CSV", "json", "arrays"))
     sinks.write_results(rows, csv)
     sinks.write_results(rows, js)
+    sinks.write_json_arrays(rows, arrays)
     schema = "event_id long, status string, result string"
     back = sources.read_csv(spark, csv, schema=schema).withColumn("form", F.lit("csv"))
-    return back.unionByName(
-        spark.read.schema(schema).json(js).withColumn("form", F.lit("json")))
+    lines = spark.read.schema(schema).json(js).withColumn("form", F.lit("json"))
+    whole = sources.read_json_inputs(spark, arrays, schema).withColumn("form", F.lit("array"))
+    return back.unionByName(lines).unionByName(whole)
 
 
 @query("write_row_files", """
@@ -382,14 +384,18 @@ CHECKPOINT = "ticket_id long, status string, flow_process_id string"
 
 
 def _checkpoint(spark, sf_dir, name: str) -> str:
-    """Three runs' rows appended to one checkpoint, one run per order status."""
+    """Three runs' rows appended to one checkpoint, one run per order status.
+
+    One run is repeated, and one breaks off before its rows count.
+    """
     path = scratch_path(spark, name)
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("ticket_id"), F.col("o_orderstatus").alias("status"),
         F.expr("CASE WHEN o_totalprice < 20000 THEN 'ERROR: too small' "
                "ELSE md5(CAST(o_orderkey AS STRING)) END").alias("flow_process_id"))
-    for status in ("F", "P", "O"):
-        sinks.append_checkpoint(rows.where(F.col("status") == status), path)
+    for status in ("F", "P", "F", "O"):
+        sinks.append_checkpoint(rows.where(F.col("status") == status), path, f"status-{status}")
+    sinks.checkpoint_attempt(rows.where("status = 'F'"), path, "broken")
     return path
 
 
@@ -401,6 +407,21 @@ def append_checkpoint(spark, sf_dir):
     return sources.read_checkpoint(spark, _checkpoint(spark, sf_dir, "appended"), CHECKPOINT)
 
 
+@query("checkpoint_overlap", """
+SELECT o_orderkey AS ticket_id, CASE WHEN o_orderstatus <> 'O' THEN 'closed' ELSE 'all' END AS status
+FROM orders""")
+def checkpoint_overlap(spark, sf_dir):
+    """Two runs that took up some of the same tickets; the earlier run's rows stay."""
+    path = scratch_path(spark, "overlap")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ticket_id"), F.col("o_orderstatus").alias("status"))
+    closed = rows.where("status <> 'O'").withColumn("status", F.lit("closed"))
+    late = sinks.checkpoint_attempt(rows.withColumn("status", F.lit("all")), path, "all")
+    sinks.append_checkpoint(closed, path, "closed")
+    sinks.commit_checkpoint(spark, path, "all", late)
+    return sources.read_checkpoint(spark, path, "ticket_id long, status string", key="ticket_id")
+
+
 @query("read_checkpoint", """
 SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id FROM orders""")
 def read_checkpoint(spark, sf_dir):

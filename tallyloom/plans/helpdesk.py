@@ -9,6 +9,7 @@ from tallyloom.operators import runs
 from tallyloom.operators import tickets as tk
 from tallyloom.plans.common import query, sql_stamp, sql_strip, stamp, table
 from tallyloom.session import scratch_path
+from tallyloom.sources.tables import read_checkpoint
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'P' THEN 'L' ELSE 'N' END"
 CHANNEL = "CASE WHEN o_orderpriority = '5-LOW' THEN 'C' ELSE 'M' END"
@@ -133,5 +134,5 @@ def ticket_runs(spark, sf_dir):
     checkpoint = scratch_path(spark, "ticket-checkpoint")
     for day, found in (("01", tickets.where("department_name IS NOT NULL")), ("02", tickets)):
         runs.index_new_tickets(found, groups, count_words, checkpoint,
-                               indexed_at=F.lit(f"2024-06-{day} 00:00:00"))
-    return spark.read.parquet(checkpoint)
+                               indexed_at=F.lit(f"2024-06-{day} 00:00:00"), run=day)
+    return read_checkpoint(spark, checkpoint, runs.CHECKPOINT_SCHEMA)

@@ -43,6 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def store(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system that holds a path, and the path as it names it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(named)
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import posixpath
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.session import durable
+from tallyloom.session import durable, store
+from tallyloom.sources.tables import committed_runs
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -35,7 +40,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Write a result table in the format its suffix names."""
+    """Write a result table in the format its suffix names: CSV, or JSON with an object a line.
+
+    ``write_json_arrays`` writes arrays of objects.
+    """
     suffix = os.path.splitext(path)[1].lower()
     if suffix == ".json":
         df.write.json(path)
@@ -45,6 +53,43 @@ def write_results(df: DataFrame, path: str) -> None:
         raise ValueError(f"unsupported output format: {suffix or 'none'}")
 
 
+def write_json_arrays(df: DataFrame, path: str) -> int:
+    """Write a new folder of JSON files, each one array of objects; returns their number.
+
+    A task streams its rows into one file, an object a line between the brackets; keys stand in
+    the order of the columns, missing values are null. ``coalesce(1)`` gives one array for a
+    small table, an empty table one empty array.
+    """
+    objects = df.select(
+        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    stored = durable(objects, "objects")
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            if values:
+                lines = ["[" + values[0] if last is None else values[0], *values[1:]]
+                ready = [] if last is None else [last]
+                ready += lines[:-1]
+                last = lines[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([line + "," for line in ready], pa.string())], ["value"])
+        if last is not None or TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([(last or "[") + "]"])], ["value"])
+
+    if stored.isEmpty():
+        lines = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
+    else:
+        lines = stored.mapInArrow(bracketed, "value string")
+    lines.write.text(path)
+    system, folder = store(df.sparkSession, path)
+    written = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().endswith(".txt")]
+    for part in written:
+        system.rename(part, part.suffix(".json"))
+    return len(written)
+
+
 def _file_system(folder: str) -> tuple[FileSystem, str]:
     """The file system that a URI or local path names, and the path there."""
     local = re.sub("^file:/+", "/", folder)
@@ -58,12 +103,14 @@ def write_row_files(df: DataFrame, folder: str, filename: str = "filename",
     """Write each row's text to ``folder/filename``; returns the number of files.
 
     ``folder`` is a URI of any store that Arrow's file systems reach, or a path that all
-    executors mount. Names must be unique. The rows are stored first, so that what makes them
+    executors mount. Names must be unique and not null. The rows are stored first, so that what makes them
     runs once, however often a task is repeated. A file appears under its name only when
     complete, and a repeated task leaves the same files.
     """
     rows = durable(df.select(F.col(filename).alias("name"), F.col(text).alias("body")), "files")
-    twice = rows.groupBy("name").count().where("count > 1").limit(1).collect()
+    twice = rows.groupBy("name").count().where("count > 1 OR name IS NULL").limit(1).collect()
+    if twice and twice[0]["name"] is None:
+        raise ValueError("a row has no file name")
     if twice:
         raise ValueError(f"more than one row writes {twice[0]['name']}")
     if "://" not in folder:
@@ -91,6 +138,66 @@ def write_row_files(df: DataFrame, folder: str, filename: str = "filename",
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def append_checkpoint(df: DataFrame, path: str) -> None:
-    """Add rows to a checkpoint table; earlier rows are never rewritten."""
-    df.write.mode("append").parquet(path)
+COMMITS = "_commits"
+RUN_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+
+
+def checkpoint_attempt(df: DataFrame, path: str, run: str) -> str:
+    """Write the rows of a run to a folder of their own and return its name.
+
+    Readers of the checkpoint do not see them before ``commit_checkpoint``.
+    """
+    if not re.fullmatch(RUN_NAME, run):
+        raise ValueError(f"no name for a run: {run!r}")
+    attempt = uuid.uuid4().hex
+    df.write.parquet(f"{path.rstrip('/')}/run={run}/attempt={attempt}")
+    return attempt
+
+
+def commit_checkpoint(spark: SparkSession, path: str, run: str, attempt: str) -> bool:
+    """Make an attempt's rows part of the checkpoint, unless its run has some already.
+
+    The marker is complete when it gets its name, and only one can get it: by a hard link in a
+    local or mounted folder, elsewhere by a rename that replaces nothing.
+    """
+    system, folder = store(spark, f"{path.rstrip('/')}/{COMMITS}")
+    system.mkdirs(folder)
+    marker, draft = (f"{folder}/{name}" for name in (run, f".{uuid.uuid4().hex}"))
+    jvm = spark._jvm
+    target, made = jvm.org.apache.hadoop.fs.Path(marker), jvm.org.apache.hadoop.fs.Path(draft)
+    if system.exists(target):
+        return False
+    out = system.create(made)
+    out.writeBytes(f"{time.time_ns()} {attempt}\n")
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            local = [jvm.java.io.File(x.toUri().getPath()).toPath() for x in (target, made)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                target.toUri(), spark._jsc.hadoopConfiguration()).rename(made, target, none)
+        return True
+    except Py4JJavaError as raised:
+        if "FileAlreadyExists" not in raised.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        system.delete(made, False)
+
+
+def append_checkpoint(df: DataFrame, path: str, run: str | None = None) -> bool:
+    """Add the rows of a run to a checkpoint table; earlier rows are never rewritten.
+
+    Rows count once a marker names them, so a run that breaks off adds nothing. A ``run`` by the
+    same name adds its rows once, whether it is repeated or runs twice at a time; the result
+    tells whether this call added them. Without a name every call is a run of its own. Runs of
+    different names that take up the same ids leave a row each: ``read_checkpoint`` with a
+    ``key`` keeps the earliest.
+    """
+    name = run or f"run-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if run is not None and any(c["run"] == run for c in committed_runs(spark, path)):
+        return False
+    return commit_checkpoint(spark, path, name, checkpoint_attempt(df, path, name))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import strip
 from tallyloom.operators.inputs import split_record
 from tallyloom.operators.ordered import with_positions
-from tallyloom.session import durable
+from tallyloom.session import durable, store
+from tallyloom.sources.records import csv_records
 
 # Delimiters tried, in the order that settles a tie; the last is the fallback.
 DELIMITERS = (",", ";", "\t")
@@ -22,16 +23,28 @@ FALLBACK_DELIMITER = ";"
 
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", multiline: bool = True,
-    schema: str | None = None,
+    schema: str | None = None, index: str | None = None,
 ) -> DataFrame:
-    """CSV with a header, every cell as text.
+    """CSV with a header, every cell as text; ``index`` adds the 0-based position of each row.
 
-    Cells may hold line breaks, which keeps a file in one task; for files known to have
-    none, ``multiline=False`` lets Spark split them.
+    Cells may hold line breaks, and a file is still read by many tasks (see ``records``). For
+    files known to have no such cells ``multiline=False`` takes each line for a record.
     """
-    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"',
-                                multiLine=multiline, encoding="UTF-8")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, multiLine=multiline, encoding="UTF-8", **options)
+    if not multiline:
+        rows = (reader.schema(schema) if schema else reader).csv(path)
+        return with_file_positions(rows, index).select(index, *rows.columns) if index else rows
+    if schema is None:
+        # The names alone: the start of one file is read.
+        head = reader.csv(path)
+        if not head.columns:
+            return head.withColumn(index, F.lit(0).cast("long")) if index else head
+        schema = ", ".join("`" + name.replace("`", "``") + "` string" for name in head.columns)
+    rows = csv_records(spark, path).select(
+        *([F.col("position").alias(index)] if index else []),
+        F.from_csv("record", schema, options).alias("__cells"))
+    return rows.select(*([index] if index else []), "__cells.*")
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,7 +105,7 @@ def read_batch_csv(spark: SparkSession, path: str, sep: str = "auto", **options)
     """
     if sep == "auto":
         sep = detect_delimiter(spark, path)
-    rows = with_file_positions(require(read_csv(spark, path, sep, **options), ["flow_input"]))
+    rows = require(read_csv(spark, path, sep, index="input_index", **options), ["flow_input"])
     rows = rows.withColumn("flow_input", strip(F.col("flow_input")))
     name = strip(F.col("filename")) if "filename" in rows.columns else F.lit(None)
     if "flow_variable" in rows.columns:
@@ -133,13 +146,12 @@ def read_records_csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def read_matrix_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """A matrix with its row position; the first column is the input, the rest variants."""
-    df = read_csv(spark, path, **options)
-    if len(df.columns) < 2:
+    df = read_csv(spark, path, index="row_idx", **options)
+    if len(df.columns) < 3:
         raise ValueError("a matrix needs an input column and at least one variant column")
     if df.isEmpty():
         raise ValueError("the matrix is empty")
-    columns = df.columns
-    return with_file_positions(df, "row_idx").select("row_idx", *columns)
+    return df.select("row_idx", *[c for c in df.columns if c != "row_idx"])
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,14 +194,52 @@ def list_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("path").select(F.substr("path", start).alias("filename"))
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of earlier runs, or none if there was no run yet."""
+def committed_runs(spark: SparkSession, path: str) -> list[dict]:
+    """``run``, ``attempt`` and ``at`` (nanoseconds) of a checkpoint's commits, earliest first.
+
+    One short file a run is read.
+    """
     try:
-        return spark.read.schema(schema).parquet(path)
+        markers = spark.read.text(f"{path.rstrip('/')}/_commits/*").select(
+            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("run"),
+            F.split("value", " ").alias("parts")).collect()
     except AnalysisException as raised:
         if raised.getCondition() != "PATH_NOT_FOUND":
             raise
+        return []
+    found = [{"run": m["run"], "at": int(m["parts"][0]), "attempt": m["parts"][1]} for m in markers]
+    return sorted(found, key=lambda c: (c["at"], c["run"]))
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema: str, key: str | None = None
+                    ) -> DataFrame:
+    """Committed rows of earlier runs, or none if there was no run yet.
+
+    Rows of a run that has no commit marker are left out. With a ``key`` an id that several
+    runs took up has the row of the earliest commit alone. Plain Parquet files right in
+    the folder count as committed before all runs.
+    """
+    folder = path.rstrip("/")
+    runs = committed_runs(spark, folder)
+    tables = [(n, f"{folder}/run={c['run']}/attempt={c['attempt']}") for n, c in enumerate(runs)]
+    system, root = store(spark, folder)
+    if system.exists(root) and any(
+            f.isFile() and not f.getPath().getName().startswith(("_", "."))
+            for f in system.listStatus(root)):
+        tables.insert(0, (-1, f"{folder}/*.parquet"))
+    if not tables:
         return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*[t for _, t in tables])
+    if key is None:
+        return rows
+    order = F.create_map(*[F.lit(x) for n, c in enumerate(runs) for x in (c["attempt"], n)]) \
+        if runs else F.lit(None).cast("map<string,int>")
+    attempt = F.regexp_extract(F.col("_metadata.file_path"), "/attempt=([0-9a-f]+)/[^/]*$", 1)
+    placed = rows.select(F.struct(*rows.columns).alias("row"), F.struct(
+        F.coalesce(F.try_element_at(order, attempt), F.lit(-1)),
+        F.monotonically_increasing_id()).alias("at"))
+    return placed.groupBy(F.col(f"row.{key}").alias("__key")).agg(
+        F.min_by("row", "at").alias("row")).select("row.*")
 
 
 def processed_ids(checkpoint: DataFrame, key: str = "ticket_id") -> DataFrame:

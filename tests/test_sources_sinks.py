@@ -69,6 +69,71 @@ def test_positions_within_a_file_that_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def csv_text(rows, newline, quote_all=False):
+    import csv
+    import io
+
+    out = io.StringIO()
+    csv.writer(out, lineterminator=newline, quoting=csv.QUOTE_ALL if quote_all else csv.QUOTE_MINIMAL)\
+        .writerows(rows)
+    return out.getvalue()
+
+
+def records_of(seed, n):
+    """Cells with line breaks, empty lines, quotes and delimiters; some are long."""
+    import random
+
+    rng = random.Random(seed)
+    pieces = ["a", "b c", ",", "\n", "\n\n", '"', '""', "x,y", " ", "é", "end\n", '\n"', "z" * 90]
+    return [[str(i)] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(6))) for _ in range(3)]
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [64, 333, 5000])
+def test_one_file_read_by_several_tasks(spark, tmp_path, newline, size):
+    rows = records_of(size, 300)
+    text = csv_text([["n", "with space", "`tick", "d.e"], *rows], newline)
+    path = put_bytes(tmp_path / "one.csv", text)
+    options = dict(header=True, quote='"', escape='"', multiLine=True)
+    expected = [tuple(r) for r in spark.read.options(**options).csv(path).collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = sources.read_csv(spark, path, index="i")
+        splits = spark.read.text(path).rdd.getNumPartitions()
+        got = df.orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits > 2 and len(expected) == 300
+    assert df.columns == ["i", "n", "with space", "`tick", "d.e"]
+    assert [tuple(r)[1:] for r in got] == expected and [r.i for r in got] == list(range(300))
+
+
+def put_bytes(path, text):
+    path.write_bytes(text.encode())
+    return str(path)
+
+
+def test_records_of_odd_files(spark, tmp_path):
+    """Files without a last line break, with empty lines, headers alone, a byte order mark."""
+    texts = {"a.csv": '\ufeffk,v\n1,"x\n\ny"\n\n2,z', "b.csv": "k,v\n", "c.csv": "k,v\n\n\n3\n4,5,6\n",
+             "d.csv": 'k,v\r\n7,"p\r\nq"\r\n', "e.csv": 'k,v\n8,"never closed\n9,x\n'}
+    for name, text in texts.items():
+        put_bytes(tmp_path / name, text)
+    got = sources.read_csv(spark, str(tmp_path), index="i").orderBy("i").collect()
+    assert [tuple(r) for r in got] == [
+        (0, "1", "x\n\ny"), (1, "2", "z"), (2, "3", None), (3, "4", "5"), (4, "7", "p\nq"),
+        (5, "8", "never closed\n9,x")]
+    assert got[0].asDict().keys() == {"i", "k", "v"}
+    single = sources.read_csv(spark, str(tmp_path / "c.csv"), multiline=False, index="i")
+    assert [tuple(r) for r in single.orderBy("i").collect()] == [(0, "3", None), (1, "4", "5")]
+    empty = sources.read_csv(spark, put(tmp_path / "none.txt", ""), index="i")
+    assert empty.collect() == [] and empty.columns == ["i"]
+
+
 def test_json_array_or_object(spark, tmp_path):
     put(tmp_path / "a.json", '[{"flow_input": "x", "v": 1},\n {"flow_input": "y", "v": 2}]')
     put(tmp_path / "b.json", '{"flow_input": "z",\n "v": 3}')
@@ -141,6 +206,81 @@ def test_checkpoint_grows_and_may_be_absent(spark, tmp_path):
     assert sorted(r[0] for r in ids.collect()) == ["1", "2"]
 
 
+def test_a_run_adds_its_rows_once(spark, tmp_path):
+    """Broken, repeated, concurrent and overlapping runs of one checkpoint."""
+    path, schema = str(tmp_path / "cp"), "ticket_id long, status string"
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, "R") for i in ids], schema)
+
+    def ids(**options):
+        return sorted(r[0] for r in sources.read_checkpoint(spark, path, schema, **options).collect())
+
+    assert sinks.append_checkpoint(rows(1, 2), path, "monday")
+    assert not sinks.append_checkpoint(rows(1, 2), path, "monday")
+    assert ids() == [1, 2]
+
+    # A run that breaks off while it writes, or before its marker, has added nothing.
+    broken = rows(3).select("ticket_id", F.raise_error(F.lit("lost")).cast("string").alias("status"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_checkpoint(broken, path, "tuesday")
+    left = sinks.checkpoint_attempt(rows(3, 4), path, "tuesday")
+    assert ids() == [1, 2]
+    again = sinks.checkpoint_attempt(rows(3, 4), path, "tuesday")
+    assert sinks.commit_checkpoint(spark, path, "tuesday", again)
+    assert not sinks.commit_checkpoint(spark, path, "tuesday", left)
+    assert ids() == [1, 2, 3, 4]
+
+    # Two runs at once that took up the same ids: of an id the earlier commit's row counts.
+    one = sinks.checkpoint_attempt(rows(5, 6), path, "one")
+    two = sinks.checkpoint_attempt(rows(6, 7).withColumn("status", F.lit("L")), path, "two")
+    assert sinks.commit_checkpoint(spark, path, "two", two)
+    assert sinks.commit_checkpoint(spark, path, "one", one)
+    assert ids() == [1, 2, 3, 4, 5, 6, 6, 7]
+    assert ids(key="ticket_id") == [1, 2, 3, 4, 5, 6, 7]
+    kept = sources.read_checkpoint(spark, path, schema, key="ticket_id").where("ticket_id = 6")
+    assert kept.first().status == "L"
+    with pytest.raises(ValueError, match="run"):
+        sinks.append_checkpoint(rows(1), path, "a/b")
+
+
+def test_concurrent_commits_of_a_run(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, schema = str(tmp_path / "cp"), "ticket_id long"
+    df = spark.range(10).withColumnRenamed("id", "ticket_id")
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(lambda k: sinks.append_checkpoint(df, path, f"run-{k % 2}"), range(6)))
+    assert sum(won) == 2
+    assert sources.read_checkpoint(spark, path, schema).count() == 20
+
+
+def test_a_plain_table_is_a_checkpoint_too(spark, tmp_path):
+    path, schema = str(tmp_path / "cp"), "ticket_id long"
+    spark.range(3).withColumnRenamed("id", "ticket_id").write.parquet(path)
+    assert sources.read_checkpoint(spark, path, schema).count() == 3
+    sinks.append_checkpoint(spark.range(3, 5).withColumnRenamed("id", "ticket_id"), path)
+    assert sources.read_checkpoint(spark, path, schema).count() == 5
+
+
+def test_json_array_files(spark, tmp_path):
+    import json
+
+    rows = [("q\n\"", 1, {"a": "b"}, None), (" é ", 2, None, [1, None])]
+    df = spark.createDataFrame(rows, "question string, score int, extra map<string,string>, l array<int>")
+    path = str(tmp_path / "r.json")
+    assert sinks.write_json_arrays(df.repartition(3), path) >= 1
+    files = sorted(f for f in os.listdir(path) if not f.startswith(("_", ".")))
+    found = [x for f in files for x in json.loads((tmp_path / "r.json" / f).read_text(encoding="utf-8"))]
+    assert sorted((r["question"], r["score"], r["extra"], r["l"]) for r in found) == sorted(rows)
+    assert all(list(r) == df.columns for r in found)
+    back = sources.read_json_inputs(spark, path, df.schema)
+    assert sorted(r.question for r in back.collect()) == sorted(r[0] for r in rows)
+    assert sinks.write_json_arrays(df.where("false"), str(tmp_path / "none.json")) == 1
+    only, = [f for f in os.listdir(tmp_path / "none.json") if f.endswith(".json")]
+    assert json.loads((tmp_path / "none.json" / only).read_text()) == []
+
+
 def test_results_format_follows_the_suffix(spark, tmp_path):
     df = spark.createDataFrame([("q", 1, {"a": "b"}), (" sp ", 2, None)],
                                "question string, score int, extra map<string,string>")
@@ -164,6 +304,10 @@ def test_row_files(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["a", "c.txt"]
     with pytest.raises(ValueError, match="more than one row"):
         sinks.write_row_files(df.unionAll(df), out)
+    nameless = spark.createDataFrame([(None, "x"), ("d.txt", "y")], df.schema)
+    with pytest.raises(ValueError, match="no file name"):
+        sinks.write_row_files(nameless, out)
+    assert not os.path.exists(os.path.join(out, "d.txt"))
     with pytest.raises(Exception, match="leaves the output folder"):
         sinks.write_row_files(df.withColumn("filename", F.concat(F.lit("../"), "filename")), out)
 
