@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from html.entities import name2codepoint
 from unicodedata import normalize
 
@@ -37,10 +38,20 @@ def token_count(text: Column) -> Column:
 
 
 def last_tokens(text: Column, n: int) -> Column:
-    """The last ``n`` tokens with the gaps between and after them, verbatim."""
-    pieces = F.regexp_extract_all(text, F.lit(TOKEN_AND_GAP), F.lit(0))
-    kept = F.slice(pieces, F.greatest(F.size(pieces) - n + 1, F.lit(1)), F.lit(n))
-    return F.array_join(kept, "")
+    """The last ``n`` tokens with the gaps between and after them, verbatim.
+
+    Looked for in the end of the text; in all of it only where that holds too few.
+    """
+    def pieces(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(TOKEN_AND_GAP), F.lit(0))
+
+    def kept(found: Column) -> Column:
+        return F.array_join(
+            F.slice(found, F.greatest(F.size(found) - n + 1, F.lit(1)), F.lit(n)), "")
+
+    # A token that the cut splits is before the last n if there are more than n.
+    return let(text, lambda t: let(pieces(F.right(t, F.lit(12 * n))), lambda near: F.when(
+        F.size(near) > n, kept(near)).otherwise(let(pieces(t), kept))))
 
 
 def encoder_token_count(load: Callable[[], Callable[[str], list]]) -> Callable[[Column], Column]:
@@ -101,37 +112,33 @@ def format_executed(value: Column) -> Column:
     )
 
 
-# HTML to markdown, applied top to bottom; plain text is replaced as such. A tag is
-# what has a letter, a slash or a mark after its ``<``.
-HTML_RULES: list[tuple[str, str]] = [
+# HTML to markdown. Each rule is a pattern, its replacement, and the tags one of which
+# a page must have for it; rules are applied top to bottom. A tag is what has a letter, a slash or a
+# mark after its ``<``.
+CLEAN_RULES: list[tuple[str, str]] = [
     (r"(?is)<(?:!--.*?--|head[ >].*?</head|script[ >].*?</script|style[ >].*?</style)>", ""),
-    (r"[ \t\r\n]+", " "),
-    (r"(?i)<h([1-6])[^>]*>", "\n\n<#$1>"),
-    ("<#1>", "# "),
-    ("<#2>", "## "),
-    ("<#3>", "### "),
-    ("<#4>", "#### "),
-    ("<#5>", "##### "),
-    ("<#6>", "###### "),
-    (r"(?i)<(?:b|strong)(?: [^>]*)?>(.*?)</(?:b|strong)>", "**$1**"),
-    (r"(?i)<(?:i|em)(?: [^>]*)?>(.*?)</(?:i|em)>", "_$1_"),
-    (r"(?i)<li(?: [^>]*)?>", "\n* "),
-    (r"(?i)<br[^>]*>", "\n"),
+    (r"[ \t\r\n]{2,}|[\t\r\n]", " "),
+]
+TAG_RULES: list[tuple[str, str, str]] = [
+    *[(f"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ", f"h{n}") for n in range(1, 7)],
+    (r"(?i)<(?:b|strong)(?: [^>]*)?>(.*?)</(?:b|strong)>", "**$1**", "/b /strong"),
+    (r"(?i)<(?:i|em)(?: [^>]*)?>(.*?)</(?:i|em)>", "_$1_", "/i /em"),
+    (r"(?i)<li(?: [^>]*)?>", "\n* ", "li"),
+    (r"(?i)<br[^>]*>", "\n", "br"),
     (r"(?i)<(?:/h[1-6]|/?(?:p|div|ul|ol|table|tr|article|section|footer|blockquote)(?: [^>]*)?)>",
-     "\n\n"),
+     "\n\n", "/h1 /h2 /h3 /h4 /h5 /h6 p /p div /div ul /ul ol /ol table /table tr /tr article "
+     "/article section /section footer /footer blockquote /blockquote pre"),
     (r"""(?i)<img [^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""",
-     "![$1$2]($3$4)"),
+     "![$1$2]($3$4)", "img"),
     (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*>""",
-     "![$3$4]($1$2)"),
-    (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""", "![]($1$2)"),
-    (r"""(?i)<a [^>]*href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", "[$3]($1$2)"),
-    (r"</?[a-zA-Z][^>]*>|<[!?][^>]*>", ""),
-]
-GAP_RULES: list[tuple[str, str]] = [
-    (r" {2,}", " "),
-    (r" \n ?|\n ", "\n"),
-    (r"\n{3,}", "\n\n"),
+     "![$3$4]($1$2)", "img"),
+    (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""", "![]($1$2)", "img"),
+    (r"""(?i)<a [^>]*href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", "[$3]($1$2)", "/a"),
 ]
+ANY_TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+# Spaces with line feeds among them become one or two of these, other runs of spaces one space.
+GAPS = (r" *+(\n) *+(?:(\n)[ \n]*+)?|( ) ++", "$1$2$3")
+TAG_NAME = r"<(/?[a-zA-Z][a-zA-Z0-9]*)"
 
 # Characters that are written in ASCII. Lower-case vowels lose their accents.
 PLAIN_CHARACTERS = {
@@ -189,8 +196,7 @@ def _inside(text: Column, tag: str, change: Callable[[Column], Column]) -> Colum
         return F.when(i == 0, p).otherwise(let(inner, lambda x: F.concat(
             F.lit(f"<{tag}>"), change(x), F.substr(p, F.char_length(x) + 1))))
 
-    return let(text, lambda t: F.when(t.rlike(f"(?i)<{tag}[ >]"), F.array_join(F.transform(
-        F.split(t, f"(?i)<{tag}(?: [^>]*)?>"), part), "")).otherwise(t))
+    return F.array_join(F.transform(F.split(text, f"(?i)<{tag}(?: [^>]*)?>"), part), "")
 
 
 def _keep_lines(code: Column) -> Column:
@@ -204,22 +210,33 @@ def _numbered(items: Column) -> Column:
         i == 0, x).otherwise(F.concat(F.lit("\n"), i.cast("string"), F.lit(". "), x))), "")
 
 
-def _apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in rules:
-        if pattern.startswith("<#"):
-            text = F.replace(text, F.lit(pattern), F.lit(replacement))
-        else:
-            text = F.regexp_replace(text, pattern, replacement)
-    return text
-
-
 def html_to_markdown(html: Column) -> Column:
     """Markdown text of a page, no line wrapping.
 
     Links, images, bold, italics, lists and preformatted lines are kept; items of an ordered
-    list are numbered, and one inside another numbers on. Tags left open mark nothing.
+    list are numbered, and one inside another numbers on. Tags left open mark nothing. One pass
+    finds which tags a page has; a rule whose tags it lacks is not run over it.
     """
-    text = _apply_rules(_inside(html, "pre", _keep_lines), HTML_RULES[:2])
-    text = _apply_rules(_inside(text, "ol", _numbered), HTML_RULES[2:])
-    text = strip(_apply_rules(undo_entities(text), GAP_RULES))
-    return F.translate(text, LINE + SPACE, "\n ")
+    def converted(page: Column, names: Column) -> Column:
+        def has(tags: str) -> Column:
+            wanted = [F.array_contains(names, tag) for tag in tags.split()]
+            return reduce(lambda a, b: a | b, wanted)
+
+        def where(tags: str, text: Column, change: Callable[[Column], Column]) -> Column:
+            return let(text, lambda t: F.when(has(tags), change(t)).otherwise(t))
+
+        text = where("pre", page, lambda t: _inside(t, "pre", _keep_lines))
+        for pattern, replacement in CLEAN_RULES:
+            text = F.regexp_replace(text, pattern, replacement)
+        text = where("ol", text, lambda t: _inside(t, "ol", _numbered))
+        for pattern, replacement, tags in TAG_RULES:
+            text = where(tags, text, partial(
+                F.regexp_replace, pattern=pattern, replacement=replacement))
+        text = F.regexp_replace(undo_entities(F.regexp_replace(text, ANY_TAG, "")), *GAPS)
+        return F.translate(strip(text), LINE + SPACE, "\n ")
+
+    found = F.regexp_extract_all(html, F.lit(TAG_NAME), F.lit(1))
+    # The names once each, lower-cased after that: a page repeats few of them many times.
+    names = F.transform(F.array_distinct(found), F.lower)
+    return let(F.struct(html.alias("page"), names.alias("names")),
+               lambda both: converted(both["page"], both["names"]))

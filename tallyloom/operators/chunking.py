@@ -2,7 +2,7 @@
 
 A document is one row, and everything that happens to it is an array expression on that
 row: no shuffle, no window, no explode until the finished chunks leave it. Python is
-entered for the token counts of sections, to pack them, and for the text of sections that are
+entered once, with the token counts of sections, to pack them, and the text of those that are
 over budget by themselves.
 """
 
@@ -91,7 +91,9 @@ def drop_source_header(section: Column, source: Column) -> Column:
 def headings(text: Column) -> Column:
     """Texts of the ``## `` heading lines."""
     found = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*## (.*)$"), F.lit(1))
-    return F.filter(F.transform(found, strip), lambda h: h != "")
+    return F.when(
+        F.contains(text, F.lit("## ")), F.filter(F.transform(found, strip), lambda h: h != "")
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def heading_list(texts: Column) -> Column:
@@ -147,6 +149,14 @@ def pack_sections(tokens: Column, max_tokens: int, header_tokens: Column) -> Col
         g[0].alias("start"), g[1].alias("size"), (g[2] == 1).alias("oversize")))
 
 
+def _split_units(units: Sequence | None, overlap: int, bind: MeasureText) -> list[list[str]]:
+    return [
+        [] if u is None or u["text"] is None
+        else split_to_budget(u["text"], u["budget"], overlap, bind)
+        for u in units
+    ]
+
+
 def oversize_splitter(
     overlap: int, load_measure: Callable[[], MeasureText] = default_measure
 ) -> Callable[[Column], Column]:
@@ -156,38 +166,73 @@ def oversize_splitter(
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bind = load_measure()
         for arrays in batches:
-            yield arrays.map(
-                lambda units: [
-                    [] if u is None or u["text"] is None
-                    else split_to_budget(u["text"], u["budget"], overlap, bind)
-                    for u in units
-                ]
-            )
+            yield arrays.map(lambda units: _split_units(units, overlap, bind))
 
     # Keeps the optimizer from merging the call into, and repeating it in, later steps.
     return split.asNondeterministic()
 
 
+def pack_and_split(
+    tokens: Column, header_tokens: Column, oversize: Column, budget: int, overlap: int,
+    load_measure: Callable[[], MeasureText] = default_measure,
+) -> Column:
+    """``groups`` as ``pack_sections`` cuts them, as (start, size, oversize) in whole numbers, and
+    ``pieces``: a list for every section, empty for those within budget.
+
+    ``oversize`` holds (text, budget) of the sections over budget and NULL for the others, or
+    is NULL without any. One crossing to Python for both.
+    """
+    @F.pandas_udf("groups array<array<int>>, pieces array<array<string>>")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        bind = load_measure()
+        for counts, headers, big in batches:
+            groups = [None if c is None else _cuts(c.tolist(), budget, int(h))
+                      for c, h in zip(counts, headers, strict=True)]
+            pieces = [[] if u is None else _split_units(u, overlap, bind) for u in big]
+            yield pd.DataFrame({"groups": pd.Series(groups, dtype=object),
+                                "pieces": pd.Series(pieces, dtype=object)})
+
+    # Keeps the optimizer from merging the call into, and repeating it in, later steps.
+    return cut.asNondeterministic()(tokens, header_tokens, oversize)
+
+
 def assemble_chunks(parts: Column, overlap: int) -> Column:
-    """Parts of (prefix, body, linked) to chunk texts.
+    """Parts of (prefix, body, linked, tokens of the body) to chunks of (text, tokens).
 
     A linked part carries the last ``overlap`` tokens of the chunk before it between its
-    prefix and its body.
+    prefix and its body. Where the body before has as many tokens they are its own, whatever
+    that chunk carries itself, so every chunk is made by itself; only behind shorter bodies
+    the few chunks back to a long one are gone through.
     """
+    def chunk(p: Column, carried: Column) -> Column:
+        return let(F.concat(p["prefix"], carried), lambda start: F.struct(
+            F.concat(start, p["body"]).alias("text"),
+            (token_count(start) + p["tokens"]).alias("tokens")))
+
     if overlap <= 0:
-        return F.transform(parts, lambda p: F.concat(p["prefix"], p["body"]))
+        return F.transform(parts, lambda p: chunk(p, F.lit("")))
 
-    def step(s: Column, p: Column) -> Column:
-        carried = F.when(
-            p["linked"] & (s["last"] != ""),
-            F.concat(last_tokens(s["last"], overlap), F.lit("\n\n")),
-        ).otherwise(F.lit(""))
-        text = F.concat(p["prefix"], carried, p["body"])
-        return let(text, lambda t: F.struct(
-            t.alias("last"), F.concat(s["out"], F.array(t)).alias("out")))
+    def linked(tail: Column) -> Column:
+        return F.concat(last_tokens(tail, overlap), F.lit("\n\n"))
 
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(parts, start, step, lambda s: s["out"])
+    def behind_short(ps: Column, i: Column) -> Column:
+        long_ones = F.transform(
+            F.slice(ps, F.lit(1), i), lambda p, k: F.when(p["tokens"] >= overlap, k))
+        start = F.coalesce(F.array_max(long_ones), F.lit(0))
+
+        def step(last: Column, p: Column) -> Column:
+            return F.concat(p["prefix"], F.when(p["linked"] & (last != ""), linked(last))
+                            .otherwise(F.lit("")), p["body"])
+
+        return let(start, lambda s: F.aggregate(F.slice(ps, s + 1, i - s), F.lit(""), step))
+
+    def carried(ps: Column, p: Column, i: Column) -> Column:
+        before = F.get(ps, i - 1)
+        return F.when((i == 0) | ~p["linked"], F.lit(""))\
+            .when(before["tokens"] >= overlap, linked(before["body"]))\
+            .otherwise(linked(behind_short(ps, i)))
+
+    return let(parts, lambda ps: F.transform(ps, lambda p, i: chunk(p, carried(ps, p, i))))
 
 
 def document_sections(text: Column, source: Column | None) -> Column:
@@ -223,36 +268,44 @@ def _block(text: Column) -> Column:
     return F.when(text != "", F.concat(text, F.lit("\n\n"))).otherwise(F.lit(""))
 
 
-def _chunk_units(head: Column, head_tokens: Column, sections: Column, groups: Column,
-                 budget: int) -> Column:
-    """The packed groups of a document with their texts, ready to be assembled.
+def _second_heading(section: Column) -> Column:
+    return F.when(F.contains(section, F.lit("## ")),
+                  strip(F.regexp_extract(section, HEADING_LINE, 1))).otherwise(F.lit(""))
 
-    ``whole`` is the prefix of a group within budget, ``piece`` that of every piece of an
-    oversize one; ``text`` and ``room`` are what the splitter needs for the latter.
-    """
-    def describe(d: Column, u: Column) -> Column:
-        texts = F.slice(d["sections"], u["start"], u["size"])
-
-        def finish(g: Column) -> Column:
-            big = u["oversize"]
-            h2 = F.when(big, strip(F.regexp_extract(g["body"], HEADING_LINE, 1)))\
-                .otherwise(F.lit(""))
-            return let(h2, lambda h: F.struct(
-                big.alias("oversize"),
-                g["body"].alias("body"),
-                F.when(big, F.concat(d["head"], _block(strip(g["list"])), _block(h)))
-                .otherwise(F.concat(d["head"], _block(g["list"]))).alias("prefix"),
-                F.when(big, strip(F.regexp_replace(g["body"], HEADING_LINES, ""))).alias("text"),
-                (F.lit(budget) - d["head_tokens"] - token_count(h)).cast("int").alias("room"),
-            ))
-
-        return let(
-            F.struct(F.array_join(texts, "\n\n").alias("body"), heading_list(texts).alias("list")),
-            finish)
-
-    document = F.struct(head.alias("head"), head_tokens.alias("head_tokens"),
-                        sections.alias("sections"), groups.alias("groups"))
-    return let(document, lambda d: F.transform(d["groups"], lambda u: describe(d, u)))
+
+def _oversize_sections(sections: Column, tokens: Column, head_tokens: Column, budget: int) -> Column:
+    """Text to be split and room for it of every section over budget; NULL without any."""
+    def entry(s: Column) -> Column:
+        text = F.when(F.contains(s, F.lit("## ")), strip(F.regexp_replace(s, HEADING_LINES, "")))\
+            .otherwise(s)
+        room = F.lit(budget) - head_tokens - token_count(_second_heading(s))
+        return F.struct(text.alias("text"), room.cast("int").alias("budget"))
+
+    over = F.transform(sections, lambda s, i: F.when(
+        F.get(tokens, i) > budget - head_tokens, entry(s)))
+    return F.when(F.exists(tokens, lambda n: n > budget - head_tokens), over)
+
+
+def _chunk_parts(document: Column, own_counts: bool) -> Column:
+    """The packed groups and split sections of a document, ready to be assembled."""
+    def part(prefix: Column, body: Column, linked: Column, tokens: Column) -> Column:
+        return F.struct(prefix.alias("prefix"), body.alias("body"), linked.alias("linked"),
+                        tokens.cast("int").alias("tokens"))
+
+    def split(d: Column, texts: Column, at: Column) -> Column:
+        prefix = F.concat(d["head"], _block(strip(heading_list(texts))), _block(_second_heading(texts[0])))
+        return let(prefix, lambda x: F.transform(F.get(d["cut"]["pieces"], at), lambda p, j: part(
+            x, p, j == 0, token_count(p))))
+
+    def whole(d: Column, texts: Column, group: Column) -> Column:
+        body = F.array_join(texts, "\n\n")
+        size = F.aggregate(F.slice(d["tokens"], group[0], group[1]), F.lit(0), lambda a, b: a + b) \
+            if own_counts else token_count(body)
+        return F.array(part(F.concat(d["head"], _block(heading_list(texts))), body, F.lit(True), size))
+
+    return let(document, lambda d: F.flatten(F.transform(d["cut"]["groups"], lambda g: let(
+        F.slice(d["sections"], g[0], g[1]), lambda texts: F.when(
+            g[2] == 1, split(d, texts, g[0] - 1)).otherwise(whole(d, texts, g))))))
 
 
 def chunk_documents(
@@ -283,42 +336,28 @@ def chunk_documents(
     budget = max_tokens - overlap if strict_budget else max_tokens
     keep = list(dict.fromkeys([id_col, *([source] if source else []), *carry]))
     rows = section_arrays(df.select(*dict.fromkeys([*keep, text])), text, source, count_all)
-    rows = rows.withColumn(
-        "__groups", pack_sections(F.col("__tokens"), budget, F.col("__head_tokens")))
-    rows = rows.select(*keep, _chunk_units(
-        F.col("__head"), F.col("__head_tokens"), F.col("__sections"), F.col("__groups"), budget
-    ).alias("__units"))
-
-    # Only what is over budget crosses to Python; every other entry goes as NULL.
-    big = F.transform("__units", lambda u: F.when(u["oversize"], F.struct(
-        u["text"].alias("text"), u["room"].alias("budget"))))
-    rows = rows.withColumn("__pieces", oversize_splitter(overlap, load_measure)(big))
-
-    def parts(d: Column) -> Column:
-        def part(u: Column, body: Column, linked: Column) -> Column:
-            return F.struct(u["prefix"].alias("prefix"), body.alias("body"),
-                            linked.alias("linked"))
-
-        return F.flatten(F.transform(d["units"], lambda u, i: F.when(
-            u["oversize"],
-            F.transform(F.get(d["pieces"], i), lambda p, j: part(u, p, j == 0)),
-        ).otherwise(F.array(part(u, u["body"], F.lit(True))))))
-
-    both = F.struct(F.col("__units").alias("units"), F.col("__pieces").alias("pieces"))
-    chunks = rows.select(
-        *keep, let(both, lambda d: assemble_chunks(parts(d), overlap)).alias("__chunks"))
+    # Only counts and what is over budget cross to Python.
+    rows = rows.withColumn("__cut", pack_and_split(
+        F.col("__tokens"), F.col("__head_tokens"),
+        _oversize_sections(F.col("__sections"), F.col("__tokens"), F.col("__head_tokens"), budget),
+        budget, overlap, load_measure))
+    document = F.struct(*[F.col(f"__{c}").alias(c) for c in ("head", "sections", "tokens", "cut")])
+    own_counts = count_all is count_each
+    chunks = rows.select(*keep, assemble_chunks(
+        _chunk_parts(document, own_counts), overlap).alias("__chunks"))
     # The outer form keeps the optimizer from testing the array, and so building it, twice.
     exploded = chunks.select(
         *keep, F.posexplode_outer(let(F.col("__chunks"), lambda c: F.transform(
-            c, lambda t: F.struct(t.alias("text"), F.size(c).alias("total"))))
-        ).alias("__pos", "__chunk"))
+            c, lambda t: F.struct(t["text"].alias("text"), t["tokens"].alias("tokens"),
+                                  F.size(c).alias("total")))
+        )).alias("__pos", "__chunk"))
     if not keep_empty:
         exploded = exploded.where(F.col("__pos").isNotNull())
     return exploded.select(
         *keep,
         F.coalesce(F.col("__pos") + 1, F.lit(0)).alias("chunk_index"),
         F.coalesce("__chunk.total", F.lit(0)).alias("total_chunks"),
-        (token_count(F.col("__chunk.text")) if count_all is count_each
+        (F.col("__chunk.tokens") if own_counts
          else count_all(F.array("__chunk.text"))[0]).alias("token_count"),
         F.col("__chunk.text").alias("chunk_text"),
         chunk_preview(F.col("__chunk.text")).alias("chunk_preview"),

@@ -182,12 +182,15 @@ def chunk_overlap(spark, sf_dir):
     parts = F.transform("units", lambda u: F.struct(
         F.col("__head").alias("prefix"),
         F.array_join(F.slice("__sections", u["start"], u["size"]), "\n\n").alias("body"),
-        F.lit(True).alias("linked")))
+        F.lit(True).alias("linked"),
+        F.aggregate(F.slice("__tokens", u["start"], u["size"]), F.lit(0), lambda a, b: a + b)
+        .alias("tokens")))
     packed = _packed(spark, sf_dir).select("page_id", parts.alias("parts"))
     chunks = explode_once(packed.select("page_id", chunking.assemble_chunks(
-        F.col("parts"), OVERLAP).alias("chunks")), "chunks", "pos", "chunk_text")
-    return chunks.select("page_id", (F.col("pos") + 1).alias("chunk_index"), "chunk_text",
-                         tx.token_count(F.col("chunk_text")).alias("token_count"))
+        F.col("parts"), OVERLAP).alias("chunks")), "chunks", "pos", "chunk")
+    return chunks.select("page_id", (F.col("pos") + 1).alias("chunk_index"),
+                         F.col("chunk.text").alias("chunk_text"),
+                         F.col("chunk.tokens").alias("token_count"))
 
 
 def sql_split(source: str, name: str, overlap: int) -> str:
