@@ -88,31 +88,25 @@ def _sql_compared(column: str) -> str:
     return rf"regexp_extract_all({plain}, '[^\x20\x09-\x0D]+')"
 
 
-def _sql_masks(words: str, i: str) -> str:
-    looked = ("0 1 2 4 6 7", "0 1 3 5 6 7", "0 2 3 4 5 7")
-    return ", ".join(
-        "'" + str(m) + "' || " + " || ' ' || ".join(f"{words}[{i} + {k} + 1]" for k in mask.split())
-        for m, mask in enumerate(looked))
-
-
 @query("op6_benchmark_decontamination", f"""
 WITH d AS (SELECT doc_id, {_sql_compared('text')} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {_sql_compared('text')} AS w FROM benchmark),
-ds AS (SELECT doc_id, i, unnest([{_sql_masks('w', 'i')}]) AS seed
-       FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7, 3)) AS i FROM d)),
-bs AS (SELECT item_id, i, unnest([{_sql_masks('w', 'i')}]) AS seed
-       FROM (SELECT item_id, w, unnest(range(len(w) - 7)) AS i FROM b)),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (seed)),
-along AS (SELECT doc_id, item_id, shift, q,
-            CASE WHEN b.w[q + 1] = d.w[q + shift + 1] THEN 1 ELSE -2 END AS gain, len(b.w) AS n
-          FROM hits JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(len(b.w))) AS u(q)
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS q FROM b),
+shifts AS (SELECT doc_id, item_id, n, dw.i - bw.q AS shift, count(*) AS equal
+           FROM dw JOIN bw USING (word) GROUP BY ALL
+           HAVING count(*) >= least(12, n) OR 10 * count(*) >= 8 * n),
+along AS (SELECT doc_id, item_id, n, shift, equal, q,
+            CASE WHEN b.w[q + 1] = d.w[q + shift + 1] THEN 1 ELSE -2 END AS gain
+          FROM shifts JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(len(b.w))) AS u(q)
           WHERE q + shift BETWEEN 0 AND len(d.w) - 1),
 sums AS (SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS total FROM along),
-best AS (SELECT doc_id, item_id, n, total - least(0, coalesce(min(total) OVER (
+runs AS (SELECT doc_id, item_id, n, equal, total - least(0, coalesce(min(total) OVER (
            PARTITION BY doc_id, item_id, shift ORDER BY q
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM sums)
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score, shift FROM sums),
+best AS (SELECT doc_id, item_id, n, shift, equal, max(score) AS score FROM runs GROUP BY ALL)
 SELECT doc_id, item_id, max(score)::BIGINT AS score FROM best
-GROUP BY doc_id, item_id, n HAVING max(score) >= least(12, n)
+WHERE score >= least(12, n) OR 10 * equal >= 8 * n GROUP BY doc_id, item_id
 """)
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(

@@ -96,21 +96,43 @@ def piece_seeds(words: Column, tenths: int) -> Column:
         F.sequence(F.lit(0), pieces - 1), lambda j: at(hashes, j))))
 
 
-def _best_stretch(document: Column, item: Column, shift: Column) -> Column:
-    """Of the aligned words, the document's word 0 at item word -shift: the highest score of any
+def placed_seeds(
+    docs: DataFrame, masks: Sequence[str], stride: int, grams: Sequence[int]
+) -> DataFrame:
+    """``i``, ``seed`` of documents known by REF with their word hashes ``__h``.
+
+    One row per word first, then the seeds that begin there: plain hashes of that row's
+    neighbours, for which code is generated, where a lambda over the array would be interpreted.
+    """
+    at = docs.select(*REF, "__h", F.posexplode("__h").alias("i", "__w"))
+    n = F.size("__h")
+
+    def seed(kind: int, places: Sequence[int], span: int) -> Column:
+        looked = [F.get("__h", F.col("i") + k) for k in places]
+        whole = F.col("i") + span <= n
+        if kind >= 0:
+            whole &= F.col("i") % stride == 0
+        return F.when(whole, F.xxhash64(F.lit(kind), *looked))
+
+    made = [seed(m, [k for k, on in enumerate(mask) if on == "1"], len(mask))
+            for m, mask in enumerate(masks)]
+    made += [seed(-g, range(g), g) for g in grams]
+    return at.select(*REF, "i", F.explode(F.array(*made)).alias("seed")).where(
+        F.col("seed").isNotNull())
+
+
+def _best_stretch(part: Column, item: Column, first: Column) -> Column:
+    """Of a document's words beside those of an item from ``first`` on: the highest score of any
     run (``best``) and the number of equal ones (``equal``)."""
-    first = F.greatest(F.lit(0), -shift)
-    last = F.least(F.size(item), F.size(document) - shift)
     start = F.struct(F.lit(0).alias("here"), F.lit(0).alias("best"), F.lit(0).alias("equal"))
 
-    def step(state: Column, q: Column) -> Column:
-        gain = F.when(item[q] == document[q + shift], 1).otherwise(-2)
-        return let(F.greatest(state["here"] + gain, F.lit(0)), lambda here: F.struct(
+    def step(state: Column, same: Column) -> Column:
+        return let(F.greatest(state["here"] + F.when(same, 1).otherwise(-2), F.lit(0)), lambda here: F.struct(
             here.alias("here"), F.greatest(state["best"], here).alias("best"),
-            (state["equal"] + F.when(gain > 0, 1).otherwise(0)).alias("equal")))
+            (state["equal"] + same.cast("int")).alias("equal")))
 
-    return F.when(last > first, F.aggregate(
-        F.sequence(first, last - 1), start, step)).otherwise(start)
+    same = F.transform(part, lambda w, q: w == F.get(item, first + q))
+    return F.aggregate(same, start, step)
 
 
 def leaks(
@@ -148,17 +170,25 @@ def leaks(
     places = known.select("item", "seed", "q").distinct()
     if known.count() <= broadcast_rows:
         places = F.broadcast(places)
-    found = source.select(*REF, F.inline(let(
-        compared_words(F.col("__source")), lambda w: seeds(w, masks, stride, grams))))
+    hashed = source.select(*REF, _hashed(compared_words(F.col("__source"))).alias("__h"))
+    found = placed_seeds(hashed, masks, stride, grams)
     hits = durable(found.join(places, "seed").select(
         *REF, "item", (F.col("i") - F.col("q")).alias("shift")).distinct(), "hits")
     texts = known.select("item", "words").distinct()
-    pairs = join_on(hits, texts, ["item"]).groupBy(*REF).agg(
-        F.collect_set(F.struct("item", "shift", "words")).alias("hits"))
-    checked = join_on(source, pairs, REF, "inner").select(*REF, F.explode(let(
-        compared_words(F.col("__source")), lambda document: F.transform("hits", lambda h: F.struct(
-            h["item"].alias("item"), F.size(h["words"]).alias("n"),
-            _best_stretch(document, h["words"], h["shift"]).alias("run"))))).alias("hit"))
+    # Numbers only: an item's words come to a hit after it has left the document's row.
+    sizes = texts.select("item", F.size("words").alias("n"))
+    pairs = join_on(hits, sizes, ["item"]).groupBy(*REF).agg(
+        F.collect_list(F.struct("item", "shift", "n")).alias("hits"))
+    aligned = join_on(source, pairs, REF, "inner").select(*REF, F.explode(let(
+        compared_words(F.col("__source")), lambda document: F.transform("hits", lambda h: let(
+            F.greatest(F.lit(0), -h["shift"]), lambda first: F.struct(
+                h["item"].alias("item"), first.alias("first"), F.slice(
+                    document, F.greatest(F.lit(0), h["shift"]) + 1,
+                    F.greatest(h["n"] - first, F.lit(0))).alias("part")))))).alias("hit"))
+    beside = join_on(aligned.select(*REF, "hit.*"), texts, ["item"])
+    checked = beside.select(*REF, F.struct(
+        "item", F.size("words").alias("n"),
+        _best_stretch(F.col("part"), F.col("words"), F.col("first")).alias("run")).alias("hit"))
     leak = F.col("hit.run.best") >= F.least(F.lit(min_score), F.col("hit.n"))
     if tenths is not None:
         leak |= 10 * F.col("hit.run.equal") >= tenths * F.col("hit.n")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -298,25 +299,71 @@ def replaced_copies(words, places):
     return " ".join(f"x{i}" if i in places else w for i, w in enumerate(words))
 
 
+def brute_words(text):
+    return regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D]+", "", (text or "").lower()).split()
+
+
+def brute_leaks(texts, items):
+    """(document, item): score, by laying every item along every document at every shift."""
+    found = {}
+    for d, text in enumerate(texts):
+        words = brute_words(text)
+        for i, item in enumerate(map(brute_words, items)):
+            for shift in range(1 - len(item), len(words)):
+                run = best = equal = 0
+                for q in range(max(0, -shift), min(len(item), len(words) - shift)):
+                    same = item[q] == words[q + shift]
+                    run, equal = max(run + (1 if same else -2), 0), equal + same
+                    best = max(best, run)
+                if best and (best >= min(12, len(item)) or 10 * equal >= 8 * len(item)):
+                    found[d, i] = max(found.get((d, i), 0), best)
+    return found
+
+
+def leaks_of(spark, texts, items, **options):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.score for r in spaced_seeds.contaminated(
+        docs_of(spark, texts), bench, **options).collect()}
+
+
+def test_leaks_against_brute_force_over_all_shifts(spark):
+    rng = random.Random(12)
+    items = [prose(n, 2000 + n, 3000) for n in (1, 2, 3, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 24, 30, 36, 40)]
+    texts = []
+    for k, item in enumerate(items):
+        words = item.split()
+        for share in (0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3):
+            places = set(rng.sample(range(len(words)), round(share * len(words))))
+            copy = replaced_copies(words, places).split()
+            # Whole copies, and stretches cut off at the document's start or end.
+            low, high = rng.choice([(0, len(copy)), (0, len(copy)), (len(copy) // 3, len(copy)),
+                                    (0, 2 * len(copy) // 3 + 1)])
+            before = "" if low else f"{prose(rng.randrange(9), 700 + k, 5000)} "
+            after = "" if high < len(copy) else f" {prose(rng.randrange(9), 800 + k, 5000)}"
+            texts.append(before + " ".join(copy[low:high]) + after)
+    found, expected = leaks_of(spark, texts, items), brute_leaks(texts, items)
+    assert found == expected and len(found) > 50
+
+
 def test_leaks_of_short_items_with_replaced_words(spark):
-    items = [prose(n, 2000 + n, 3000).split() for n in (10, 15, 16, 18, 20, 24)]
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)],
-                                  "item_id long, text string")
-    # The first eight words stay, at a word number divisible by 3, so that a seed hits each.
-    texts, expected = [], []
-    for i, w in enumerate(items):
+    items = [prose(n, 2000 + n, 3000) for n in (10, 15, 16, 18, 20, 24)]
+    texts = []
+    for i, item in enumerate(items):
+        w = item.split()
         for k in range(1, len(w) - 8 + 1):
             places = set(range(8, len(w), 2)[:k]) | set(range(9, len(w), 2)[:max(k - (len(w) - 7) // 2, 0)])
-            texts.append(f"{prose(6, 900 + i, 9000)} {replaced_copies(w, places)} end")
-            equal = len(w) - len(places)
-            run = best = 0
-            for q in range(len(w)):
-                run = max(run + (-2 if q in places else 1), 0)
-                best = max(best, run)
-            if 10 * equal >= 8 * len(w) or best >= min(12, len(w)):
-                expected.append((len(texts) - 1, i))
-    found = spaced_seeds.contaminated(docs_of(spark, texts), bench).collect()
-    assert sorted((r.doc_id, r.item_id) for r in found) == expected
+            texts.append(f"{prose(5 + k % 3, 900 + i, 9000)} {replaced_copies(w, places)} end")
+    assert leaks_of(spark, texts, items) == brute_leaks(texts, items)
+
+
+def test_items_of_words_that_are_everywhere(spark):
+    """Short items whose words fill a document give many hits; none is lost, none gathered."""
+    items = ["of the", "the", "of the of the of the of the of the of the of", "the end of the line"]
+    texts = ["of the " * 3000, "the end", "of of of", "a the line of the end of the line x", None, ""]
+    found = leaks_of(spark, texts, items)
+    assert {k: v for k, v in found.items() if k[0] > 0} == {
+        k: v for k, v in brute_leaks(["", *texts[1:]], items).items() if k[0] > 0}
+    assert {i for d, i in found if d == 0} == {0, 1, 2}
 
 
 def test_leaks_at_every_offset_and_of_short_items(spark):
@@ -468,37 +515,23 @@ def test_bit_sliced_links_against_all_pairs():
         assert simhash.linked(prints, groups, radius).tolist() == expected
 
 
-def brute_shingles(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
-
-
-def brute_keep_similar(rows):
-    """Least id of every group linked by 5-word shingle sets of similarity 0.8 or more."""
-    sets = [(i, brute_shingles(t)) for i, t in rows]
+def brute_keep_near(rows):
+    """Least id of every group linked by fingerprints of two or fewer differing bits."""
+    prints = [(i, brute_fingerprint(t)) for i, t in rows]
     label = {i: i for i, _ in rows}
-    for (i, a), (j, b) in itertools.combinations(sets, 2):
-        common = len(a & b)
-        if 10 * common >= 8 * (len(a) + len(b) - common) and label[i] != label[j]:
+    for (i, a), (j, b) in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= 2 and label[i] != label[j]:
             old, new = max(label[i], label[j]), min(label[i], label[j])
             label = {k: new if v == old else v for k, v in label.items()}
     return sorted(set(label.values()))
 
 
-def test_stage_links_shingle_sets_against_brute_force(spark, sf_dir):
-    texts = []
-    for i in range(60):
-        words = prose(200, i % 20, 3000).split()
-        for k in range(i // 20 * (i % 5)):
-            words[17 + 23 * k] = f"w{i}"
-        texts.append(" ".join(words))
-    texts += [texts[0].upper(), None, "", "one two", "ONE  two", "one two three four five six"]
-    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, texts), sf_dir)
-    assert sorted(r.doc_id for r in kept.collect()) == brute_keep_similar(list(enumerate(texts)))
+def test_stage_keeps_one_of_each_near_group(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(r.doc_id for r in kept.collect()) == brute_keep_similar(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_keep_near(rows)
+    assert kept.columns == docs.columns
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
