@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
+
 # Where an oversize text may be cut, coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
-# Fixed value: the default token in the notation of Python's own regular expressions.
-PYTHON_TOKEN = r"[^\W_]+|[^ \t\n\x0b\f\r]"
-
 Measure = Callable[[int, int], int]
 MeasureText = Callable[[str], Measure]
 
 
+#: Per character: whether it is a letter or digit, and whether it is white space between tokens.
+_kinds: dict[str, np.ndarray] = {}
+
+
+def _kind(name: str) -> np.ndarray:
+    if not _kinds:
+        points = range(0x110000)
+        _kinds["word"] = np.fromiter((chr(c).isalnum() for c in points), bool, len(points))
+        _kinds["space"] = np.zeros(len(points), bool)
+        _kinds["space"][[ord(c) for c in " \t\n\x0b\f\r"]] = True
+    return _kinds[name]
+
+
+def token_starts(text: str) -> list[int]:
+    """Where the default tokens begin: runs of letters and digits, other visible characters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = _kind("word")[points]
+    inside = np.zeros(len(points), bool)
+    inside[1:] = word[1:] & word[:-1]
+    return np.flatnonzero(~(inside | _kind("space")[points])).tolist()
+
+
 def default_measure() -> MeasureText:
     """Token counts of any span of a text from one pass over it."""
-    token = re.compile(PYTHON_TOKEN)
 
     def bind(text: str) -> Measure:
-        starts = [m.start() for m in token.finditer(text)]
+        starts = token_starts(text)
         return lambda start, end: bisect_left(starts, end) - bisect_left(starts, start)
 
     return bind
@@ -69,8 +88,8 @@ def _atoms(text: str, start: int, end: int, budget: int, measure: Measure, level
     return spans
 
 
-def split_to_budget(text: str, budget: int, overlap: int, bind: MeasureText) -> list[str]:
-    """Pieces of at most ``budget`` tokens; each repeats up to ``overlap`` tokens before it."""
+def split_counted(text: str, budget: int, overlap: int, bind: MeasureText) -> list[tuple[str, int]]:
+    """Pieces of at most ``budget`` tokens with their counts, as the sum of those of their parts."""
     budget = max(budget, 1)
     measure = bind(text)
     spans = _atoms(text, 0, len(text), budget, measure)
@@ -78,10 +97,15 @@ def split_to_budget(text: str, budget: int, overlap: int, bind: MeasureText) ->
     pieces, first, total = [], 0, 0
     for i, size in enumerate(sizes):
         if i > first and total + size > budget:
-            pieces.append(text[spans[first][0]:spans[i][0]].strip())
+            pieces.append((text[spans[first][0]:spans[i][0]].strip(), total))
             while first < i and (total > overlap or total + size > budget):
                 total -= sizes[first]
                 first += 1
         total += size
-    pieces.append(text[spans[first][0]:].strip())
-    return [p for p in pieces if p]
+    pieces.append((text[spans[first][0]:].strip(), total))
+    return [p for p in pieces if p[0]]
+
+
+def split_to_budget(text: str, budget: int, overlap: int, bind: MeasureText) -> list[str]:
+    """Pieces of at most ``budget`` tokens; each repeats up to ``overlap`` tokens before it."""
+    return [piece for piece, _ in split_counted(text, budget, overlap, bind)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import partial
 from html.entities import name2codepoint
 from unicodedata import normalize
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.binding import let
 
 # One token is a run of letters and digits, or one other visible character.
-TOKEN = r"(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
+TOKEN = r"(?:[\p{L}\p{N}]+|\S)"
 TOKEN_AND_GAP = TOKEN + r"\s*"
 # Fixed value: all white space characters.
 SPACES = (
@@ -112,32 +112,33 @@ def format_executed(value: Column) -> Column:
     )
 
 
-# HTML to markdown. Each rule is a pattern, its replacement, and the tags one of which
-# a page must have for it; rules are applied top to bottom. A tag is what has a letter, a slash or a
-# mark after its ``<``.
-CLEAN_RULES: list[tuple[str, str]] = [
-    (r"(?is)<(?:!--.*?--|head[ >].*?</head|script[ >].*?</script|style[ >].*?</style)>", ""),
-    (r"[ \t\r\n]{2,}|[\t\r\n]", " "),
-]
-TAG_RULES: list[tuple[str, str, str]] = [
-    *[(f"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ", f"h{n}") for n in range(1, 7)],
-    (r"(?i)<(?:b|strong)(?: [^>]*)?>(.*?)</(?:b|strong)>", "**$1**", "/b /strong"),
-    (r"(?i)<(?:i|em)(?: [^>]*)?>(.*?)</(?:i|em)>", "_$1_", "/i /em"),
-    (r"(?i)<li(?: [^>]*)?>", "\n* ", "li"),
-    (r"(?i)<br[^>]*>", "\n", "br"),
-    (r"(?i)<(?:/h[1-6]|/?(?:p|div|ul|ol|table|tr|article|section|footer|blockquote)(?: [^>]*)?)>",
-     "\n\n", "/h1 /h2 /h3 /h4 /h5 /h6 p /p div /div ul /ul ol /ol table /table tr /tr article "
-     "/article section /section footer /footer blockquote /blockquote pre"),
-    (r"""(?i)<img [^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""",
-     "![$1$2]($3$4)", "img"),
-    (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*>""",
-     "![$3$4]($1$2)", "img"),
-    (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""", "![]($1$2)", "img"),
-    (r"""(?i)<a [^>]*href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", "[$3]($1$2)", "/a"),
+# HTML to markdown. Steps are applied top to bottom, their rules one after another; a
+# step with tags is for pages that have one of them. A tag is what has a letter, a slash or a mark
+# after its ``<``.
+NO_TEXT = r"(?is)<(?:!--.*?--|head[ >].*?</head|script[ >].*?</script|style[ >].*?</style)>"
+LINE_SPACES = ("\t", "\r", "\n")
+TAG_STEPS: list[tuple[str, list[tuple[str, str]]]] = [
+    ("", [("(?i)<h1[^>]*>", "\n\n# ")]),
+    ("h2 h3 h4 h5 h6", [
+        (f"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ") for n in range(2, 7)]),
+    ("/b /strong", [(r"(?i)<(?:b|strong)(?: [^>]*)?>(.*?)</(?:b|strong)>", "**$1**")]),
+    ("/i /em", [(r"(?i)<(?:i|em)(?: [^>]*)?>(.*?)</(?:i|em)>", "_$1_")]),
+    ("", [
+        (r"(?i)<li(?: [^>]*)?>", "\n* "),
+        (r"(?i)<br[^>]*>", "\n"),
+        (r"(?i)<(?:/h[1-6]|/?(?:p|div|ul|ol|table|tr|article|section|footer|blockquote)(?: [^>]*)?)>",
+         "\n\n"),
+    ]),
+    ("img", [
+        (r"""(?i)<img [^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""",
+         "![$1$2]($3$4)"),
+        (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*alt=(?:"([^"]*)"|'([^']*)')[^>]*>""",
+         "![$3$4]($1$2)"),
+        (r"""(?i)<img [^>]*src=(?:"([^"]*)"|'([^']*)')[^>]*>""", "![]($1$2)"),
+    ]),
+    ("/a", [(r"""(?i)<a [^>]*href=(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", "[$3]($1$2)")]),
 ]
 ANY_TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-# Spaces with line feeds among them become one or two of these, other runs of spaces one space.
-GAPS = (r" *+(\n) *+(?:(\n)[ \n]*+)?|( ) ++", "$1$2$3")
 TAG_NAME = r"<(/?[a-zA-Z][a-zA-Z0-9]*)"
 
 # Characters that are written in ASCII. Lower-case vowels lose their accents.
@@ -210,29 +211,36 @@ def _numbered(items: Column) -> Column:
         i == 0, x).otherwise(F.concat(F.lit("\n"), i.cast("string"), F.lit(". "), x))), "")
 
 
+def tight(text: Column) -> Column:
+    """One space for many, none beside a line feed, and two line feeds at most in a row."""
+    def few(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+
+    lines = F.array_join(F.transform(F.split(let(text, few), "\n"), lambda x: F.trim(x)), "\n")
+    return F.regexp_replace(lines, r"\n{3,}", "\n\n")
+
+
 def html_to_markdown(html: Column) -> Column:
     """Markdown text of a page, no line wrapping.
 
     Links, images, bold, italics, lists and preformatted lines are kept; items of an ordered
     list are numbered, and one inside another numbers on. Tags left open mark nothing. One pass
-    finds which tags a page has; a rule whose tags it lacks is not run over it.
+    finds which tags a page has; costly rules whose tags it lacks are not run over it.
     """
     def converted(page: Column, names: Column) -> Column:
-        def has(tags: str) -> Column:
-            wanted = [F.array_contains(names, tag) for tag in tags.split()]
-            return reduce(lambda a, b: a | b, wanted)
-
         def where(tags: str, text: Column, change: Callable[[Column], Column]) -> Column:
-            return let(text, lambda t: F.when(has(tags), change(t)).otherwise(t))
+            has = F.arrays_overlap(names, F.split(F.lit(tags), " "))
+            return let(text, lambda t: F.when(has, change(t)).otherwise(t))
 
         text = where("pre", page, lambda t: _inside(t, "pre", _keep_lines))
-        for pattern, replacement in CLEAN_RULES:
-            text = F.regexp_replace(text, pattern, replacement)
+        text = F.regexp_replace(text, NO_TEXT, "")
+        for character in LINE_SPACES:
+            text = F.replace(text, F.lit(character), F.lit(" "))
         text = where("ol", text, lambda t: _inside(t, "ol", _numbered))
-        for pattern, replacement, tags in TAG_RULES:
-            text = where(tags, text, partial(
-                F.regexp_replace, pattern=pattern, replacement=replacement))
-        text = F.regexp_replace(undo_entities(F.regexp_replace(text, ANY_TAG, "")), *GAPS)
+        for tags, rules in TAG_STEPS:
+            change = partial(_apply_rules, rules=rules)
+            text = where(tags, text, change) if tags else change(text)
+        text = tight(undo_entities(F.regexp_replace(text, ANY_TAG, "")))
         return F.translate(strip(text), LINE + SPACE, "\n ")
 
     found = F.regexp_extract_all(html, F.lit(TAG_NAME), F.lit(1))
@@ -240,3 +248,9 @@ def html_to_markdown(html: Column) -> Column:
     names = F.transform(F.array_distinct(found), F.lower)
     return let(F.struct(html.alias("page"), names.alias("names")),
                lambda both: converted(both["page"], both["names"]))
+
+
+def _apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text

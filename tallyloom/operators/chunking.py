@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.binding import let
-from tallyloom.functions.split_text import MeasureText, default_measure, split_to_budget
+from tallyloom.functions.split_text import MeasureText, default_measure, split_counted
 from tallyloom.functions.text import SPACES, chunk_preview, last_tokens, strip, token_count
 
 MAX_TOKENS = 4000
@@ -149,10 +149,10 @@ def pack_sections(tokens: Column, max_tokens: int, header_tokens: Column) -> Col
         g[0].alias("start"), g[1].alias("size"), (g[2] == 1).alias("oversize")))
 
 
-def _split_units(units: Sequence | None, overlap: int, bind: MeasureText) -> list[list[str]]:
+def _split_units(units: Sequence, overlap: int, bind: MeasureText) -> list[list[tuple[str, int]]]:
     return [
         [] if u is None or u["text"] is None
-        else split_to_budget(u["text"], u["budget"], overlap, bind)
+        else split_counted(u["text"], u["budget"], overlap, bind)
         for u in units
     ]
 
@@ -166,7 +166,8 @@ def oversize_splitter(
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bind = load_measure()
         for arrays in batches:
-            yield arrays.map(lambda units: _split_units(units, overlap, bind))
+            yield arrays.map(lambda units: [
+                [piece for piece, _ in pieces] for pieces in _split_units(units, overlap, bind)])
 
     # Keeps the optimizer from merging the call into, and repeating it in, later steps.
     return split.asNondeterministic()
@@ -176,21 +177,23 @@ def pack_and_split(
     tokens: Column, header_tokens: Column, oversize: Column, budget: int, overlap: int,
     load_measure: Callable[[], MeasureText] = default_measure,
 ) -> Column:
-    """``groups`` as ``pack_sections`` cuts them, as (start, size, oversize) in whole numbers, and
-    ``pieces``: a list for every section, empty for those within budget.
+    """``groups`` as ``pack_sections`` cuts them, as (start, size, oversize) in whole numbers;
+    ``pieces``, a list for every section, empty for those within budget; their ``counts``.
 
     ``oversize`` holds (text, budget) of the sections over budget and NULL for the others, or
     is NULL without any. One crossing to Python for both.
     """
-    @F.pandas_udf("groups array<array<int>>, pieces array<array<string>>")
+    @F.pandas_udf("groups array<array<int>>, pieces array<array<string>>, counts array<array<int>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         bind = load_measure()
         for counts, headers, big in batches:
             groups = [None if c is None else _cuts(c.tolist(), budget, int(h))
                       for c, h in zip(counts, headers, strict=True)]
-            pieces = [[] if u is None else _split_units(u, overlap, bind) for u in big]
-            yield pd.DataFrame({"groups": pd.Series(groups, dtype=object),
-                                "pieces": pd.Series(pieces, dtype=object)})
+            made = [[] if u is None else _split_units(u, overlap, bind) for u in big]
+            columns = groups, *([[[p[k] for p in pieces] for pieces in row] for row in made]
+                                for k in (0, 1))
+            yield pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in zip(
+                ("groups", "pieces", "counts"), columns, strict=True)})
 
     # Keeps the optimizer from merging the call into, and repeating it in, later steps.
     return cut.asNondeterministic()(tokens, header_tokens, oversize)
@@ -238,8 +241,10 @@ def assemble_chunks(parts: Column, overlap: int) -> Column:
 def document_sections(text: Column, source: Column | None) -> Column:
     """The sections of a document, without the heading that names its source."""
     src = F.lit(None).cast("string") if source is None else source
-    cleaned = let(with_source_header(text, src), lambda body: F.transform(
+    headed = let(with_source_header(text, src), lambda body: F.transform(
         split_sections(body), lambda s: drop_source_header(s, src)))
+    # A text without any heading is one section.
+    cleaned = F.when(F.contains(text, F.lit("#")), headed).otherwise(F.array(strip(text)))
     return F.filter(cleaned, lambda s: s != "")
 
 
@@ -294,8 +299,12 @@ def _chunk_parts(document: Column, own_counts: bool) -> Column:
 
     def split(d: Column, texts: Column, at: Column) -> Column:
         prefix = F.concat(d["head"], _block(strip(heading_list(texts))), _block(_second_heading(texts[0])))
-        return let(prefix, lambda x: F.transform(F.get(d["cut"]["pieces"], at), lambda p, j: part(
-            x, p, j == 0, token_count(p))))
+
+        def counted(p: Column, j: Column) -> Column:
+            return F.get(F.get(d["cut"]["counts"], at), j) if own_counts else token_count(p)
+
+        return let(prefix, lambda x: F.transform(
+            F.get(d["cut"]["pieces"], at), lambda p, j: part(x, p, j == 0, counted(p, j))))
 
     def whole(d: Column, texts: Column, group: Column) -> Column:
         body = F.array_join(texts, "\n\n")
@@ -342,7 +351,7 @@ def chunk_documents(
         _oversize_sections(F.col("__sections"), F.col("__tokens"), F.col("__head_tokens"), budget),
         budget, overlap, load_measure))
     document = F.struct(*[F.col(f"__{c}").alias(c) for c in ("head", "sections", "tokens", "cut")])
-    own_counts = count_all is count_each
+    own_counts = count_all is count_each and load_measure is default_measure
     chunks = rows.select(*keep, assemble_chunks(
         _chunk_parts(document, own_counts), overlap).alias("__chunks"))
     # The outer form keeps the optimizer from testing the array, and so building it, twice.
@@ -357,7 +366,7 @@ def chunk_documents(
         *keep,
         F.coalesce(F.col("__pos") + 1, F.lit(0)).alias("chunk_index"),
         F.coalesce("__chunk.total", F.lit(0)).alias("total_chunks"),
-        (F.col("__chunk.tokens") if own_counts
+        (F.col("__chunk.tokens") if count_all is count_each
          else count_all(F.array("__chunk.text"))[0]).alias("token_count"),
         F.col("__chunk.text").alias("chunk_text"),
         chunk_preview(F.col("__chunk.text")).alias("chunk_preview"),

@@ -15,7 +15,7 @@ from tallyloom.plans.common import (
     SQL_TOKEN, query, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
     sql_tokens, table,
 )
-from tallyloom.session import scratch_path
+from tallyloom.session import scratch_path, spread
 from tallyloom.sinks import tables as sinks
 from tallyloom.sources import tables as sources
 
@@ -76,11 +76,11 @@ PACKED_SQL = f"WITH RECURSIVE {CLEAN_SQL},\n{sql_packed(PACK_TOKENS)}"
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def web(spark, sf_dir) -> DataFrame:

@@ -43,6 +43,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out by ``keys`` to all cores.
+
+    For costly work on every row. At most a split's bytes a core are moved for it; a scan of
+    many splits is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def store(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system that holds a path, and the path as it names it."""
     named = spark._jvm.org.apache.hadoop.fs.Path(path)

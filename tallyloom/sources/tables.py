@@ -27,12 +27,13 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, every cell as text; ``index`` adds the 0-based position of each row.
 
-    Cells may hold line breaks, and a file is still read by many tasks (see ``records``). For
-    files known to have no such cells ``multiline=False`` takes each line for a record.
+    Cells may hold line breaks. Files longer than a split are still read by many tasks (see
+    ``records``); of those that a task takes whole Spark's own reader does the same. For files
+    known to have no such cells ``multiline=False`` takes each line for a record.
     """
     options = {"sep": sep, "quote": '"', "escape": '"'}
     reader = spark.read.options(header=True, multiLine=multiline, encoding="UTF-8", **options)
-    if not multiline:
+    if not multiline or not _has_long_file(spark, path):
         rows = (reader.schema(schema) if schema else reader).csv(path)
         return with_file_positions(rows, index).select(index, *rows.columns) if index else rows
     if schema is None:
@@ -47,6 +48,13 @@ def read_csv(
     return rows.select(*([index] if index else []), "__cells.*")
 
 
+def _has_long_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file is longer than the splits that scans are cut into; lengths alone are read."""
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    listed = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return listed is not None and listed > most
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
