@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.tokens import WORD
-from tallyloom.operators.ordered import join_on
+from tallyloom.operators.ordered import join_on, with_positions
 from tallyloom.session import durable
 
 Knots = Sequence[tuple[float, float]]
@@ -173,6 +173,44 @@ def document_sizes(docs: DataFrame, text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def stream(
+    sizes: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options
+) -> DataFrame:
+    """The training stream without texts: a row for every use of a document.
+
+    ``sizes`` as for ``assign``. Returns its columns with ``source_size``, ``target``, ``copy``,
+    ``words``, ``position`` and ``rank`` (from 1, by position, then id and copy): uses are
+    range-sorted by position and numbered along the ranges. Documents that the mix does not use
+    have no row; an empty table gives an empty one.
+    """
+    assigned = assign(sizes, id_col, source_col, **options)
+    uses = assigned.select(
+        *sizes.columns, "source_size", "target", F.explode("copies").alias("__use")
+    ).select(*sizes.columns, "source_size", "target", "__use.*")
+    return with_positions(uses, ["position", id_col, "copy"], index="rank", start=1)
+
+
+def place(
+    sizes: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options
+) -> DataFrame:
+    """One row per row of ``sizes``, also of those that the mix does not use.
+
+    Adds ``source_size``, ``target``, ``taken`` (words of all its uses), ``n_uses`` and the first
+    use's ``first_position`` and ``first_rank`` in the stream, null without a use. Rows alike
+    in id and size are interchangeable.
+    """
+    rows = durable(sizes.withColumn("__origin", F.monotonically_increasing_id()), "sizes")
+    known = rows.select("__origin", id_col, source_col, "size")
+    used = stream(known, id_col, source_col, **options).groupBy("__origin").agg(
+        F.sum("words").alias("taken"), F.count("*").alias("n_uses"),
+        F.min("position").alias("first_position"), F.min("rank").alias("first_rank"))
+    targets = durable(source_targets(rows, source_col, **{
+        k: v for k, v in options.items() if k in ("weights", "share", "most")}).drop("rank"), "targets")
+    return join_on(rows, targets, [source_col]).join(used, "__origin", "left").select(
+        *sizes.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("n_uses", F.lit(0)).alias("n_uses"), "first_position", "first_rank")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     **options,

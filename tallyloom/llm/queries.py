@@ -116,7 +116,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op7_curriculum_mixing", f"""
 WITH d AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
-        [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+        (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind, [3, 1, 2][kind + 1] AS weight
       FROM d GROUP BY source),
 levels AS (SELECT 2 * source_size / weight AS level FROM s UNION SELECT 0),
 filled AS (SELECT level, (SELECT sum(least(2 * source_size, weight * level)) FROM s) AS total,
@@ -125,20 +125,33 @@ filled AS (SELECT level, (SELECT sum(least(2 * source_size, weight * level)) FRO
 chosen AS (SELECT level + ((SELECT sum(size) * 1.5 FROM d) - total) / open_weight AS level FROM filled
            WHERE total <= (SELECT sum(size) * 1.5 FROM d) AND open_weight > 0
            ORDER BY filled.level DESC LIMIT 1),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, kind,
         least(2.0 * source_size, weight * (SELECT level FROM chosen))::DOUBLE AS target FROM s),
 o AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source
-        ORDER BY md5(doc_id::VARCHAR), doc_id) - size AS start FROM d)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
-  (greatest(0, least(size, floor(target) - start))
-   + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+        ORDER BY md5(doc_id::VARCHAR), doc_id) - size AS start FROM d),
+j AS (SELECT doc_id, size, source_size, target, kind, start + source_size * copy AS begin, copy,
+        greatest(0, least(size, floor(target) - start - source_size * copy)) AS words
+      FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) c(copy)),
+u AS (SELECT *, begin::DOUBLE / floor(target) AS share FROM j WHERE words > 0),
+p AS (SELECT doc_id, copy, CASE WHEN share = 0 THEN 0 WHEN kind = 0 THEN share
+        WHEN kind = 1 THEN (sqrt(0.04::DOUBLE + 3.2::DOUBLE * share) - 0.2::DOUBLE) / 1.6::DOUBLE
+        ELSE (1.8::DOUBLE - sqrt(3.24::DOUBLE - 3.2::DOUBLE * share)) / 1.6::DOUBLE END AS position
+      FROM u),
+k AS (SELECT *, row_number() OVER (ORDER BY position, doc_id, copy) AS rank FROM p),
+f AS (SELECT doc_id, count(*) AS n_uses, min(position) AS position, min(rank) AS rank
+      FROM k GROUP BY doc_id)
+SELECT doc_id, size, source_size, round(target, 4) AS target, sum(words)::BIGINT AS taken,
+  coalesce(any_value(n_uses), 0)::BIGINT AS n_uses, round(any_value(f.position), 6) AS first_position,
+  coalesce(any_value(f.rank), 0) AS first_rank
+FROM j LEFT JOIN f USING (doc_id) GROUP BY doc_id, size, source_size, target
 """)
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", "source", curriculum.document_sizes(docs, "text").alias("size"))
-    return curriculum.assign(sizes).select(
-        "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    return curriculum.place(sizes).select(
+        "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "n_uses",
+        F.round("first_position", 6).alias("first_position"),
+        F.coalesce("first_rank", F.lit(0)).alias("first_rank"))
 
 
 @query("op1_secret_scans")

@@ -65,6 +65,8 @@ def operators(spark, labels):
         "bytes": induced_sort.remove_repeated_bytes,
         "windows": substring_windows.remove_repeated_windows,
         "classify": lambda d: passages.classify(d, labels),
+        "place": lambda d: curriculum.place(d.select("*").drop("size").withColumn(
+            "size", curriculum.document_sizes(d, "text"))),
         "contaminated": lambda d: spaced_seeds.contaminated(d, bench),
         "decontaminate": lambda d: spaced_seeds.decontaminate(d, bench),
         "mix": curriculum.mix, "score": lattice.score_documents,
@@ -73,12 +75,12 @@ def operators(spark, labels):
 
 
 ROWS = {"secrets": 8, "redact": 8, "judge": 8, "bytes": 8, "windows": 8, "classify": 8,
-        "contaminated": 0, "decontaminate": 8, "score": 8, "near": 8}
+        "contaminated": 0, "decontaminate": 8, "score": 8, "near": 8, "place": 8}
 
 
 @pytest.mark.parametrize("name", [
     "secrets", "redact", "judge", "keep_good", "bytes", "windows", "classify", "contaminated",
-    "decontaminate", "mix", "score", "near", "keep_one"])
+    "decontaminate", "mix", "place", "score", "near", "keep_one"])
 def test_odd_rows_and_empty_tables(spark, odd, labels, name):
     run = operators(spark, labels)[name]
     rows = run(odd).collect()
@@ -95,6 +97,24 @@ def test_odd_rows_and_empty_tables(spark, odd, labels, name):
         assert sum(r.doc_id == 3 for r in rows) == 1
     if name == "keep_good":
         assert {r.doc_id for r in rows} <= {4}
+    # Contents of null, empty, blank and repeated rows, not their number alone.
+    if name == "secrets":
+        assert all((r.n_assign, r.n_access, r.n_hex, r.spans) == (0, 0, 0, "") for r in rows)
+    if name == "redact":
+        assert sorted(r.text or "" for r in rows) == sorted(r.text or "" for r in odd.collect())
+    if name == "judge":
+        assert {r.doc_id: r.n_words for r in rows} == {1: 0, 2: 0, None: 2, 3: 3, 4: 30_000, 5: 1, 6: 0}
+        assert all(r.base_failed and not r.kept for r in rows if r.doc_id != 4)
+    nothing = hashlib.sha256(b"").hexdigest()
+    if name in ("bytes", "windows"):
+        short = [r for r in rows if r.doc_id in (1, 2)]
+        assert len(short) == 2 and all(r.n_removed == 0 and r.kept_sha256 == nothing for r in short)
+        assert len({r.kept_sha256 for r in rows if r.doc_id == 3}) == 1
+    if name == "place":
+        assert {r.doc_id: (r.size, r.taken > 0) for r in rows if r.doc_id in (1, 2, 6)} == {
+            1: (0, False), 2: (0, False), 6: (0, False)}
+    if name == "score":
+        assert len({r.score for r in rows if r.doc_id in (1, 2, 6)}) == 1
 
 
 # Secrets
@@ -411,6 +431,36 @@ def test_mix_meets_targets(spark):
     assert all(0 <= r.position <= 1 for r in stream)
 
 
+def test_shares_follow_their_schedules(spark):
+    """Each tenth of the stream holds of every source what its schedule has for it."""
+    texts = [prose(10, i) for i in range(3000)]
+    docs = docs_of(spark, texts)
+    sizes = docs.select("doc_id", "source", curriculum.document_sizes(docs, "text").alias("size"))
+    rows = curriculum.stream(sizes).orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
+    assert all(a.position <= b.position for a, b in itertools.pairwise(rows))
+    for k, source in enumerate(("s0", "s1", "s2")):
+        mine = [r for r in rows if r.source == source]
+        total = sum(r.words for r in mine)
+        fine = np.linspace(0, 1, 10_001)
+        weight = np.interp(fine, *zip(*curriculum.SCHEDULES[k], strict=True))
+        demand = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        for tenth in range(10):
+            taken = sum(r.words for r in mine if tenth <= 10 * r.position < tenth + 1) / total
+            due = (demand[1000 * tenth + 1000] - demand[1000 * tenth]) / demand[-1]
+            assert taken == pytest.approx(due, abs=0.02)
+    placed = {r.doc_id: r for r in curriculum.place(sizes).collect()}
+    uses = {}
+    for r in rows:
+        uses.setdefault(r.doc_id, []).append(r)
+    for i, r in placed.items():
+        mine = uses.get(i, [])
+        assert (r.taken, r.n_uses) == (sum(u.words for u in mine), len(mine))
+        assert (r.first_rank, r.first_position) == (
+            (min(u.rank for u in mine), min(u.position for u in mine)) if mine else (None, None))
+    assert len(placed) == 3000
+
+
 def test_inverse_demand_inverts_the_integral(spark):
     knots = ((0.0, 0.0), (0.25, 2.0), (0.5, 0.0), (0.75, 0.0), (1.0, 1.0))
     df = spark.range(101).select((F.col("id") / 100).alias("u"))
@@ -584,6 +634,21 @@ def test_refused_templates(bad):
             raise template.TemplateError("text only")
 
 
+def test_conversations_of_odd_rows(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "assistant", ""), (None, None, None, None),
+            (None, 0, "user", "x"), (3, 0, "assistant", prose(20_000, 3))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.select("*", *[F.lit(7).alias(c) for c in ("id", "key", "size", "formatted", "n_turns", "loss")])
+    got = {r.conv_id: r for r in template.format_digests(df).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {1: 2, 2: 1, None: 2, 3: 1}
+    assert (got[2].loss_chars, got[1].loss_chars) == (0, 0) and got[3].loss_chars == len(prose(20_000, 3))
+    whole = {r.conv_id: r for r in template.format_conversations(df).collect()}
+    assert {k: len(r.formatted) for k, r in whole.items()} == {
+        k: r.formatted_chars for k, r in got.items()}
+    for empty in (template.format_digests(df.where("false")), template.format_conversations(df.where("false"))):
+        assert empty.collect() == []
+
+
 def test_conversation_order_and_nulls(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, None, None, "first"),
             (1, 1, "assistant", "a"), (None, 0, "user", "x")]
