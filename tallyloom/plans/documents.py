@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
 from tallyloom.functions.binding import explode_once
-from tallyloom.operators import chunking, indexing, sitemaps
+from tallyloom.operators import chunking, encoding, indexing, sitemaps
 from tallyloom.plans.common import (
     SQL_TOKEN, query, sql_heading_list, sql_last_tokens, sql_markdown, sql_sections, sql_strip,
     sql_tokens, table,
@@ -118,6 +119,19 @@ def site_name(spark, sf_dir):
         "page_id", tx.site_name(F.col("url")).alias("site"))
 
 
+def three_by_three() -> Callable[[str], list]:
+    """An encoder whose tokens are up to three characters of a piece."""
+    return lambda piece: [piece[i:i + 3] for i in range(0, len(piece), 3)]
+
+
+@query("encoder_counts", """
+SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, ' ?\\pL+| ?\\pN+| ?[^\\s\\pL\\pN]+|\\s+'),
+  lambda p: (length(p) + 2) // 3)), 0)::BIGINT AS n_tokens FROM documents""")
+def encoder_counts(spark, sf_dir):
+    return encoding.encoder_counts(
+        documents(spark, sf_dir), "text", three_by_three).select("doc_id", "n_tokens")
+
+
 @query("token_count", f"SELECT doc_id, CAST({sql_tokens('text')} AS INTEGER) AS n FROM documents")
 def token_count(spark, sf_dir):
     return documents(spark, sf_dir).select(

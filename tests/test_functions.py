@@ -109,3 +109,31 @@ def test_parse_verdict(spark, text, expected):
 def test_normalise_correctness(spark):
     assert apply(spark, vd.normalise_correctness, ["1", "CORRECT", "false", None]) == [
         "Correct", "Unknown", "Incorrect", "Unknown"]
+
+
+def test_an_encoder_sees_every_distinct_piece_once(spark, tmp_path):
+    import re
+    import uuid
+
+    from tallyloom.operators.encoding import encoder_counts
+
+    folder = str(tmp_path)
+
+    def encode(piece):
+        return re.findall(r"[aeiou]|[^aeiou]+", piece)
+
+    def load():
+        def noted(piece):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(piece)
+            return encode(piece)
+        return noted
+
+    texts = ["one two three two", "two  two!", "", None, " naïve 42,000 one\n", "two" * 50]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "id long, t string, n_tokens0 int")
+    got = {r.id: r.n_tokens for r in encoder_counts(df, "t", load, r" ?[a-zï]+| ?[0-9]+|[^\sa-zï0-9]+|\s+").collect()}
+    pieces = [re.findall(r" ?[a-zï]+| ?[0-9]+|[^\sa-zï0-9]+|\s+", t) if t is not None else None for t in texts]
+    assert got == {i: None if p is None else sum(len(encode(x)) for x in p) for i, p in enumerate(pieces)}
+    seen = [f.read_text() for f in tmp_path.iterdir()]
+    assert sorted(seen) == sorted({x for p in pieces for x in p or []})
+    assert encoder_counts(df.where("false"), "t", load).collect() == []
