@@ -158,7 +158,8 @@ def learn_rules(
 ) -> list[list[Condition]]:
     """An ordered list of rules for bad rows; rows in a fixed order make a fixed list.
 
-    Every third row is for pruning. A rule stays if it covers at least ``least`` bad rows of all
+    At most ``most_rules`` rules of at most ``most_conditions`` thresholds each, so that the list
+    can be read; covering also ends where no further rule is precise enough. Every third row is for pruning. A rule stays if it covers at least ``least`` bad rows of all
     and ``precision`` of what it covers is bad, in both parts.
     """
     part = np.arange(len(bad)) % 3 == 2
@@ -213,7 +214,8 @@ def train(
 
     That bound is also the proof that the labels joined by broadcast are few. Labels other than
     0 and 1 count as absent; of several for one id the least counts. Without both labels there
-    are no rules.
+    are no rules. Further options, ``precision``, ``least``, ``most_rules`` and
+    ``most_conditions``, as for ``learn_rules``.
     """
     chosen = (
         labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__label_id"))

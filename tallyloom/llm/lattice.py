@@ -10,6 +10,7 @@ mark, and every distinct word's lattice is summed once, however often it occurs.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HELD_WORDS = 200_000
 FREQUENT, LOOKED_UP_BYTES = 100_000, 64
+#: Characters of a word whose arcs are held at a time.
+SLAB = 4096
 
 
 class Lattice:
@@ -37,12 +40,13 @@ class Lattice:
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.logs = logs
 
-    def arcs(self, text: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-        """(from, to, log probability, pieces), by start; a character without a piece of its
-        own is spelled in bytes."""
+    def arcs(self, text: str, first: int, last: int
+             ) -> list[tuple[int, int, float, tuple[int, ...]]]:
+        """(from, to, log probability, pieces) of the arcs that begin in a range, by start; a
+        character without a piece of its own is spelled in bytes."""
         out, ids, prefixes, logs = [], self.ids, self.prefixes, self.logs
         size = len(text)
-        for i in range(size):
+        for i in range(first, min(last, size)):
             j = i + 1
             part = text[i:j]
             if part not in ids:
@@ -58,9 +62,11 @@ class Lattice:
                 part = text[i:j]
         return out
 
-    def forward(self, size: int, arcs: list) -> list[float]:
-        alpha = [-math.inf] * (size + 1)
-        alpha[0] = 0.0
+    def _open(self, size: int) -> list[float] | array:
+        """One value a character; as plain numbers where there are many."""
+        return [-math.inf] * (size + 1) if size <= SLAB else array("d", [-math.inf]) * (size + 1)
+
+    def forward(self, alpha: list[float] | array, arcs: list) -> None:
         exp, log1p = math.exp, math.log1p
         for i, j, log, _ in arcs:
             new, old = alpha[i] + log, alpha[j]
@@ -70,27 +76,38 @@ class Lattice:
                 alpha[j] = new + log1p(exp(old - new))
             else:
                 alpha[j] = old + log1p(exp(new - old))
-        return alpha
 
     def marginal(self, word: str) -> float:
-        """Natural log of the word's probability, summed over all segmentations."""
+        """Natural log of the word's probability, summed over all segmentations.
+
+        The arcs of a long word are made a slab of it at a time.
+        """
         text = SPACE + word
-        return self.forward(len(text), self.arcs(text))[-1]
+        alpha = self._open(len(text))
+        alpha[0] = 0.0
+        for low in range(0, len(text), SLAB):
+            self.forward(alpha, self.arcs(text, low, low + SLAB))
+        return alpha[-1]
 
     def expected(self, word: str, weight: float, counts: np.ndarray) -> None:
         """Add the pieces' expected uses in ``weight`` occurrences of the word."""
         text = SPACE + word
-        arcs = self.arcs(text)
-        alpha = self.forward(len(text), arcs)
-        beta = [-math.inf] * (len(text) + 1)
-        beta[-1] = 0.0
-        for i, j, log, pieces in reversed(arcs):
-            new, old = beta[j] + log, beta[i]
-            beta[i] = max(new, old) + math.log1p(math.exp(-abs(new - old))) \
-                if old > -math.inf else new
-            share = weight * math.exp(alpha[i] + log + beta[j] - alpha[-1])
-            for k in pieces:
-                counts[k] += share
+        lows, arcs = range(0, len(text), SLAB), []
+        alpha, beta = self._open(len(text)), self._open(len(text))
+        alpha[0] = beta[-1] = 0.0
+        for low in lows:
+            arcs = self.arcs(text, low, low + SLAB)
+            self.forward(alpha, arcs)
+        for low in reversed(lows):
+            if low != lows[-1]:
+                arcs = self.arcs(text, low, low + SLAB)
+            for i, j, log, pieces in reversed(arcs):
+                new, old = beta[j] + log, beta[i]
+                beta[i] = max(new, old) + math.log1p(math.exp(-abs(new - old))) \
+                    if old > -math.inf else new
+                share = weight * math.exp(alpha[i] + log + beta[j] - alpha[-1])
+                for k in pieces:
+                    counts[k] += share
 
 
 def _is_byte(piece: str) -> bool:
