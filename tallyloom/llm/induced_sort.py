@@ -18,13 +18,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.repeats import (
-    REF, Shape, counted_windows, repeated_anchors, split_contexts, union_length, with_marks,
-    with_ref,
+    REF, Shape, repeated_anchors, split_contexts, union_length, with_marks, with_ref,
 )
 from tallyloom.llm.tokens import as_bytes
 from tallyloom.session import durable
@@ -34,8 +34,13 @@ RESULT = [
     T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()),
     T.StructField("kept_sha256", T.StringType()),
 ]
-TUPLE = ("key long, right binary, left binary, __id string, __text long, at int, single boolean")
+TUPLE = ("key long, right binary, left binary, __id string, __text long, at int, single boolean, "
+         "low int, high int")
+NAMED = ("key long, __id string, __text long, start int, more int, offset int, single boolean, "
+         "low int, high int")
 RUN_ROWS = 20_000
+#: Contexts of a name that one task sorts.
+RUN_NAMES = 4_000
 
 
 def _tuples(window: int) -> Callable:
@@ -48,20 +53,55 @@ def _tuples(window: int) -> Callable:
                 for m in marks[i]:
                     at, start = m["start"] + m["offset"], m["start"]
                     rows.append((m["key"], text[at:start + m["more"] + window], text[start:at],
-                                 ids[i], hashes[i], at, m["single"]))
+                                 ids[i], hashes[i], at, m["single"], m["low"], m["high"]))
                     if len(rows) >= RUN_ROWS:
-                        yield _as_batch(rows)
+                        yield _as_batch(rows, TUPLE)
                         rows = []
-            yield _as_batch(rows)
+            yield _as_batch(rows, TUPLE)
     return run
 
 
-def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
-    names = ("key", "right", "left", "__id", "__text", "at", "single")
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+def _as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(),
+             "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)],
+        [name for name, _ in fields])
+
+
+def longer_names(text: bytes, m: dict, window: int) -> Iterator[tuple[int, int, int]]:
+    """(name, low, high) for both halves of an anchor's distances ``low`` to ``high``.
+
+    A window that begins ``d`` bytes left of the anchor holds ``d`` bytes before it and
+    ``window - d`` from it on, so those of a half share the least of either. A half in which the
+    anchor has no window has no name.
+    """
+    at, middle = m["start"] + m["offset"], (m["low"] + m["high"]) // 2
+    for low, high in ((m["low"], middle), (middle + 1, m["high"])):
+        if low <= min(high, m["offset"]) and high >= m["offset"] - m["more"]:
+            shared = text[at - low:at + window - high]
+            name = xxhash.xxh64_intdigest(shared, (m["key"] + 256 * low + high) & (2**64 - 1))
+            yield name - (1 << 63), low, high
+
+
+def _renamed(window: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column("__id").to_pylist(), batch.column("__text").to_pylist()
+            marks = batch.column("anchors").to_pylist()
+            rows: list[tuple] = []
+            for i, text in enumerate(as_bytes(batch.column("text"))):
+                for m in marks[i]:
+                    rows += [(name, ids[i], hashes[i], m["start"], m["more"], m["offset"],
+                              m["single"], low, high)
+                             for name, low, high in longer_names(text, m, window)]
+                    if len(rows) >= RUN_ROWS:
+                        yield _as_batch(rows, NAMED)
+                        rows = []
+            yield _as_batch(rows, NAMED)
+    return run
 
 
 def neighbour_prefix(keys: np.ndarray, rights: list[bytes], width: int) -> np.ndarray:
@@ -128,6 +168,9 @@ def _repeat_spans(keys: list[int], table: pa.Table, window: int) -> pa.RecordBat
     lefts = table.column("left").to_pylist()
     repeat = induce(np.array(keys, np.int64), table.column("right").to_pylist(), lefts, window)
     repeat &= table.column("single").to_numpy(zero_copy_only=False)[:, None]
+    step = np.arange(repeat.shape[1])
+    repeat &= step >= table.column("low").to_numpy()[:, None]
+    repeat &= step <= table.column("high").to_numpy()[:, None]
     edge = np.diff(np.pad(repeat.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, near = np.nonzero(edge == 1)
     _, far = np.nonzero(edge == -1)
@@ -183,18 +226,48 @@ def _cut(columns: list[str]) -> Callable:
     return run
 
 
+MARK = ("key", "start", "more", "offset", "single", "low", "high")
+
+
+def _levels(source: DataFrame, open_: DataFrame, window: int, run_names: int
+            ) -> tuple[DataFrame, DataFrame]:
+    """Anchors under names of at most ``run_names`` contexts, and the spans of those whose name
+    has become the whole window.
+
+    ``open_`` has ``contexts`` by name and the distances ``low`` to ``high``. Every level halves
+    the distances, so levels are few, and only what is over the bound goes down one.
+    """
+    rare = open_.where(F.col("contexts") <= run_names)
+    spans = None
+    level = open_.where(F.col("contexts") > run_names)
+    while not level.isEmpty():
+        marked = with_marks(source, level, F.struct(*MARK), "anchors", "inner")
+        named = durable(marked.mapInArrow(_renamed(window), NAMED), "names")
+        several = durable(named.groupBy("key").agg(F.count("*").alias("contexts"))
+                          .where("contexts > 1"), "contexts")
+        # Stored on both sides, so that a key that is still frequent can be split.
+        held = durable(named.join(several, "key"), "level")
+        whole = held.where("low = high AND single").select(
+            *REF, (F.col("start") + F.col("offset") - F.col("low")).alias("start"),
+            (F.col("start") + F.col("offset") - F.col("low") + window).alias("end"))
+        spans = whole if spans is None else spans.unionByName(whole)
+        open_ = held.where("low < high")
+        rare = rare.unionByName(open_.where(F.col("contexts") <= run_names).select(*rare.columns))
+        level = open_.where(F.col("contexts") > run_names)
+    return rare, spans
+
+
 def remove_repeated_bytes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-    sample_gram: int = 64, run_names: int = RUN_ROWS,
+    sample_gram: int = 64, run_names: int = RUN_NAMES,
 ) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts elsewhere.
 
     Adds ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept`` (remaining
     bytes; a cut may fall inside a character) and ``kept_sha256``; columns of ``docs`` with
     these names are replaced. A null text counts as empty; texts shorter than ``length`` lose
-    nothing. Rows alike in id and text are separate documents. Names with more than
-    ``run_names`` contexts do not meet in one task: the hashes of their windows are counted
-    instead, which gives the same repeats.
+    nothing. Rows alike in id and text are separate documents. Names in more than ``run_names``
+    contexts do not meet in one task but become longer ones, level after level.
     """
     if not 1 <= sample_gram <= length:
         raise ValueError("sample_gram must be between 1 and length")
@@ -202,19 +275,17 @@ def remove_repeated_bytes(
     columns = [c for c in docs.columns if c not in {f.name for f in RESULT}]
     source = with_ref(docs, id_col, text_col)
     whole, open_ = split_contexts(repeated_anchors(source, text_col, shape), shape)
-    open_ = durable(open_, "open")
-    marked = with_marks(
-        source.select(F.col(text_col).alias("text"), *REF),
-        open_.where(F.col("contexts") <= run_names),
-        F.struct("key", "start", "more", "offset", "single"), "anchors", "inner",
-    )
+    open_ = durable(open_.withColumn("low", F.lit(0)).withColumn(
+        "high", F.lit(length - sample_gram)), "open")
+    texts = source.select(F.col(text_col).alias("text"), *REF)
+    rare, windows = _levels(texts, open_, length, run_names)
+    marked = with_marks(texts, rare, F.struct(*MARK), "anchors", "inner")
     tuples = marked.mapInArrow(_tuples(length), TUPLE)
     sorted_ = tuples.repartition("key").sortWithinPartitions("key", "right")
     induced = sorted_.mapInArrow(
         _drain(length), "__id string, __text long, start int, end int")
-    counted = counted_windows(
-        source, text_col, open_.where(F.col("contexts") > run_names), shape)
-    spans = whole.unionByName(induced).unionByName(counted)
+    spans = whole.unionByName(induced)
+    spans = spans if windows is None else spans.unionByName(windows)
     kept = source.select(*columns, F.col(text_col).alias("__source"), *REF)
     cut = with_marks(kept, spans, F.struct("start", "end"), "__spans")
     schema = T.StructType([*[docs.schema[c] for c in columns], *RESULT])

@@ -150,12 +150,14 @@ def split_contexts(anchors: DataFrame, shape: Shape) -> tuple[DataFrame, DataFra
         F.count("*").alias("members"),
         F.min(F.struct(*REF, "start", "more", "offset")).alias("one"),
     ), "contexts")
-    per_key = contexts.groupBy("key").agg(F.count("*").alias("contexts"))
+    # Stored before it is joined: the join's sides are then plain shuffles, and a hot key can be split.
+    per_key = durable(contexts.groupBy("key").agg(F.count("*").alias("contexts"))
+                      .where("contexts > 1"), "per_key")
     many = contexts.where("members > 1").select("key", "context")
     whole = anchors.join(many, ["key", "context"], "left_semi").select(
         *REF, F.col("start"), (F.col("start") + F.col("more") + shape.window).alias("end")
     )
-    open_ = contexts.join(per_key.where("contexts > 1"), "key").select(
+    open_ = contexts.join(per_key, "key").select(
         "key", "contexts", (F.col("members") == 1).alias("single"),
         *[F.col(f"one.{c}").alias(c) for c in (*REF, "start", "more", "offset")],
     )
