@@ -237,7 +237,7 @@ def repeated_texts(seed):
     return [*texts, texts[1], texts[1], "ab " * 80, None, ""]
 
 
-@pytest.mark.parametrize("names", [20_000, 1])
+@pytest.mark.parametrize("names", [20_000, 3, 1])
 def test_repeated_bytes_match_brute_force(spark, names):
     texts = repeated_texts(3)
     raw = [(t or "").encode() for t in texts]
@@ -296,6 +296,45 @@ def test_classifier_on_held_out_documents(spark):
     assert {r.doc_id: r.score for r in rows} == {r.doc_id: r.score for r in again}
 
 
+def plain_score(w, passages_of_one):
+    """Gated attention over the passages of one document, one number at a time."""
+    hidden, logits = [], []
+    for x in passages_of_one:
+        x = [(v - m) / s for v, m, s in zip(x, w["mean"], w["scale"], strict=True)]
+        h = [math.tanh(sum(v * row[k] for v, row in zip(x, w["encode"], strict=True)) + b)
+             for k, b in enumerate(w["bias"])]
+        gated = 0.0
+        for u, attend in enumerate(w["attend"]):
+            t = math.tanh(sum(v * row[u] for v, row in zip(h, w["tanh"], strict=True)))
+            g = 1 / (1 + math.exp(-sum(v * row[u] for v, row in zip(h, w["gate"], strict=True))))
+            gated += t * g * attend
+        hidden.append(h)
+        logits.append(gated)
+    total = sum(map(math.exp, logits))
+    z = [sum(math.exp(a) / total * h[k] for a, h in zip(logits, hidden, strict=True))
+         for k in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-sum(v * o for v, o in zip(z, w["out"], strict=True)) - w["shift"][0]))
+
+
+def test_attention_against_a_plain_loop():
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 7, 2]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    x = rng.normal(size=(begin[-1], passages.WIDTH))
+    label = np.array([0.0, 1.0, 1.0, 0.0])
+    w = passages.learn(x, begin, label, hidden=5, units=3, rounds=15)
+    got = passages._pass(w, passages._scaled(w, x), begin)
+    expected = [plain_score(w, x[a:b]) for a, b in itertools.pairwise(begin)]
+    assert got["p"] == pytest.approx(expected, abs=1e-4)
+    for a, b in itertools.pairwise(begin):
+        assert got["a"][a:b].sum() == pytest.approx(1, abs=1e-5)
+    # Learning goes down the loss.
+    loss = [-np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)) for p in (
+        passages._pass(v, passages._scaled(v, x), begin)["p"]
+        for v in (passages.learn(x, begin, label, 5, 3, r) for r in (1, 15, 60)))]
+    assert loss[0] > loss[1] > loss[2]
+
+
 # Decontamination
 
 
@@ -498,6 +537,37 @@ def test_marginal_is_the_sum_over_segmentations():
         assert counts.sum() > 0
 
 
+def test_long_words_are_summed_slab_by_slab(monkeypatch):
+    pieces = ["▁a", "▁", "a", "b", "ab", "ba", "aba", "▁ab", *[f"<0x{i:02X}>" for i in range(256)]]
+    logs = np.log(np.random.default_rng(2).dirichlet(np.ones(len(pieces)))).tolist()
+    model, rng = lattice.Lattice(pieces, logs), random.Random(3)
+    words = ["".join(rng.choice("abé") for _ in range(n)) for n in (1, 7, 60, 300)]
+    whole = [model.marginal(w) for w in words]
+    counts = np.zeros(len(pieces))
+    for w in words:
+        model.expected(w, 2.0, counts)
+    for slab in (1, 2, 5, 64):
+        monkeypatch.setattr(lattice, "SLAB", slab)
+        assert [model.marginal(w) for w in words] == pytest.approx(whole, rel=1e-12)
+        again = np.zeros(len(pieces))
+        for w in words:
+            model.expected(w, 2.0, again)
+        assert again == pytest.approx(counts, rel=1e-9)
+
+
+def test_a_very_long_word_needs_little_memory(spark):
+    import tracemalloc
+
+    model = lattice.Lattice(*lattice.load_pieces(lattice.MODEL))
+    word = "abcde" * 100_000
+    tracemalloc.start()
+    score = model.marginal(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A number and the text's own copy for every character, and one slab of arcs.
+    assert score < 0 and peak < 30 * len(word)
+
+
 @pytest.mark.parametrize("frequent", [100_000, 3])
 def test_scores_against_brute_force(spark, frequent):
     texts = [prose(50, i, 60).upper() if i % 2 else prose(50, i, 60) for i in range(40)] + [None, ""]
