@@ -1,9 +1,12 @@
 """Row functions, matrices, matching, sitemaps and the streaming jobs on small fixtures."""
 
 import os
+import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyloom.operators import matrix, outcomes, sessions
@@ -442,3 +445,60 @@ def test_stream_outcomes_are_one_row_per_task(spark, tmp_path):
             "300 seconds", "400 seconds"), path, checkpoint)
     got = {r.task_id: (r.completed_at, r.status) for r in spark.read.parquet(path).collect()}
     assert got == {0: (at(200), "success"), 1: (None, "failed"), 2: (at(150), "success")}
+
+
+class _Store:
+    """State of one session in memory; counts what would be calls to the JVM."""
+
+    def __init__(self):
+        self.row, self.spans, self.calls, self.span_calls, self.timers = None, {}, 0, 0, set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def getMapState(self, *_):  # noqa: N802
+        return SimpleNamespace(iterator=self._iterate, updateValue=self._put, removeKey=self._take)
+
+    def get(self):
+        self.calls += 1
+        return self.row
+
+    def update(self, row):
+        self.calls += 1
+        self.row = row
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def _iterate(self):
+        self.span_calls += 1
+        return iter(list(self.spans.items()))
+
+    def _put(self, place, held):
+        self.span_calls += 1
+        self.spans[place] = held
+
+    def _take(self, place):
+        self.span_calls += 1
+        del self.spans[place]
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_a_session_of_usual_size_needs_its_own_row_alone(monkeypatch, most):
+    monkeypatch.setattr(jobs, "HELD", most)
+    hour, store, rng = 3_600_000_000, _Store(), random.Random(5)
+    session = jobs._Session(48 * hour, 1000 * hour)
+    session.init(store)
+    rows = [Row(at=k * hour // 2, event_id=k, kind="artefact", message=None) for k in range(150)]
+    rows[70] = Row(at=35 * hour, event_id=70, kind="message", message="m")
+    rng.shuffle(rows)
+    # Five micro-batches in which the watermark has passed nothing, then it passes everything.
+    for k in range(0, 150, 30):
+        assert not list(session.handleInputRows((1,), iter(rows[k:k + 30]), SimpleNamespace(
+            getCurrentWatermarkInMs=lambda: -1)))
+    assert (store.span_calls == 0) == (most == 4096)
+    assert most < 4096 or store.calls <= 15
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: 500 * hour // 1000)
+    out = list(session.handleExpiredTimer((1,), late, None))
+    assert [tuple(r) for r in out] == [(1, 70, 70, "success", "m")] and not store.spans
