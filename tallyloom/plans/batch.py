@@ -339,8 +339,9 @@ def batch_files(spark, sf_dir):
     def one_run(batch: DataFrame, name: str) -> DataFrame:
         ran = durable(
             runs.run_batch(batch, checked_digest, sources.list_outputs(spark, folder)), name)
-        sinks.write_row_files(ran.where("status = 'success'"), folder)
-        stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        written = sinks.write_row_files(ran.where("status = 'success'"), folder)
+        stored = sources.in_fewer_tasks(
+            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), written)
         answers = stored.select(
             F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("filename"),
             F.decode("content", "UTF-8").alias("stored"))
@@ -373,11 +374,13 @@ def write_row_files(spark, sf_dir):
     path = scratch_path(spark, "row-files")
     rows = table(spark, sf_dir, "documents").select(
         F.expr("source || '/' || doc_id || '.md'").alias("filename"), "text")
-    sinks.write_row_files(rows, path, "filename", "text")
-    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    steps = F.split("_metadata.file_path", "/")
+    written = sinks.write_row_files(rows, path, "filename", "text")
+    # As bytes: the text reader copies the whole configuration for every file.
+    read = sources.in_fewer_tasks(
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), written)
     return read.select(
-        F.concat_ws("/", F.slice(steps, -2, 2)).alias("filename"), F.col("value").alias("content"))
+        F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("filename"),
+        F.col("content").cast("string").alias("content"))
 
 
 CHECKPOINT = "ticket_id long, status string, flow_process_id string"

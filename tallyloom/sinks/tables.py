@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.session import durable, store
+from tallyloom.session import durable, spread, store
 from tallyloom.sources.tables import committed_runs
 
 
@@ -134,7 +134,8 @@ def write_row_files(df: DataFrame, folder: str, filename: str = "filename",
                 system.move(part, target)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    written = rows.mapInPandas(write, "n long")
+    # Each row costs a file: few splits are dealt out to all cores.
+    written = spread(rows, "name").mapInPandas(write, "n long")
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

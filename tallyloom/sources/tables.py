@@ -162,21 +162,44 @@ def read_matrix_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     return df.select("row_idx", *[c for c in df.columns if c != "row_idx"])
 
 
+#: Short files that a task reads one after the other.
+FILES_A_TASK = 1000
+
+
+def in_fewer_tasks(scan: DataFrame, files: int) -> DataFrame:
+    """A scan of so many short files in a task for every ``FILES_A_TASK``, at least one a core.
+
+    Spark's reader counts a file as some megabytes at least, which makes a task of a few dozen
+    files however short they are. Nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.coalesce(max(cores, -(-files // FILES_A_TASK)))
+
+
+def _listed(spark: SparkSession, folder: str, below: bool) -> DataFrame:
+    """Path and length of the files in a folder."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", below).load(folder)
+    found = scan.select("path", "length")
+    # Files as the scan's splits count them; no file is opened, so their length is no matter.
+    return in_fewer_tasks(found, 32 * found.rdd.getNumPartitions())
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """PDF and DOCX files of a folder, not below it: PDF first, each kind in path order.
 
     Only path and length are read, never file contents.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(folder)
+    listed = _listed(spark, folder, False)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.element_at(F.split("filename", r"\."), -1))
     files = (
-        listed.select("path", "length").withColumn("filename", name)
+        listed.withColumn("filename", name)
         .withColumn("file_type", kind)
         .where(F.col("file_type").isin("pdf", "docx") & F.col("filename").contains("."))
         .where(~((F.col("file_type") == "docx") & F.col("filename").startswith("~$")))
         .withColumn("__kind", F.when(F.col("file_type") == "pdf", 0).otherwise(1))
     )
+    files = durable(files, "listed")  # the folder's files are gone through once
     return with_positions(
         files, ["__kind", "path"], index="file_index", start=1
     ).withColumn("total_files", files.agg(F.count("*")).scalar()).drop("__kind")
@@ -190,7 +213,7 @@ def file_type_counts(files: DataFrame) -> DataFrame:
 def list_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """Names, relative to the folder, of the files in and below it; none if it is absent."""
     try:
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        listed = _listed(spark, folder, True)
     except AnalysisException as raised:
         if raised.getCondition() != "PATH_NOT_FOUND":
             raise
