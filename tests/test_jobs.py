@@ -5,8 +5,8 @@ import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyloom.operators import matrix, outcomes, sessions
@@ -490,15 +490,17 @@ def test_a_session_of_usual_size_needs_its_own_row_alone(monkeypatch, most):
     hour, store, rng = 3_600_000_000, _Store(), random.Random(5)
     session = jobs._Session(48 * hour, 1000 * hour)
     session.init(store)
-    rows = [Row(at=k * hour // 2, event_id=k, kind="artefact", message=None) for k in range(150)]
-    rows[70] = Row(at=35 * hour, event_id=70, kind="message", message="m")
+    rows = [(k * hour // 2, k, "artefact", None) for k in range(150)]
+    rows[70] = (35 * hour, 70, "message", "m")
     rng.shuffle(rows)
     # Five micro-batches in which the watermark has passed nothing, then it passes everything.
     for k in range(0, 150, 30):
-        assert not list(session.handleInputRows((1,), iter(rows[k:k + 30]), SimpleNamespace(
+        batch = pd.DataFrame(rows[k:k + 30], columns=["at", "event_id", "kind", "message"])
+        assert not list(session.handleInputRows((1,), iter([batch]), SimpleNamespace(
             getCurrentWatermarkInMs=lambda: -1)))
     assert (store.span_calls == 0) == (most == 4096)
     assert most < 4096 or store.calls <= 15
     late = SimpleNamespace(getCurrentWatermarkInMs=lambda: 500 * hour // 1000)
     out = list(session.handleExpiredTimer((1,), late, None))
-    assert [tuple(r) for r in out] == [(1, 70, 70, "success", "m")] and not store.spans
+    assert [tuple(r) for df in out for r in df.to_numpy()] == [(1, 70, 70, "success", "m")]
+    assert not store.spans
