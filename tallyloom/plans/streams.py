@@ -162,7 +162,7 @@ def stream_match_within(spark, sf_dir):
         replay("orders", "o_orderkey", "o_orderdate", "submitted_at"),
         replay("lineitem", "l_orderkey", "l_shipdate", "arrived_at"), "90 days", "30 days")
     path, checkpoint = scratch_path(spark, "matched"), scratch_path(spark, "matched-state")
-    with jobs.settings(spark, {**_state(spark), jobs.STATE_STORE: jobs.ROCKSDB}):
+    with jobs.settings(spark, {**_state(spark), **jobs.JOIN_STATE}):
         jobs.drain(matched, path, checkpoint)
     return spark.read.parquet(path).where("task_id >= 0").select(
         "task_id", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"),
