@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import strip
-from tallyloom.operators.calls import Call, CallWindow
+from tallyloom.operators.calls import SLAB, Call, CallWindow, slabs
 from tallyloom.operators.outcomes import classify_outcome, parse_verdict
 
 RowFunction = Callable[[str, dict], str]
 JudgeFunction = Callable[[str, str], str]
 
+OUTCOME = pa.struct([("result", pa.string()), ("error", pa.string())])
+
 
 def _guarded(load: Callable[[], Callable], calls: Iterator, in_flight: int, timeout: float | None
-             ) -> Iterator[pd.DataFrame]:
+             ) -> Iterator[pa.Array]:
     """Outcomes of batches of argument tuples, in order; None stands for no call."""
     function = load()
     window = CallWindow(function, in_flight, timeout) if in_flight > 1 or timeout else None
@@ -32,9 +34,8 @@ def _guarded(load: Callable[[], Callable], calls: Iterator, in_flight: int, time
                 outcomes = [(c.value, c.error) for c in done]
             else:
                 outcomes = [(None, None) if a is None else Call(a).make(function) for a in batch]
-            yield pd.DataFrame({
-                "result": [None if value is None else str(value) for value, _ in outcomes],
-                "error": [error for _, error in outcomes]}, dtype="object")
+            yield pa.array([{"result": None if value is None else str(value), "error": error}
+                            for value, error in outcomes], OUTCOME)
     finally:
         if window:
             window.close()
@@ -55,7 +56,7 @@ def apply_flow(
     A row without a text is not handed to the function and fails as having no content.
 
     ``setup`` builds the function once per task instead (open a connection, load a model).
-    ``in_flight`` calls of a task run at a time, in threads, within each Arrow batch; the function
+    ``in_flight`` calls of a task run at a time, in threads, within each slab of a batch; the function
     must allow for that. ``parallelism`` bounds the tasks by the number of partitions, so that
     never more than the product of both is in flight. A call that takes longer than ``timeout``
     seconds fails its row, and the task goes on.
@@ -66,12 +67,12 @@ def apply_flow(
     """
     load = setup or (lambda: fn)
 
-    @F.pandas_udf("result string, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("result string, error string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield from _guarded(
             load,
-            ([None if t is None else (t, dict(v or {})) for t, v in zip(texts, maps)]
-             for texts, maps in batches),
+            ([None if t is None else (t, dict(v or {})) for t, v in rows]
+             for batch in batches for rows in slabs(batch, SLAB * in_flight)),
             in_flight, timeout,
         )
 
@@ -96,11 +97,11 @@ def call_judge(
     """
     load = setup or (lambda: fn)
 
-    @F.pandas_udf("result string, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("result string, error string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield from _guarded(load, (
-            [None if skip_missing and y is None else (x, y) for x, y in zip(e, a)]
-            for e, a in batches), in_flight, timeout)
+            [None if skip_missing and y is None else (x, y) for x, y in rows]
+            for batch in batches for rows in slabs(batch, SLAB * in_flight)), in_flight, timeout)
 
     return run.asNondeterministic()(expected, actual)
 

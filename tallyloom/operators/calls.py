@@ -5,7 +5,18 @@ from __future__ import annotations
 import threading
 import time
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import pyarrow as pa
+
+#: Rows of an Arrow batch that are Python objects at a time.
+SLAB = 128
+
+
+def slabs(columns: Sequence[pa.Array], rows: int = SLAB) -> Iterator[list[tuple]]:
+    """The rows of a batch, some at a time, so that the others stay in Arrow's compact form."""
+    for start in range(0, len(columns[0]), rows):
+        yield list(zip(*(c.slice(start, rows).to_pylist() for c in columns), strict=True))
 
 
 class Call:

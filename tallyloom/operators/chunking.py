@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.binding import let
 from tallyloom.functions.split_text import MeasureText, default_measure, split_counted
 from tallyloom.functions.text import SPACES, chunk_preview, last_tokens, strip, token_count
+from tallyloom.operators.calls import slabs
 
 MAX_TOKENS = 4000
 OVERLAP_TOKENS = 100
@@ -181,19 +183,23 @@ def pack_and_split(
     ``pieces``, a list for every section, empty for those within budget; their ``counts``.
 
     ``oversize`` holds (text, budget) of the sections over budget and NULL for the others, or
-    is NULL without any. One crossing to Python for both.
+    is NULL without any. One crossing to Python for both; of a batch some rows at a time are
+    Python objects.
     """
-    @F.pandas_udf("groups array<array<int>>, pieces array<array<string>>, counts array<array<int>>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        bind = load_measure()
-        for counts, headers, big in batches:
-            groups = [None if c is None else _cuts(c.tolist(), budget, int(h))
-                      for c, h in zip(counts, headers, strict=True)]
-            made = [[] if u is None else _split_units(u, overlap, bind) for u in big]
-            columns = groups, *([[[p[k] for p in pieces] for pieces in row] for row in made]
-                                for k in (0, 1))
-            yield pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in zip(
-                ("groups", "pieces", "counts"), columns, strict=True)})
+    @F.arrow_udf("groups array<array<int>>, pieces array<array<string>>, counts array<array<int>>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        bind, nested = load_measure(), lambda kind: pa.list_(pa.list_(kind))
+        kind = pa.struct([("groups", nested(pa.int32())), ("pieces", nested(pa.string())),
+                          ("counts", nested(pa.int32()))])
+        for batch in batches:
+            for rows in slabs(batch):
+                made = [(counts, header, [] if big is None else _split_units(big, overlap, bind))
+                        for counts, header, big in rows]
+                yield pa.array([{
+                    "groups": None if counts is None else _cuts(counts, budget, int(header)),
+                    "pieces": [[text for text, _ in pieces] for pieces in units],
+                    "counts": [[size for _, size in pieces] for pieces in units],
+                } for counts, header, units in made], kind)
 
     # Keeps the optimizer from merging the call into, and repeating it in, later steps.
     return cut.asNondeterministic()(tokens, header_tokens, oversize)

@@ -1,8 +1,10 @@
 """The chunker against a plain restatement of its rules and against its properties."""
 
+import pathlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from tallyloom.functions.split_text import (
 )
 from tallyloom.functions.text import token_count
 from tallyloom.operators import chunking as ch
+from tallyloom.operators.calls import slabs
+from tallyloom.operators.encoding import encoder_counts
+from tallyloom.session import shared_dir
 
 TOKEN = re.compile(r"[^\W_]+|[^ \t\n\x0b\f\r]")
 
@@ -222,3 +227,30 @@ def test_index_sitemap_reports_pages_that_were_not_captured(spark):
     got = {r.url_index: (r.url, r.chunk_index, r.status, r.result, r.error) for r in rows.collect()}
     assert got == {1: ("u1", 1, "success", "1/3", None), 3: ("u1", 1, "success", "3/3", None),
                    2: ("gone", 0, "failed", None, "Page not captured")}
+
+
+def test_of_a_batch_some_rows_at_a_time_are_python_objects(spark):
+    columns = [pa.array(range(300)), pa.array([None, "x"] * 150)]
+    some = list(slabs(columns))
+    assert [len(rows) for rows in some] == [128, 128, 44]
+    assert [r for rows in some for r in rows] == list(zip(*(c.to_pylist() for c in columns)))
+    docs = spark.createDataFrame(
+        [(k, None if k % 7 == 0 else "word " * k) for k in range(300)], "id long, text string")
+    chunks = ch.chunk_documents(docs.coalesce(1), "id", "text", None, 50, 5, keep_empty=True)
+    got = {(r.id, r.total_chunks > 1) for r in chunks.collect()}
+    assert got == {(k, k % 7 > 0 and k > 50) for k in range(300)}
+
+
+def test_encoder_counts_store_no_row_for_a_piece_of_a_text(spark):
+    texts = [None, "", "  ", "a bcde, fghij 12345678", "same same same"] * 900
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    kept = pathlib.Path(re.sub("^file:/+", "/", shared_dir(spark)))
+    before = {p.name for p in kept.glob("*")} if kept.exists() else set()
+    counted = encoder_counts(docs, "text", lambda: lambda piece: list(piece)[::2])
+    got = {r.id: r.n_tokens for r in counted.collect()}
+    sizes = {None: None, "": 0, "  ": 1}
+    for text in texts[3:5]:
+        sizes[text] = sum(-(-len(p) // 2) for p in re.findall(r" ?[a-z]+| ?[0-9]+| ?,+| +", text))
+    assert got == {k: sizes[t] for k, t in enumerate(texts)}
+    made = {p.name.split("-")[0] for p in kept.glob("*")} - {n.split("-")[0] for n in before}
+    assert "pieces" not in made
