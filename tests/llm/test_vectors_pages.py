@@ -253,6 +253,29 @@ def test_many_copies_keep_their_text(spark):
     assert set(texts(spark, [("http://h/", same)] * 40)) == {"All alike\non every page"}
 
 
+def test_templates_of_marked_articles(spark):
+    """The template tells what in an article the host has put there on all its pages."""
+    pages, want = [], []
+    for i in range(12):
+        story = [f"Story {i} begins with number {i * 7} here", f"and goes on to {i * i} at length"]
+        body = "".join(f"<p>{s}</p>" for s in story)
+        pages.append((f"https://news.example.com/{i}", page_of(
+            f"<article><h1><a href=/{i}>Head {i}</a></h1>{body}<p>Letters reach us by post</p>"
+            f"<div class=more><a href=/1>first of the links {i}</a> <a href=/2>second {i}</a></div>"
+            f"</article><p>A pleasant day</p>")))
+        want.append("\n".join([f"Head {i}", *story]))
+    assert texts(spark, pages) == want
+    # Near copies, and text in elements of a page's own below a slot that holds links elsewhere.
+    line = "All but the last line of these pages is the same on every one of them"
+    near = [(f"http://near/{i}", page_of(f"<article><p>{line}</p><p>Line {i}</p></article>"))
+            for i in range(5)]
+    own = [(f"http://own/{i}", page_of(
+        f"<article><h1>Head {i}</h1><div class=c><div class=k{'abcdefghijklmnop'[i]}>"
+        f"<p>{line} but {i}</p></div><a href=/>more {i}</a></div></article>")) for i in range(16)]
+    assert texts(spark, near) == [f"{line}\nLine {i}" for i in range(5)]
+    assert texts(spark, own) == [f"Head {i}\n{line} but {i}\nmore {i}" for i in range(16)]
+
+
 def test_equivalence_classes_nest():
     rows = [
         {"token": 0, "parent": -1, "is_text": False, "vector": 1, "pages": 9, "chars": 0, "links": 0},
