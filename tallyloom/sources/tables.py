@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+import stat
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,12 +179,62 @@ def in_fewer_tasks(scan: DataFrame, files: int) -> DataFrame:
     return scan.coalesce(max(cores, -(-files // FILES_A_TASK)))
 
 
+#: Files of a folder that are told of at a time.
+FILES_A_BATCH = 10_000
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Whether Spark's readers take no notice of a file or folder of that name."""
+    kept = folder and name.startswith(("_metadata", "_common_metadata"))
+    return not kept and (name.startswith(".") or name.endswith("._COPYING_")
+                         or (name.startswith("_") and "=" not in name))
+
+
+def _files(root: str, below: bool) -> Iterator[tuple[str, int]]:
+    """Path and length of the files in a mounted folder, as the system tells of them."""
+    folders = [root]
+    while folders:
+        with os.scandir(folders.pop()) as entries:
+            for entry in entries:
+                try:
+                    found = entry.stat()
+                except FileNotFoundError:  # taken away meanwhile, or a link to nothing
+                    continue
+                inner = stat.S_ISDIR(found.st_mode)
+                if _hidden(entry.name, inner):
+                    continue
+                if inner and below:
+                    folders.append(entry.path)
+                elif not inner and found.st_size:
+                    yield entry.path, found.st_size
+
+
 def _listed(spark: SparkSession, folder: str, below: bool) -> DataFrame:
-    """Path and length of the files in a folder."""
+    """Path and length of the files in a folder, gone through once; hidden and empty ones left out.
+
+    A folder that the workers mount is listed by one task, which holds a batch of files. Spark's
+    reader, which other stores need, holds the list of all files on the driver.
+    """
+    system, root = store(spark, folder)
+    if system.getScheme() == "file" and system.exists(root) and system.getFileStatus(root).isDirectory():
+        top = root.toUri().getPath()
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    found = _files(top, below)
+                    while part := list(islice(found, FILES_A_BATCH)):
+                        paths = [os.fsencode(f"file:{path}").decode(errors="replace") for path, _ in part]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(paths, pa.string()), pa.array([n for _, n in part], pa.int64())],
+                            ["path", "length"])
+
+        listing = spark.range(0, 1, 1, 1).mapInArrow(walk, "path string, length long")
+        return durable(listing, "listed")
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", below).load(folder)
     found = scan.select("path", "length")
     # Files as the scan's splits count them; no file is opened, so their length is no matter.
-    return in_fewer_tasks(found, 32 * found.rdd.getNumPartitions())
+    return durable(in_fewer_tasks(found, 32 * found.rdd.getNumPartitions()), "listed")
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +252,6 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
         .where(~((F.col("file_type") == "docx") & F.col("filename").startswith("~$")))
         .withColumn("__kind", F.when(F.col("file_type") == "pdf", 0).otherwise(1))
     )
-    files = durable(files, "listed")  # the folder's files are gone through once
     return with_positions(
         files, ["__kind", "path"], index="file_index", start=1
     ).withColumn("total_files", files.agg(F.count("*")).scalar()).drop("__kind")

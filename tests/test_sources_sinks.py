@@ -406,3 +406,32 @@ def test_many_short_files_are_read_in_few_tasks(spark, tmp_path):
         got = {(r.filename, r.length, r.total_files)
                for r in sources.scan_folder(spark, folder).collect()}
     assert got == {(f"{k}.pdf", 2 * k, 120) for k in range(1, 121)}
+
+
+def test_a_mounted_folder_is_listed_by_a_task(spark, tmp_path, monkeypatch):
+    """The files that Spark's reader finds, without the list of them on the driver."""
+    from pyspark.sql import DataFrameReader
+
+    folder = tmp_path / "in box"
+    for name in ("a.pdf", "b c%20é+#.docx", "_x=1.pdf", "_x.pdf", ".y.pdf", "z.pdf._COPYING_", "empty.pdf",
+                 "_metadata.pdf", "sub/d.pdf", "sub/deep/e.txt", "_sub/f.pdf", ".sub/g.pdf", "_metadata1/h"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        put(folder / name, "" if name == "empty.pdf" else name)
+    (folder / "gone.pdf").symlink_to(tmp_path / "nowhere")
+    (folder / "linked").symlink_to(folder / "sub")
+    found = {}
+    for below in (False, True):
+        scan = spark.read.format("binaryFile").option("recursiveFileLookup", below).load(str(folder))
+        found[below] = {tuple(r) for r in scan.select("path", "length").collect()}
+    assert (len(found[False]), len(found[True])) == (3, 8)
+
+    def load(*_):
+        raise AssertionError("the driver lists the folder")
+
+    monkeypatch.setattr(DataFrameReader, "load", load)
+    for path in (str(folder), f"file://{folder}/", f"{tmp_path}/./in box"):
+        for below in (False, True):
+            assert {tuple(r) for r in sources._listed(spark, path, below).collect()} == found[below]
+    assert {r.filename for r in sources.scan_folder(spark, str(folder)).collect()} == {
+        "a.pdf", "b c%20é+#.docx", "_x=1.pdf"}
+    assert sources.scan_folder(spark, str(folder / "sub" / "deep")).collect() == []
